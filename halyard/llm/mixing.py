@@ -3,7 +3,8 @@
 Each document of a source stands in a queue in a fixed shuffled order, and the whole queue repeats up to
 ``max_repeats`` times. A document's virtual finish time is the number of its source's words up to and including it,
 divided by the source's target. All queue entries are sorted by finish time over the cluster, and the mix is what
-comes before the total budget is used up. A queue's running sums come in two steps (slices of the shuffled order,
+comes before the total budget is used up; then a source that a long document at the cut left off its target gains or loses a copy or
+two. A queue's running sums come in two steps (slices of the shuffled order,
 then rows within a slice), so that a source with a third of all rows is never one task's work.
 
 Defined cases: a null or empty text has size 0; a null source is a source of its own, last in order; rows with
@@ -54,6 +55,7 @@ def mix_sources(
     max_repeats: int = 3,
     seed: str = "mix-1",
     slice_rows: int = 20_000,
+    settle_steps: int = 2,
 ) -> DataFrame:
     """One row per document: id, size, source_size, target, taken (words, repeats counted), copies (whole copies taken) and
     row (1, 2, ... among rows of equal id, source and size).
@@ -88,7 +90,7 @@ def mix_sources(
     rows = rows.withColumn("upto", F.col("upto") + F.col("ahead"))
     queue = rows.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))))
     finish = F.when(F.col("target") > 0, (F.col("turn") * F.col("source_size") + F.col("upto")).cast("double") / F.col("target")).otherwise(0.0)
-    queue = queue.select("id", "size", "source_size", "target", "draw", "turn", finish.alias("finish"))
+    queue = queue.select("id", "size", "source", "source_size", "target", "draw", "turn", finish.alias("finish"))
     order = ["finish", "draw", "id", "size", "turn"]
     queue = queue.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
     queue = scratch.save(queue, "queue")  # the ranges are fixed once they are written
@@ -99,11 +101,30 @@ def mix_sources(
     used = F.col("start") + F.sum("size").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     queue = queue.withColumn("used", used)
     # equal rows (same id, size and source) count together and share what they take evenly
-    taken = queue.groupBy("id", "draw", "size", "source_size", "target").agg(
+    taken = queue.groupBy("id", "draw", "size", "source", "source_size", "target").agg(
         F.sum(F.when(F.col("used") <= budget, 1).otherwise(0)).alias("hits"), F.sum(F.when(F.col("turn") == 0, 1).otherwise(0)).alias("rows")
     )
     taken = taken.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     copies = F.floor(F.col("hits") / F.col("rows")) + F.when(F.col("row") <= F.col("hits") % F.col("rows"), 1).otherwise(0)
-    return taken.withColumn("copies", copies.cast("long")).select(
-        F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", F.col("row").cast("long").alias("row")
-    )
+    taken = scratch.save(taken.select("id", "draw", "size", "source", "source_size", "target", F.col("row").cast("long").alias("row"), copies.cast("long").alias("copies")), "taken-0")
+    for step in range(1, settle_steps + 1):
+        taken = scratch.save(_settle(taken, max_repeats), f"taken-{step}")
+        scratch.drop(f"taken-{step - 1}")
+    scratch.drop("rows", "queue")
+    return taken.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "row")
+
+
+def _settle(taken: DataFrame, max_repeats: int) -> DataFrame:
+    """Adds or drops one copy in each source whose words miss the target, if a document of about that size brings them nearer.
+
+    A long document at the cut leaves its source short, or the others long, by up to its size; this matters for small sources only.
+    """
+    gaps = taken.groupBy(F.col("source").alias("s")).agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
+    near = taken.join(gaps, F.col("source").eqNullSafe(F.col("s")))
+    can = F.when(F.col("gap") > 0, F.col("copies") < max_repeats).otherwise(F.col("copies") > 0)
+    near = near.where(can & (F.col("size") > 0) & (F.col("size") < 2 * F.abs("gap")))
+    pick = near.groupBy("source").agg(F.min(F.struct(F.abs(F.abs("gap") - F.col("size")).alias("miss"), "draw", "id", "size", "row", F.signum("gap").cast("long").alias("change"))).alias("p"))
+    pick = pick.select(F.col("source").alias("ps"), *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("draw", "id", "size", "row", "change")))
+    same = F.col("source").eqNullSafe(F.col("ps")) & F.col("id").eqNullSafe(F.col("p_id")) & (F.col("size") == F.col("p_size")) & (F.col("row") == F.col("p_row"))
+    out = taken.join(pick, same, "left")
+    return out.select(*(c for c in taken.columns if c != "copies"), (F.col("copies") + F.coalesce("p_change", F.lit(0))).alias("copies"))

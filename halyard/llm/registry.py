@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import html_extract, language_id, media, minhash, mixing, nbsvm, packing, quality_rules
+from . import html_extract, language_id, media, minhash, mixing, nbsvm, packing, quality_rules, sharding, suffix_dedup
+from .common import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +17,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_size_tiered_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document lies after an append and full compaction: its shard as the newest manifest has it, and a checksum of the text read from there."""
+    store, version = sharding.shard_documents(_table(spark, sf_dir, "documents"), Scratch(spark, "shards").path("store"))
+    rows = store.read(version)
+    if rows.isEmpty():
+        return spark.createDataFrame([], "doc_id long, n_bytes long, text_crc32 long, shard string, shard_bytes long, shard_rows long, tier int, version long")
+    rows = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.col("_metadata.file_path").alias("path"))
+    live = store.manifest(version).select("path", F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"), "tier")
+    shard = F.regexp_extract("path", r"/shards/(.*)$", 1)
+    return rows.join(live, "path").select("doc_id", "n_bytes", "text_crc32", shard.alias("shard"), "shard_bytes", "shard_rows", "tier", F.lit(version).cast("long").alias("version"))
+
+
 def op2_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition_quality(_table(spark, sf_dir, "documents"))
 
@@ -42,6 +56,10 @@ def op7_fair_queue_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op9_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = nbsvm.train_quality(docs, _table(spark, sf_dir, "labels"))
@@ -54,7 +72,7 @@ def op10_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_repetition_quality, op3_minhash_near_dedup, op4_best_fit_packing, op5_consensus_html, op6_language_id, op7_fair_queue_mixing, op9_nbsvm_quality, op10_media_sequences)}
+    return {f.__name__: f for f in (op1_size_tiered_sharding, op2_repetition_quality, op3_minhash_near_dedup, op4_best_fit_packing, op5_consensus_html, op6_language_id, op7_fair_queue_mixing, op8_suffix_array_dedup, op9_nbsvm_quality, op10_media_sequences)}
 
 
 def oracle_sql() -> dict[str, str]:
