@@ -4,9 +4,10 @@ A document's set is its distinct word shingles. Documents of equal sets form one
 hash minima are banded into buckets; candidate pairs are tested on their signatures and confirmed on full sets;
 groups are connected components found by alternating large-star and small-star rounds.
 
-Within a bucket, members are first compared with the bucket's smallest class only. After the components of those links
-are known, the pairs still open are those of one bucket in different components, and exactly these are compared
-too: no link between different components is lost, and pairs inside a component, which can't change it, are never made.
+Within a bucket, members are first compared with the bucket's smallest class only, then with one drawn member of another
+component. After the components of those links are known, the pairs still open are those of one bucket in different components, and these are compared too, unless
+the order of their rarest shingles rules a link out. No link between different components is lost, and pairs
+inside a component, which can't change it, are never made.
 
 Defined cases: null or word-free texts have an empty set, are linked with nothing and kept; fewer words than a shingle
 make one shingle of all words; rows with equal ids each get a result row by their own text; null ids are linked with
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, Scratch, byte_slices, mix64
@@ -39,6 +40,7 @@ class NearDupParams:
     rows: int = 5
     bands: int = 36
     seed: int = 20240501
+    star_rounds: int = 2  # rounds of comparing one drawn member of a bucket with the rest before all open pairs are compared
     signature_slack: float = 5.0  # standard deviations that a signature may fall short before a pair is dropped unconfirmed
 
     def multipliers(self) -> tuple[np.ndarray, np.ndarray]:
@@ -139,8 +141,17 @@ def _sets(docs: DataFrame, params: NearDupParams) -> DataFrame:
     return docs.mapInArrow(run, "id long, sig binary, codes binary")
 
 
+def _intersection(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if not len(y):
+        return 0
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum())
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, params: NearDupParams) -> DataFrame:
-    """The pairs (a, b) that are linked: signatures agree enough, and so do the full sets."""
+    """Of pairs (a, b, ca, cb), the linked ones' (ca, cb) as edges (a, b): signatures agree enough, and so do the full sets."""
     least, percent = params.least_agreement(), params.percent
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("codes").alias("codes_a")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("codes").alias("codes_b")), "b")
@@ -154,14 +165,12 @@ def _confirm(pairs: DataFrame, sets: DataFrame, params: NearDupParams) -> DataFr
                     x, y = np.frombuffer(ca.as_buffer(), U64), np.frombuffer(cb.as_buffer(), U64)
                     ok = 100 * min(len(x), len(y)) >= percent * max(len(x), len(y))
                     if ok:
-                        at = np.searchsorted(y, x)
-                        at[at == len(y)] = 0
-                        common = int((y[at] == x).sum())
+                        common = _intersection(x, y)
                         ok = 100 * common >= percent * (len(x) + len(y) - common)
                 keep.append(ok)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("a", "b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("ca", "cb")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "sig_a", "sig_b", "codes_a", "codes_b").mapInArrow(run, "a long, b long")
+    return both.select("ca", "cb", "sig_a", "sig_b", "codes_a", "codes_b").mapInArrow(run, "a long, b long")
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
@@ -194,6 +203,59 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -
     return cur.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
+def _open_pairs(placed: DataFrame, sets: DataFrame, params: NearDupParams, scratch: Scratch) -> DataFrame:
+    """All pairs (a, b, ca, cb) of open documents in different components that can be linked, by their rarest shingles.
+
+    With shingles in order of how few open documents have them, linked sets have one in common among their first ones (all but
+    ``percent`` of the set, and one); and what stands before the first common one in either set is not common to them, which
+    bounds the intersection. In a large group of near copies, the shingles that tell its members apart come first, so that
+    members which differ too much from each other don't meet.
+    """
+    where = placed.select("id", "component").distinct()
+    open_sets = sets.join(where, "id").select("id", "component", "codes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                codes = [np.frombuffer(c.as_buffer(), np.int64) for c in part.column(2)]
+                n = np.array([len(c) for c in codes])
+                owner = pa.array(np.repeat(np.arange(len(n)), n))
+                keys = pa.array([f"{k}:{xxhash.xxh64_hexdigest(c.tobytes())}" for k, c in zip(part.column(0).to_pylist(), codes, strict=True)])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(owner), part.column(1).take(owner), keys.take(owner), pa.array(np.repeat(n, n)), pa.array(np.concatenate(codes))], names=["id", "component", "set", "n", "code"]
+                )
+
+    codes = scratch.save(open_sets.mapInArrow(run, "id long, component long, set string, n long, code long"), "codes")
+    shared = scratch.save(codes.groupBy("code").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "shared")
+    codes = codes.join(shared, "code")
+    by_set = Window.partitionBy("set")
+    place = F.col("n") - F.count(F.lit(1)).over(by_set) + F.row_number().over(by_set.orderBy("times", "code")) - 1
+    codes = codes.withColumn("place", place).where(100 * F.col("place") <= (100 - params.percent) * F.col("n"))
+    codes = scratch.save(codes.select("code", "id", "component", "n", "place"), "first-codes")
+    # the component that has most of a shingle's sets is only joined with the others, not with itself
+    sizes = codes.groupBy("code", "component").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy("code").agg(F.max(F.struct("size", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
+    codes = scratch.save(codes.join(scratch.save(largest, "largest"), "code"), "mixed-codes")
+    x, y = (codes.select("code", "largest", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "n", "place"))) for s in "xy")
+    x, y = x.where("component_x <> largest").drop("largest"), y.withColumn("large", F.col("component_y") == F.col("largest")).drop("largest")
+    bound = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
+    close = (
+        (F.col("component_x") != F.col("component_y"))
+        & (F.col("large") | (F.col("id_x") < F.col("id_y")))
+        & ((100 + params.percent) * bound >= params.percent * (F.col("n_x") + F.col("n_y")))
+    )
+    pairs = x.join(y, "code").where(close)
+    return pairs.select(F.col("id_x").alias("a"), F.col("id_y").alias("b"), F.col("component_x").alias("ca"), F.col("component_y").alias("cb")).distinct()
+
+
+def _relabel(df: DataFrame, merge: DataFrame) -> DataFrame:
+    """The table with its components replaced by those that (id, component) has merged them into."""
+    to = merge.select(F.col("id").alias("component"), F.col("component").alias("into"))
+    names = df.columns
+    return df.join(to, "component", "left").withColumn("component", F.coalesce("into", "component")).select(*names)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: NearDupParams = NearDupParams()) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable), kept (it is that id)."""
     spark = docs.sparkSession
@@ -213,26 +275,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = scratch.save(_sets(texts, params), "sets", "none")
 
     pairs = members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
-    links = scratch.save(_confirm(pairs, sets, params), "links")
-    comp = scratch.save(connected_components(links, scratch, "first"), "first")
+    links = scratch.save(_confirm(pairs.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")), sets, params), "links")
+    merges = [scratch.save(connected_components(links, scratch, "cc0"), "components")]
 
     # what is open: pairs of one bucket whose components differ
-    placed = members.select("bucket", "id", "n").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = scratch.save(placed, "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    placed = scratch.save(placed.join(scratch.save(mixed, "mixed"), "bucket"), "open")
-    x, y = (placed.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "component"))) for s in "xy")
-    close = (F.col("component_x") != F.col("component_y")) & (F.col("id_x") < F.col("id_y")) & (100 * F.least("n_x", "n_y") >= params.percent * F.greatest("n_x", "n_y"))
-    rest = x.join(y, "bucket").where(close).select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    more = scratch.save(_confirm(rest, sets, params), "more")
-    if more.head(1):
-        comp = scratch.save(connected_components(links.union(more), scratch, "second"), "second")
-    scratch.drop("sets", "placed", "open", "members")
+    placed = _relabel(members.select("bucket", "id", "n", F.col("id").alias("component")), merges[0])
+    for step in range(1, params.star_rounds + 2):
+        placed = scratch.save(placed, f"placed-{step}")
+        mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+        placed = scratch.save(placed.join(scratch.save(mixed, f"mixed-{step}"), "bucket"), f"open-{step}")
+        scratch.drop(f"placed-{step}")
+        if placed.isEmpty():
+            break
+        if step <= params.star_rounds:  # one drawn member of each bucket against those of other components: this joins what is large
+            first = F.min(F.struct(F.xxhash64("id", F.lit(step)), "id", "component"))
+            drawn = scratch.save(placed.groupBy("bucket").agg(first.alias("c")).select("bucket", F.col("c.id").alias("a"), F.col("c.component").alias("ca")), f"drawn-{step}")
+            pairs = placed.join(drawn, "bucket").where("component <> ca").select("a", F.col("id").alias("b"), "ca", F.col("component").alias("cb")).distinct()
+        else:
+            pairs = _open_pairs(placed, sets, params, scratch)
+        links = scratch.save(_confirm(pairs, sets, params).distinct(), f"links-{step}")
+        if not links.isEmpty():
+            merges.append(scratch.save(connected_components(links, scratch, f"cc{step}"), f"merge-{step}"))
+            placed = _relabel(placed, merges[-1])
+    scratch.drop("sets", "members", *(f"open-{k}" for k in range(1, params.star_rounds + 2)))
 
     # rows without a set stand aside: their null keys would meet in one task
     alone = full.where("set_key is null or id is null").select("id", "n", F.col("id").alias("component"))
     out = full.where("set_key is not null and id is not null").select("id", "n", "set_key").join(classes, "set_key").select("id", "n", "rep")
-    out = out.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
+    out = out.withColumnRenamed("rep", "component")
+    for merge in merges:
+        out = _relabel(out, merge)
     out = out.union(alone)
     kept = F.coalesce(F.col("id") == F.col("component"), F.lit(True))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
