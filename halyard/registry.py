@@ -25,13 +25,21 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _load() -> None:
+    """Plan modules register their queries when they are imported."""
+    from halyard.plans import benchmarks, dimensions, filtering, finding, manifests, ordering, parsing, pixels, scalars  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """A compiled hanging protocol from definition to ordered display sets."""
+    return queries()["hp_display_sets_all"](spark, sf_dir)
