@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from types import FunctionType
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,12 +12,26 @@ from pyspark.sql import functions as F
 Test = Callable[[Column], Column]
 
 
+def _column(c: Column | str | FunctionType) -> Column:
+    return F.col(c) if isinstance(c, str) else c() if isinstance(c, FunctionType) else c
+
+
 class Values:
-    """The values of an attribute. With scalar columns, tests unfold to plain boolean expressions; arrays use higher-order functions."""
+    """The values of an attribute: columns, their names, or functions that make them (for definitions made before a session starts).
+
+    With scalar columns, tests unfold to plain boolean expressions; arrays use higher-order functions.
+    """
+
+    def __init__(self, *cols: Column | str | FunctionType, array: Column | str | FunctionType | None = None):
+        self._cols, self._array = cols, array
+
+    @property
+    def cols(self) -> list[Column]:
+        return [_column(c) for c in self._cols]
 
-    def __init__(self, *cols: Column | str, array: Column | str | None = None):
-        self.cols = [F.col(c) if isinstance(c, str) else c for c in cols]
-        self.array = F.col(array) if isinstance(array, str) else array
+    @property
+    def array(self) -> Column | None:
+        return None if self._array is None else _column(self._array)
 
     def any(self, test: Test) -> Column:
         found = reduce(lambda a, b: a | b, (F.coalesce(test(c), F.lit(False)) for c in self.cols)) if self.array is None else F.exists(self.array, lambda x: F.coalesce(test(x), F.lit(False)))
@@ -29,11 +44,11 @@ class Values:
     def at(self, number: int | Column) -> Column:
         """The value of a 1-based number, null beyond the end."""
         if isinstance(number, int) and self.array is None:
-            return self.cols[number - 1] if number <= len(self.cols) else F.lit(None)
+            return self.cols[number - 1] if number <= len(self._cols) else F.lit(None)
         return F.try_element_at(self.as_array(), number if isinstance(number, Column) else F.lit(number))
 
     def size(self) -> Column:
-        return F.lit(len(self.cols)) if self.array is None else F.coalesce(F.size(self.array), F.lit(0))
+        return F.lit(len(self._cols)) if self.array is None else F.coalesce(F.size(self.array), F.lit(0))
 
     def as_array(self) -> Column:
         return F.array(*self.cols) if self.array is None else self.array

@@ -75,7 +75,11 @@ def _v(k: int, sql: bool = False):
     return f"CAST(embedding[{k}] AS DOUBLE)" if sql else F.element_at("embedding", k).cast("double")
 
 
-A, B = F.array(*(_v(k) for k in (1, 2, 3))), F.array(*(_v(k) for k in (4, 5, 6)))
+def _vectors():
+    """The first three values and the next three as vectors."""
+    return F.array(*(_v(k) for k in (1, 2, 3))), F.array(*(_v(k) for k in (4, 5, 6)))
+
+
 _a, _b = [_v(k, True) for k in (1, 2, 3)], [_v(k, True) for k in (4, 5, 6)]
 _LEN = f"sqrt({_a[0]}*{_a[0]} + {_a[1]}*{_a[1]} + {_a[2]}*{_a[2]})"
 
@@ -85,16 +89,18 @@ _LEN = f"sqrt({_a[0]}*{_a[0]} + {_a[1]}*{_a[1]} + {_a[2]}*{_a[2]})"
     f"SELECT vec_id, round({_a[0]} + {_b[0]}, 9) AS sx, round({_a[1]} - {_b[1]}, 9) AS dy, round({_a[2]} * 2.5, 9) AS mz, round({_a[0]}*{_b[0]} + {_a[1]}*{_b[1]} + {_a[2]}*{_b[2]}, 9) AS dot, round({_a[1]}*{_b[2]} - {_a[2]}*{_b[1]}, 9) AS cx, round({_LEN}, 9) AS length FROM embeddings",
 )
 def vec_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _vectors()
     r = lambda c, n: F.round(c, 9).alias(n)
     return table(spark, sf_dir, "embeddings").select(
-        "vec_id", r(G.x(G.add(A, B), 0), "sx"), r(G.x(G.subtract(A, B), 1), "dy"), r(G.x(G.scale(A, 2.5), 2), "mz"), r(G.dot(A, B), "dot"), r(G.x(G.cross(A, B), 0), "cx"), r(G.magnitude(A), "length")
+        "vec_id", r(G.x(G.add(a, b), 0), "sx"), r(G.x(G.subtract(a, b), 1), "dy"), r(G.x(G.scale(a, 2.5), 2), "mz"), r(G.dot(a, b), "dot"), r(G.x(G.cross(a, b), 0), "cx"), r(G.magnitude(a), "length")
     )
 
 
 @query("vec_normalize", "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 0.0 ELSE round(" + f"{_a[0]} / {_LEN}" + ", 9) END AS x, vec_id % 3 > 0 AS unit FROM embeddings")
 def vec_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vector of no length stays the zero vector."""
-    v = F.transform(A, lambda c: F.when(F.col("vec_id") % 3 == 0, 0.0).otherwise(c))
+    a, b = _vectors()
+    v = F.transform(a, lambda c: F.when(F.col("vec_id") % 3 == 0, 0.0).otherwise(c))
     e = table(spark, sf_dir, "embeddings").select("vec_id", G.normalize(v).alias("u"))
     return e.select("vec_id", F.round(G.x(F.col("u"), 0), 9).alias("x"), (F.abs(G.magnitude(F.col("u")) - 1) < 1e-9).alias("unit"))
 
@@ -111,11 +117,13 @@ def _dominant_sql(v: list[str]) -> str:
           WHEN least(r, c) = 1 AND greatest(r, c) = 2 AND r IS NOT NULL AND c IS NOT NULL THEN 'SAGITTAL' ELSE 'OBLIQUE' END AS plane FROM d""",
 )
 def plane_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", G.plane(G.scale(A, 8.0), G.scale(B, 8.0)).alias("plane"))
+    a, b = _vectors()
+    return table(spark, sf_dir, "embeddings").select("vec_id", G.plane(G.scale(a, 8.0), G.scale(b, 8.0)).alias("plane"))
 
 
 @query("axis_letters", f"SELECT vec_id, CASE WHEN {_a[0]} < 0 THEN 'R' ELSE 'L' END AS x, CASE WHEN {_a[1]} < 0 THEN 'P' ELSE 'A' END AS y, CASE WHEN {_a[2]} < 0 THEN 'CD' ELSE 'CR' END AS z FROM embeddings")
 def axis_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directions of a vector's parts; the second one turned to its opposite."""
+    a, b = _vectors()
     e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", G.axis_letter(A, 0).alias("x"), G.opposite(F.lower(G.axis_letter(A, 1))).alias("y"), G.axis_letter(A, 2, quadruped=True).alias("z"))
+    return e.select("vec_id", G.axis_letter(a, 0).alias("x"), G.opposite(F.lower(G.axis_letter(a, 1))).alias("y"), G.axis_letter(a, 2, quadruped=True).alias("z"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,16 +15,16 @@ from halyard.registry import query
 from .common import table, tally, tally_sql
 
 FLAGS = Values("l_returnflag", "l_linestatus")
-NUMBERS = Values("l_quantity", F.col("l_linenumber").cast("double"), F.col("l_discount") * 100)
-INTS = Values("l_linenumber", F.pmod("l_partkey", F.lit(50)).cast("int"), F.pmod("l_suppkey", F.lit(9)).cast("int"))
+NUMBERS = Values("l_quantity", lambda: F.col("l_linenumber").cast("double"), lambda: F.col("l_discount") * 100)
+INTS = Values("l_linenumber", lambda: F.pmod("l_partkey", F.lit(50)).cast("int"), lambda: F.pmod("l_suppkey", F.lit(9)).cast("int"))
 LIST = "[l_quantity, CAST(l_linenumber AS DOUBLE), l_discount * 100]"
 INT_LIST = "[l_linenumber, CAST(l_partkey % 50 AS INT), CAST(l_suppkey % 9 AS INT)]"
 #: a signed number whose unsigned value is large on every second row
-SIGNED = F.when(F.col("l_orderkey") % 2 == 0, -F.col("l_linenumber")).otherwise(F.col("l_linenumber")).cast("int")
+SIGNED = Values(lambda: F.when(F.col("l_orderkey") % 2 == 0, -F.col("l_linenumber")).otherwise(F.col("l_linenumber")).cast("int"))
 SIGNED_SQL = "CASE WHEN l_orderkey % 2 = 0 THEN -l_linenumber ELSE l_linenumber END"
 UNSIGNED_SQL = f"(CASE WHEN ({SIGNED_SQL}) < 0 THEN ({SIGNED_SQL}) + 4294967296 ELSE ({SIGNED_SQL}) END)"
 #: an attribute that is missing on some rows, as an array
-SOME = F.when(F.col("l_linenumber") > 3, F.array(F.col("l_linenumber"), (F.col("l_partkey") % 7).cast("int")))
+SOME = Values(array=lambda: F.when(F.col("l_linenumber") > 3, F.array(F.col("l_linenumber"), (F.col("l_partkey") % 7).cast("int"))))
 
 
 def _all(cond: str, of: str = LIST) -> str:
@@ -33,44 +35,44 @@ def _any(cond: str, of: str = LIST) -> str:
     return f"len(list_filter({of}, lambda x: {cond})) > 0"
 
 
-CASES: dict[str, tuple[Column, str]] = {
-    "hp_member_of_any": (filters.apply("MEMBER_OF", FLAGS, ["R", "F"], "string"), "l_returnflag IN ('R','F') OR l_linestatus IN ('R','F')"),
-    "hp_member_of_pos": (filters.apply("MEMBER_OF", FLAGS, ["F"], "string", 2), "l_linestatus = 'F'"),
-    "hp_not_member_of_any": (filters.apply("NOT_MEMBER_OF", FLAGS, ["A", "F"], "string"), "NOT (l_returnflag IN ('A','F') OR l_linestatus IN ('A','F'))"),
-    "hp_not_member_of_pos": (filters.apply("NOT_MEMBER_OF", FLAGS, ["A"], "string", 1), "l_returnflag <> 'A'"),
-    "hp_member_of_int": (filters.apply("MEMBER_OF", INTS, [3, 5], "int"), _any("x IN (3, 5)", INT_LIST)),
-    "hp_range_incl_all": (filters.apply("RANGE_INCL", NUMBERS, [1.0, 30.0], "double"), _all("x >= 1 AND x <= 30")),
-    "hp_range_incl_pos": (filters.apply("RANGE_INCL", INTS, [10, 20], "int", 2), "(l_partkey % 50) BETWEEN 10 AND 20"),
-    "hp_range_excl_all": (filters.apply("RANGE_EXCL", INTS, [3, 4], "int"), f"NOT {_any('x BETWEEN 3 AND 4', INT_LIST)}"),
-    "hp_range_excl_pos": (filters.apply("RANGE_EXCL", INTS, [3, 4], "int", 1), "NOT (l_linenumber BETWEEN 3 AND 4)"),
-    "hp_ge_all": (filters.apply("GREATER_OR_EQUAL", NUMBERS, [2.0], "double"), _all("x >= 2")),
-    "hp_le_all": (filters.apply("LESS_OR_EQUAL", NUMBERS, [25.0], "double"), _all("x <= 25")),
-    "hp_gt_all": (filters.apply("GREATER_THAN", INTS, [1], "int"), _all("x > 1", INT_LIST)),
-    "hp_lt_all": (filters.apply("LESS_THAN", INTS, [30], "int"), _all("x < 30", INT_LIST)),
-    "hp_gt_pos": (filters.apply("GREATER_THAN", NUMBERS, [25.0], "double", 1), "l_quantity > 25"),
-    "hp_uint_compare": (filters.apply("GREATER_THAN", Values(SIGNED), [0x7FFFFFFF], "uint"), f"{UNSIGNED_SQL} > 2147483647"),
-    "hp_uint_member_raw": (filters.apply("MEMBER_OF", Values(SIGNED), [4294967295, 2], "uint"), f"({SIGNED_SQL}) IN (4294967295, 2)"),
-    "hp_float_member": (filters.apply("MEMBER_OF", Values("l_discount", "l_tax"), [0.05, 0.02], "double"), "abs(l_discount - 0.05) <= 1e-6 OR abs(l_discount - 0.02) <= 1e-6 OR abs(l_tax - 0.05) <= 1e-6 OR abs(l_tax - 0.02) <= 1e-6"),
-    "hp_presence": (hanging.presence_selector(Values(array=SOME), "PRESENT"), "l_linenumber > 3"),
-    "hp_presence_not": (hanging.presence_selector(Values(array=SOME), "NOT_PRESENT"), "NOT (l_linenumber > 3)"),
-    "hp_absent_default_true": (hanging.value_selector(Values(array=SOME), "GREATER_THAN", [3], "int", absent=True), "CASE WHEN l_linenumber > 3 THEN l_partkey % 7 > 3 ELSE true END"),
-    "hp_absent_default_false": (hanging.value_selector(Values(array=SOME), "MEMBER_OF", [5, 6], "int", absent=False), "CASE WHEN l_linenumber > 3 THEN l_linenumber IN (5,6) OR l_partkey % 7 IN (5,6) ELSE false END"),
-    "hp_short_default": (hanging.value_selector(Values(array=SOME), "LESS_THAN", [3], "int", 3, absent=True), "true"),
+CASES: dict[str, tuple[Callable[[], Column], str]] = {
+    "hp_member_of_any": (lambda: filters.apply("MEMBER_OF", FLAGS, ["R", "F"], "string"), "l_returnflag IN ('R','F') OR l_linestatus IN ('R','F')"),
+    "hp_member_of_pos": (lambda: filters.apply("MEMBER_OF", FLAGS, ["F"], "string", 2), "l_linestatus = 'F'"),
+    "hp_not_member_of_any": (lambda: filters.apply("NOT_MEMBER_OF", FLAGS, ["A", "F"], "string"), "NOT (l_returnflag IN ('A','F') OR l_linestatus IN ('A','F'))"),
+    "hp_not_member_of_pos": (lambda: filters.apply("NOT_MEMBER_OF", FLAGS, ["A"], "string", 1), "l_returnflag <> 'A'"),
+    "hp_member_of_int": (lambda: filters.apply("MEMBER_OF", INTS, [3, 5], "int"), _any("x IN (3, 5)", INT_LIST)),
+    "hp_range_incl_all": (lambda: filters.apply("RANGE_INCL", NUMBERS, [1.0, 30.0], "double"), _all("x >= 1 AND x <= 30")),
+    "hp_range_incl_pos": (lambda: filters.apply("RANGE_INCL", INTS, [10, 20], "int", 2), "(l_partkey % 50) BETWEEN 10 AND 20"),
+    "hp_range_excl_all": (lambda: filters.apply("RANGE_EXCL", INTS, [3, 4], "int"), f"NOT {_any('x BETWEEN 3 AND 4', INT_LIST)}"),
+    "hp_range_excl_pos": (lambda: filters.apply("RANGE_EXCL", INTS, [3, 4], "int", 1), "NOT (l_linenumber BETWEEN 3 AND 4)"),
+    "hp_ge_all": (lambda: filters.apply("GREATER_OR_EQUAL", NUMBERS, [2.0], "double"), _all("x >= 2")),
+    "hp_le_all": (lambda: filters.apply("LESS_OR_EQUAL", NUMBERS, [25.0], "double"), _all("x <= 25")),
+    "hp_gt_all": (lambda: filters.apply("GREATER_THAN", INTS, [1], "int"), _all("x > 1", INT_LIST)),
+    "hp_lt_all": (lambda: filters.apply("LESS_THAN", INTS, [30], "int"), _all("x < 30", INT_LIST)),
+    "hp_gt_pos": (lambda: filters.apply("GREATER_THAN", NUMBERS, [25.0], "double", 1), "l_quantity > 25"),
+    "hp_uint_compare": (lambda: filters.apply("GREATER_THAN", SIGNED, [0x7FFFFFFF], "uint"), f"{UNSIGNED_SQL} > 2147483647"),
+    "hp_uint_member_raw": (lambda: filters.apply("MEMBER_OF", SIGNED, [4294967295, 2], "uint"), f"({SIGNED_SQL}) IN (4294967295, 2)"),
+    "hp_float_member": (lambda: filters.apply("MEMBER_OF", Values("l_discount", "l_tax"), [0.05, 0.02], "double"), "abs(l_discount - 0.05) <= 1e-6 OR abs(l_discount - 0.02) <= 1e-6 OR abs(l_tax - 0.05) <= 1e-6 OR abs(l_tax - 0.02) <= 1e-6"),
+    "hp_presence": (lambda: hanging.presence_selector(SOME, "PRESENT"), "l_linenumber > 3"),
+    "hp_presence_not": (lambda: hanging.presence_selector(SOME, "NOT_PRESENT"), "NOT (l_linenumber > 3)"),
+    "hp_absent_default_true": (lambda: hanging.value_selector(SOME, "GREATER_THAN", [3], "int", absent=True), "CASE WHEN l_linenumber > 3 THEN l_partkey % 7 > 3 ELSE true END"),
+    "hp_absent_default_false": (lambda: hanging.value_selector(SOME, "MEMBER_OF", [5, 6], "int", absent=False), "CASE WHEN l_linenumber > 3 THEN l_linenumber IN (5,6) OR l_partkey % 7 IN (5,6) ELSE false END"),
+    "hp_short_default": (lambda: hanging.value_selector(SOME, "LESS_THAN", [3], "int", 3, absent=True), "true"),
     "hp_frame_index": (
-        hanging.value_selector(INTS, "LESS_THAN", [5], "int", "frame", absent=True, frame=F.col("l_linenumber")),
+        lambda: hanging.value_selector(INTS, "LESS_THAN", [5], "int", "frame", absent=True, frame=F.col("l_linenumber")),
         f"CASE WHEN l_linenumber <= 3 THEN ({INT_LIST})[l_linenumber] < 5 ELSE true END",
     ),
-    "hp_frame_index_text": (hanging.value_selector(FLAGS, "MEMBER_OF", ["A"], "string", "frame", absent=False, frame=F.col("l_linenumber")), "false"),
+    "hp_frame_index_text": (lambda: hanging.value_selector(FLAGS, "MEMBER_OF", ["A"], "string", "frame", absent=False, frame=F.col("l_linenumber")), "false"),
     "hp_image_plane": (
-        hanging.image_plane(F.when(F.col("l_linenumber") > 1, F.array(F.col("l_discount") * 10, F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(0.0))), F.array("l_returnflag", "l_linestatus"), ["TRANSVERSE", "CORONAL"]),
+        lambda: hanging.image_plane(F.when(F.col("l_linenumber") > 1, F.array(F.col("l_discount") * 10, F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(0.0))), F.array("l_returnflag", "l_linestatus"), ["TRANSVERSE", "CORONAL"]),
         "CASE WHEN l_linenumber > 1 THEN abs(l_discount * 10) > 0.9 ELSE CASE WHEN l_returnflag IN ('A','R') AND l_linestatus = 'F' THEN l_returnflag = 'R' ELSE true END END",
     ),
 }
 
 for _name, (_cond, _sql) in CASES.items():
 
-    def _run(spark: SparkSession, sf_dir: str, cond: Column = _cond) -> DataFrame:
-        return tally(table(spark, sf_dir, "lineitem").where(cond))
+    def _run(spark: SparkSession, sf_dir: str, cond: Callable[[], Column] = _cond) -> DataFrame:
+        return tally(table(spark, sf_dir, "lineitem").where(cond()))
 
     query(_name, tally_sql(_sql))(_run)
 
@@ -119,7 +121,7 @@ def hp_functional_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 ATTRIBUTES = {
     "flag": Values("l_returnflag"),
     "status": Values("l_linestatus"),
-    "numbers": Values("l_quantity", F.col("l_discount") * 100),
+    "numbers": Values("l_quantity", lambda: F.col("l_discount") * 100),
     "quantity": Values("l_quantity"),
     "price": Values("l_extendedprice"),
     "shipped": Values("l_shipdate"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,31 +21,30 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.col("x").cast("long").alias("x"), L.half_up(F.col("v").cast("double") * 1000).cast("long").alias("px"))
 
 
-def _per_image(name: str, value: Column, sql: str) -> None:
+def _per_image(name: str, value: Callable[[], Column], sql: str) -> None:
     """Registers a query that sums a per-pixel function by image."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return pixels(spark, sf_dir).withColumn("v", value).groupBy("vec_id").agg(F.sum("v").alias("total"), F.min("v").alias("low"), F.max("v").alias("high"))
+        return pixels(spark, sf_dir).withColumn("v", value()).groupBy("vec_id").agg(F.sum("v").alias("total"), F.min("v").alias("low"), F.max("v").alias("high"))
 
     query(name, f"SELECT vec_id, CAST(sum(v) AS BIGINT) AS total, min(v) AS low, max(v) AS high FROM (SELECT vec_id, CAST({sql} AS BIGINT) AS v FROM {_PIXELS_SQL}) GROUP BY 1")(run)
 
 
-PX = F.col("px")
 _ROUND = "floor(({0}) + 0.5)"
 _NORM = "greatest(0.0, least(1.0, (px - ({0} - {1} / 2.0)) / {1}))"
-_per_image("lut_rescale", L.rescale(PX, 2.5, -100.0, 12, True), "greatest(-2048, least(2047, floor(px * 2.5 - 100 + 0.5)))")
-_per_image("lut_rescale_inverse", L.rescale(PX, 0.5, 10.0, 8, False, inverse=True), "255 - greatest(0, least(255, floor(px * 0.5 + 10 + 0.5)))")
-_per_image("lut_voi_linear", L.window_linear(PX, 400.0, 50.0, 0, 255), "trunc(greatest(0.0, least(255.0, px * (255.0::DOUBLE / 400.0::DOUBLE) + (255.0::DOUBLE - 255.0::DOUBLE / 400.0::DOUBLE * (50.0::DOUBLE + 400.0::DOUBLE / 2)))))")
-_per_image("lut_voi_sigmoid", L.window_sigmoid(PX, 400.0, 50.0, 0, 255), "trunc(greatest(0.0, least(255.0, floor(255.0::DOUBLE / (1 + exp(-2.0::DOUBLE * 2.0 * (px - 50.0::DOUBLE) / 400.0)) + 0.5))))")
-_per_image("lut_voi_exp", L.window_exponential(PX, 400.0, 50.0, 0, 255), f"floor((exp({_NORM.format('50.0::DOUBLE', '400.0::DOUBLE')} * 2.0) - 1) / (exp(2.0::DOUBLE) - 1) * 255 + 0.5)")
-_per_image("lut_voi_log", L.window_log(PX, 400.0, 50.0, 0, 255), f"floor(ln({_NORM.format('50.0::DOUBLE', '400.0::DOUBLE')} * (exp(2.0::DOUBLE) - 1) + 1) / 2.0 * 255 + 0.5)")
+_per_image("lut_rescale", lambda: L.rescale(F.col("px"), 2.5, -100.0, 12, True), "greatest(-2048, least(2047, floor(px * 2.5 - 100 + 0.5)))")
+_per_image("lut_rescale_inverse", lambda: L.rescale(F.col("px"), 0.5, 10.0, 8, False, inverse=True), "255 - greatest(0, least(255, floor(px * 0.5 + 10 + 0.5)))")
+_per_image("lut_voi_linear", lambda: L.window_linear(F.col("px"), 400.0, 50.0, 0, 255), "trunc(greatest(0.0, least(255.0, px * (255.0::DOUBLE / 400.0::DOUBLE) + (255.0::DOUBLE - 255.0::DOUBLE / 400.0::DOUBLE * (50.0::DOUBLE + 400.0::DOUBLE / 2)))))")
+_per_image("lut_voi_sigmoid", lambda: L.window_sigmoid(F.col("px"), 400.0, 50.0, 0, 255), "trunc(greatest(0.0, least(255.0, floor(255.0::DOUBLE / (1 + exp(-2.0::DOUBLE * 2.0 * (px - 50.0::DOUBLE) / 400.0)) + 0.5))))")
+_per_image("lut_voi_exp", lambda: L.window_exponential(F.col("px"), 400.0, 50.0, 0, 255), f"floor((exp({_NORM.format('50.0::DOUBLE', '400.0::DOUBLE')} * 2.0) - 1) / (exp(2.0::DOUBLE) - 1) * 255 + 0.5)")
+_per_image("lut_voi_log", lambda: L.window_log(F.col("px"), 400.0, 50.0, 0, 255), f"floor(ln({_NORM.format('50.0::DOUBLE', '400.0::DOUBLE')} * (exp(2.0::DOUBLE) - 1) + 1) / 2.0 * 255 + 0.5)")
 _CURVE = [0, 10, 40, 160, 200]
 _AT = f"({_NORM.format('0.0::DOUBLE', '300.0::DOUBLE')} * 4)"
 _A = f"(CAST([0, 10, 40, 160, 200] AS DOUBLE[]))[CAST(floor({_AT}) AS INT) + 1]"
 _B = f"(CAST([0, 10, 40, 160, 200] AS DOUBLE[]))[least(CAST(floor({_AT}) AS INT) + 2, 5)]"
-_per_image("lut_voi_seq", L.window_sequence(PX, 300.0, 0.0, _CURVE, 0, 255), f"floor(({_A} + ({_B} - {_A}) * ({_AT} - floor({_AT}))) / 200 * 255 + 0.5)")
-_per_image("mask_fill", F.when((F.col("x") >= 8) & (F.col("x") < 24) & (F.col("vec_id") % 16 < 8), F.lit(0).cast("long")).otherwise(PX), "CASE WHEN x >= 8 AND x < 24 AND vec_id % 16 < 8 THEN 0 ELSE px END")
-_per_image("crop_region", F.when(F.col("x").between(16, 47), PX), "CASE WHEN x BETWEEN 16 AND 47 THEN px END")
+_per_image("lut_voi_seq", lambda: L.window_sequence(F.col("px"), 300.0, 0.0, _CURVE, 0, 255), f"floor(({_A} + ({_B} - {_A}) * ({_AT} - floor({_AT}))) / 200 * 255 + 0.5)")
+_per_image("mask_fill", lambda: F.when((F.col("x") >= 8) & (F.col("x") < 24) & (F.col("vec_id") % 16 < 8), F.lit(0).cast("long")).otherwise(F.col("px")), "CASE WHEN x >= 8 AND x < 24 AND vec_id % 16 < 8 THEN 0 ELSE px END")
+_per_image("crop_region", lambda: F.when(F.col("x").between(16, 47), F.col("px")), "CASE WHEN x BETWEEN 16 AND 47 THEN px END")
 
 
 @query(
@@ -69,7 +70,7 @@ def pixel_to_real(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def px_minmax_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Range of the pixels outside the padding range; a uniform image gets a range of one."""
-    got = pixels(spark, sf_dir).where(~PX.between(-50, 0)).groupBy("vec_id").agg(F.min("px").alias("low"), F.max("px").alias("m"))
+    got = pixels(spark, sf_dir).where(~F.col("px").between(-50, 0)).groupBy("vec_id").agg(F.min("px").alias("low"), F.max("px").alias("m"))
     return got.select("vec_id", "low", F.when(F.col("low") == F.col("m"), F.col("m") + 1).otherwise(F.col("m")).alias("high"))
 
 
@@ -148,8 +149,8 @@ _PAIR_SQL = f"(SELECT vec_id // 8 AS tile_y, x // 8 AS tile_x, px::DOUBLE AS a,
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = PX + (F.col("x") * 7 + F.col("vec_id")) % 5
-    return pixels(spark, sf_dir).select(F.floor(F.col("vec_id") / 8).alias("tile_y"), F.floor(F.col("x") / 8).alias("tile_x"), PX.cast("double").alias("a"), b.cast("double").alias("b"))
+    b = F.col("px") + (F.col("x") * 7 + F.col("vec_id")) % 5
+    return pixels(spark, sf_dir).select(F.floor(F.col("vec_id") / 8).alias("tile_y"), F.floor(F.col("x") / 8).alias("tile_x"), F.col("px").cast("double").alias("a"), b.cast("double").alias("b"))
 
 
 @query("psnr", f"SELECT tile_x, round(10 * log10(4095.0 * 4095.0 / avg((a - b) * (a - b))), 6) AS psnr FROM {_PAIR_SQL} GROUP BY 1")

@@ -33,32 +33,38 @@ def _tm(k: int):
     return F.when(F.col("event_id") % 3 == k, F.date_format("ts", ("HHmmss.SSSSSS", "HH:mm:ss", "HHmm")[k]))
 
 
-_TM = F.coalesce(_tm(0), _tm(1), _tm(2))
+def _time_text():
+    return F.coalesce(*(_tm(k) for k in range(3)))
+
+
 _TM_SQL = f"CASE event_id % 3 WHEN 0 THEN {_NS_OF_DAY} WHEN 1 THEN {_NS_OF_DAY} // 1000000000 * 1000000000 ELSE {_NS_OF_DAY} // 60000000000 * 60000000000 END"
 
 
 @query("dt_parse_tm", f"SELECT event_id, {_TM_SQL} AS ns FROM events")
 def dt_parse_tm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", D.parse_tm(_TM).alias("ns"))
+    return table(spark, sf_dir, "events").select("event_id", D.parse_tm(_time_text()).alias("ns"))
 
 
 @query("dt_parse_tm_max", f"SELECT event_id, {_TM_SQL} + CASE event_id % 3 WHEN 0 THEN 999 WHEN 1 THEN 999999999 ELSE 59999999999 END AS ns FROM events")
 def dt_parse_tm_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", D.parse_tm_max(_TM).alias("ns"))
+    return table(spark, sf_dir, "events").select("event_id", D.parse_tm_max(_time_text()).alias("ns"))
 
 
 def _dt(k: int):
     return F.when(F.col("event_id") % 4 == k, F.concat(F.date_format("ts", ("yyyyMMddHHmmss", "yyyyMMdd", "yyyyMM", "yyyyMMddHHmm")[k]), F.lit(("+0230", "", "", "-0500")[k])))
 
 
-_DT = F.coalesce(*(_dt(k) for k in range(4)))
+def _date_time_text():
+    return F.coalesce(*(_dt(k) for k in range(4)))
+
+
 _DT_SQL = f"""CASE event_id % 4 WHEN 0 THEN {_TS} // 1000000 * 1000000000 - 9000000000000 WHEN 1 THEN {_TS} // 86400000000 * 86400000000000
   WHEN 2 THEN CAST(epoch_us(date_trunc('month', ts)) AS BIGINT) * 1000 ELSE {_TS} // 60000000 * 60000000000 + 18000000000000 END"""
 
 
 @query("dt_parse_dt", f"SELECT event_id, {_DT_SQL} AS ns FROM events")
 def dt_parse_dt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", D.parse_dt(_DT).alias("ns"))
+    return table(spark, sf_dir, "events").select("event_id", D.parse_dt(_date_time_text()).alias("ns"))
 
 
 @query(
@@ -67,7 +73,7 @@ def dt_parse_dt(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHEN 2 THEN CAST(epoch_us(date_trunc('month', ts) + INTERVAL 1 MONTH) - epoch_us(date_trunc('month', ts)) AS BIGINT) * 1000 - 1 ELSE 59999999999 END AS ns FROM events""",
 )
 def dt_parse_dt_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", D.parse_dt_max(_DT).alias("ns"))
+    return table(spark, sf_dir, "events").select("event_id", D.parse_dt_max(_date_time_text()).alias("ns"))
 
 
 @query("dt_truncate", "SELECT event_id, strftime(ts, '%H%M%S') || '.' || strftime(ts, '%f')[1:1] AS t8, strftime(ts, '%H%M%S') AS t7, strftime(ts, '%Y%m%d%H%M') || '+0100' AS d13 FROM events")

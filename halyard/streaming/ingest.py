@@ -33,6 +33,7 @@ def forward(stream: DataFrame, editors: Sequence[Callable[[DataFrame], DataFrame
 
 def idle_sessions(stream: DataFrame, key: str, ts: str, gap: str, late: str) -> DataFrame:
     """Sessions of each key that end after a gap without rows; rows later than ``late`` are left out."""
+    stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))  # watermarks need instants
     w = F.session_window(ts, gap)
     return stream.withWatermark(ts, late).groupBy(key, w.alias("w")).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("opened"), F.col("w.end").alias("closed"), "n")
 
