@@ -100,9 +100,11 @@ def mix_sources(
     queue = queue.join(parts.select(F.col("part").alias("p"), "start"), F.col("part") == F.col("p"))  # a row for each range
     used = F.col("start") + F.sum("size").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     queue = queue.withColumn("used", used)
+    # where a long document leaves its source short, the budget reaches past the other sources' targets: what lies there for the most part stays out
+    inside = (F.col("used") <= budget) & (F.col("finish") * F.col("target") - F.col("size") / 2 <= F.col("target"))
     # equal rows (same id, size and source) count together and share what they take evenly
     taken = queue.groupBy("id", "draw", "size", "source", "source_size", "target").agg(
-        F.sum(F.when(F.col("used") <= budget, 1).otherwise(0)).alias("hits"), F.sum(F.when(F.col("turn") == 0, 1).otherwise(0)).alias("rows")
+        F.sum(F.when(inside, 1).otherwise(0)).alias("hits"), F.sum(F.when(F.col("turn") == 0, 1).otherwise(0)).alias("rows")
     )
     taken = taken.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     copies = F.floor(F.col("hits") / F.col("rows")) + F.when(F.col("row") <= F.col("hits") % F.col("rows"), 1).otherwise(0)

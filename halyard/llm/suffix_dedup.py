@@ -179,6 +179,8 @@ def _anchor_blocks(src: DataFrame, parts: int) -> DataFrame:
             doc, rid, size, pos, kh, ch = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             count = 0
+            if not len(doc):  # texts too short for an anchor
+                return
             order, _, settled = _settle(doc, rid, size, pos, kh, ch)
             gone, stay = order[settled], order[~settled]
             r, s, e = unite(*_ranges(rid[gone], size[gone], pos[gone]))
@@ -308,7 +310,8 @@ class EnhancedSuffixArray:
         ranks = tail.view(">u8")
         order = np.lexsort((*(ranks[:, j] for j in range(4, -1, -1)), h))
         self.string, self.offset, at, h, length, tail = string[order], offset[order], at[order], h[order], length[order], tail[order]
-        same = np.r_[False, h[1:] == h[:-1]]
+        same = np.zeros(len(at), bool)
+        same[1:] = h[1:] == h[:-1]
         for off in (*range(0, LENGTH - 8, 8), LENGTH - 8):
             x = buf.eight[at + off]
             same[1:] &= x[1:] == x[:-1]
