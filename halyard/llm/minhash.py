@@ -267,7 +267,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # one row per class: that of its smallest id
     reps = full.join(classes.select(F.col("rep").alias("id"), F.col("set_key").alias("k")), "id").where("set_key = k").dropDuplicates(["id", "set_key"])
     members = reps.select("id", "n", F.explode("bands").alias("bucket"))
-    buckets = scratch.save(members.groupBy("bucket").agg(F.min("id").alias("center"), F.max("id").alias("last")).where("center <> last").drop("last"), "buckets")
+    # near copies meet in many buckets: of buckets with the same members, one is kept
+    same = [F.min("id").alias("center"), F.max("id").alias("last"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")]
+    buckets = members.groupBy("bucket").agg(*same).where("center <> last").groupBy("center", "last", "size", "x", "y").agg(F.min("bucket").alias("bucket"))
+    buckets = scratch.save(buckets.select("bucket", "center"), "buckets")
     members = scratch.save(members.join(buckets, "bucket"), "members")
     involved = members.select("id").distinct()
     # sets are made again from the texts of involved classes only

@@ -54,7 +54,7 @@ def mix_sources(
     source_col: str = "source",
     max_repeats: int = 3,
     seed: str = "mix-1",
-    slice_rows: int = 20_000,
+    slice_rows: int = 2_000,
     settle_steps: int = 2,
 ) -> DataFrame:
     """One row per document: id, size, source_size, target, taken (words, repeats counted), copies (whole copies taken) and

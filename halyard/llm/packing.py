@@ -255,7 +255,7 @@ def plan_packing(counts: np.ndarray, capacity: int) -> dict[int, np.ndarray]:
     return {s: np.array(rows, np.int64) for s, rows in plan.items()}
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab_path: str | None = None, capacity: int = CAPACITY, rows_per_rank_group: int = 200_000) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab_path: str | None = None, capacity: int = CAPACITY, rows_per_rank_group: int = 1_000) -> DataFrame:
     """One row per piece with its sequence and offset; sequences are filled without gaps from offset 0."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
@@ -266,8 +266,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab_
     plan = plan_packing(counts, capacity)
 
     # rank within a length in two steps, so that a length with a third of all pieces is not one task's work
-    groups = max(1, -(-int(counts.sum()) // rows_per_rank_group))
-    salt = F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(groups))
+    groups = F.array(*(F.lit(max(1, -(-int(n) // rows_per_rank_group))) for n in counts))
+    salt = F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.element_at(groups, F.col("length").cast("int") + 1))
     pieces = pieces.withColumn("salt", salt)
     per_group = pieces.groupBy("length", "salt").count()
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
