@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, language_id, media, minhash, mixing, nbsvm, packing, quality_rules, sharding, suffix_dedup
+from . import html_extract, language_id, media, minhash, mixing, nbsvm, packing, quality_rules, sharding, sql, suffix_dedup
 from .common import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,4 +76,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_repetition_quality": sql.OP2}

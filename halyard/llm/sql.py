@@ -8,9 +8,9 @@ base AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS w
 line AS (SELECT doc_id, u.line AS line, u.k AS k FROM d, LATERAL (SELECT unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS k) u WHERE regexp_matches(u.line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) AS n, sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS chars FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) AS r FROM line) WHERE r > 1 GROUP BY 1),
 word AS (SELECT doc_id, generate_subscripts(ws, 1) AS i, length(unnest(ws)) AS size FROM d),
-gram AS (SELECT doc_id, n, i, list_slice(ws, i, i + n - 1) AS g FROM (SELECT doc_id, ws, generate_subscripts(ws, 1) AS i FROM d), (VALUES {_NS}) v(n) WHERE i + n - 1 <= len(ws)),
+gram AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS g FROM (SELECT doc_id, ws, generate_subscripts(ws, 1) AS i FROM d), (VALUES {_NS}) v(n) WHERE i + n - 1 <= len(ws)),
 seen AS (SELECT doc_id, n, i, g, row_number() OVER (PARTITION BY doc_id, n, g ORDER BY i) AS r, count(*) OVER (PARTITION BY doc_id, n, g) AS times FROM gram),
-top AS (SELECT doc_id, n, max(times * length(array_to_string(g, ''))) AS chars FROM seen WHERE n <= 4 AND times > 1 GROUP BY ALL),
+top AS (SELECT doc_id, n, max(times * (length(g) - n + 1)) AS chars FROM seen WHERE n <= 4 AND times > 1 GROUP BY ALL),
 cover AS (SELECT doc_id, n, sum(size) AS chars FROM (SELECT DISTINCT doc_id, n, i + unnest(generate_series(0, n - 1)) AS i FROM seen WHERE n >= 5 AND r > 1) JOIN word USING (doc_id, i) GROUP BY ALL),
 again AS (SELECT doc_id, count(*) AS words FROM (SELECT DISTINCT doc_id, i + unnest(generate_series(0, 4)) AS i FROM seen WHERE n = 5 AND times > 1) GROUP BY 1),
 most(n, share) AS (VALUES (2, 0.20), (3, 0.18), (4, 0.16), (5, 0.15), (6, 0.14), (7, 0.13), (8, 0.12), (9, 0.11), (10, 0.10)),

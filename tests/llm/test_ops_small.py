@@ -436,3 +436,9 @@ def test_sharding(spark, docs, empty, tmp_path):
 
 def test_queries_are_named_by_number():
     assert [re.match(r"op(\d+)_", n)[1] for n in registry.queries()] == [str(n) for n in range(1, 11)]
+
+
+def test_quality_rules_equal_sql(spark, small):
+    from oracle import assert_same, connect
+
+    assert_same(registry.queries()["op2_repetition_quality"](spark, small), connect(small), registry.oracle_sql()["op2_repetition_quality"])
