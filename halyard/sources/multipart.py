@@ -51,7 +51,8 @@ def parts(df: DataFrame, id_col: str, body: str, mark: str) -> DataFrame:
                 for k, piece in enumerate(pieces[1:]):
                     if piece.startswith(b"--"):
                         break
-                    head, _, content = piece.removeprefix(b"\r\n").partition(b"\r\n\r\n")
+                    piece = piece.removeprefix(b"\r\n")
+                    head, content = (b"", piece[2:]) if piece.startswith(b"\r\n") else piece.partition(b"\r\n\r\n")[::2]
                     owner.append(i)
                     number.append(k)
                     heads.append(head.decode("utf-8", "replace"))

@@ -27,7 +27,7 @@ def benchmark_report(spark: SparkSession, path: str) -> DataFrame:
 def property_table(spark: SparkSession, path: str) -> DataFrame:
     """``key = a, b`` lines as (key, values)."""
     lines = spark.read.text(path).where(F.trim("value").rlike("^[^#!]")).select(F.split("value", "[=:]", 2).alias("p"))
-    return lines.select(F.trim(F.element_at("p", 1)).alias("key"), F.filter(F.transform(F.split(F.coalesce(F.try_element_at("p", F.lit(2)), F.lit("")), ","), F.trim), lambda x: x != "").alias("values"))
+    return lines.select(F.trim(F.element_at("p", 1)).alias("key"), F.filter(F.transform(F.split(F.coalesce(F.try_element_at("p", F.lit(2)), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "").alias("values"))
 
 
 def dicom_files(spark: SparkSession, path: str) -> DataFrame:
