@@ -20,6 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.conf.get("halyard.scratch.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="halyard-")
         spark.conf.set("halyard.scratch.dir", found)
     return found
