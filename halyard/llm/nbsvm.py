@@ -182,7 +182,7 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = 12_000, bits: int = 18) -> NBSVM:
+def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = 5_000, bits: int = 18) -> NBSVM:
     """Fits on about ``fit_rows`` labelled rows that are not held out: the bound on what is broadcast and collected.
 
     Labels are thinned by a hash of the id to the bound first, and only their texts are read out of ``docs``.
@@ -203,7 +203,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     got = src.mapInArrow(run, f"id {dict(src.dtypes)['id']}, y int, x binary").toArrow()
     got = got.sort_by([("id", "ascending"), ("x", "ascending")])  # reruns see one order
-    rows = [np.frombuffer(x, np.int32).astype(np.int64) for x in got.column("x").to_pylist()]
+    rows = [np.frombuffer(x, np.int32) for x in got.column("x").to_pylist()]
     return fit_nbsvm(rows, got.column("y").to_numpy(), bits)
 
 
