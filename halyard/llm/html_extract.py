@@ -2,7 +2,10 @@
 
 Every page's containers are scored by the text that stands in them; each page votes for its best container paths (tags
 and classes, digits generalised), votes are summed by host in Spark, and each page is extracted again from the containers
-on its host's winning path. A page without such a container uses its own best one.
+on its host's winning path. A page without such a container uses its own best one; where the host's containers hold less
+than ``COVER`` of what the page's own best ones hold, both are taken.
+
+A path is where text is dense, such as the sections of an article; what is extracted is the whole article around it (see ``_lift``).
 
 Defined cases: null or empty html, or a page without text, gives an empty text; a null url, or one without a host, belongs
 to the host ''; equal pages vote each; ties between paths go to the greater path; an empty table gives an empty
@@ -41,23 +44,29 @@ _OUTSIDE_NAMES = frozenset(
 )
 _TITLE_NAMES = frozenset("header masthead topbar".split())
 _CONTENT_NAMES = frozenset("article content entry post story main text body".split())
+_STORY_NAMES = frozenset("article entry post story".split())
+_PAGE_NAMES = frozenset("sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead topbar footer copyright toolbar skip".split())
 VOTES = 3
+COVER = 0.8
 
 
 class _Open:
-    __slots__ = ("tag", "path", "outside", "serial", "content")
+    __slots__ = ("tag", "path", "outside", "content", "whole", "story", "furniture", "direct", "links", "own_links")
 
-    def __init__(self, tag: str, path: str, outside: bool, serial: int, content: bool):
-        self.tag, self.path, self.outside, self.serial, self.content = tag, path, outside, serial, content
+    def __init__(self, tag: str, path: str, outside: bool, content: bool, whole: bool = False, story: bool = False):
+        self.tag, self.path, self.outside, self.content, self.whole, self.story = tag, path, outside, content, whole, story
+        self.furniture = 0  # page furniture inside: navigation, mastheads, footers
+        self.direct = False  # running text stands in it directly
+        self.links = self.own_links = 0  # blocks of links inside, and those directly inside
 
 
 def _blocks(html: str) -> list[tuple[str, tuple[_Open, ...], float]]:
     """The page's text blocks that are not furniture: text, the containers around it, and the share of its text in links."""
-    root = _Open("", "", False, 0, False)
+    root = _Open("", "", False, False)
     stack = [root]
     out: list[tuple[str, tuple[_Open, ...], float]] = []
     text: list[str] = []
-    linked = at = serial = 0
+    linked = at = 0
     in_link = False
     furniture_block = ""
 
@@ -67,7 +76,14 @@ def _blocks(html: str) -> list[tuple[str, tuple[_Open, ...], float]]:
             block = " ".join(unescape("".join(text)).split())
             text.clear()
             if block and not stack[-1].outside and not furniture_block:
-                out.append((block, tuple(stack), min(1.0, linked / len(block))))
+                share = min(1.0, linked / len(block))
+                out.append((block, tuple(stack), share))
+                if share <= 0.5:
+                    stack[-1].direct = True
+                else:
+                    stack[-1].own_links += 1
+                    for c in stack:
+                        c.links += 1
         linked = 0
 
     for m in _TOKEN.finditer(html):
@@ -96,18 +112,24 @@ def _blocks(html: str) -> list[tuple[str, tuple[_Open, ...], float]]:
             else:
                 names, attrs = [], m["attrs"]
                 words: set[str] = set()
+                whole = tag in ("article", "main")
                 if attrs.strip():
                     for a in _NAMES.finditer(attrs):
                         value = (a[2] or a[3] or a[4] or "").lower()
                         words.update(_SPLIT.split(value))
                         if a[1].lower() == "class":
                             names = sorted({_DIGITS.sub("0", x) for x in value.split()})
+                        elif a[1].lower() == "role":
+                            whole = whole or value in ("article", "main")
                 content = stack[-1].content or tag in ("article", "main")
                 outside = stack[-1].outside or tag in _OUTSIDE or (tag == "header" and not content)
                 if tag not in ("html", "body", "article", "main"):
                     outside = outside or bool(words & _OUTSIDE_NAMES) or bool(words & _TITLE_NAMES and not content)
-                serial += 1
-                stack.append(_Open(tag, f"{stack[-1].path}>{'.'.join([tag, *names])}", outside, serial, content or bool(words & _CONTENT_NAMES)))
+                if outside and not stack[-1].outside and (tag in ("nav", "header", "footer") or words & _PAGE_NAMES):
+                    for c in stack:
+                        c.furniture += 1
+                story = tag not in ("html", "body") and bool(words & _STORY_NAMES)
+                stack.append(_Open(tag, f"{stack[-1].path}>{'.'.join([tag, *names])}", outside, content or bool(words & _CONTENT_NAMES), whole, story))
         elif tag in _BLOCKS:
             flush()
             furniture_block = ""
@@ -120,10 +142,12 @@ def _blocks(html: str) -> list[tuple[str, tuple[_Open, ...], float]]:
     return out
 
 
-def container_scores(html: str | None) -> dict[str, float]:
-    """Score of each container path: the letters of the blocks inside, less those in links, halved for each level in between."""
+_Blocks = list[tuple[str, tuple[_Open, ...], float]]
+
+
+def _scores(blocks: _Blocks) -> dict[str, float]:
     scores: dict[str, float] = defaultdict(float)
-    for block, around, links in _blocks(html or ""):
+    for block, around, links in blocks:
         worth = len(block) * (1 - links)
         for k, c in enumerate(reversed(around[1:])):
             scores[c.path] += worth * 0.5**k * (1.5 if c.content else 1.0)
@@ -132,24 +156,57 @@ def container_scores(html: str | None) -> dict[str, float]:
     return dict(scores)
 
 
+def container_scores(html: str | None) -> dict[str, float]:
+    """Score of each container path: the letters of the blocks inside, less those in links, halved for each level in between."""
+    return _scores(_blocks(html or ""))
+
+
+def _votes(blocks: _Blocks) -> list[tuple[str, int]]:
+    best = sorted(_scores(blocks).items(), key=lambda x: (-x[1], x[0]))[:VOTES]
+    return [(p, int(1000 * s / best[0][1])) for p, s in best if best[0][1] > 0]
+
+
 def page_votes(html: str | None) -> list[tuple[str, int]]:
     """The page's best paths with their share of its best score, in thousandths."""
-    scores = container_scores(html)
-    best = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:VOTES]
-    return [(p, int(1000 * s / best[0][1])) for p, s in best if best[0][1] > 0]
+    return _votes(_blocks(html or ""))
+
+
+def _lift(around: tuple[_Open, ...], k: int) -> _Open:
+    """The container that holds the whole article of around[k]: its outermost article or main, if it is in one, and from there on
+    any container above in which running text stands directly, that is named a story, or that adds no page furniture and no lists of links.
+    """
+    k = next((i for i in range(k) if around[i].whole), k)
+    while k:
+        inner, outer = around[k], around[k - 1]
+        if not (outer.direct or outer.story or (outer.furniture == inner.furniture and outer.links - outer.own_links == inner.links)):
+            break
+        k -= 1
+    return around[k]
+
+
+def _inside(blocks: _Blocks, path: str | None) -> set[int]:
+    """The blocks in the articles around the containers on the path."""
+    lifted: dict[_Open, _Open] = {}
+    for _, around, _ in blocks:
+        for k, c in enumerate(around):
+            if k and c.path == path and c not in lifted:
+                lifted[c] = _lift(around, k)
+    tops = set(lifted.values())
+    return {i for i, (_, around, _) in enumerate(blocks) if not tops.isdisjoint(around)} if tops else set()
 
 
 def extract_page(html: str | None, path: str | None) -> str:
-    """Text of the blocks inside containers on the path; without any, of those on the page's own best path."""
+    """Text of the articles around the containers on the path; around those on the page's own best path too, if the former hold
+    little of what the latter hold; all blocks if there are neither."""
     blocks = _blocks(html or "")
-    if not blocks:
-        return ""
-    chosen = [b for b, around, _ in blocks if any(c.path == path for c in around)]
-    if not chosen:
-        votes = page_votes(html)
-        own = votes[0][0] if votes else None
-        chosen = [b for b, around, _ in blocks if own is None or any(c.path == own for c in around)]
-    return "\n".join(chosen)
+    chosen = _inside(blocks, path)
+    if len(chosen) < len(blocks):
+        votes = _votes(blocks)
+        own = _inside(blocks, votes[0][0]) if votes else set()
+        worth = [sum(len(blocks[i][0]) * (1 - blocks[i][2]) for i in x) for x in (chosen, own)]
+        if worth[0] < COVER * worth[1]:
+            chosen |= own
+    return "\n".join(b for i, (b, _, _) in enumerate(blocks) if i in chosen or not chosen)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

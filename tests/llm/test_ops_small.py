@@ -407,6 +407,32 @@ def test_html_layouts(spark):
     assert [got[i] for i in range(5)] == [want] * 5 and got[5] == "Short." and got[6] == got[7] == "" and got[8] == "loose <text>\ncut"
 
 
+def test_html_keeps_whole_articles(spark):
+    long = lambda k: f"Part {k} has a body that far outweighs the heading and the lead of the page. " * 6
+    lines = lambda *x: "\n".join(y.strip() for y in x)
+    page = lambda main: f'<html><body><nav><a href="/">Home</a></nav>{main}<div class="x9"><ul><li><a href="/1">One other</a></li></ul></div><footer>foot</footer></body></html>'
+    head = "<h1>Heading</h1><p>The lead.</p>"
+    parts = [f"<section><p>{long(k)}</p></section>" for k in range(3)]
+    want = lines("Heading", "The lead.", *(long(k) for k in range(3)))
+    nested = [
+        f"<article>{head}{''.join(parts)}</article>",
+        f'<article>{head}<div class="text"><p>{long(0)}</p><p>{long(1)}</p><p>{long(2)}</p></div></article>',
+        f"<article>{head}<ul>{''.join(f'<li>{long(k)}</li>' for k in range(3))}</ul></article>",
+        f"<main><h1>Heading</h1><article><p>The lead.</p>{''.join(parts)}</article></main>",
+        f'<div class="q1">{head}<div class="ad">Buy.</div>{"".join(parts)}</div>',
+        f'<div class="story"><div><h1>Heading</h1></div><nav>jump</nav><div><p>The lead.</p></div>{"".join(parts)}</div>',
+    ]
+    rows = [(10 * k + i, f"http://h{k}.example/{i}", page(m)) for k, m in enumerate(nested) for i in range(3)]
+    # a host with two templates: on its pages of the second one, the first one's container holds a teaser only
+    first = f'<div class="box"><p>{long(0)}</p><p>{long(1)}</p></div>'
+    second = f'<div class="box"><p>Teaser.</p></div><div class="z"><p>{long(2)}</p></div>'
+    rows += [(100 + i, "http://t.example/x", page(first)) for i in range(5)] + [(110, "http://t.example/y", page(second))]
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(len(nested)):
+        assert [got[10 * k + i] for i in range(3)] == [want] * 3, nested[k]
+    assert got[100] == lines(long(0), long(1)) and got[110] == lines("Teaser.", long(2))
+
+
 def test_sharding(spark, docs, empty, tmp_path):
     tiering = sharding.Tiering(target_bytes=12_000, base_bytes=1_000, least_run=3, arrival_rows=20)
     store = sharding.ShardStore(spark, str(tmp_path / "s"), tiering)
