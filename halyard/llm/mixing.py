@@ -57,7 +57,7 @@ def mix_sources(
     slice_rows: int = 2_000,
     settle_steps: int = 2,
 ) -> DataFrame:
-    """One row per document: id, size, source_size, target, taken (words, repeats counted), copies (whole copies taken) and
+    """One row per document: id, size, source, source_size, target, taken (words, repeats counted), copies (whole copies taken) and
     row (1, 2, ... among rows of equal id, source and size).
     """
     spark = docs.sparkSession
@@ -113,7 +113,7 @@ def mix_sources(
         taken = scratch.save(_settle(taken, max_repeats), f"taken-{step}")
         scratch.drop(f"taken-{step - 1}")
     scratch.drop("rows", "queue")
-    return taken.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "row")
+    return taken.select(F.col("id").alias(id_col), "size", "source", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "row")
 
 
 def _settle(taken: DataFrame, max_repeats: int) -> DataFrame:

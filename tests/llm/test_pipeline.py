@@ -69,3 +69,31 @@ def test_all_that_is_mixed_is_packed(stages):
     times = collections.Counter(r.doc_id for r in before.collect())
     assert collections.Counter((r.doc_id, r.piece) for r in rows) == {(k, p): times[k] for k, p in pieces}
     assert_gapless(rows)
+
+
+ROWS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(k):
+    return " ".join(f"w{k}x{i}" for i in range(60))
+
+
+def test_texts_that_share_an_id_stay_apart(spark, small):
+    rows = [(5, 1, "a"), (5, 2, "b"), (5, 1, "a"), (5, 1, "c"), (3, 1, "a"), (7, 2, "a"), (8, 3, "a"), (9, 4, "a"), (9, 5, "a"), (None, 6, "a"), (None, 6, "a")]
+    docs = spark.createDataFrame([(i, prose(k), "en", s, None) for i, k, s in rows], ROWS).repartition(3)
+    got = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, small).collect())
+    want = [(3, 1), (5, 2), (8, 3), (9, 4), (9, 5), (None, 6), (None, 6)]
+    assert got == collections.Counter((i, prose(k)) for i, k in want)
+
+
+def test_mix_keeps_rows_of_equal_id_and_size_by_source(spark, small):
+    rows = [(i, f"{s} {k} word", "en", s, None) for i, k, s in [(None, 1, "a"), (None, 1, "b"), (None, 2, "b"), (None, 1, None), (4, 1, "a"), (4, 1, "b")]]
+    docs = spark.createDataFrame(rows, ROWS).repartition(3)
+    got = collections.Counter((r.doc_id, r.source, r.text) for r in corpus_pipeline.mix(spark, docs, small).collect())
+    assert all(n <= 3 for n in got.values())
+    have, want = collections.Counter(), collections.Counter()
+    for (i, s, _), n in got.items():
+        have[i, s] += n
+    for r in corpus_pipeline.mixing.mix_sources(docs).collect():
+        want[r.doc_id, r.source] += r.copies
+    assert have == +want and {s for _, s in have} == {"a", "b", None}
