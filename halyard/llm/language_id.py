@@ -6,11 +6,12 @@ A text's languages are scored by how many of its n-grams each contains, correcte
 through by chance.
 
 An n-gram belongs to a language if its rate there is at least ``min_share`` of its highest rate in any language, if it
-was seen ``min_count`` times and at a rate of ``min_rate``; rates come from all training rows. The filter's size is a parameter, so what reaches
+was seen ``min_count`` times and at a rate of ``min_rate``; rates come from all training rows. Filters of shorter n-grams, from
+4 bytes to 2, are learned in the same pass and decide, longest first, where the longer ones say nothing. The filters' size is a parameter, so what reaches
 the driver and the executors is bounded.
 
-Defined cases: a null text, or one without a letter, is ``und`` with score 0; a text of which no n-gram is known gets the
-first language in order with score 0; without training rows everything is ``und``; copies get equal predictions;
+Defined cases: a null text, or one without a letter, is ``und`` with score 0; a text of which no n-gram of any length
+is known gets the first language in order with score 0, and ``accept_languages`` drops it; ties go to the first language; without training rows everything is ``und``; copies get equal predictions;
 an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -29,6 +30,7 @@ from .common import U64, byte_slices, mix64
 
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
+SHORTEST = 2
 _TO_SPACE = bytes(b if 97 <= b <= 122 or b >= 0x80 else 32 for b in range(256))
 
 
@@ -36,8 +38,11 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(m[0].isalpha() for m in _LETTER.finditer(text))
 
 
-def byte_ngrams(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the n-byte windows of each lower-cased text, all but letters turned into single spaces, and the index of their text."""
+def byte_ngrams(texts: list[str], n: int, starts: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the n-byte windows of each lower-cased text, all but letters turned into single spaces, and the index of their text.
+
+    With ``starts``, only windows that start a character: few bytes from within one say nothing of its script.
+    """
     parts = [b" ".join((b"", *t.lower().encode("utf-8", "replace").translate(_TO_SPACE).split(), b"")) for t in texts]
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     data = np.frombuffer(b"".join(parts), np.uint8).astype(U64)
@@ -49,6 +54,8 @@ def byte_ngrams(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
         codes |= data[j : j + count] << U64(8 * j)
     owner = np.repeat(np.arange(len(parts)), sizes)
     whole = owner[:count] == owner[n - 1 :]
+    if starts:
+        whole &= data[:count] & U64(0xC0) != U64(0x80)
     return codes[whole], owner[:count][whole]
 
 
@@ -65,6 +72,8 @@ class LanguageFilter:
     masks: np.ndarray  # (2^bits, words of 8 languages)
     n: int
     hashes: int
+    shorter: tuple[LanguageFilter, ...] = ()  # longest first
+    starts: bool = False
 
     @property
     def bits(self) -> int:
@@ -77,7 +86,7 @@ class LanguageFilter:
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each text and language, how many n-grams the language contains; and each text's number of n-grams."""
-        codes, owner = byte_ngrams(texts, self.n)
+        codes, owner = byte_ngrams(texts, self.n, self.starts)
         slots = slots_of(codes, self.hashes, self.bits)
         out = np.zeros((len(texts), len(self.languages)), np.int64)
         for w in range(self.masks.shape[1]):
@@ -91,15 +100,29 @@ class LanguageFilter:
             out[:, list(mine)] = table @ bit
         return out, np.bincount(owner, minlength=len(texts))
 
+    def _evidence(self, texts: list[str], false_rates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each text and language, the n-grams beyond those let through by chance; and whether a text has far more than chance gives."""
+        counts, total = self.counts(texts)
+        chance = total[:, None] * false_rates
+        sure = ((counts >= 3) & (counts > chance + 5 * np.sqrt(chance))).any(axis=1)
+        return np.maximum(0.0, (counts - chance) / np.maximum(1e-9, 1 - false_rates)), sure
+
     def predict(self, texts: list[str | None], false_rates: np.ndarray) -> tuple[list[str], np.ndarray]:
         score = np.zeros(len(texts))
         if not self.languages:
             return [UNKNOWN] * len(texts), score
-        counts, total = self.counts([t or "" for t in texts])
-        true = np.maximum(0.0, (counts - total[:, None] * false_rates) / np.maximum(1e-9, 1 - false_rates))
+        true, sure = self._evidence([t or "" for t in texts], false_rates)
+        known = [has_letter(t) for t in texts]
+        weak = np.flatnonzero(~sure & known)
+        if self.shorter and len(weak):
+            some = [texts[i] for i in weak]
+            true[weak[self.shorter[-1].counts(some)[0].max(axis=1) == 0]] = 0.0  # what the longer filters let through is chance
+            for f in self.shorter:
+                none = true[weak].sum(axis=1) == 0
+                if none.any():
+                    true[weak[none]] = f._evidence([x for x, k in zip(some, none, strict=True) if k], f.false_rates())[0]
         best = true.argmax(axis=1)
         score = true[np.arange(len(texts)), best] / np.maximum(1e-9, true.sum(axis=1))
-        known = [has_letter(t) for t in texts]
         score[~np.array(known, bool)] = 0.0
         return [self.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.clip(score, 0.0, 1.0)
 
@@ -107,10 +130,12 @@ class LanguageFilter:
 def fit_language_filter(
     labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", n: int = 5, bits: int = 20, hashes: int = 3, min_share: float = 0.3, min_count: int = 3, min_rate: float = 2e-7
 ) -> LanguageFilter:
-    """Counts the n-grams of all rows by language and keeps the filter's masks.
+    """Counts the n-grams of all rows by language, of ``n`` bytes and of fewer, and keeps the filters' masks.
 
-    Counts are combined in each task before the shuffle; only the filled slots, at most 2^bits, come to the driver.
+    Counts are combined in each task before the shuffle; only the filled slots, at most 2^bits for each length, come to the driver.
+    A window has no zero bytes, so its code tells its length.
     """
+    lengths = range(n, min(n, SHORTEST) - 1, -1)
     src = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,8 +152,10 @@ def fit_language_filter(
             for start, stop, texts in byte_slices(batch, "text", 4 << 20):
                 langs = langs_all[start:stop]
                 for lang in sorted(set(langs)):
-                    codes, _ = byte_ngrams([t.decode("utf-8", "replace") for t, x in zip(texts, langs, strict=True) if x == lang], n)
-                    codes, times = np.unique(codes, return_counts=True)
+                    mine = [t.decode("utf-8", "replace") for t, x in zip(texts, langs, strict=True) if x == lang]
+                    # no window of one length equals one of another: each length is counted alone, shorter codes are smaller
+                    parts = [np.unique(byte_ngrams(mine, k, k < n)[0], return_counts=True) for k in reversed(lengths)]
+                    codes, times = (np.concatenate(x) for x in zip(*parts, strict=True))
                     if lang in held:
                         old, old_times = held[lang]
                         merged, back = np.unique(np.concatenate([old, codes]), return_inverse=True)
@@ -157,14 +184,18 @@ def fit_language_filter(
             lists = batch.column(1)
             owner = np.repeat(np.arange(len(codes)), np.diff(lists.offsets.to_numpy()))
             langs = lists.flatten().to_numpy()
+            size = sum((codes >= U64(1 << 8 * k)).astype(np.int32) for k in range(1, n)) + 1
             for slots in slots_of(codes, hashes, bits):
-                yield pa.RecordBatch.from_arrays([pa.array(slots[owner]), pa.array(langs // 8, pa.int32()), pa.array(np.left_shift(1, langs % 8), pa.int32())], names=["slot", "word", "mask"])
+                yield pa.RecordBatch.from_arrays([pa.array(size[owner], pa.int32()), pa.array(slots[owner]), pa.array(langs // 8, pa.int32()), pa.array(np.left_shift(1, langs % 8), pa.int32())], names=["n", "slot", "word", "mask"])
 
-    slots = grams.mapInArrow(place, "slot long, word int, mask int").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask"))
+    slots = grams.mapInArrow(place, "n int, slot long, word int, mask int").groupBy("n", "slot", "word").agg(F.bit_or("mask").alias("mask"))
     got = slots.toArrow()
-    masks = np.zeros((1 << bits, words), np.uint8)
-    masks[got.column("slot").to_numpy(), got.column("word").to_numpy()] = got.column("mask").to_numpy()
-    return LanguageFilter(languages, masks, n, hashes)
+    size, slot, word, mask = (got.column(c).to_numpy() for c in ("n", "slot", "word", "mask"))
+    masks = {k: np.zeros((1 << bits, words), np.uint8) for k in lengths}
+    for k in lengths:
+        masks[k][slot[size == k], word[size == k]] = mask[size == k]
+    shorter = tuple(LanguageFilter(languages, masks[k], k, hashes, starts=True) for k in lengths[1:])
+    return LanguageFilter(languages, masks[n], n, hashes, shorter)
 
 
 def held_out(id_col: str) -> Column:
@@ -189,7 +220,7 @@ def identify_languages(docs: DataFrame, model: LanguageFilter, id_col: str = "do
 
 
 def accept_languages(docs: DataFrame, model: LanguageFilter, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text is in a learned language; what is ``und`` goes."""
+    """The rows, with all their columns, whose text is in a learned language; what is ``und``, or of which no n-gram of any length is known, goes."""
     shared = docs.sparkSession.sparkContext.broadcast((model, model.false_rates()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,8 +228,8 @@ def accept_languages(docs: DataFrame, model: LanguageFilter, text_col: str = "te
         for batch in batches:
             keep: list[bool] = []
             for _, _, texts in byte_slices(batch, text_col):
-                langs, _ = filt.predict([None if t is None else t.decode("utf-8", "replace") for t in texts], rates)
-                keep += [x != UNKNOWN for x in langs]
+                langs, score = filt.predict([None if t is None else t.decode("utf-8", "replace") for t in texts], rates)
+                keep += [x != UNKNOWN and s > 0 for x, s in zip(langs, score, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -386,6 +386,18 @@ def test_unresolved_references_keep_their_place(spark):
     assert [(r.page_id, r.pos, r.caption, r.feature) for r in got] == [(1, 0, "c", None)]
 
 
+def test_language_of_short_texts_and_unlearned_scripts(spark):
+    langs = {"de": "der Hund und die Katze sind da", "en": "the dog and a cat are in of re", "fr": "le chien et la souris à été de"}
+    train = spark.createDataFrame([(i, t, x) for x, t in langs.items() for i in range(5)], "doc_id long, text string, lang string")
+    model = language_id.fit_language_filter(train)
+    odd = [(1, "Re."), (2, "A."), (3, "été"), (4, "щука вышла на берег реки и долго смотрела на город " * 40), (5, "魚は水の中を泳ぐ"), (6, "the cat"), (7, "of")]
+    docs = spark.createDataFrame(odd, "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify_languages(docs, model).collect()}
+    assert {k: got[k][0] for k in (1, 2, 3, 6, 7)} == {1: "en", 2: "en", 3: "fr", 6: "en", 7: "en"} and all(got[k][1] > 0 for k in (1, 2, 3, 6, 7))
+    assert got[4] == got[5] == ("de", 0.0)
+    assert sorted(r.doc_id for r in language_id.accept_languages(docs, model).collect()) == [1, 2, 3, 6, 7]
+
+
 def test_html(spark, small):
     got = html_extract.extract_main_text(spark.read.parquet(f"{small}/pages.parquet")).collect()
     html = dict(zip(*(pq.read_table(f"{small}/pages.parquet").column(c).to_pylist() for c in ("page_id", "html")), strict=True))
