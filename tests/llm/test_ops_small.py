@@ -480,3 +480,25 @@ def test_quality_rules_equal_sql(spark, small):
     from oracle import assert_same, connect
 
     assert_same(registry.queries()["op2_repetition_quality"](spark, small), connect(small), registry.oracle_sql()["op2_repetition_quality"])
+
+
+def test_near_duplicates_that_share_one_shingle(spark):
+    """2,000 open documents of as many components have one shingle in common: they are not compared with each other."""
+    rows = {}
+    for i in range(1000):
+        own = [f"p{i}_{k}" for k in range(40)]
+        rows[2 * i] = " ".join(["all", "of", "us", "say", *own])
+        rows[2 * i + 1] = " ".join(["all", "of", "us", "say", *own[:28], *(f"q{i}_{k}" for k in range(12))])  # similar, but not enough
+    rows[5000] = rows[7] + " end"
+    got = minhash.near_duplicates(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), params=minhash.NearDupParams(shingle=4)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i for i in rows} | {5000: 7}
+
+
+def test_rows_without_near_duplicates(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    other = " ".join(f"v{k}" for k in range(60))
+    rows = [(5, base, "a", 1), (5, base, "a", 1), (5, base, "b", 2), (5, other, "a", 3), (7, base + " end", "a", 4), (8, other, "c", 5), (None, base, "a", 6), (None, base, "a", 6), (9, "", "a", 7), (9, "", "a", 7), (3, None, "a", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h string, row long")
+    got = sorted(map(tuple, minhash.drop_near_duplicates(df).collect()), key=str)
+    assert got == sorted([(5, base, "a", 1), (5, other, "a", 3), (None, base, "a", 6), (None, base, "a", 6), (9, "", "a", 7), (9, "", "a", 7), (3, None, "a", 8)], key=str)
+    assert minhash.drop_near_duplicates(df.limit(0)).count() == 0
