@@ -44,7 +44,7 @@ class NearDupParams:
     bands: int = 45
     kept_minima: int = 180  # minima of which 8 bits are kept to test candidate pairs
     seed: int = 20240501
-    star_rounds: int = 2  # rounds of comparing one drawn member of a bucket with the rest before all open pairs are compared
+    star_rounds: int = 1  # rounds of comparing one drawn member of a bucket with the rest before all open pairs are compared
     signature_slack: float = 5.0  # standard deviations that a signature may fall short before a pair is dropped unconfirmed
 
     def multipliers(self) -> tuple[np.ndarray, np.ndarray]:
@@ -293,7 +293,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, params: NearDupParams)
 
     pairs = members.where("k <> center").select(F.col("center").alias("a"), F.col("k").alias("b")).distinct()
     links = _confirm(pairs, known, params, scratch, "0")
-    found = scratch.save(connected_components(links, scratch, "cc0"), "components-0")
+    found = connected_components(links, scratch, "cc0")
     # a bucket is finished if all its members are confirmed to be linked with its center
     open_ones = members.where("k <> center").join(links.select(F.col("a").alias("center"), F.col("b").alias("k")), ["center", "k"], "left_anti").select("bucket").distinct()
     placed = scratch.save(members.join(scratch.save(open_ones, "open"), "bucket", "left_semi").select("bucket", "k"), "placed-0")
@@ -315,7 +315,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, params: NearDupParams)
         links = _confirm(pairs, known, params, scratch, str(step))
         if not links.isEmpty():
             edges = found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links)
-            found = scratch.save(connected_components(edges, scratch, f"cc{step}"), f"components-{step}")
+            found = connected_components(edges, scratch, f"cc{step}")
     scratch.drop("known", "members", *(f"placed-{k}" for k in range(params.star_rounds + 2)))
 
     # the smallest id of each component, and of each class
