@@ -18,8 +18,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_size_tiered_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each document lies after an append and full compaction: its shard as the newest manifest has it, and a checksum of the text read from there."""
-    store, version = sharding.shard_documents(_table(spark, sf_dir, "documents"), Scratch(spark, "shards").path("store"))
+    """Where each document lies after two arrivals, short texts and long ones, and full compaction: its shard as the newest manifest has
+    it, and a checksum of the text read from there.
+    """
+    docs = _table(spark, sf_dir, "documents")
+    short = F.coalesce(F.octet_length("text"), F.lit(0)) < 2048
+    store, version = sharding.shard_documents([docs.where(short), docs.where(~short)], Scratch(spark, "shards").path("store"))
     rows = store.read(version)
     if rows.isEmpty():
         return spark.createDataFrame([], "doc_id long, n_bytes long, text_crc32 long, shard string, shard_bytes long, shard_rows long, tier int, version long")

@@ -1,6 +1,7 @@
 """Each corpus operator against a brute-force version, on small fixtures with nulls, empties, repeats, long texts and extra columns."""
 
 import collections
+import concurrent.futures
 import hashlib
 import itertools
 import random
@@ -502,3 +503,36 @@ def test_rows_without_near_duplicates(spark):
     got = sorted(map(tuple, minhash.drop_near_duplicates(df).collect()), key=str)
     assert got == sorted([(5, base, "a", 1), (5, other, "a", 3), (None, base, "a", 6), (None, base, "a", 6), (9, "", "a", 7), (9, "", "a", 7), (3, None, "a", 8)], key=str)
     assert minhash.drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_shards_after_a_torn_commit(spark, docs, tmp_path):
+    """A writer that dies while it commits leaves nothing that is read, and nothing that stands in the way of the next one."""
+    store = sharding.ShardStore(spark, str(tmp_path / "t"))
+    store.append(docs)
+    (tmp_path / "t" / "versions" / ".dead.tmp").write_bytes(b'{"manif')
+    store.spark.range(3).write.parquet(f"{store.root}/shards/dead")
+    assert store.version() == 1 and store.read().count() == len(corpus())
+    store.append(docs.limit(5))
+    assert store.version() == 2 and store.read().count() == len(corpus()) + 5
+    assert store.vacuum() == 0 and store.vacuum(grace_seconds=-60) >= 1
+    assert not list((tmp_path / "t" / "versions").glob(".dead.tmp")) and store.read().count() == len(corpus()) + 5
+
+
+def test_shards_of_two_writers(spark, docs, tmp_path):
+    """Appends and a compaction at the same time: no arrival is lost."""
+    tiering = sharding.Tiering(target_bytes=12_000, base_bytes=1_000, least_run=3, arrival_rows=20)
+    root = str(tmp_path / "c")
+    sharding.ShardStore(spark, root, tiering).append(docs)
+    works = [lambda k=k: sharding.ShardStore(spark, root, tiering).append(docs.where(f"doc_id % 3 = {k}")) for k in range(3)]
+    works.append(lambda: sharding.ShardStore(spark, root, tiering).compact())
+    with concurrent.futures.ThreadPoolExecutor(4) as pool:
+        for done in [pool.submit(w) for w in works]:
+            done.result()
+    store = sharding.ShardStore(spark, root, tiering)
+    sharding.compact_fully(store)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(store.read()) == rows(docs.union(docs))
+    store.append(docs.select("doc_id", F.lit(1.5).alias("extra")))
+    assert store.read().where("extra = 1.5 and text is null").count() == len(corpus()) and store.read().where("extra is null").count() == 2 * len(corpus())
+    with pytest.raises(ValueError):
+        store.append(docs.select(F.lit("x").alias("doc_id")))
