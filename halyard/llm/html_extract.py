@@ -7,7 +7,11 @@ than ``COVER`` of what the page's own best ones hold, both are taken.
 
 A path is where text is dense, such as the sections of an article; what is extracted is the whole article around it (see ``_lift``).
 
-Defined cases: null or empty html, or a page without text, gives an empty text; a null url, or one without a host, belongs
+Tags that mean furniture (navigation, headers and footers of the page, asides, forms, dialogs) are left out. Names are a hint only: a container
+whose class, id or role names furniture counts a quarter, and what it holds is left out unless the winning path leads
+through it. A name that has other words too ("share-price") halves a container's score and drops its lists of links.
+
+Defined cases: malformed tags are read as ``markup.tags`` states, in linear time; null or empty html, or a page without text, gives an empty text; a null url, or one without a host, belongs
 to the host ''; equal pages vote each; ties between paths go to the greater path; an empty table gives an empty
 result; extra columns are ignored.
 """
@@ -24,14 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, byte_slices
+from .markup import attributes, tags
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|select|title)\b.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
-_CUT_TAG = re.compile(r"<[a-zA-Z/!][^>]*\Z")  # a page may end inside a tag
-_NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _DIGITS = re.compile(r"\d+")
 _CONTAINERS = frozenset("html body main article section div td center form nav header footer aside ul ol dl table tr tbody details fieldset figure head dialog".split())
@@ -42,107 +40,131 @@ _OUTSIDE_NAMES = frozenset(
     " notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments disqus respond reply replies related recommended"
     " recommendations footer copyright pagination pager toolbar widget widgets skip search".split()
 )
+#: Words that say nothing beside a name of furniture: "comment-list" is a list of comments, "share-price" no share button.
+_PLAIN_NAMES = frozenset(
+    "area articles bar bars block body bottom box button buttons center col column container content feed footer form global group header holder icons inner item items"
+    " layout left link links list main module outer page panel posts post primary reader readers right row section secondary site slot stories the thread tools top unit user users wrap wrapper".split()
+)
 _TITLE_NAMES = frozenset("header masthead topbar".split())
 _CONTENT_NAMES = frozenset("article content entry post story main text body".split())
 _STORY_NAMES = frozenset("article entry post story".split())
 _PAGE_NAMES = frozenset("sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead topbar footer copyright toolbar skip".split())
 VOTES = 3
 COVER = 0.8
+HINTED, PARTLY = 0.25, 0.5  # what text counts below a name of furniture, and below one with other words
+
+
+def _furniture_name(values: list[str], names: frozenset[str]) -> int:
+    """2 if a class, id or role names furniture and nothing else, 1 if it has such a word among others, 0 if none has."""
+    found = 0
+    for value in values:
+        for token in value.split():
+            words = [w for w in _SPLIT.split(token) if w and not w.isdigit()]
+            if any(w in names for w in words):
+                found = max(found, 2 if all(w in names or w in _PLAIN_NAMES for w in words) else 1)
+    return found
 
 
 class _Open:
-    __slots__ = ("tag", "path", "outside", "content", "whole", "story", "furniture", "direct", "links", "own_links")
+    __slots__ = ("tag", "path", "outside", "content", "whole", "story", "hint", "furniture", "direct", "links", "own_links")
 
-    def __init__(self, tag: str, path: str, outside: bool, content: bool, whole: bool = False, story: bool = False):
-        self.tag, self.path, self.outside, self.content, self.whole, self.story = tag, path, outside, content, whole, story
+    def __init__(self, tag: str, path: str, outside: bool, content: bool, whole: bool = False, story: bool = False, hint: int = 0):
+        self.tag, self.path, self.outside, self.content, self.whole, self.story, self.hint = tag, path, outside, content, whole, story, hint
         self.furniture = 0  # page furniture inside: navigation, mastheads, footers
         self.direct = False  # running text stands in it directly
         self.links = self.own_links = 0  # blocks of links inside, and those directly inside
 
 
-def _blocks(html: str) -> list[tuple[str, tuple[_Open, ...], float]]:
-    """The page's text blocks that are not furniture: text, the containers around it, and the share of its text in links."""
+_Blocks = list[tuple[str, tuple[_Open, ...], float]]
+
+
+def _blocks(html: str) -> _Blocks:
+    """The page's text blocks outside of furniture tags: text, the containers around it, and the share of its text in links."""
     root = _Open("", "", False, False)
     stack = [root]
-    out: list[tuple[str, tuple[_Open, ...], float]] = []
+    out: _Blocks = []
     text: list[str] = []
     linked = at = 0
     in_link = False
-    furniture_block = ""
+    hinted: _Open | None = None  # a block whose own names are of furniture
 
     def flush() -> None:
         nonlocal linked
         if text:
             block = " ".join(unescape("".join(text)).split())
             text.clear()
-            if block and not stack[-1].outside and not furniture_block:
+            if block and not stack[-1].outside:
                 share = min(1.0, linked / len(block))
-                out.append((block, tuple(stack), share))
+                around = (*stack, hinted) if hinted else tuple(stack)
+                out.append((block, around, share))
                 if share <= 0.5:
-                    stack[-1].direct = True
+                    stack[-1].direct = stack[-1].direct or not hinted
                 else:
                     stack[-1].own_links += 1
                     for c in stack:
                         c.links += 1
         linked = 0
 
-    for m in _TOKEN.finditer(html):
-        if m.start() > at:
-            piece = html[at : m.start()]
+    for start, end, tag, closing, attrs in tags(html):
+        if start > at:
+            piece = html[at:start]
             text.append(piece)
             if in_link:
                 linked += len(piece)
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
+        at = end
+        if not tag:
             continue
-        tag = tag.lower()
         if tag == "a":
-            in_link = not m["close"]
+            in_link = not closing
         elif tag == "br":
             text.append(" ")
         elif tag in _CONTAINERS or tag == "button":
             flush()
-            furniture_block = ""
-            if m["close"]:
+            hinted = None
+            if closing:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == tag:
                         del stack[k:]
                         break
             else:
-                names, attrs = [], m["attrs"]
-                words: set[str] = set()
-                whole = tag in ("article", "main")
-                if attrs.strip():
-                    for a in _NAMES.finditer(attrs):
-                        value = (a[2] or a[3] or a[4] or "").lower()
-                        words.update(_SPLIT.split(value))
-                        if a[1].lower() == "class":
-                            names = sorted({_DIGITS.sub("0", x) for x in value.split()})
-                        elif a[1].lower() == "role":
-                            whole = whole or value in ("article", "main")
+                given = _named(attrs)
+                words = {w for v in given.values() for w in _SPLIT.split(v)}
+                whole = tag in ("article", "main") or given.get("role") in ("article", "main")
                 content = stack[-1].content or tag in ("article", "main")
                 outside = stack[-1].outside or tag in _OUTSIDE or (tag == "header" and not content)
-                if tag not in ("html", "body", "article", "main"):
-                    outside = outside or bool(words & _OUTSIDE_NAMES) or bool(words & _TITLE_NAMES and not content)
-                if outside and not stack[-1].outside and (tag in ("nav", "header", "footer") or words & _PAGE_NAMES):
+                hint = 0
+                if tag not in ("html", "body", "article", "main") and given:
+                    hint = _furniture_name(list(given.values()), _OUTSIDE_NAMES)
+                    if hint < 2 and not content:
+                        hint = max(hint, _furniture_name(list(given.values()), _TITLE_NAMES))
+                if (outside and not stack[-1].outside and (tag in ("nav", "header", "footer") or words & _PAGE_NAMES)) or (hint == 2 and words & _PAGE_NAMES):
                     for c in stack:
                         c.furniture += 1
                 story = tag not in ("html", "body") and bool(words & _STORY_NAMES)
-                stack.append(_Open(tag, f"{stack[-1].path}>{'.'.join([tag, *names])}", outside, content or bool(words & _CONTENT_NAMES), whole, story))
+                names = sorted({_DIGITS.sub("0", x) for x in given.get("class", "").split()})
+                stack.append(_Open(tag, f"{stack[-1].path}>{'.'.join([tag, *names])}", outside, content or bool(words & _CONTENT_NAMES), whole, story, hint))
         elif tag in _BLOCKS:
             flush()
-            furniture_block = ""
-            if not m["close"] and m["attrs"].strip():
-                words = {x for a in _NAMES.finditer(m["attrs"]) for x in _SPLIT.split((a[2] or a[3] or a[4] or "").lower())}
-                furniture_block = tag if words & _OUTSIDE_NAMES else ""
+            hinted = None
+            if not closing and (given := _named(attrs)):
+                hint = _furniture_name(list(given.values()), _OUTSIDE_NAMES)
+                hinted = _Open(tag, "", False, False, hint=hint) if hint else None
     if at < len(html):
-        text.append(_CUT_TAG.sub("", html[at:]))
+        text.append(html[at:])
     flush()
     return out
 
 
-_Blocks = list[tuple[str, tuple[_Open, ...], float]]
+def _named(attrs: str) -> dict[str, str]:
+    """Class, id and role of a tag, in lower case."""
+    if not attrs.strip():
+        return {}
+    return {k: v.lower() for k, v in attributes(attrs).items() if k in ("class", "id", "role") and v}
+
+
+def _left_out(around: tuple[_Open, ...], links: float, through: set[_Open]) -> bool:
+    """Whether names say that a block is furniture, apart from those of containers on the way to the winning path."""
+    return any(c.hint == 2 or (c.hint == 1 and links > 0.5) for c in around if c.hint and c not in through)
 
 
 def _scores(blocks: _Blocks) -> dict[str, float]:
@@ -150,7 +172,10 @@ def _scores(blocks: _Blocks) -> dict[str, float]:
     for block, around, links in blocks:
         worth = len(block) * (1 - links)
         for k, c in enumerate(reversed(around[1:])):
-            scores[c.path] += worth * 0.5**k * (1.5 if c.content else 1.0)
+            if c.hint:
+                worth *= HINTED if c.hint == 2 else PARTLY
+            if c.path:
+                scores[c.path] += worth * 0.5**k * (1.5 if c.content else 1.0)
             if k == 6:
                 break
     return dict(scores)
@@ -187,17 +212,21 @@ def _lift(around: tuple[_Open, ...], k: int) -> _Open:
 def _inside(blocks: _Blocks, path: str | None) -> set[int]:
     """The blocks in the articles around the containers on the path."""
     lifted: dict[_Open, _Open] = {}
+    through: set[_Open] = set()
     for _, around, _ in blocks:
         for k, c in enumerate(around):
             if k and c.path == path and c not in lifted:
                 lifted[c] = _lift(around, k)
+                through.update(around[: k + 1])
     tops = set(lifted.values())
-    return {i for i, (_, around, _) in enumerate(blocks) if not tops.isdisjoint(around)} if tops else set()
+    if not tops:
+        return set()
+    return {i for i, (_, around, links) in enumerate(blocks) if not tops.isdisjoint(around) and not _left_out(around, links, through)}
 
 
 def extract_page(html: str | None, path: str | None) -> str:
     """Text of the articles around the containers on the path; around those on the page's own best path too, if the former hold
-    little of what the latter hold; all blocks if there are neither."""
+    little of what the latter hold; all blocks that are not named furniture if there are neither."""
     blocks = _blocks(html or "")
     chosen = _inside(blocks, path)
     if len(chosen) < len(blocks):
@@ -206,7 +235,9 @@ def extract_page(html: str | None, path: str | None) -> str:
         worth = [sum(len(blocks[i][0]) * (1 - blocks[i][2]) for i in x) for x in (chosen, own)]
         if worth[0] < COVER * worth[1]:
             chosen |= own
-    return "\n".join(b for i, (b, _, _) in enumerate(blocks) if i in chosen or not chosen)
+    if not chosen:
+        chosen = {i for i, (_, around, links) in enumerate(blocks) if not _left_out(around, links, set())}
+    return "\n".join(b for i, (b, _, _) in enumerate(blocks) if i in chosen)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -4,7 +4,8 @@ An HTML page is parsed into an ordered sequence of text and media-reference stru
 keyed by digest, as 8-bit grey PNG images whose samples are the payload's bytes; a join on the digest resolves the
 references, and position and caption of each reference stay with it.
 
-Defined cases: null html has an empty sequence; null text is an empty payload (64 zero bytes); a reference whose digest
+Defined cases: malformed tags are read as ``markup.tags`` states, in linear time; null html has an empty sequence; a caption without
+end is text; null text is an empty payload (64 zero bytes); a reference whose digest
 is not in the store keeps its place with null media fields; equal payloads have one digest and one resolution; an
 empty table gives an empty result; extra columns are ignored.
 """
@@ -12,7 +13,6 @@ empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, byte_slices
+from .markup import attributes, tags
 
 WIDTH = 64
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -79,8 +80,6 @@ def feature_of(samples: np.ndarray) -> str:
     return f"{samples.shape[1]}x{samples.shape[0]};mean={1000 * total // n};var={1000 * spread // (n * n)};hist=" + ",".join(str(int(1000 * h // n)) for h in hist)
 
 
-_TAG = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _BREAKS = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol table tr figure figcaption section article header footer blockquote pre br".split())
 
 
@@ -100,20 +99,12 @@ def parse_sequence(html: str | None) -> list[dict]:
         if block:
             out.append({"kind": "text", "text": block, "digest": None, "caption": None})
 
-    at, skip = 0, ""
+    at = 0
     html = html or ""
-    for m in _TAG.finditer(html):
-        if not skip:
-            (text if caption is None else caption).append(html[at : m.start()])
-        at = m.end()
-        closing, name = m[1], (m[2] or "").lower()
-        if skip:
-            skip = "" if closing and name == skip else skip
-            continue
-        if name in ("script", "style") and not closing:
-            flush()
-            skip = name
-        elif name == "figcaption":
+    for start, end, name, closing, given in tags(html):
+        (text if caption is None else caption).append(html[at:start])
+        at = end
+        if name == "figcaption":
             if closing and caption is not None:
                 words = " ".join(unescape("".join(caption)).split())
                 for item in figure:
@@ -124,17 +115,21 @@ def parse_sequence(html: str | None) -> list[dict]:
                 caption = []
         elif name in ("img", "video", "audio", "source") and not closing:
             flush()
-            attrs = {a[1].lower(): unescape(next(x for x in a.groups()[1:] if x is not None)) for a in _ATTR.finditer(m[3])}
+            attrs = attributes(given)
             if attrs.get("src", "").startswith(REFERENCE):
                 item = {"kind": "media", "text": None, "digest": attrs["src"][len(REFERENCE) :], "caption": attrs.get("alt")}
                 out.append(item)
                 figure.append(item)
         elif name in _BREAKS:
+            if caption is not None and name == "figure":  # a caption without end is text
+                text.extend(caption)
+                caption = None
             flush()
             if name == "figure":
                 figure = []
-    if not skip:
-        text.append(html[at:])
+    (text if caption is None else caption).append(html[at:])
+    if caption is not None:
+        text.extend(caption)
     flush()
     return [x | {"pos": i} for i, x in enumerate(out)]
 
@@ -143,17 +138,19 @@ SEQUENCE = "array<struct<pos:int,kind:string,text:string,digest:string,caption:s
 _ITEM = pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())])
 
 
-def interleaved_sequences(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(id, sequence): the ordered text and media references of each page."""
-    src = pages.select(pages[id_col].alias("id"), pages[html_col].cast("string").alias("html"))
+def interleaved_sequences(pages: DataFrame, id_col: str, html_col: str, *carried: str) -> DataFrame:
+    """(id, carried columns, sequence): the ordered text and media references of each page."""
+    src = pages.select(pages[id_col].alias("id"), pages[html_col].cast("string").alias("html"), *carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, stop, texts in byte_slices(batch, "html"):
                 seqs = [parse_sequence(t.decode("utf-8", "replace") if t else "") for t in texts]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(seqs, pa.list_(_ITEM))], names=["id", "sequence"])
+                own = [batch.column(c).slice(start, stop - start) for c in (0, *range(2, batch.num_columns))]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(seqs, pa.list_(_ITEM))], names=["id", *carried, "sequence"])
 
-    return src.mapInArrow(run, f"id {dict(src.dtypes)['id']}, sequence {SEQUENCE}").withColumnRenamed("id", id_col)
+    kinds = dict(src.dtypes)
+    return src.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in ("id", *carried)) + f", sequence {SEQUENCE}").withColumnRenamed("id", id_col)
 
 
 def media_features(store: DataFrame) -> DataFrame:
@@ -184,12 +181,12 @@ def media_features(store: DataFrame) -> DataFrame:
 _FEATURES = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
 
-def resolve_media(sequences: DataFrame, features: DataFrame, id_col: str) -> DataFrame:
+def resolve_media(sequences: DataFrame, features: DataFrame, id_col: str, *carried: str) -> DataFrame:
     """One row per media reference with its position, caption and resolved description; a digest that is cited by a third of all pages
     is a skewed join key that adaptive execution splits, as both sides are plain tables.
     """
-    refs = sequences.select(id_col, F.explode("sequence").alias("item")).where("item.kind = 'media'")
-    refs = refs.select(id_col, F.col("item.pos").alias("pos"), F.col("item.caption").alias("caption"), F.col("item.digest").alias("digest"))
+    refs = sequences.select(id_col, *carried, F.explode("sequence").alias("item")).where("item.kind = 'media'")
+    refs = refs.select(id_col, *carried, F.col("item.pos").alias("pos"), F.col("item.caption").alias("caption"), F.col("item.digest").alias("digest"))
     return refs.join(features, "digest", "left")
 
 
@@ -220,5 +217,5 @@ def document_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = dict(src.dtypes)["id"]
     store = scratch.save(src.mapInArrow(write, f"id {kind}, n_bytes long, html string, digest string, media binary"), "store", "none")
     features = scratch.save(media_features(store.where("media is not null")), "features")
-    refs = resolve_media(interleaved_sequences(store, "id", "html"), features, "id")
-    return refs.select(F.col("id").alias(id_col), F.regexp_extract("caption", r"(\d+)$", 1).cast("long").alias("n_bytes"), *_FEATURES[1:], "pos", "caption")
+    refs = resolve_media(interleaved_sequences(store, "id", "html", "n_bytes"), features, "id", "n_bytes")
+    return refs.select(F.col("id").alias(id_col), "n_bytes", *_FEATURES[1:], "pos", "caption")
