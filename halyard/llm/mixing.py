@@ -4,12 +4,12 @@ Each document of a source stands in a queue in a fixed shuffled order, and the w
 ``max_repeats`` times. A document's virtual finish time is the number of its source's words up to and including it,
 divided by the source's target. All queue entries are sorted by finish time over the cluster, and the mix is what
 comes before the total budget is used up; then a source that a long document at the cut left off its target gains or loses a copy or
-two. A queue's running sums come in two steps (slices of the shuffled order,
-then rows within a slice), so that a source with a third of all rows is never one task's work.
+two. Running sums come in two steps (ranges of the order, then rows within a range), and every row has a number of its own as the
+last tie, so that neither a source with a third of all rows nor a flood of equal rows is one task's work.
 
-Defined cases: a null or empty text has size 0; a null source is a source of its own, last in order; rows with
-equal ids are ordered by size, and equal rows are interchangeable; an empty table gives an empty result; targets of
-an all-empty corpus are 0; extra columns are ignored.
+Defined cases: a null or empty text has size 0; a null source is a source of its own, last in order; null and repeated ids are
+rows like others, each taken by itself; rows equal in id and text are interchangeable; an empty table gives an empty result;
+targets of an all-empty corpus are 0; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,6 +47,23 @@ def source_targets(sizes: DataFrame, share_of: int = 1, weights: int = 3, cap: i
     return w.select("source", "source_size", target.alias("target"))
 
 
+def _running_sum(df: DataFrame, by: list[str], order: list[str], value: str, out: str, scratch: Scratch, name: str) -> DataFrame:
+    """Adds the sum of ``value`` up to and including each row in ``order`` among rows equal in ``by``, nulls included.
+
+    The rows are range-partitioned; a range's sum goes to those behind it, so no task holds more than a range.
+    """
+    ranged = scratch.save(df.repartitionByRange(*by, *order).withColumn("part", F.spark_partition_id()), name)  # the ranges are fixed once they are written
+    sums = ranged.groupBy("part", *by).agg(F.sum(value).alias("part_sum"))
+    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("part").alias("p"), *(F.col(c).alias(f"p_{c}") for c in by), F.coalesce(F.sum("part_sum").over(before), F.lit(0)).alias("ahead"))
+    sums = scratch.save(sums, f"{name}-sums")
+    same = F.col("part") == F.col("p")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"p_{c}"))
+    within = Window.partitionBy("part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return ranged.withColumn(out, F.sum(value).over(within)).join(sums, same).withColumn(out, F.col(out) + F.col("ahead")).select(*df.columns, out)
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -54,68 +71,54 @@ def mix_sources(
     source_col: str = "source",
     max_repeats: int = 3,
     seed: str = "mix-1",
-    slice_rows: int = 2_000,
     settle_steps: int = 2,
+    row_col: str | None = None,
 ) -> DataFrame:
     """One row per document: id, size, source, source_size, target, taken (words, repeats counted), copies (whole copies taken) and
-    row (1, 2, ... among rows of equal id, source and size).
+    row (the number in ``row_col``, else one that tells the rows apart).
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
+    number = docs[row_col] if row_col else F.monotonically_increasing_id()
+    rows = docs.select(docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"), docs[text_col].cast("string").alias("text"), number.alias("row"))
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"), docs[text_col].cast("string").alias("text"))
-    rows = rows.select("id", "source", size.alias("size"), F.md5(F.concat_ws("|", F.lit(seed), F.col("id").cast("string"))).alias("draw"))
-    rows = scratch.save(rows, "rows")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    slices = F.greatest(F.lit(1), F.ceil(F.col("n") / slice_rows)).cast("long")
-    targets = scratch.save(
-        source_targets(sizes.select("source", "source_size"), cap=max_repeats)
-        .withColumnRenamed("source", "s")
-        .join(sizes.select(F.col("source").alias("s2"), slices.alias("slices")), F.col("s").eqNullSafe(F.col("s2")))
-        .drop("s2"),
-        "targets",
-    )
-    # the first 12 hex digits of the draw, as a position in [0, 1), pick the slice: slices follow the shuffled order
-    place = F.conv(F.substring("draw", 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+    draw = F.xxhash64(F.lit(seed), F.col("id").cast("string"), F.xxhash64("text"))
+    rows = scratch.save(rows.select("id", "source", size.alias("size"), draw.alias("draw"), "row"), "rows")
+    sizes = scratch.save(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sizes")
+    targets = scratch.save(source_targets(sizes, cap=max_repeats).withColumnRenamed("source", "s"), "targets")
+    budget = targets.agg(F.round(F.sum("target")).cast("long").alias("budget")).first()["budget"] or 0
+    order = ["draw", "id", "size", "row"]
+    rows = _running_sum(rows, ["source"], order, "size", "upto", scratch, "queues")
     rows = rows.join(targets, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    rows = rows.withColumn("slice", F.floor(place * F.col("slices")))
-    per_slice = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
-    before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    per_slice = per_slice.select(
-        F.col("source").alias("ps"), F.col("slice").alias("pl"), F.coalesce(F.sum("slice_size").over(before), F.lit(0)).alias("ahead")
-    )
-    in_slice = Window.partitionBy("source", "slice").orderBy("draw", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("upto", F.sum("size").over(in_slice))
-    rows = rows.join(per_slice, F.col("source").eqNullSafe(F.col("ps")) & (F.col("slice") == F.col("pl"))).drop("ps", "pl")
-    rows = rows.withColumn("upto", F.col("upto") + F.col("ahead"))
     queue = rows.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))))
     finish = F.when(F.col("target") > 0, (F.col("turn") * F.col("source_size") + F.col("upto")).cast("double") / F.col("target")).otherwise(0.0)
-    queue = queue.select("id", "size", "source", "source_size", "target", "draw", "turn", finish.alias("finish"))
-    order = ["finish", "draw", "id", "size", "turn"]
-    queue = queue.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    queue = scratch.save(queue, "queue")  # the ranges are fixed once they are written
-    parts = queue.groupBy("part").agg(F.sum("size").alias("part_size"))
-    parts = parts.withColumn("start", F.coalesce(F.sum("part_size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    budget = targets.agg(F.round(F.sum("target")).cast("long").alias("budget")).first()["budget"] or 0
-    queue = queue.join(parts.select(F.col("part").alias("p"), "start"), F.col("part") == F.col("p"))  # a row for each range
-    used = F.col("start") + F.sum("size").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    queue = queue.withColumn("used", used)
+    queue = queue.select("id", "size", "source", "source_size", "target", "draw", "row", "turn", finish.alias("finish"))
+    queue = _running_sum(queue, [], ["finish", *order, "turn"], "size", "used", scratch, "queue")
     # where a long document leaves its source short, the budget reaches past the other sources' targets: what lies there for the most part stays out
     inside = (F.col("used") <= budget) & (F.col("finish") * F.col("target") - F.col("size") / 2 <= F.col("target"))
-    # equal rows (same id, size and source) count together and share what they take evenly
-    taken = queue.groupBy("id", "draw", "size", "source", "source_size", "target").agg(
-        F.sum(F.when(inside, 1).otherwise(0)).alias("hits"), F.sum(F.when(F.col("turn") == 0, 1).otherwise(0)).alias("rows")
-    )
-    taken = taken.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    copies = F.floor(F.col("hits") / F.col("rows")) + F.when(F.col("row") <= F.col("hits") % F.col("rows"), 1).otherwise(0)
-    taken = scratch.save(taken.select("id", "draw", "size", "source", "source_size", "target", F.col("row").cast("long").alias("row"), copies.cast("long").alias("copies")), "taken-0")
+    first = [F.first(c).alias(c) for c in ("id", "draw", "size", "source", "source_size", "target")]  # the same in each turn of a row
+    taken = queue.groupBy("row").agg(*first, F.sum(inside.cast("long")).alias("copies"))
+    taken = scratch.save(taken.select("id", "draw", "size", "source", "source_size", "target", "row", "copies"), "taken-0")
+    scratch.drop("rows", "queues", "queue")
     for step in range(1, settle_steps + 1):
         taken = scratch.save(_settle(taken, max_repeats), f"taken-{step}")
         scratch.drop(f"taken-{step - 1}")
-    scratch.drop("rows", "queue")
     return taken.select(F.col("id").alias(id_col), "size", "source", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "row")
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = 3) -> DataFrame:
+    """The rows of a table, each as many times as the mix takes it, columns as they are.
+
+    Rows are numbered once and written with their numbers, so that what is planned for a row is done to that row.
+    """
+    scratch = Scratch(docs.sparkSession, "mixed")
+    numbered = scratch.save(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")), "numbered")
+    fields = numbered.select(*(F.col("row").getField(c).alias(n) for c, n in ((id_col, "id"), (text_col, "text"), (source_col, "source"))), "number")
+    taken = mix_sources(fields, "id", "text", "source", max_repeats, row_col="number").where("copies > 0").select(F.col("row").alias("of"), "copies")
+    rows = numbered.join(taken, F.col("number") == F.col("of")).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("turn"))
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
 def _settle(taken: DataFrame, max_repeats: int) -> DataFrame:
     """Adds or drops one copy in each source whose words miss the target, if a document of about that size brings them nearer.
 
@@ -126,7 +129,6 @@ def _settle(taken: DataFrame, max_repeats: int) -> DataFrame:
     can = F.when(F.col("gap") > 0, F.col("copies") < max_repeats).otherwise(F.col("copies") > 0)
     near = near.where(can & (F.col("size") > 0) & (F.col("size") < 2 * F.abs("gap")))
     pick = near.groupBy("source").agg(F.min(F.struct(F.abs(F.abs("gap") - F.col("size")).alias("miss"), "draw", "id", "size", "row", F.signum("gap").cast("long").alias("change"))).alias("p"))
-    pick = pick.select(F.col("source").alias("ps"), *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("draw", "id", "size", "row", "change")))
-    same = F.col("source").eqNullSafe(F.col("ps")) & F.col("id").eqNullSafe(F.col("p_id")) & (F.col("size") == F.col("p_size")) & (F.col("row") == F.col("p_row"))
-    out = taken.join(pick, same, "left")
+    pick = pick.select(F.col("p.row").alias("p_row"), F.col("p.change").alias("p_change"))  # a row for each source at most
+    out = taken.join(pick, F.col("row") == F.col("p_row"), "left")
     return out.select(*(c for c in taken.columns if c != "copies"), (F.col("copies") + F.coalesce("p_change", F.lit(0))).alias("copies"))

@@ -268,7 +268,7 @@ def test_cut_texts_stay_text(spark):
 
 
 def test_mixing(docs, empty):
-    got = mixing.mix_sources(docs, slice_rows=7).collect()
+    got = mixing.mix_sources(docs).collect()
     assert len(got) == len(corpus())
     sizes = collections.Counter()
     for i, t, _, s, *_ in corpus():
@@ -292,7 +292,7 @@ def test_mixing(docs, empty):
         taken[s] += r.taken
     for s in order:
         assert abs(taken[s] - target[s]) <= max(r.size for r in got if source[r.doc_id] == s)
-    again = mixing.mix_sources(docs.repartition(5), slice_rows=11).collect()
+    again = mixing.mix_sources(docs.repartition(5)).collect()
     assert {(r.doc_id, r.taken) for r in got} == {(r.doc_id, r.taken) for r in again}
     assert mixing.mix_sources(empty).count() == 0
 
