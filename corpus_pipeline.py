@@ -2,13 +2,21 @@
 
 Language ID drops what is in no language; near-duplicates leave one document of each group; passages of earlier
 documents are cut out; sources are mixed to target weights, by dropping and repeating documents; sequences are packed.
+
+Defined cases by stage. Language ID drops null texts and texts without a letter or a known n-gram; null and repeated ids don't
+matter to it. Near-duplicates keep all rows without id or words, the row with the smallest id of each group, of rows that
+share that id the one of the smallest text hash, of rows equal in id and text the one that is first as JSON; unlinked texts under
+one id all stay. Passages: rows with null ids lose nothing and take nothing from others, rows that share an id
+take nothing from each other; null texts stay null. Mixing takes every row by itself; a null source is a source of its own. Packing has
+a null text as an empty one; rows that share an id have pieces each. Every stage takes empty tables and extra columns of
+any name, and all but the last keep the columns as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.llm import language_id, minhash, mixing, packing, suffix_dedup
@@ -22,28 +30,8 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group; of equal rows one, and of rows that share an id each text that is in no earlier one's group.
-
-    Rows with an id that names several go under a hash of id and text, so that texts which only share an id are not linked by it.
-    """
-    scratch = Scratch(spark, "repeated")
-    rows, nulls = docs.where("doc_id is not null"), docs.where("doc_id is null")
-    ids = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    ids = scratch.save(ids.select(F.col("doc_id").alias("again")), "ids")
-    if ids.isEmpty():
-        kept = minhash.near_duplicates(rows).where("kept").select(F.col("doc_id").alias("kept_id"))
-        return rows.join(kept, F.col("doc_id") == F.col("kept_id")).drop("kept_id").unionByName(nulls)
-    same, names = F.col("doc_id") == F.col("again"), docs.columns
-    others = [c for c in names if c not in ("doc_id", "text")]
-    several = rows.join(ids, same, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("o"))
-    several = several.select("doc_id", "text", *(F.col("o").getField(c).alias(c) for c in others)).select(*names, F.xxhash64("doc_id", "text").alias("row_id"))
-    several = scratch.save(several, "several")
-    rows = rows.join(ids, same, "left_anti").withColumn("row_id", F.col("doc_id").cast("long")).unionByName(several)
-    groups = minhash.near_duplicates(rows, "row_id").select("row_id", "component_id")
-    groups = groups.join(several.select("row_id", F.col("doc_id").alias("own")), "row_id", "left")
-    first = F.min(F.struct(F.coalesce("own", "row_id").alias("own"), "row_id"))["row_id"]
-    kept = groups.groupBy("component_id").agg(first.alias("kept_id")).select("kept_id")
-    return rows.join(kept, F.col("row_id") == F.col("kept_id")).select(*names).unionByName(nulls)
+    """One document of each group of near-duplicates."""
+    return minhash.drop_near_duplicates(docs)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,13 +42,7 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    taken = mixing.mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("id"), F.col("size"), F.col("source").alias("of"), "row", "copies")
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(mixing.WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumn("mix_size", size)
-    rows = rows.withColumn("mix_row", F.row_number().over(Window.partitionBy("doc_id", "mix_size", "source").orderBy(F.xxhash64("text"))))
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").cast("string").eqNullSafe(F.col("of")) & (F.col("mix_size") == F.col("size")) & (F.col("mix_row") == F.col("row"))
-    rows = rows.join(taken, same).withColumn("mix_turn", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return rows.select(*docs.columns)
+    return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
