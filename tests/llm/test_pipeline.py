@@ -97,3 +97,35 @@ def test_mix_keeps_rows_of_equal_id_and_size_by_source(spark, small):
     for r in corpus_pipeline.mixing.mix_sources(docs).collect():
         want[r.doc_id, r.source] += r.copies
     assert have == +want and {s for _, s in have} == {"a", "b", None}
+
+
+def test_stages_take_odd_tables(spark, small):
+    """Columns whose names the stages use themselves, null and repeated ids in two sources, and an empty table, through the whole chain."""
+    names = "id size row copies h k group component number turn part draw used text_a html lo hi".split()
+    schema = ROWS + "".join(f", {n} string" for n in names)
+    rows = [(i, prose(k), "en", s, None, *names) for i, k, s in [(None, 1, "a"), (None, 1, "b"), (1, 2, "a"), (1, 2, "a"), (1, 3, "b"), (2, 2, None), (4, 5, "a")]]
+    rows += [(None, "", "en", "a", 0, *names), (6, None, None, None, None, *names)]
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        some = not docs.isEmpty()
+        for name, stage in corpus_pipeline.STAGES[1:]:
+            out = stage(spark, docs, small)
+            if name != "packing":
+                assert out.dtypes == docs.dtypes
+                docs = spark.createDataFrame(out.collect(), docs.schema)
+                assert all([r[n] for n in names] == names for r in docs.collect())
+            else:
+                assert (out.count() > 0) == some
+
+
+def test_mix_takes_the_rows_that_it_counts(spark, small):
+    rows = [(None, f"{a} {b} {c}", "en", s, None) for a in "xyz" for b in "uvw" for c in "rst" for s in ("a", "b")]
+    docs = spark.createDataFrame(rows, ROWS).repartition(4)
+    got = collections.Counter((r.source, r.text) for r in corpus_pipeline.mix(spark, docs, small).collect())
+    plan = collections.Counter()
+    for r in corpus_pipeline.mixing.mix_sources(docs).collect():
+        plan[r.source] += r.copies
+    have = collections.Counter()
+    for (s, _), n in got.items():
+        assert n <= 3
+        have[s] += n
+    assert have == plan
