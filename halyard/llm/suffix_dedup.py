@@ -3,6 +3,8 @@
 Removed is each byte covered by a string of ``length`` bytes that also starts in a document with a smaller id. Three steps find
 all of these strings without ever sorting the suffixes of the whole corpus:
 
+0. *Frequent anchors.* A pass over all texts counts, in Spark, the surroundings of anchors; a bitmap of fixed size marks those
+   that too many have for one task. A mark only sends an anchor on another way through step 2, so one too many does no harm.
 1. *Anchors.* Every window of ``length`` bytes has one anchor, the position in it whose k-byte string has the smallest hash. Equal
    windows have equal anchors, and one position in about seventeen is one. Anchors meet by hash, packed into binary
    blocks; of equal anchors with equal surroundings (all bytes that a window around the anchor can reach) every one but
@@ -12,8 +14,9 @@ all of these strings without ever sorting the suffixes of the whole corpus:
    fetched; those of equal anchors form a bucket. A bucket's suffixes are sorted into an enhanced suffix array (suffixes and the
    lengths of common prefixes), and a stack scan walks its common-prefix interval tree: an interval is a group of equal strings
    with all its occurrences, and it is output if the bytes to the left differ (else a longer repeat covers it).
-   Anchors with more than ``hot_kinds`` surroundings would make a bucket too large; their windows are compared by hash and
-   smallest id in Spark instead.
+   A frequent anchor's bucket is split one radix level deeper, by 46 of the 50 bytes of the windows that five neighbouring
+   offsets of the anchor have in common, and the same arrays are built. Where even these bytes are those of too many, the last
+   level has all 50 bytes as its key: its strings are equal, its tree is one interval, and aggregation finds its smallest id.
 3. *Removal.* The ranges of a document are united and cut out.
 
 Defined cases: null texts are empty; texts shorter than ``length`` lose nothing; equal ids are the same document, so none of
@@ -39,6 +42,10 @@ REACH = LENGTH - K  # bytes that a window can stand out to the left of its ancho
 PAD = 64
 _C1, _C2 = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 _BLOCK = 1_200_000  # anchors that a task holds before it settles and sends them
+FREQUENT_SLOTS = 1 << 24
+_SLOT_SHIFT = U64(40)
+LEAST = 4  # surroundings of an anchor in a block of texts from which on they are counted
+STEP = 5  # offsets of an anchor that the deeper radix level puts together
 
 
 class Buffer:
@@ -89,13 +96,13 @@ class Buffer:
             c = mix64(c + x * _C2)
         return c
 
-    def window_hash(self, at: np.ndarray) -> np.ndarray:
-        """Hashes of the LENGTH bytes from each position."""
-        c = np.full(len(at), LENGTH, U64)
-        for off in range(0, LENGTH, 8):
+    def window_hash(self, at: np.ndarray, length: int = LENGTH) -> np.ndarray:
+        """Hashes of the ``length`` bytes from each position."""
+        c = np.full(len(at), length, U64)
+        for off in range(0, length, 8):
             x = self.eight[at + off]
-            if off + 8 > LENGTH:
-                x = x & U64((1 << 8 * (LENGTH - off)) - 1)
+            if off + 8 > length:
+                x = x & U64((1 << 8 * (length - off)) - 1)
             c = mix64(c + x * _C2)
         return c
 
@@ -157,7 +164,7 @@ def _ranges(rid: np.ndarray, size: np.ndarray, pos: np.ndarray) -> tuple[np.ndar
 
 _HIT = "kind int, rid long, doc long, start long, end long, key long"
 _HIT_ARROW = pa.schema([("kind", pa.int32())] + [(n, pa.int64()) for n in ("rid", "doc", "start", "end", "key")])
-COVERED, OPEN, HOT = 0, 1, 2
+COVERED, OPEN, FREQUENT = 0, 1, 2
 
 
 def _hits(kind: int, rid: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
@@ -165,10 +172,56 @@ def _hits(kind: int, rid: np.ndarray, doc: np.ndarray, start: np.ndarray, end: n
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=_HIT_ARROW)
 
 
-def _anchor_blocks(src: DataFrame, parts: int) -> DataFrame:
-    """(part, kind, block): anchors packed by the part of their hash, and ranges that are settled already."""
+def _frequent_anchors(src: DataFrame, many: int) -> np.ndarray:
+    """Marks of the slots of anchors with more than ``many`` surroundings, counted over all texts; FREQUENT_SLOTS bits reach the driver.
+
+    Tasks count by blocks of texts and report what a block has several times, so that a count may fall short by
+    ``LEAST - 1`` for each block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        count = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal count
+            if count:
+                kh, ch = (np.concatenate(x) for x in zip(*held, strict=True))
+                order = np.lexsort((ch, kh))
+                kh, ch = kh[order], ch[order]
+                new = np.r_[True, kh[1:] != kh[:-1]]
+                kinds = np.add.reduceat((new | np.r_[True, ch[1:] != ch[:-1]]).astype(np.int64), np.flatnonzero(new))
+                often = kinds >= LEAST
+                yield pa.RecordBatch.from_arrays([pa.array((kh[new][often] >> _SLOT_SHIFT).astype(np.int64)), pa.array(kinds[often])], names=["slot", "kinds"])
+            held.clear()
+            count = 0
+
+        for batch in batches:
+            for _, _, texts in byte_slices(batch, "text"):
+                buf = Buffer([t or b"" for t in texts])
+                at, text, kh = buf.anchors()
+                held.append((kh, buf.surroundings(at, text)))
+                count += len(at)
+                if count >= _BLOCK:
+                    yield from flush()
+        yield from flush()
+
+    slots = src.select("text").mapInArrow(run, "slot long, kinds long").groupBy("slot").agg(F.sum("kinds").alias("kinds")).where(F.col("kinds") > many)
+    place = F.col("slot") + 1
+    maps = slots.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    marks = np.zeros(FREQUENT_SLOTS, bool)
+    for r in maps.collect():
+        bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
+        marks[(r["bucket"] - 1) * len(bits) :][: len(bits)] |= bits.astype(bool)
+    return np.packbits(marks)
+
+
+def _anchor_blocks(src: DataFrame, parts: int, frequent: np.ndarray) -> DataFrame:
+    """(part, kind, block): anchors packed by the part of their hash, ranges that are settled already, and frequent anchors."""
+    shared = src.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = shared.value
         held: list[tuple[np.ndarray, ...]] = []
         count = 0
 
@@ -187,6 +240,12 @@ def _anchor_blocks(src: DataFrame, parts: int) -> DataFrame:
             rows: list[tuple[int, int, bytes]] = []
             if len(r):
                 rows.append((int(r[0] % parts), COVERED, np.concatenate([r, s, e]).astype(np.int64).tobytes()))
+            slot = (kh[stay] >> _SLOT_SHIFT).astype(np.int64)
+            often = (frequent[slot >> 3] >> (7 - (slot & 7)) & 1).astype(bool)
+            x, stay = stay[often], stay[~often]
+            for a in range(0, len(x), 20_000):
+                y = x[a : a + 20_000]
+                rows.append((int(rid[y[0]] % parts), FREQUENT, np.concatenate([rid[y], doc[y], pos[y], kh[y].view(np.int64)]).astype(np.int64).tobytes()))
             part = ((kh[stay] >> U64(32)) % U64(parts)).astype(np.int64)
             by = np.argsort(part, kind="stable")
             stay, part = stay[by], part[by]
@@ -213,8 +272,8 @@ def _anchor_blocks(src: DataFrame, parts: int) -> DataFrame:
     return src.mapInArrow(run, "part int, kind int, block binary")
 
 
-def _meet_anchors(blocks: DataFrame, hot_kinds: int) -> DataFrame:
-    """Settles the anchors of each part; what is left are anchors of several documents with several surroundings."""
+def _meet_anchors(blocks: DataFrame) -> DataFrame:
+    """Settles the anchors of each part; what is left are anchors of several documents with several surroundings, and frequent ones."""
 
     def run(table: pa.Table) -> pa.Table:
         out: list[pa.RecordBatch] = []
@@ -224,6 +283,9 @@ def _meet_anchors(blocks: DataFrame, hot_kinds: int) -> DataFrame:
             if kind == COVERED:
                 r, s, e = np.frombuffer(block.as_buffer(), np.int64).reshape(3, -1)
                 out.append(_hits(COVERED, r, r, s, e, r))
+            elif kind == FREQUENT:
+                r, d, p, k = np.frombuffer(block.as_buffer(), np.int64).reshape(4, -1)
+                out.append(_hits(FREQUENT, r, d, p, p, k))
             else:
                 got.append(_unpack(block.as_buffer()))
         if got:
@@ -240,16 +302,16 @@ def _meet_anchors(blocks: DataFrame, hot_kinds: int) -> DataFrame:
             several = (kinds > 1) & (np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at))
             group = np.cumsum(new) - 1
             key = (k.astype(np.int64) << 31) ^ part
-            for kind, chosen in ((OPEN, several & (kinds <= hot_kinds)), (HOT, several & (kinds > hot_kinds))):
-                x = np.flatnonzero(chosen[group] & ~settled)
-                out.append(_hits(kind, rid[order[x]], d[x], pos[order[x]], pos[order[x]], key[x]))
+            x = np.flatnonzero(several[group] & ~settled)
+            out.append(_hits(OPEN, rid[order[x]], d[x], pos[order[x]], pos[order[x]], key[x]))
         return pa.Table.from_batches(out, schema=_HIT_ARROW)
 
     return blocks.groupBy("part").applyInArrow(run, _HIT)
 
 
 def _fetch_surroundings(src: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(kind, key, rid, doc, start, bytes): the surroundings of open anchors, and for hot ones each window's hash as key."""
+    """(kind, key, rid, doc, start, bytes): the surroundings of open anchors, and of frequent ones the part around each run of STEP offsets,
+    with the hash of anchor and common bytes as key."""
     lists = wanted.groupBy("rid").agg(F.collect_list(F.struct("kind", "start", "key")).alias("want"))
     joined = src.join(lists, "rid").select("id", "rid", "text", "want")
 
@@ -271,14 +333,20 @@ def _fetch_surroundings(src: DataFrame, wanted: DataFrame) -> DataFrame:
                         key.append(h)
                         start.append(s)
                         data.append(text[s : min(p + LENGTH, n)])
-                    hot = own[1, own[0] == HOT]
-                    if len(hot):
-                        w = np.unique((hot[:, None] - np.arange(REACH + 1)).ravel())
-                        w = w[(w >= 0) & (w + LENGTH <= n)]
-                        kind += [HOT] * len(w)
-                        key += buf.window_hash(buf.start[i] + w).view(np.int64).tolist()
-                        start += w.tolist()
-                        data += [None] * len(w)
+                    often = own[:, own[0] == FREQUENT]
+                    if often.shape[1]:
+                        p, h = (np.repeat(often[c], (REACH + 1) // STEP) for c in (1, 2))
+                        nearest = np.tile(np.arange(0, REACH + 1, STEP), often.shape[1])
+                        farthest = nearest + STEP - 1
+                        # the bytes that all windows of these offsets have; where they are not there, no such window is
+                        fits = (p - nearest >= 0) & (p + LENGTH - farthest <= n)
+                        p, h, nearest, farthest = p[fits], h[fits], nearest[fits], farthest[fits]
+                        common = buf.window_hash(buf.start[i] + p - nearest, LENGTH - STEP + 1)
+                        key += mix64(common + h.view(U64) * _C1 + nearest.astype(U64)).view(np.int64).tolist()
+                        s, e = np.maximum(p - farthest, 0), np.minimum(p + LENGTH - nearest, n)
+                        kind += [FREQUENT] * len(s)
+                        start += s.tolist()
+                        data += [text[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)]
                     rid += [int(rids[begin + i])] * (len(kind) - len(rid))
                     doc += [int(ids[begin + i])] * (len(kind) - len(doc))
                 yield pa.RecordBatch.from_arrays(
@@ -398,8 +466,20 @@ def _scan_buckets(contexts: DataFrame, parts: int) -> DataFrame:
     return contexts.select(bucket, "rid", "doc", "start", "bytes").groupBy("bucket").applyInArrow(run, "rid long, start long, end long")
 
 
-def earlier_passages(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch, hot_kinds: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """(source, ranges): documents as (id, rid, text), and the byte ranges (rid, start, end) that earlier documents have."""
+def _equal_windows(contexts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Ranges of windows that a smaller document has, by the windows' own bytes: the last radix level."""
+    offsets = F.sequence(F.lit(0), F.length("bytes") - LENGTH)
+    windows = contexts.where(F.length("bytes") >= LENGTH).select("rid", "doc", "start", "bytes", F.explode(offsets).alias("at"))
+    windows = windows.select("rid", "doc", (F.col("start") + F.col("at")).alias("start"), F.substring("bytes", F.col("at") + 1, F.lit(LENGTH)).alias("window"))
+    least = scratch.save(windows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("last")).where("least <> last").drop("last"), "least")
+    return windows.join(least, "window").where("doc > least").select("rid", "start", (F.col("start") + LENGTH).alias("end"))
+
+
+def earlier_passages(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch, most: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """(source, ranges): documents as (id, rid, text), and the byte ranges (rid, start, end) that earlier documents have.
+
+    ``most`` bounds how many strings of one key a task puts into an array.
+    """
     spark = docs.sparkSession
     src = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     src = src.select("id", F.xxhash64("id", "text").alias("rid"), "text")
@@ -407,16 +487,17 @@ def earlier_passages(docs: DataFrame, id_col: str, text_col: str, scratch: Scrat
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
     _, size = total_bytes(usable, "text")
     parts = max(wide, -(-size // (32 << 20)))
-    hits = scratch.save(_meet_anchors(_anchor_blocks(usable, parts), hot_kinds), "hits")
+    frequent = _frequent_anchors(usable, most)
+    hits = scratch.save(_meet_anchors(_anchor_blocks(usable, parts, frequent)), "hits")
     wanted = hits.where(F.col("kind") != COVERED).select("kind", "rid", "start", "key")
     contexts = scratch.save(_fetch_surroundings(usable, wanted), "contexts")
-    n_open = contexts.where(F.col("kind") == OPEN).count()
-    scanned = _scan_buckets(contexts.where(F.col("kind") == OPEN), max(wide, -(-n_open // 20_000)))
-    hot = contexts.where(F.col("kind") == HOT).select("key", "rid", "doc", "start")
-    least = scratch.save(hot.groupBy("key").agg(F.min("doc").alias("least")), "least")
-    hot = hot.join(least, "key").where("doc > least").select("rid", "start", (F.col("start") + LENGTH).alias("end"))
+    often = contexts.where(F.col("kind") == FREQUENT)
+    too_many = scratch.save(often.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key"), "too-many")
+    arrays = contexts.where(F.col("kind") == OPEN).union(often.join(too_many, "key", "left_anti").select(*contexts.columns))
+    scanned = _scan_buckets(arrays, max(wide, -(-contexts.count() // 20_000)))
+    equal = _equal_windows(often.join(too_many, "key", "left_semi").select(*contexts.columns), scratch)
     covered = hits.where(F.col("kind") == COVERED).select("rid", "start", "end")
-    return src, covered.union(scanned).union(hot)
+    return src, covered.union(scanned).union(equal)
 
 
 def _with_ranges(src: DataFrame, ranges: DataFrame) -> DataFrame:

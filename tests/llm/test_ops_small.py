@@ -206,9 +206,9 @@ def test_dominance_reduction_keeps_the_optimum():
 
 
 def test_passages(docs, empty):
-    for hot in (4096, 2):
+    for most in (4096, 12, 2):
         scratch = suffix_dedup.Scratch(docs.sparkSession, "t")
-        src, ranges = suffix_dedup.earlier_passages(docs, "doc_id", "text", scratch, hot_kinds=hot)
+        src, ranges = suffix_dedup.earlier_passages(docs, "doc_id", "text", scratch, most=most)
         masks = {r.rid: r.cut for r in ranges.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("cut")).collect()}
         got = {r.id: masks.get(r.rid, []) for r in src.collect()}
         want = brute_masks(texts())
@@ -536,3 +536,21 @@ def test_shards_of_two_writers(spark, docs, tmp_path):
     assert store.read().where("extra = 1.5 and text is null").count() == len(corpus()) and store.read().where("extra is null").count() == 2 * len(corpus())
     with pytest.raises(ValueError):
         store.append(docs.select(F.lit("x").alias("doc_id")))
+
+
+def test_passages_around_one_frequent_anchor(spark):
+    """One phrase of 60 bytes, and one of 49, stand in 5,200 documents, each time among other words."""
+    rnd = random.Random(8)
+    odd = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    phrase, short = odd(60), odd(49)
+    rows = {i: f"{odd(40)}{phrase if i % 2 else short}{odd(40)}" for i in range(5200)}
+    rows[5201] = odd(10) + rows[17][20:90] + odd(10)
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(6)
+    want = brute_masks(rows)
+    for most in (4096, 600):
+        src, ranges = suffix_dedup.earlier_passages(df, "doc_id", "text", suffix_dedup.Scratch(spark, "t"), most=most)
+        got = {i: np.zeros(len(t), bool) for i, t in rows.items()}
+        for r in ranges.join(src.select("rid", "id"), "rid").collect():
+            got[r.id][r.start : r.end] = True
+        assert all((got[i] == want[i]).all() for i in rows)
+    assert suffix_dedup._frequent_anchors(df.select("text"), 600).any()
