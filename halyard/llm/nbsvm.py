@@ -4,7 +4,7 @@ Indicators of hashed n-grams (bytes and words) are scaled by the log of the rati
 linear hinge-loss model is fit on them by dual coordinate descent, and margins become probabilities by a logistic
 curve fit on rows that the model did not see.
 
-The model is fit on a bounded sample: about ``fit_rows`` labelled rows, picked by a hash of the id. Scoring takes every row.
+The model is fit on a bounded sample: at most ``fit_rows`` labelled rows, picked by a hash of the id. Scoring takes every row.
 
 Defined cases: a null or empty text has no features and gets the score of the bias alone; labels that are null are not
 used; several labels of one id count as their largest; with fewer than two classes in the sample, every score is that
@@ -22,38 +22,43 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, byte_slices, mix64
+from .common import U64, Scratch, byte_slices, mix64
 
 _K = U64(0x9E3779B97F4A7C15)
 
 
 def features_of(text: bytes | None, bits: int) -> np.ndarray:
-    """Distinct hashed features of a text: 2-, 3- and 4-byte n-grams, words, and word pairs."""
+    """Sorted distinct hashed features of a text: 2-, 3- and 4-byte n-grams, words, and word pairs."""
     if not text:
         return np.zeros(0, np.int64)
-    seen = np.zeros(1 << bits, bool)
     shift = U64(64 - bits)
+    found: list[np.ndarray] = []
     b = np.frombuffer(text, np.uint8).astype(U64)
     code = b
     for n in (2, 3, 4):
         if len(b) < n:
             break
         code = code[:-1] | b[n - 1 :] << U64(8 * n - 8)
-        seen[((code + U64(n)) * _K >> shift).astype(np.int64)] = True
+        found.append((code + U64(n)) * _K >> shift)
     words = text.split()
     if words:
         numbers: dict[bytes, int] = {}
         ids = [numbers.setdefault(w, len(numbers)) for w in words]
         codes = np.fromiter(map(_WORD_CODES.__getitem__, numbers), U64, len(numbers))
-        seen[(codes >> shift).astype(np.int64)] = True
         at = np.array(ids)
         pair = mix64(codes[at[:-1]] * U64(3) + codes[at[1:]])
-        seen[(pair >> shift).astype(np.int64)] = True
         # how many of the word pairs are a word twice, and how many are new pairs: one indicator for each tenth reached
         doubled = int(10 * (at[:-1] == at[1:]).mean()) if len(at) > 1 else 0
         fresh = int(10 * len(np.unique(pair)) / len(pair)) if len(at) > 1 else 10
         marks = np.array([*range(1, doubled + 1), *range(101 + fresh, 111)], U64)
-        seen[(mix64(marks) >> shift).astype(np.int64)] = True
+        found += [codes >> shift, pair >> shift, mix64(marks) >> shift]
+    if not found:
+        return np.zeros(0, np.int64)
+    every = np.concatenate(found).astype(np.int64)
+    if len(every) < 1 << (bits - 5):  # sorting few codes costs less than a scan of all flags
+        return np.unique(every)
+    seen = np.zeros(1 << bits, bool)
+    seen[every] = True
     return np.flatnonzero(seen)
 
 
@@ -80,13 +85,21 @@ class NBSVM:
 
     ratios: np.ndarray
 
-    def margin(self, features: np.ndarray) -> float:
-        length = float(np.sqrt((self.ratios[features] ** 2).sum()))
-        return float(self.weights[features].sum()) / (length or 1.0) + self.bias
+    def margins(self, rows: list[np.ndarray]) -> np.ndarray:
+        """Distances to the hyperplane of rows of features, each row scaled to length 1."""
+        sizes = np.array([len(x) for x in rows], np.int64)
+        out = np.full(len(rows), self.bias)
+        full = np.flatnonzero(sizes)
+        if len(full):
+            every = np.concatenate([rows[i] for i in full])
+            at = np.cumsum(sizes[full]) - sizes[full]
+            length = np.sqrt(np.add.reduceat(self.ratios[every] ** 2, at))
+            out[full] += np.add.reduceat(self.weights[every], at) / np.where(length > 0, length, 1.0)
+        return out
 
-    def score(self, text: bytes | None) -> float:
-        z = self.slope * self.margin(features_of(text, self.bits)) + self.offset
-        return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+    def scores(self, texts: list[bytes | None]) -> np.ndarray:
+        z = self.slope * self.margins([features_of(t, self.bits) for t in texts]) + self.offset
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
 def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray, bits: int, smooth: float = 1.0) -> np.ndarray:
@@ -173,7 +186,7 @@ def fit_nbsvm(rows: list[np.ndarray], labels: np.ndarray, bits: int, c: float =
     slope, offset = 1.0, 0.0
     if len(train) and labels[train].min() != labels[train].max() and labels[test].min() != labels[test].max():
         part = one(train)
-        slope, offset = _logistic(np.array([part.margin(rows[i]) for i in test]), labels[test])
+        slope, offset = _logistic(part.margins([rows[i] for i in test]), labels[test])
     return replace(one(order), slope=slope, offset=offset)
 
 
@@ -183,25 +196,27 @@ def held_out(id_col: str) -> Column:
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = 5_000, bits: int = 18) -> NBSVM:
-    """Fits on about ``fit_rows`` labelled rows that are not held out: the bound on what is broadcast and collected.
+    """Fits on at most ``fit_rows`` labelled rows that are not held out: the bound on what is broadcast and collected.
 
-    Labels are thinned by a hash of the id to the bound first, and only their texts are read out of ``docs``.
+    Labelled ids come in the order of a hash, then rows of ``docs`` with these ids and different texts do, and both stop at the
+    bound; only the texts of these are read. The bound holds for ids that very many rows repeat, too.
     """
+    scratch = Scratch(docs.sparkSession, "labels")
     usable = labels.where(~held_out(id_col) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     usable = usable.groupBy(F.col(id_col).alias("label_id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
-    n = usable.count()
-    if n > fit_rows:
-        usable = usable.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) < int(fit_rows / n * (1 << 30)))
-    src = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    src = src.join(F.broadcast(usable), F.col("id") == F.col("label_id")).select("id", "text", "y")
+    usable = scratch.save(usable.orderBy(F.xxhash64("label_id"), "label_id").limit(fit_rows), "ids")
+    src = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    keys = src.join(F.broadcast(usable), F.col("id") == F.col("label_id")).groupBy("id", "h").agg(F.max("y").alias("y"))
+    keys = scratch.save(keys.orderBy(F.xxhash64("id", "h"), "id", "h").limit(fit_rows), "rows")
+    src = src.join(F.broadcast(keys), ["id", "h"]).select("id", "text", "y", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, stop, texts in byte_slices(batch, "text"):
                 feats = [features_of(t, bits).astype(np.int32).tobytes() for t in texts]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), batch.column(2).slice(start, stop - start), pa.array(feats, pa.binary())], names=["id", "y", "x"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, stop - start) for c in (0, 2, 3)), pa.array(feats, pa.binary())], names=["id", "y", "h", "x"])
 
-    got = src.mapInArrow(run, f"id {dict(src.dtypes)['id']}, y int, x binary").toArrow()
+    got = src.mapInArrow(run, f"id {dict(src.dtypes)['id']}, y int, h long, x binary").dropDuplicates(["id", "h"]).toArrow()
     got = got.sort_by([("id", "ascending"), ("x", "ascending")])  # reruns see one order
     rows = [np.frombuffer(x, np.int32) for x in got.column("x").to_pylist()]
     return fit_nbsvm(rows, got.column("y").to_numpy(), bits)
@@ -216,7 +231,7 @@ def score_quality(docs: DataFrame, model: NBSVM, id_col: str = "doc_id", text_co
         m = shared.value
         for batch in batches:
             for start, stop, texts in byte_slices(batch, "text"):
-                s = np.array([m.score(t) for t in texts])
+                s = m.scores(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=["id", "score", "predicted"])
 
     return src.mapInArrow(run, f"id {dict(src.dtypes)['id']}, score double, predicted int").withColumnRenamed("id", id_col)
