@@ -195,14 +195,3 @@ def descriptor(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("p_size")
     bits = F.greatest(F.lit(1), F.least(F.lit(16), s))
     return table(spark, sf_dir, "part").select("p_partkey", F.greatest(F.lit(0), s - 10).alias("n_rows"), F.greatest(F.lit(1), s % 3).alias("samples"), bits.alias("bits_stored"), F.least(bits - 1, F.lit(11)).alias("high_bit"))
-
-
-@query(
-    "syntax_suitable",
-    "SELECT p_partkey, CASE WHEN p_size <= 8 THEN 'jpeg-baseline' WHEN p_size <= 12 AND p_partkey % 2 = 0 THEN 'jpeg-extended' WHEN p_size <= 16 THEN 'jpeg-lossless' ELSE 'raw' END AS syntax FROM part",
-)
-def syntax_suitable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The compression that a bit depth and signedness allow."""
-    bits, unsigned = F.col("p_size"), F.col("p_partkey") % 2 == 0
-    syntax = F.when(bits <= 8, "jpeg-baseline").when((bits <= 12) & unsigned, "jpeg-extended").when(bits <= 16, "jpeg-lossless").otherwise("raw")
-    return table(spark, sf_dir, "part").select("p_partkey", syntax.alias("syntax"))
