@@ -62,6 +62,8 @@ def _member(x: Column, kind: str, params: Sequence) -> Column:
 
 def _test(op: str, kind: str, params: Sequence):
     masked = unsigned if kind == "uint" else (lambda x: x)
+    if kind == "float" and OPERATORS[op]:
+        params = [F.lit(float(p)).cast("float") for p in params]  # compared in the values' own precision
     if op in ("MEMBER_OF", "NOT_MEMBER_OF"):
         return lambda x: _member(x, kind, params)
     if op in ("RANGE_INCL", "RANGE_EXCL"):

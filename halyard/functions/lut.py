@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -63,38 +64,64 @@ def window_linear(px: Column, window: float | Column, level: float | Column, low
     return F.lit(high + low) - v if inverse else v
 
 
-def window_sigmoid(px: Column, window: float, level: float, low: int, high: int, inverse: bool = False) -> Column:
-    """An S-shaped curve around the level; factor -20/10 as the standard's examples have it."""
-    v = _cut(clamp(half_up(float(high - low) / (1 + F.exp(F.lit(-2.0) * (20.0 / 10.0) * (px - level) / max(1.0, float(window)))) + low), float(low), float(high)))
+def _scaled(raw: Column, ends: tuple[float, float] | None, low: int, high: int, inverse: bool) -> Column:
+    """A curve's value on the output's range. ``ends`` are its values at both edges of the window, if it is normalised to them."""
+    if ends:
+        raw = (raw - (low + ends[0])) * (float(high - low) / abs(ends[1] - ends[0]))
+    v = clamp(half_up(raw + float(low)), float(low), float(high)).cast("long")
     return F.lit(high + low) - v if inverse else v
 
 
-def _normalised(px: Column, window: float, level: float) -> Column:
-    return clamp((px - (level - window / 2.0)) / max(1.0, float(window)), 0.0, 1.0)
+def window_sigmoid(px: Column, window: float, level: float, low: int, high: int, inverse: bool = False, normalised: bool = False) -> Column:
+    """An S-shaped curve around the level; factor -20/10, twice, as the standard's examples have it."""
+    r, w = float(high - low), max(1.0, float(window))
+    ends = (r / (1 + math.exp(2.0)), r / (1 + math.exp(-2.0))) if normalised else None
+    return _scaled(r / (1 + F.exp(-4.0 * (px - level) / w)), ends, low, high, inverse)
 
 
 def window_exponential(px: Column, window: float, level: float, low: int, high: int, inverse: bool = False) -> Column:
-    """e^x over the window's range, scaled to the output."""
-    x = _normalised(px, window, level)
-    v = half_up((F.exp(x * 2.0) - 1) / (F.exp(F.lit(2.0)) - 1) * float(high - low) + low).cast("long")
-    return F.lit(high + low) - v if inverse else v
+    """e^2t, with t from -1/2 to 1/2 over the window, normalised to the window's ends."""
+    r, w = float(high - low), max(1.0, float(window))
+    return _scaled(r * F.exp(2.0 * (px - level) / w), (r * math.exp(-1.0), r * math.exp(1.0)), low, high, inverse)
 
 
 def window_log(px: Column, window: float, level: float, low: int, high: int, inverse: bool = False) -> Column:
-    """ln over the window's range, scaled to the output; nothing at or below zero reaches the logarithm."""
-    x = _normalised(px, window, level)
-    v = half_up(F.ln(x * (F.exp(F.lit(2.0)) - 1) + 1) / 2.0 * float(high - low) + low).cast("long")
+    """ln(2(1 + t)), with t from -1/2 to 1/2 over the window, normalised to the window's ends.
+
+    At t = -1 the output is its lowest value; below, where there is no logarithm, it is 0 or the nearest value to it.
+    """
+    r, w = float(high - low), max(1.0, float(window))
+    x = 1 + (px - level) / w
+    v = _scaled(r * F.ln(F.when(x > 0, 2.0 * x)), (0.0, r * math.log(3.0)), low, high, inverse)
+    none = [max(low, min(high, 0)), low]
+    if inverse:
+        none = [high + low - n for n in none]
+    return F.when(x < 0, F.lit(none[0]).cast("long")).when(x == 0, F.lit(none[1]).cast("long")).otherwise(v)
+
+
+def window_sequence(px: Column, window: float, level: float, entries: list[int], low: int, high: int, inverse: bool = False) -> Column:
+    """A curve given by points: the window is spread over them; a value between two points is interpolated and rounded, then
+    stretched by the output's range over the points' range (their least value is not taken off), rounded and clamped.
+    """
+    n, w = len(entries), max(1.0, float(window))
+    below, above = level - w / 2.0, level + w / 2.0
+    table = F.array(*(F.lit(float(x)) for x in entries))
+    at = F.when(px <= below, 0.0).when(px > above, float(n - 1)).otherwise((px - below) * ((n - 1) / w))
+    down = F.floor(at).cast("int")
+    a, b = F.element_at(table, down + 1), F.element_at(table, F.least(F.ceil(at).cast("int"), F.lit(n - 1)) + 1)
+    value = half_up(a + (at - down) * (b - a))
+    spread = max(entries) - min(entries)
+    if spread:
+        v = clamp(half_up(value * (float(high - low) / spread)), float(low), float(high)).cast("long")
+    else:  # a flat curve has no range to stretch: its lowest value comes out
+        v = F.lit(max(low, min(high, -1 if max(entries) > 0 else 0))).cast("long")
     return F.lit(high + low) - v if inverse else v
 
 
-def window_sequence(px: Column, window: float, level: float, entries: list[int], low: int, high: int) -> Column:
-    """A curve given by points: the window's range is spread over them, values between two points are interpolated, and the result is spread over the output."""
-    n, top = len(entries), max(entries)
-    table = F.array(*(F.lit(float(x)) for x in entries))
-    at = _normalised(px, window, level) * float(n - 1)
-    k = F.floor(at).cast("int")
-    a, b = F.element_at(table, k + 1), F.element_at(table, F.least(k + 2, F.lit(n)))
-    return half_up((a + (b - a) * (at - k)) / float(max(1, top)) * float(high - low) + low).cast("long")
+def value_range(table: Column, bits: int) -> tuple[Column, Column]:
+    """(least value, range) of a table's entries, as unsigned numbers of so many bits."""
+    seen = F.transform(table, lambda v: v.bitwiseAND(F.lit((1 << bits) - 1)))
+    return F.array_min(seen), F.array_max(seen) - F.array_min(seen)
 
 
 def window_parameters(window: Column, level: Column, preset_window: Column, preset_level: Column, low: Column, high: Column) -> tuple[Column, Column, Column, Column]:

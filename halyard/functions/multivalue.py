@@ -19,7 +19,8 @@ def _column(c: Column | str | FunctionType) -> Column:
 class Values:
     """The values of an attribute: columns, their names, or functions that make them (for definitions made before a session starts).
 
-    With scalar columns, tests unfold to plain boolean expressions; arrays use higher-order functions.
+    With scalar columns, tests unfold to plain boolean expressions; arrays use higher-order functions. Of scalar columns, the
+    values are those before the first null: an attribute whose first column is null is absent.
     """
 
     def __init__(self, *cols: Column | str | FunctionType, array: Column | str | FunctionType | None = None):
@@ -38,7 +39,7 @@ class Values:
         return F.coalesce(found, F.lit(False))
 
     def all(self, test: Test) -> Column:
-        found = reduce(lambda a, b: a & b, (F.coalesce(test(c), F.lit(False)) for c in self.cols)) if self.array is None else F.forall(self.array, lambda x: F.coalesce(test(x), F.lit(False)))
+        found = reduce(lambda a, b: a & b, (c.isNull() | F.coalesce(test(c), F.lit(False)) for c in self.cols)) if self.array is None else F.forall(self.array, lambda x: F.coalesce(test(x), F.lit(False)))
         return F.coalesce(found, F.lit(False))
 
     def at(self, number: int | Column) -> Column:
@@ -48,7 +49,13 @@ class Values:
         return F.try_element_at(self.as_array(), number if isinstance(number, Column) else F.lit(number))
 
     def size(self) -> Column:
-        return F.lit(len(self._cols)) if self.array is None else F.coalesce(F.size(self.array), F.lit(0))
+        """How many values are there."""
+        if self.array is not None:
+            return F.coalesce(F.size(self.array), F.lit(0))
+        out = F.lit(len(self._cols))
+        for k, c in reversed(list(enumerate(self.cols))):
+            out = F.when(c.isNull(), k).otherwise(out)
+        return out
 
     def as_array(self) -> Column:
         return F.array(*self.cols) if self.array is None else self.array

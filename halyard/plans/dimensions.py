@@ -35,11 +35,11 @@ def dict_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", F.coalesce("x", "y", F.lit("OTHER")).alias("region"))
 
 
-@query("dict_legacy", "SELECT o_orderkey, n_name AS region FROM orders JOIN nation ON n_nationkey = o_custkey % 25 WHERE o_orderkey % 2 = 0")
+@query("dict_legacy", "SELECT o_orderkey, n_name AS region FROM orders JOIN nation ON n_nationkey = o_custkey % 25")
 def dict_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Legacy text, trimmed, to a dictionary entry."""
     names = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("legacy"))
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").join(names, F.col("o_custkey") % 25 == F.col("n_nationkey"))
+    o = table(spark, sf_dir, "orders").join(names, F.col("o_custkey") % 25 == F.col("n_nationkey"))
     o = o.select("o_orderkey", F.concat(F.lit("  "), F.col("legacy"), F.lit(" ")).alias("text"))
     d = table(spark, sf_dir, "nation").select(F.col("n_name").alias("code"), F.col("n_name").alias("label"))
     return R.look_up(o.withColumn("code", F.trim("text")), "code", [d]).select("o_orderkey", F.col("label").alias("region"))

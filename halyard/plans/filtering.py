@@ -27,6 +27,32 @@ UNSIGNED_SQL = f"(CASE WHEN ({SIGNED_SQL}) < 0 THEN ({SIGNED_SQL}) + 4294967296
 SOME = Values(array=lambda: F.when(F.col("l_linenumber") > 3, F.array(F.col("l_linenumber"), (F.col("l_partkey") % 7).cast("int"))))
 
 
+#: one value or two, and none
+UNEVEN = Values(array=lambda: F.when(F.col("l_linenumber") > 4, F.array(F.col("l_linenumber"), (F.col("l_partkey") % 7).cast("int"))).when(F.col("l_linenumber") > 2, F.array("l_linenumber")))
+_THERE = "l_linenumber > 2"
+
+
+def _absent(absent: bool) -> Column:
+    """A selector of each value kind on scalar attributes that are null on some rows; all must be met."""
+    there = lambda c: Values(lambda: F.when(F.col("l_linenumber") > 2, c()))
+    code = lambda: F.struct(F.col("l_linestatus").alias("value"), F.lit("T").alias("scheme"), F.lit(None).cast("string").alias("version"))
+    kinds = [
+        ("string", there(lambda: F.col("l_returnflag")), "MEMBER_OF", ["A", "N"]),
+        ("int", there(lambda: F.col("l_linenumber")), "LESS_THAN", [6]),
+        ("uint", there(lambda: (-F.col("l_linenumber")).cast("int")), "GREATER_THAN", [5]),
+        ("float", there(lambda: F.col("l_tax").cast("float")), "RANGE_INCL", [0.02, 0.07]),
+        ("double", there(lambda: F.col("l_quantity").cast("double")), "GREATER_OR_EQUAL", [5.0]),
+        ("code", there(code), "MEMBER_OF", [{"value": m, "scheme": "T"} for m in ("F", "X")]),
+    ]
+    out = F.lit(True)
+    for kind, values, op, params in kinds:
+        out = out & hanging.value_selector(values, op, params, kind, absent=absent)
+    return out
+
+
+_SIX = "l_returnflag IN ('A', 'N') AND l_linenumber < 6 AND CAST(l_tax AS FLOAT) >= 0.02 AND CAST(l_tax AS FLOAT) <= 0.07 AND l_quantity >= 5 AND l_linestatus IN ('F', 'X')"
+
+
 def _all(cond: str, of: str = LIST) -> str:
     return f"len(list_filter({of}, lambda x: NOT ({cond}))) = 0"
 
@@ -57,12 +83,22 @@ CASES: dict[str, tuple[Callable[[], Column], str]] = {
     "hp_presence_not": (lambda: hanging.presence_selector(SOME, "NOT_PRESENT"), "NOT (l_linenumber > 3)"),
     "hp_absent_default_true": (lambda: hanging.value_selector(SOME, "GREATER_THAN", [3], "int", absent=True), "CASE WHEN l_linenumber > 3 THEN l_partkey % 7 > 3 ELSE true END"),
     "hp_absent_default_false": (lambda: hanging.value_selector(SOME, "MEMBER_OF", [5, 6], "int", absent=False), "CASE WHEN l_linenumber > 3 THEN l_linenumber IN (5,6) OR l_partkey % 7 IN (5,6) ELSE false END"),
-    "hp_short_default": (lambda: hanging.value_selector(SOME, "LESS_THAN", [3], "int", 3, absent=True), "true"),
+    "hp_short_default": (lambda: hanging.value_selector(UNEVEN, "LESS_THAN", [3], "int", 2, absent=True), "CASE WHEN l_linenumber > 4 THEN l_partkey % 7 < 3 ELSE true END"),
+    "hp_absent_scalar_true": (lambda: _absent(True), f"CASE WHEN {_THERE} THEN {_SIX} ELSE true END"),
+    "hp_absent_scalar_false": (lambda: _absent(False), f"CASE WHEN {_THERE} THEN {_SIX} ELSE false END"),
+    "hp_absent_not_member": (
+        lambda: hanging.value_selector(Values(lambda: F.when(F.col("l_linenumber") > 2, F.col("l_returnflag"))), "NOT_MEMBER_OF", ["A", "X"], "string", absent=False),
+        "CASE WHEN l_linenumber > 2 THEN l_returnflag NOT IN ('A', 'X') ELSE false END",
+    ),
+    "hp_absent_trailing": (
+        lambda: hanging.value_selector(Values("l_linenumber", lambda: F.when(F.col("l_partkey") % 2 == 0, (F.col("l_suppkey") % 9).cast("int"))), "LESS_THAN", [5], "int", absent=False),
+        "l_linenumber < 5 AND (l_partkey % 2 = 1 OR l_suppkey % 9 < 5)",
+    ),
     "hp_frame_index": (
         lambda: hanging.value_selector(INTS, "LESS_THAN", [5], "int", "frame", absent=True, frame=F.col("l_linenumber")),
         f"CASE WHEN l_linenumber <= 3 THEN ({INT_LIST})[l_linenumber] < 5 ELSE true END",
     ),
-    "hp_frame_index_text": (lambda: hanging.value_selector(FLAGS, "MEMBER_OF", ["A"], "string", "frame", absent=False, frame=F.col("l_linenumber")), "false"),
+    "hp_frame_index_text": (lambda: hanging.value_selector(FLAGS, "MEMBER_OF", ["A"], "string", "frame", absent=False, frame=F.col("l_linenumber")) | (F.col("l_linenumber") == 2), "l_linenumber = 2"),
     "hp_image_plane": (
         lambda: hanging.image_plane(F.when(F.col("l_linenumber") > 1, F.array(F.col("l_discount") * 10, F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(0.0))), F.array("l_returnflag", "l_linestatus"), ["TRANSVERSE", "CORONAL"]),
         "CASE WHEN l_linenumber > 1 THEN abs(l_discount * 10) > 0.9 ELSE CASE WHEN l_returnflag IN ('A','R') AND l_linestatus = 'F' THEN l_returnflag = 'R' ELSE true END END",

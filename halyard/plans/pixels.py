@@ -30,19 +30,23 @@ def _per_image(name: str, value: Callable[[], Column], sql: str) -> None:
     query(name, f"SELECT vec_id, CAST(sum(v) AS BIGINT) AS total, min(v) AS low, max(v) AS high FROM (SELECT vec_id, CAST({sql} AS BIGINT) AS v FROM {_PIXELS_SQL}) GROUP BY 1")(run)
 
 
-_ROUND = "floor(({0}) + 0.5)"
-_NORM = "greatest(0.0, least(1.0, (px - ({0} - {1} / 2.0)) / {1}))"
 _per_image("lut_rescale", lambda: L.rescale(F.col("px"), 2.5, -100.0, 12, True), "greatest(-2048, least(2047, floor(px * 2.5 - 100 + 0.5)))")
 _per_image("lut_rescale_inverse", lambda: L.rescale(F.col("px"), 0.5, 10.0, 8, False, inverse=True), "255 - greatest(0, least(255, floor(px * 0.5 + 10 + 0.5)))")
 _per_image("lut_voi_linear", lambda: L.window_linear(F.col("px"), 400.0, 50.0, 0, 255), "trunc(greatest(0.0, least(255.0, px * (255.0::DOUBLE / 400.0::DOUBLE) + (255.0::DOUBLE - 255.0::DOUBLE / 400.0::DOUBLE * (50.0::DOUBLE + 400.0::DOUBLE / 2)))))")
 _per_image("lut_voi_sigmoid", lambda: L.window_sigmoid(F.col("px"), 400.0, 50.0, 0, 255), "trunc(greatest(0.0, least(255.0, floor(255.0::DOUBLE / (1 + exp(-2.0::DOUBLE * 2.0 * (px - 50.0::DOUBLE) / 400.0)) + 0.5))))")
-_per_image("lut_voi_exp", lambda: L.window_exponential(F.col("px"), 400.0, 50.0, 0, 255), f"floor((exp({_NORM.format('50.0::DOUBLE', '400.0::DOUBLE')} * 2.0) - 1) / (exp(2.0::DOUBLE) - 1) * 255 + 0.5)")
-_per_image("lut_voi_log", lambda: L.window_log(F.col("px"), 400.0, 50.0, 0, 255), f"floor(ln({_NORM.format('50.0::DOUBLE', '400.0::DOUBLE')} * (exp(2.0::DOUBLE) - 1) + 1) / 2.0 * 255 + 0.5)")
-_CURVE = [0, 10, 40, 160, 200]
-_AT = f"({_NORM.format('0.0::DOUBLE', '300.0::DOUBLE')} * 4)"
-_A = f"(CAST([0, 10, 40, 160, 200] AS DOUBLE[]))[CAST(floor({_AT}) AS INT) + 1]"
-_B = f"(CAST([0, 10, 40, 160, 200] AS DOUBLE[]))[least(CAST(floor({_AT}) AS INT) + 2, 5)]"
-_per_image("lut_voi_seq", lambda: L.window_sequence(F.col("px"), 300.0, 0.0, _CURVE, 0, 255), f"floor(({_A} + ({_B} - {_A}) * ({_AT} - floor({_AT}))) / 200 * 255 + 0.5)")
+#: between the values of the curves at the window's ends, computed by the formulas of the specification: t = (px - level) / window
+_T = "((px - 50.0::DOUBLE) / 400.0::DOUBLE)"
+_NORMED = "greatest(0, least(255, floor(255.0::DOUBLE * (({0}) - ({1})) / (({2}) - ({1})) + 0.5)))"
+_per_image("lut_voi_exp", lambda: L.window_exponential(F.col("px"), 400.0, 50.0, 0, 255), _NORMED.format(f"exp(2 * {_T})", "exp(-1.0::DOUBLE)", "exp(1.0::DOUBLE)"))
+_per_image("lut_voi_log", lambda: L.window_log(F.col("px"), 400.0, 50.0, 0, 255), f"CASE WHEN 1 + {_T} <= 0 THEN 0 ELSE {_NORMED.format(f'ln(CASE WHEN 1 + {_T} > 0 THEN 2 * (1 + {_T}) ELSE 1 END)', 'ln(1.0::DOUBLE)', 'ln(3.0::DOUBLE)')} END")
+_per_image("lut_voi_log_signed", lambda: L.window_log(F.col("px"), 400.0, 50.0, -128, 127), f"CASE WHEN 1 + {_T} < 0 THEN 0 WHEN 1 + {_T} = 0 THEN -128 ELSE greatest(-128, least(127, floor((255.0::DOUBLE * ln(CASE WHEN 1 + {_T} > 0 THEN 2 * (1 + {_T}) ELSE 1 END) + 128) / ln(3.0::DOUBLE) - 128 + 0.5))) END")
+_per_image("lut_voi_sigmoid_norm", lambda: L.window_sigmoid(F.col("px"), 400.0, 50.0, 0, 255, normalised=True), _NORMED.format(f"1 / (1 + exp(-4 * {_T}))", "1 / (1 + exp(2.0::DOUBLE))", "1 / (1 + exp(-2.0::DOUBLE))"))
+_per_image("lut_voi_sigmoid_inverse", lambda: L.window_sigmoid(F.col("px"), 400.0, 50.0, 0, 255, inverse=True), "255 - greatest(0.0, least(255.0, floor(255.0::DOUBLE / (1 + exp(-4.0::DOUBLE * (px - 50.0::DOUBLE) / 400.0)) + 0.5)))")
+_CURVE = [20, 30, 60, 180, 220]
+_AT = "(CASE WHEN px <= -150 THEN 0.0::DOUBLE WHEN px > 150 THEN 4.0::DOUBLE ELSE (px + 150) * (4.0::DOUBLE / 300) END)"
+_POINT = "([20, 30, 60, 180, 220])[CAST({0} AS INT) + 1]"
+_A, _B = _POINT.format(f"floor({_AT})"), _POINT.format(f"ceil({_AT})")
+_per_image("lut_voi_seq", lambda: L.window_sequence(F.col("px"), 300.0, 0.0, _CURVE, 0, 255), f"least(255, floor(floor({_A} + ({_AT} - floor({_AT})) * ({_B} - {_A}) + 0.5) * (255.0::DOUBLE / 200) + 0.5))")
 _per_image("mask_fill", lambda: F.when((F.col("x") >= 8) & (F.col("x") < 24) & (F.col("vec_id") % 16 < 8), F.lit(0).cast("long")).otherwise(F.col("px")), "CASE WHEN x >= 8 AND x < 24 AND vec_id % 16 < 8 THEN 0 ELSE px END")
 _per_image("crop_region", lambda: F.when(F.col("x").between(16, 47), F.col("px")), "CASE WHEN x BETWEEN 16 AND 47 THEN px END")
 
@@ -102,10 +106,10 @@ def wl_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").where("p_size > 8").withColumn("modality", modality).join(presets, "modality").select("p_partkey", "name", "w", "l")
 
 
-@query("overlay_bits", "SELECT p_partkey, count(*) AS bits FROM (SELECT p_partkey, generate_series AS i, ascii(p_name[CAST(generate_series // 8 AS INT) + 1]) AS b FROM part, generate_series(0, 31)) WHERE (b >> CAST(i % 8 AS INT)) & 1 = 1 GROUP BY 1")
+@query("overlay_bits", "SELECT p_partkey, count(*) AS bits FROM (SELECT p_partkey, i, ascii(p_name[CAST(i // 8 AS INT) + 1]) AS b FROM (SELECT p_partkey, p_name, unnest(range(0, 8 * length(p_name))) AS i FROM part)) WHERE (b >> CAST(i % 8 AS INT)) & 1 = 1 GROUP BY 1")
 def overlay_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed overlay bits, the lowest of a byte first."""
-    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").cast("binary").alias("data"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("i"))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").cast("binary").alias("data"), F.explode(F.sequence(F.lit(0), 8 * F.length("p_name") - 1)).alias("i"))
     return p.where(L.overlay_bit(F.col("data"), F.col("i")) == 1).groupBy("p_partkey").agg(F.count(F.lit(1)).alias("bits"))
 
 
@@ -113,17 +117,6 @@ def _gray(k: int) -> Column:
     return (F.col("p_partkey") * k % 256).cast("double")
 
 
-@query("rgb_lab_roundtrip", "SELECT p_partkey, true AS same FROM part")
-def rgb_lab_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Colours to CIELab and back come within two steps."""
-    rgb = [_gray(k) for k in (1, 7, 31)]
-    lab = L.rgb_to_lab(*rgb)
-    p = table(spark, sf_dir, "part").select("p_partkey", *(c.alias(f"c{i}") for i, c in enumerate(rgb)), *(c.cast("double").alias(f"l{i}") for i, c in enumerate(lab)))
-    back = L.lab_to_rgb(*(F.col(f"l{i}") for i in range(3)))
-    near = F.greatest(*(F.abs(b - F.col(f"c{i}")) for i, b in enumerate(back))) <= 2
-    return p.select("p_partkey", near.alias("same"))
-
-
 _SQL_LAB_L = "CAST(floor((116 * (CASE WHEN y > 0.008856451679035631 THEN pow(y, 1.0/3) ELSE y / (3 * pow(6.0/29, 2)) + 16.0/116 END) - 16) * 655.35 + 0.5) AS BIGINT)"
 
 
