@@ -1,11 +1,9 @@
-"""Keyed digests. HMAC is composed from built-in functions; only the 128-bit decimal of a pseudonym needs Python."""
+"""Keyed digests, composed from built-in functions."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def key_bytes(text: str) -> bytes:
@@ -42,19 +40,30 @@ def scale_hash(c: Column, key: bytes, low: int, high: int) -> Column:
     return (fraction * (high - low)).cast("int") + low
 
 
-@F.pandas_udf(T.StringType())
-def _decimal_uid(digests: pd.Series) -> pd.Series:
-    def one(h: str | None) -> str | None:
-        if h is None:
-            return None
-        n = int(h[:32], 16)
-        n = n & ~(0xF << 76) | 4 << 76  # version 4
-        n = n & ~(0x3 << 62) | 0x2 << 62  # variant 10
-        return f"2.25.{n}"
+_BASE = 1_000_000_000
 
-    return digests.map(one)
+
+def decimal_of(digits: Column) -> Column:
+    """The decimal digits of 32 hexadecimal ones: 32 bits at a time are added to limbs of nine decimal digits."""
+    words = F.transform(F.sequence(F.lit(1), F.lit(25), F.lit(8)), lambda i: F.conv(F.substring(digits, i, F.lit(8)), 16, 10).cast("long"))
+
+    def take(limbs: Column, word: Column) -> Column:
+        def limb(state: Column, x: Column) -> Column:
+            full = x * F.lit(1 << 32) + state["carry"]
+            whole = F.call_function("div", full, F.lit(_BASE).cast("long"))
+            return F.struct(F.concat(state["out"], F.array(F.pmod(full, F.lit(_BASE).cast("long")))).alias("out"), whole.alias("carry"))
+
+        start = F.struct(F.array().cast("array<bigint>").alias("out"), word.alias("carry"))
+        return F.aggregate(limbs, start, limb, lambda s: s["out"])
+
+    zero = F.array(*[F.lit(0).cast("long")] * 5)
+    limbs = F.aggregate(words, zero, take)
+    padded = F.transform(F.reverse(limbs), lambda x: F.lpad(x.cast("string"), 9, "0"))
+    return F.when(digits.isNotNull(), F.regexp_replace(F.array_join(padded, ""), "^0+(?=.)", ""))
 
 
 def uid_hash(c: Column, key: bytes) -> Column:
-    """A pseudonym of an identifier: the first 16 bytes of its digest as a random-type UUID under 2.25; blank gives null."""
-    return _decimal_uid(F.when(F.length(F.trim(c)) > 0, hmac_hex(c, key)))
+    """A pseudonym of an identifier: the first 16 bytes of its digest as a random-type UUID (version 4, variant 10) under 2.25; blank gives null."""
+    h = F.when(F.length(F.trim(c)) > 0, hmac_hex(c, key))
+    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    return F.concat(F.lit("2.25."), decimal_of(F.concat(F.substring(h, 1, 12), F.lit("4"), F.substring(h, 14, 3), variant, F.substring(h, 18, 15))))

@@ -218,7 +218,7 @@ def shutter_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places inside rectangular, circular and polygonal shutters; those without an area don't count."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
     for name in ("y", "x"):
-        p = p.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(19))) + 0.3)
+        p = p.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn(name, F.col(name) + 0.3)
     s, point = F.col("p_size"), lambda r, c: F.struct(r.alias("row"), c.alias("column"))
     side = F.when(s % 6 >= 3, s % 6).otherwise(0)
     rectangle = F.struct(F.lit(18).alias("left"), F.lit(15).alias("top"), F.when(s % 4 == 0, 18).otherwise(2).alias("right"), F.lit(1).alias("bottom"))

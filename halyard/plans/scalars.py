@@ -167,17 +167,34 @@ def header_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 KEY = H.key_bytes("00112233-4455-6677-8899-aabbccddeeff")
 
 
-@query("hmac_hex")
+def hmac_sql(text: str) -> str:
+    """The keyed digest by its definition: a digest over the outer pad and the digest over the inner pad and the text."""
+    inner, outer = (bytes(b ^ pad for b in KEY.ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({text}))))"
+
+
+def _number_sql(digits: str) -> str:
+    return f"list_reduce(list_transform(range(1, CAST(length({digits}) AS BIGINT) + 1), lambda i: (instr('0123456789abcdef', {digits}[i]) - 1)::UHUGEINT), lambda a, b: a * 16 + b)"
+
+
+def uid_sql(text: str) -> str:
+    """The first 128 bits of the digest with version 4 and variant 10 set, as a decimal number."""
+    n = f"{_number_sql(f'{hmac_sql(text)}[1:32]')}"
+    version, variant = "(1::UHUGEINT << 76)", "(1::UHUGEINT << 62)"
+    return f"'2.25.' || (({n}) & ~(15 * {version}) & ~(3 * {variant}) | (4 * {version}) | (2 * {variant}))"
+
+
+@query("hmac_hex", f"SELECT c_custkey, {hmac_sql('c_name')} AS digest FROM customer")
 def hmac_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", H.hmac_hex(F.col("c_name"), KEY).alias("digest"))
 
 
-@query("hmac_uid")
+@query("hmac_uid", f"SELECT o_orderkey, {uid_sql(chr(39) + '1.2.' + chr(39) + ' || o_orderkey')} AS uid FROM orders")
 def hmac_uid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudonyms of identifiers."""
     return table(spark, sf_dir, "orders").select("o_orderkey", H.uid_hash(F.concat(F.lit("1.2."), F.col("o_orderkey")), KEY).alias("uid"))
 
 
-@query("hmac_scale")
+@query("hmac_scale", f"SELECT c_custkey, CAST(trunc({_number_sql(hmac_sql('c_name') + '[1:12]')}::DOUBLE / 281474976710656.0::DOUBLE * 61) AS INT) - 30 AS shift FROM customer")
 def hmac_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", H.scale_hash(F.col("c_name"), KEY, -30, 31).alias("shift"))

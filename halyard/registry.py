@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Plan modules register their queries when they are imported."""
-    from halyard.plans import benchmarks, dimensions, display, filtering, finding, manifests, ordering, parsing, pixels, scalars, transfer  # noqa: F401
+    from halyard.plans import attributes, benchmarks, dimensions, display, filtering, finding, manifests, ordering, parsing, pixels, scalars, transfer  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
