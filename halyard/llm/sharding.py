@@ -147,7 +147,7 @@ class ShardStore:
                 continue
 
     def plan(self, version: int) -> DataFrame:
-        """(path, tier): the live shards that the next round merges.
+        """(path, tier, bytes): the live shards that the next round merges.
 
         These are the unfinished shards of each tier that has a long enough run of them, or a run that fills a good part of a file;
         lower tiers go first where a round can't take all.
@@ -156,15 +156,23 @@ class ShardStore:
         live = self.manifest(version).where(F.col("bytes") < t.full_share * t.target_bytes)
         runs = live.groupBy("tier").agg(F.count(F.lit(1)).alias("run"), F.sum("bytes").alias("size"))
         runs = runs.where((F.col("run") > 1) & ((F.col("run") >= t.least_run) | (F.col("size") >= t.full_share * t.target_bytes)))
-        return live.join(runs.select("tier"), "tier", "left_semi").orderBy("tier", "bytes", "path").limit(t.round_shards).select("path", "tier")
+        return live.join(runs.select("tier"), "tier", "left_semi").orderBy("tier", "bytes", "path").limit(t.round_shards).select("path", "tier", "bytes")
 
-    def _packing_session(self) -> SparkSession:
-        """A session whose scans put whole files together up to the target size, one task for a merged file."""
+    def _packed(self, paths: list[str], size: int, schema: T.StructType) -> DataFrame:
+        """The rows of shards of ``size`` bytes together, one task for a merged file.
+
+        A session of its own lets scans put whole files together up to the target size. Where that setting can't be changed,
+        the scan's tasks are put together by number.
+        """
+        target = self.tiering.target_bytes
         session = self.spark.newSession()
-        session.conf.set("spark.sql.files.maxPartitionBytes", str(self.tiering.target_bytes))
-        session.conf.set("spark.sql.files.openCostInBytes", "0")
-        session.conf.set("spark.sql.files.minPartitionNum", "1")
-        return session
+        settings = {"spark.sql.files.maxPartitionBytes": str(target), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+        for key, value in settings.items():
+            session.conf.set(key, value)
+        rows = session.read.schema(schema).parquet(*paths)
+        if any(session.conf.get(key) != value for key, value in settings.items()):
+            rows = rows.coalesce(max(1, math.ceil(size / target)))
+        return rows
 
     def compact(self) -> int | None:
         """One round of merges; returns the new version, or None if no tier has a run to merge."""
@@ -175,8 +183,10 @@ class ShardStore:
         if len(chosen) < 2:
             return None
         schema = self._schema(base)
-        packing = self._packing_session()
-        tiers = [packing.read.schema(schema).parquet(*(r["path"] for r in chosen if r["tier"] == tier)) for tier in sorted({r["tier"] for r in chosen})]
+        tiers = []
+        for tier in sorted({r["tier"] for r in chosen}):
+            run = [r for r in chosen if r["tier"] == tier]
+            tiers.append(self._packed([r["path"] for r in run], sum(r["bytes"] for r in run), schema))
         folder = f"{self.root}/shards/{uuid.uuid4().hex}"
         functools.reduce(DataFrame.union, tiers).write.option("compression", "zstd").parquet(folder)
         gone = self.spark.createDataFrame([(r["path"],) for r in chosen], "path string")
@@ -187,6 +197,9 @@ class ShardStore:
                 self._fs.delete(self._path(folder), True)  # another compaction has merged some of them: start again
                 return self.compact()
             merged = self._shards_under(folder, schema, now + 1)
+            if merged.count() >= len(chosen):  # nothing is gained, and another round would not gain more
+                self._fs.delete(self._path(folder), True)
+                return None
             try:
                 return self._commit(now, old.join(gone, "path", "left_anti").unionByName(merged), self._schema(now))
             except VersionConflict:

@@ -554,3 +554,90 @@ def test_passages_around_one_frequent_anchor(spark):
             got[r.id][r.start : r.end] = True
         assert all((got[i] == want[i]).all() for i in rows)
     assert suffix_dedup._frequent_anchors(df.select("text"), 600).any()
+
+
+def test_shards_where_the_scan_can_not_be_set(spark, docs, tmp_path, monkeypatch):
+    """With a session that holds small scan tasks, merges end and make files of the target size all the same."""
+    tiering = sharding.Tiering(target_bytes=12_000, base_bytes=1_000, least_run=3, arrival_rows=10)
+    store = sharding.ShardStore(spark, str(tmp_path / "h"), tiering)
+    held = type(spark.conf).set
+    monkeypatch.setattr(type(spark.conf), "set", lambda self, key, value: held(self, key, "2000" if key.endswith("maxPartitionBytes") else value))
+    store.append(docs)
+    before = store.manifest().count()
+    sharding.compact_fully(store)
+    live = store.manifest().collect()
+    assert len(live) < before / 3 and store.compact() is None
+    assert sorted(map(str, store.read().collect())) == sorted(map(str, docs.collect()))
+
+
+def brute_features(text, bits):
+    """The classifier's features of a text, one at a time."""
+    k, full = int(nbsvm._K), (1 << 64) - 1
+    out = set()
+    for n in (2, 3, 4):
+        for i in range(len(text) - n + 1):
+            code = int.from_bytes(text[i : i + n], "little")
+            out.add(((code + n) * k & full) >> (64 - bits))
+    words = text.split()
+    codes = [nbsvm._WORD_CODES[w] for w in words]
+    mix = lambda x: int(nbsvm.mix64(np.array([x & full], np.uint64))[0])
+    pairs = [mix(3 * a + b) for a, b in itertools.pairwise(codes)]
+    doubled = int(10 * np.mean([a == b for a, b in itertools.pairwise(words)])) if pairs else 0
+    fresh = int(10 * len(set(pairs)) / len(pairs)) if pairs else 10
+    marks = [mix(x) for x in (*range(1, doubled + 1), *range(101 + fresh, 111))] if words else []
+    return out | {x >> (64 - bits) for x in (*codes, *pairs, *marks)}
+
+
+def test_classifier_features_ratios_and_scores_equal_brute_force():
+    rnd = random.Random(5)
+    texts_ = [" ".join(rnd.choice(["ab", "cde", "f", "é", "ab"]) for _ in range(rnd.randint(1, 9))).encode() for _ in range(30)] + [b" ", b"x", b"word " * 3000]
+    bits = 12
+    rows = [nbsvm.features_of(t, bits) for t in texts_]
+    for t, x in zip(texts_, rows, strict=True):
+        assert x.tolist() == sorted(brute_features(t, bits))
+    y = np.array([len(t) % 2 for t in texts_])
+    ratios = nbsvm.log_count_ratios(rows, y, bits)
+    for f in range(0, 1 << bits, 37):
+        share = [(1 + sum(f in set(x.tolist()) for x, c in zip(rows, y, strict=True) if c == k)) / ((1 << bits) + sum(len(x) for x, c in zip(rows, y, strict=True) if c == k)) for k in (1, 0)]
+        assert abs(ratios[f] - np.log(share[0] / share[1])) < 1e-9
+    model = nbsvm.fit_nbsvm(rows, y, bits)
+    for t, s in zip(texts_, model.scores(texts_), strict=True):
+        x = sorted(brute_features(t, bits))
+        norm = sum(model.ratios[f] ** 2 for f in x) ** 0.5 or 1.0
+        z = model.slope * (sum(model.weights[f] for f in x) / norm + model.bias) + model.offset
+        assert abs(s - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_classifier_bound_holds_for_repeated_ids(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 3 + 1, f"text {i} {'good' if i % 2 else 'bad'}") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0), (6, 1)], "doc_id long, quality int")
+    seen = []
+    fit = nbsvm.fit_nbsvm
+    monkeypatch.setattr(nbsvm, "fit_nbsvm", lambda rows, *a: seen.append(len(rows)) or fit(rows, *a))
+    nbsvm.train_quality(docs.union(docs), labels, fit_rows=50)
+    assert seen == [50]
+
+
+def test_language_counts_equal_brute_force(spark):
+    """Counts by language and the filters' masks against plain sets; filters may only let more through, at the rate they state."""
+    rnd = random.Random(6)
+    alphabet = {"aa": "abcde", "bb": "defgh", "cc": "ghijk"}
+    rows = [(i, " ".join("".join(rnd.choice(alphabet[lang]) for _ in range(rnd.randint(2, 9))) for _ in range(60)), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 20)]
+    model = language_id.fit_language_filter(spark.createDataFrame(rows, "doc_id long, text string, lang string"), bits=16)
+    grams = lambda t: [b[i : i + 5] for b in [b" " + t.encode() + b" "] for i in range(len(b) - 4)]
+    times = {lang: collections.Counter(g for _, t, x in rows if x == lang for g in grams(t)) for lang in alphabet}
+    total = {lang: sum(len(t.encode()) for _, t, x in rows if x == lang) for lang in alphabet}
+    rate = lambda g, lang: times[lang][g] / total[lang] if times[lang][g] >= 3 else 0.0
+    holds = {lang: {g for g in times[lang] if rate(g, lang) >= 0.3 * max(rate(g, x) for x in alphabet) > 0} for lang in alphabet}
+    texts_ = [t for _, t, _ in rows]
+    counts, n = model.counts(texts_)
+    rates = model.false_rates()
+    over = 0
+    for k, t in enumerate(texts_):
+        assert n[k] == len(grams(t))
+        for j, lang in enumerate(model.languages):
+            want = sum(g in holds[lang] for g in grams(t))
+            assert counts[k, j] >= want
+            over += counts[k, j] - want
+    assert over <= 3 * rates.max() * n.sum() * 3 + 10
+    assert model.predict(texts_, rates)[0] == [x for _, _, x in rows]
