@@ -32,20 +32,29 @@ def gates(digest: tuple[str, str], quality: tuple[str, str], speed: tuple[str, s
     }
 
 
-def _ranked(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def _at_rank(df: DataFrame, keys: Sequence[str], value: str, at: Column, name: str) -> DataFrame:
+    """The value at a 0-based rank, an expression of the group's size ``_n``.
+
+    Rows are counted by value first, before the shuffle, so that a group is as large as its number of different values.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_times"))
     w = Window.partitionBy(*keys)
-    df = df.where(F.col(value).isNotNull()).select(*keys, value)
-    return df.withColumn("_at", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    counts = counts.withColumn("_n", F.sum("_times").over(w)).withColumn("_upto", F.sum("_times").over(w.orderBy(value)))
+    return counts.where((F.col("_upto") > at) & (F.col("_upto") - F.col("_times") <= at)).select(*keys, F.col(value).alias(name))
 
 
 def upper_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    return _ranked(df, keys, value).where(F.col("_at") == F.floor(F.col("_n") / 2)).select(*keys, F.col(value).alias(name))
+    return _at_rank(df, keys, value, F.floor(F.col("_n") / 2), name)
 
 
 def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, share: float, name: str) -> DataFrame:
     """The value of rank ceil(share * n), from 1."""
-    at = F.greatest(F.ceil(F.col("_n") * share), F.lit(1)) - 1
-    return _ranked(df, keys, value).where(F.col("_at") == at).select(*keys, F.col(value).alias(name))
+    return _at_rank(df, keys, value, F.greatest(F.ceil(F.col("_n") * share), F.lit(1)) - 1, name)
+
+
+def throughput(work: Column, milliseconds: Column) -> Column:
+    """Total work of a group over the median of its seconds."""
+    return F.sum(work) / (F.median(milliseconds) / 1000)
 
 
 def relative_window(df: DataFrame, ts: str, now: str, start: int, end: int, unit: str) -> DataFrame:

@@ -87,3 +87,20 @@ def suffix_uids(df: DataFrame, columns: Sequence[str], suffix: str) -> DataFrame
 def edit(df: DataFrame, *editors) -> DataFrame:
     """Editors, each a function of a DataFrame, applied in order."""
     return reduce(lambda d, f: d.transform(f), editors, df)
+
+
+def with_children(parents: DataFrame, children: DataFrame, on: str, child_key: str, keys: Sequence[Key]) -> DataFrame:
+    """Parents that have, for each key, some child row that matches it; for sequences that are a table of their own.
+
+    Children are reduced to a truth value for each key before they are shuffled.
+    """
+    kinds = dict(children.dtypes)
+    hits = [F.bool_or(F.coalesce(matches(F.col(k.name), k.values, kinds[k.name].split("(")[0]), F.lit(False))).alias(f"_hit{i}") for i, k in enumerate(keys)]
+    rows = children.groupBy(F.col(child_key).alias("_parent")).agg(*hits)
+    rows = rows.where(reduce(lambda a, b: a & b, (F.col(f"_hit{i}") for i in range(len(keys))))).select("_parent")
+    return parents.join(rows, F.col(on) == F.col("_parent"), "left_semi")
+
+
+def applicable(instances: DataFrame, references: DataFrame, same: Column, frames: str, frame: Column) -> DataFrame:
+    """Instances that some reference applies to: it names the instance, and no frames or this one."""
+    return instances.join(references, same & ((F.size(frames) == 0) | F.array_contains(frames, frame)), "left_semi")

@@ -4,20 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halyard.functions import text
 
 
-def last_write_wins(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """One row for each key, the last by the order."""
-    w = Window.partitionBy(*keys).orderBy(*(c.desc_nulls_last() for c in order))
-    return df.withColumn("_last", F.row_number().over(w)).where("_last = 1").drop("_last")
-
-
 def last_by_struct(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The same without a sort: the greatest (order, rest) of each key, combined before the shuffle."""
+    """Last write wins, without a sort: the greatest (order, rest) of each key, combined before the shuffle."""
     rest = [c for c in df.columns if c not in keys and c not in order]
     got = df.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("m"))
     return got.select(*keys, *(F.col(f"m.{c}").alias(c) for c in (*order, *rest)))
@@ -37,11 +31,47 @@ def prune(parents: DataFrame, children: DataFrame, on: Sequence[str]) -> DataFra
     return parents.join(children.select(*on), list(on), "left_semi")
 
 
+def study_order(moment: Column, description: Column) -> list[Column]:
+    """Newest first and undated last, then by description in the root locale's order, without one last."""
+    return [moment.desc_nulls_last(), F.collate(description, "UNICODE").asc_nulls_last()]
+
+
+def instance_order(number: Column, uid: Column) -> list[Column]:
+    """By number, without one last, then by identifier with its last part as a number of 64 digits: 5.1 before 5.10.
+
+    This is a key of one instance, so that a sort can use it. Comparing pairs, padding the shorter one's last part to equal total
+    length, gives the same order for identifiers that differ in their last part only; with other prefixes it is no order at all.
+    """
+    last = F.lpad(F.element_at(F.split(uid, r"\."), -1), 64, "0")
+    return [number.asc_nulls_last(), F.regexp_replace(uid, r"\.[^.]*$", ""), last]
+
+
+def empty_rollup(parents: DataFrame, key: str, children: DataFrame, child_parent: str, child_empty: Column) -> DataFrame:
+    """(key, is_empty) of each parent: it has no children, or all of them are empty."""
+    state = children.groupBy(F.col(child_parent).alias("_parent")).agg(F.bool_and(child_empty).alias("_empty"))
+    return parents.join(state, F.col(key) == F.col("_parent"), "left").select(key, F.coalesce("_empty", F.lit(True)).alias("is_empty"))
+
+
+def with_content(archives: DataFrame, *lists: str) -> DataFrame:
+    """Archives that have an item in one of the lists."""
+    some = F.lit(False)
+    for name in lists:
+        some = some | F.coalesce(F.size(name) > 0, F.lit(False))
+    return archives.where(some)
+
+
+def query_mode_attribute(mode: Column) -> Column:
+    """The mode as an attribute, left out where it is the default."""
+    return F.when(mode != "DICOM", mode)
+
+
 def nested(instances: DataFrame, levels: Sequence[tuple[str, Sequence[str]]], leaf: Sequence[str], leaf_name: str = "instances") -> DataFrame:
     """One row for each key of the outermost level, the levels below nested as arrays, each ordered by its columns.
 
     ``levels`` are (name, columns) from the outermost; the innermost is collected first, so a group is never larger than its level.
+    Rows are dealt out once by the outermost key, which serves all levels below it.
     """
+    instances = instances.repartition(*levels[0][1])
     df, child, below = instances, leaf_name, list(leaf)
     for depth in range(len(levels), 0, -1):
         keys = [c for _, cols in levels[:depth] for c in cols]
@@ -52,10 +82,15 @@ def nested(instances: DataFrame, levels: Sequence[tuple[str, Sequence[str]]], le
 
 
 def json_document(*fields: Column) -> Column:
-    """JSON without blank attributes."""
+    """JSON without attributes that are null; pass texts through :func:`halyard.functions.text.blank_to_null`, lists through :func:`items`."""
     return F.to_json(F.struct(*fields))
 
 
+def items(values: Column) -> Column:
+    """A list as a level of a document: left out where it is empty."""
+    return F.when(F.size(values) > 0, values)
+
+
 def xml_element(name: str, attributes: dict[str, Column], content: Column | None = None) -> Column:
     """An element with its attributes that are not blank; without content it closes itself."""
     head = F.concat(F.lit(f"<{name}"), text.xml_attributes(attributes))

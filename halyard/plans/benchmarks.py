@@ -62,7 +62,7 @@ def p95_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("throughput", "SELECT l_suppkey, round(sum(l_quantity) / (median(l_extendedprice) / 1000), 6) AS rate FROM lineitem GROUP BY 1")
 def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Total work over the median time."""
-    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.round(F.sum("l_quantity") / (F.median("l_extendedprice") / 1000), 6).alias("rate"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.round(C.throughput(F.col("l_quantity"), F.col("l_extendedprice")), 6).alias("rate"))
 
 
 @query(
@@ -80,7 +80,8 @@ def trend_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("report_sort", "SELECT s_suppkey, row_number() OVER (ORDER BY CASE WHEN s_suppkey % 4 > 0 THEN s_acctbal END ASC NULLS LAST, s_name) AS position FROM supplier")
 def report_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A report's rows by change, unknown ones last. A report is a small table: one window over all of it."""
+    """A report's rows by change, unknown ones last. A report has a row for each file and target of a benchmark run, some thousands at most, so one
+    task orders all of it; it is no query over an archive."""
     key = F.when(F.col("s_suppkey") % 4 > 0, F.col("s_acctbal"))
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.row_number().over(Window.orderBy(key.asc_nulls_last(), "s_name")).cast("long").alias("position"))
 
@@ -108,8 +109,7 @@ def progress_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("in_flight", "SELECT user_id, sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END)::BIGINT AS open FROM events GROUP BY 1 HAVING sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END) <> 0")
 def in_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open transfers: starts less ends, gone at zero."""
-    delta = F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1)
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.sum(delta).alias("open")).where("open <> 0")
+    return P.in_flight(table(spark, sf_dir, "events"), "user_id", F.col("event_id") % 2 == 0)
 
 
 @query(

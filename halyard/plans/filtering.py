@@ -132,10 +132,30 @@ def hp_code_member(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def hp_seq_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A selector on the items of a nested sequence: orders with their lines as one."""
-    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_quantity", "l_returnflag")).alias("items"))
-    orders = table(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    inner = lambda x: (x["l_quantity"] > 45) & (x["l_returnflag"] == "R")
-    return orders.where(hanging.sequence_pointer(F.col("items"), inner, absent=True)).select("o_orderkey", "o_custkey")
+    inner = (F.col("l_quantity") > 45) & (F.col("l_returnflag") == "R")
+    return hanging.child_matches(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), "o_orderkey", "l_orderkey", inner, absent=True).select("o_orderkey", "o_custkey")
+
+
+_NESTED = hanging.Dataset(
+    {"size": Values("p_size")},
+    {"codes": lambda: F.when(F.col("p_size") % 4 > 0, F.array(F.struct(F.col("p_brand").alias("brand")), F.struct(F.col("p_type").alias("brand"))))},
+    {"geometry": (lambda: F.when(F.col("p_partkey") % 3 == 0, F.struct(F.col("p_size").alias("depth"))), lambda: F.array(F.struct((F.col("p_size") * 2).alias("depth")), F.struct((F.col("p_size") * 3).alias("depth"))))},
+    {"size": "int"},
+)
+
+
+@query(
+    "hp_pointer_selectors",
+    """SELECT p_partkey FROM part WHERE CASE WHEN p_size % 4 > 0 THEN p_brand = 'Brand#11' OR p_type IN ('ECONOMY', 'Brand#11') ELSE false END
+       OR (CASE WHEN p_partkey % 3 = 0 THEN p_size WHEN p_size % 2 = 0 THEN p_size * 2 ELSE p_size * 3 END BETWEEN 20 AND 60 AND p_size < 25)""",
+)
+def hp_pointer_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selectors of a definition that point into a sequence and a functional group."""
+    frame = F.when(F.col("p_size") % 2 == 0, 1).otherwise(2)
+    pick = lambda **item: hanging.compile_selector(item, _NESTED, frame)
+    code = pick(sequence="codes", attribute="brand", op="MEMBER_OF", kind="string", params=["Brand#11", "ECONOMY"], usage="NO_MATCH")
+    depth = pick(functional_group="geometry", attribute="depth", op="RANGE_INCL", kind="int", params=[20, 60])
+    return table(spark, sf_dir, "part").where(code | (depth & pick(attribute="size", op="LESS_THAN", kind="int", params=[25]))).select("p_partkey")
 
 
 @query(
@@ -203,3 +223,26 @@ def hp_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The set of categories within each study."""
     got = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_returnflag")).alias("f"))
     return got.select("l_orderkey", F.size("f").cast("long").alias("kinds"), F.array_join("f", ",").alias("flags"))
+
+
+@query(
+    "hp_renumbered",
+    """SELECT 1 AS display_set, count(*) AS n FROM lineitem WHERE l_linestatus = 'O' AND l_quantity > 30 UNION ALL SELECT 2, count(*) FROM lineitem WHERE l_linestatus = 'O'""",
+)
+def hp_renumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A protocol without its first image set: its display set goes, the others are numbered from 1."""
+    protocol = hanging.compile_protocol(PROTOCOL, ATTRIBUTES).without_image_set(1)
+    routed = protocol.route(table(spark, sf_dir, "lineitem"), ["l_orderkey"], [F.col("l_linenumber")])
+    return routed.groupBy("display_set").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "hp_scrolling",
+    """SELECT 1 AS scrolling_group, 1 AS place, count(*) AS n FROM lineitem WHERE l_returnflag IN ('R', 'A') AND l_quantity >= 2 AND l_quantity <= 40 AND l_discount * 100 >= 2 AND l_discount * 100 <= 40
+       UNION ALL SELECT 1, 2, count(*) FROM lineitem WHERE l_linestatus = 'O' AND l_quantity > 30""",
+)
+def hp_scrolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scrolling groups joined to the rows of their display sets."""
+    protocol = hanging.compile_protocol(PROTOCOL, ATTRIBUTES)
+    routed = protocol.route(table(spark, sf_dir, "lineitem"), ["l_orderkey"], [F.col("l_linenumber")])
+    return protocol.scrolled(routed).groupBy("scrolling_group", "place").agg(F.count(F.lit(1)).alias("n"))

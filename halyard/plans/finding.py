@@ -38,9 +38,16 @@ def find_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("find_worklist_nested", "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'O')")
 def find_worklist_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys inside a sequence: some item has the one value and some item the other."""
-    steps = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.struct("l_returnflag", "l_linestatus")).alias("steps"))
-    df = table(spark, sf_dir, "orders").join(steps, "o_orderkey")
-    return Q.find(df, [Q.Key("o_orderkey"), Q.parse_path("steps/l_returnflag=R"), Q.parse_path("steps/l_linestatus=O")]).select("o_orderkey")
+    keys = [Q.parse_path("l_returnflag=R"), Q.parse_path("l_linestatus=O")]
+    return Q.with_children(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), "o_orderkey", "l_orderkey", keys).select("o_orderkey")
+
+
+@query("find_nested_path", "SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING bool_or(l_returnflag = 'R' AND l_linenumber < 3)")
+def find_nested_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key two sequences deep in one column."""
+    inner = F.array(F.struct(F.when(F.col("l_linenumber") < 3, F.col("l_returnflag")).alias("flag")))
+    steps = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(inner.alias("marks"))).alias("steps"))
+    return Q.find(steps, [Q.Key("l_orderkey"), Q.parse_path("steps/marks/flag=R")]).select("l_orderkey")
 
 
 @query("find_tag_path", "SELECT o_orderkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
@@ -68,5 +75,4 @@ def ref_applicability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reference applies to an instance's frame if it names the instance and no frames, or the frame."""
     frames = F.when(F.col("o_orderkey") % 3 == 0, F.array().cast("array<int>")).otherwise(F.array(F.lit(1), F.lit(2), F.lit(5)))
     refs = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select("o_orderkey", frames.alias("frames"))
-    on = (F.col("l_orderkey") == F.col("o_orderkey")) & ((F.size("frames") == 0) | F.array_contains("frames", F.col("l_linenumber")))
-    return table(spark, sf_dir, "lineitem").join(refs, on, "left_semi").select("l_orderkey", "l_linenumber", "l_partkey")
+    return Q.applicable(table(spark, sf_dir, "lineitem"), refs, F.col("l_orderkey") == F.col("o_orderkey"), "frames", F.col("l_linenumber")).select("l_orderkey", "l_linenumber", "l_partkey")

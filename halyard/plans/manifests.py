@@ -30,7 +30,8 @@ def mf_dedupe_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def mf_tree_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Studies, series and instances of each patient; counted level by level, so that no distinct runs over joined rows."""
-    series = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").repartition("l_orderkey")  # one shuffle for both levels and the join
+    series = lines.groupBy("l_orderkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
     studies = series.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("series"), F.sum("n").alias("n"))
     orders = table(spark, sf_dir, "orders").join(studies, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     per = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("studies"), F.sum("series").alias("series"), F.sum("n").alias("instances"))
@@ -83,7 +84,7 @@ def mf_remove_patient_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def mf_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instances in series in studies as nested arrays, shown as text."""
-    i = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey").distinct()
+    i = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey").repartition("l_orderkey").distinct()
     tree = M.nested(i, [("studies", ["l_orderkey"]), ("series", ["l_suppkey"])], ["l_partkey"])
     shown = F.transform("series", lambda s: F.concat(s["l_suppkey"].cast("string"), F.lit("["), F.array_join(F.transform(s["instances"], lambda i: i["l_partkey"].cast("string")), ","), F.lit("]")))
     return tree.select("l_orderkey", F.array_join(shown, ";").alias("tree"))
@@ -118,6 +119,43 @@ def mf_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mf_empty_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A patient is empty if all studies are, a study if it has no series."""
     filled = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("filled", F.lit(True))
-    o = table(spark, sf_dir, "orders").join(filled, "o_orderkey", "left").groupBy("o_custkey").agg(F.bool_and(F.col("filled").isNull()).alias("e"))
-    c = table(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return c.select("c_custkey", F.coalesce("e", F.lit(True)).alias("is_empty"))
+    o = table(spark, sf_dir, "orders").join(filled, "o_orderkey", "left")
+    return M.empty_rollup(table(spark, sf_dir, "customer"), "c_custkey", o, "o_custkey", F.col("filled").isNull())
+
+
+@query(
+    "mf_json_levels",
+    """WITH s AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), t AS (SELECT l_orderkey, string_agg('{"number":' || l_suppkey || '}', ',' ORDER BY l_suppkey) AS s FROM s GROUP BY 1),
+       o AS (SELECT o_custkey, string_agg('{"uid":"1.2.' || o_orderkey || '"' || CASE WHEN o_orderkey % 3 > 0 THEN ',"description":"' || o_orderpriority || '"' ELSE '' END || CASE WHEN s IS NOT NULL THEN ',"series":[' || s || ']' ELSE '' END || '}', ',' ORDER BY o_orderkey) AS t FROM orders LEFT JOIN t ON l_orderkey = o_orderkey GROUP BY 1)
+       SELECT c_custkey, '{"id":"' || c_custkey || '"' || CASE WHEN t IS NOT NULL THEN ',"studies":[' || t || ']' ELSE '' END || '}' AS document FROM customer LEFT JOIN o ON o_custkey = c_custkey""",
+)
+def mf_json_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patients with arrays of studies with arrays of series as JSON; blank attributes and empty levels are left out."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").repartition("l_orderkey").distinct()
+    series = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_suppkey")).alias("numbers"))
+    orders = table(spark, sf_dir, "orders").join(series, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    description = text.blank_to_null(F.when(F.col("o_orderkey") % 3 == 0, " ").otherwise(F.col("o_orderpriority")))
+    study = F.struct(F.concat(F.lit("1.2."), F.col("o_orderkey")).alias("uid"), description.alias("description"), M.items(F.transform("numbers", lambda n: F.struct(n.alias("number")))).alias("series"))
+    studies = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", study.alias("s")))).alias("studies"))
+    c = table(spark, sf_dir, "customer").join(studies, F.col("c_custkey") == F.col("o_custkey"), "left")
+    document = M.json_document(F.col("c_custkey").cast("string").alias("id"), M.items(F.transform("studies", lambda x: x["s"])).alias("studies"))
+    return c.select("c_custkey", document.alias("document"))
+
+
+@query(
+    "mf_archives",
+    """WITH p AS (SELECT c_nationkey, string_agg('{"name":"' || c_name || '"}', ',' ORDER BY c_name) AS p FROM customer WHERE c_nationkey % 2 = 0 GROUP BY 1)
+       SELECT n_nationkey, '{"archive":"' || n_name || '"' || CASE WHEN n_nationkey % 4 = 0 THEN ',"queryMode":"DICOM_WEB"' ELSE '' END || CASE WHEN n_nationkey % 5 = 0 THEN ',"tags":[{"key":"k","value":"v"}]' ELSE '' END
+         || CASE WHEN n_nationkey % 3 = 0 THEN ',"messages":[{"title":"t","level":"WARN"}]' ELSE '' END || CASE WHEN p IS NOT NULL THEN ',"patients":[' || p || ']' ELSE '' END || '}' AS document
+       FROM nation LEFT JOIN p ON c_nationkey = n_nationkey WHERE p IS NOT NULL OR n_nationkey % 3 = 0""",
+)
+def mf_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives with patients or messages: tags, then messages, then patients by name; the query mode only where it isn't the default."""
+    patients = table(spark, sf_dir, "customer").where("c_nationkey % 2 = 0").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct(F.col("c_name").alias("name")))).alias("patients"))
+    n = F.col("n_nationkey")
+    item = lambda cond, **fields: F.when(cond, F.array(F.struct(*(F.lit(v).alias(k) for k, v in fields.items()))))
+    a = table(spark, sf_dir, "nation").join(patients, n == F.col("c_nationkey"), "left")
+    a = a.withColumn("tags", item(n % 5 == 0, key="k", value="v")).withColumn("messages", item(n % 3 == 0, title="t", level="WARN"))
+    mode = M.query_mode_attribute(F.when(n % 4 == 0, "DICOM_WEB").otherwise("DICOM"))
+    document = M.json_document(F.col("n_name").alias("archive"), mode.alias("queryMode"), *(M.items(F.col(c)).alias(c) for c in ("tags", "messages", "patients")))
+    return M.with_content(a, "patients", "messages").select("n_nationkey", document.alias("document"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from halyard.functions import geometry as G
+from halyard.functions import dates as D
+from halyard.operators import hanging, manifest
 from halyard.registry import query
 
 from .common import table
@@ -50,7 +51,9 @@ def hp_sort_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By an attribute of the first item of a nested sequence."""
     first = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).alias("m"))
     o = table(spark, sf_dir, "orders").join(first, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    w = Window.partitionBy("o_custkey").orderBy(F.col("m.l_extendedprice").asc_nulls_last(), "o_orderkey")
+    items = hanging.Dataset({}, {"lines": F.array("m")})
+    key, _ = hanging.compile_sort({"sequence": "lines", "attribute": "l_extendedprice", "direction": "INCREASING"}, items)
+    w = Window.partitionBy("o_custkey").orderBy(key.asc_nulls_last(), "o_orderkey")
     return o.select("o_custkey", "o_orderkey", F.row_number().over(w).cast("long").alias("position"))
 
 
@@ -64,26 +67,45 @@ def hp_sort_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hp_sort_along_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By the position along the normal of the image plane: position . (row x column)."""
     v = [F.element_at("embedding", k).cast("double") for k in range(1, 10)]
-    key = G.dot(F.array(*v[:3]), G.cross(F.array(*v[3:6]), F.array(*v[6:9])))
+    key, _ = hanging.compile_sort({"category": "ALONG_AXIS", "columns": (F.array(*v[:3]), F.array(*v[3:6]), F.array(*v[6:9])), "direction": "INCREASING"}, {})
     e = table(spark, sf_dir, "embeddings").select("label", "vec_id", key.alias("key"))
     return e.select("label", "vec_id", F.row_number().over(Window.partitionBy("label").orderBy("key", "vec_id")).cast("long").alias("position"))
 
 
+@query(
+    "hp_sort_fct_group",
+    """WITH k AS (SELECT p_brand, p_partkey, CASE WHEN p_partkey % 4 = 0 THEN p_size WHEN p_size % 3 < 2 THEN CASE p_size % 3 WHEN 0 THEN p_size * 7 % 11 ELSE p_size * 5 % 13 END END AS key FROM part)
+       SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY key DESC NULLS LAST, p_partkey) AS position FROM k""",
+)
+def hp_sort_fct_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By an attribute of the shared functional group, else of the frame's own; a frame beyond the last has none."""
+    s = F.col("p_size")
+    own = F.array(F.struct((s * 7 % 11).alias("z")), F.struct((s * 5 % 13).alias("z")))
+    groups = hanging.Dataset({}, groups={"plane": (F.when(F.col("p_partkey") % 4 == 0, F.struct(s.alias("z"))), own)})
+    key, _ = hanging.compile_sort({"functional_group": "plane", "attribute": "z", "direction": "DECREASING"}, groups, s % 3 + 1)
+    w = Window.partitionBy("p_brand").orderBy(key.desc_nulls_last(), "p_partkey")
+    return table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.row_number().over(w).cast("long").alias("position"))
+
+
 @query("hp_sort_acq_time", _sql("coalesce(CASE WHEN l_linenumber = 1 THEN l_shipdate END, CASE WHEN l_linenumber % 2 = 0 THEN l_shipdate - INTERVAL 1 DAY END, CASE WHEN l_linenumber < 7 THEN l_shipdate + INTERVAL 2 DAY END) NULLS LAST"))
 def hp_sort_acq_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Acquisition date and time, else acquisition date-time, else content date and time."""
-    n, day = F.col("l_linenumber"), F.col("l_shipdate")
-    key = F.coalesce(F.when(n == 1, day), F.when(n % 2 == 0, day - F.expr("INTERVAL 1 DAY")), F.when(n < 7, day + F.expr("INTERVAL 2 DAYS")))
+    n, day, midnight = F.col("l_linenumber"), F.to_date("l_shipdate"), F.lit(0).cast("long")
+    moment = F.when(n % 2 == 0, D.combine(F.date_sub(day, 1), midnight))
+    columns = (F.when(n == 1, day), midnight, moment, F.when(n < 7, F.date_add(day, 2)), midnight)
+    key, _ = hanging.compile_sort({"category": "BY_ACQ_TIME", "columns": columns, "direction": "INCREASING"}, {})
     return _ranked(table(spark, sf_dir, "lineitem"), "l_orderkey", key.asc_nulls_last()).select(*_OUT)
 
 
 @query(
     "mf_sort_study",
-    "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderkey % 10 > 0 THEN o_orderdate END DESC NULLS LAST, o_orderpriority ASC NULLS LAST, o_orderkey) AS position FROM orders",
+    """SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderkey % 10 > 0 THEN date_trunc('year', o_orderdate) END DESC NULLS LAST, o_orderstatus ASC, o_orderkey % 2 DESC, o_orderkey) AS position FROM orders""",
 )
 def mf_sort_study(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Studies by date, newest first and undated last, then by description."""
-    w = Window.partitionBy("o_custkey").orderBy(F.when(F.col("o_orderkey") % 10 > 0, F.col("o_orderdate")).desc_nulls_last(), F.col("o_orderpriority").asc_nulls_last(), "o_orderkey")
+    """Studies by date, newest first and undated last, then by description as people sort it: letters first, small before large ones."""
+    description = F.when(F.col("o_orderkey") % 2 == 1, F.lower("o_orderstatus")).otherwise(F.col("o_orderstatus"))
+    dated = F.when(F.col("o_orderkey") % 10 > 0, F.date_trunc("year", "o_orderdate"))
+    w = Window.partitionBy("o_custkey").orderBy(*manifest.study_order(dated, description), "o_orderkey")
     return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).cast("long").alias("position"))
 
 
@@ -111,6 +133,5 @@ def mf_sort_instance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instances by number, then by identifier with its last part as a number: 5.1 before 5.10."""
     i = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.when(F.col("l_linenumber") < 6, F.col("l_linenumber")).alias("number")).distinct()
     uid = F.concat_ws(".", F.lit("1.2"), F.col("l_orderkey"), F.col("l_partkey"))
-    last = F.lpad(F.element_at(F.split(uid, r"\."), -1), 64, "0")
-    w = Window.partitionBy("l_orderkey").orderBy(F.col("number").asc_nulls_last(), F.regexp_replace(uid, r"\.[^.]*$", ""), last)
+    w = Window.partitionBy("l_orderkey").orderBy(*manifest.instance_order(F.col("number"), uid))
     return i.select("l_orderkey", "l_partkey", "number", F.row_number().over(w).cast("long").alias("position"))

@@ -35,6 +35,11 @@ def message(completed: Column, failed: Column, warning: Column, remaining: Colum
     )
 
 
+def in_flight(events: DataFrame, key: str, starts: Column) -> DataFrame:
+    """(key, open): starts less ends of each key; a key with none open is gone."""
+    return events.groupBy(key).agg(F.sum(F.when(starts, 1).otherwise(-1)).alias("open")).where("open <> 0")
+
+
 def throttled(df: DataFrame, key: str, order: Sequence[str], column: str, most: int) -> DataFrame:
     """The first rows of each key where the status changes, ``most`` of them."""
     w = Window.partitionBy(key).orderBy(*order)
