@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import lut as L
@@ -248,3 +248,42 @@ def rendered(px: Column, mask: Column, slope: Column, intercept: Column, bits_ou
     real = L.rescale(px.bitwiseAND(mask), slope, intercept, bits_out, signed_out)
     shown = L.window_linear(real, window, level, 0, 255)
     return F.when(overlay, 255).otherwise(F.when(inverse, 255 - shown).otherwise(shown)).cast("long")
+
+
+def image_descriptor(rows: Column, columns: Column, frames: Column, samples: Column, bits_allocated: Column, bits_stored: Column, high_bit: Column) -> dict[str, Column]:
+    """Image attributes brought to what can be: sizes from 0, frames and samples from 1, bits from 1 to 16, the high bit below what is stored."""
+    at_least = lambda c, n: F.greatest(F.lit(n), F.coalesce(c, F.lit(n)))
+    stored = F.greatest(F.lit(1), F.least(F.lit(16), F.coalesce(bits_stored, bits_allocated)))
+    return {"n_rows": at_least(rows, 0), "n_columns": at_least(columns, 0), "frames": at_least(frames, 1), "samples": at_least(samples, 1), "bits_stored": stored, "high_bit": F.least(stored - 1, F.coalesce(high_bit, stored - 1))}
+
+
+def pixel_range(px: Column, padding: Column | None = None, limit: Column | None = None) -> tuple[Column, Column]:
+    """Aggregates (least, greatest) of pixels without those from the padding value to its limit; a uniform image gets a range of one."""
+    if padding is not None:
+        ends = (padding, limit if limit is not None else padding)
+        px = F.when(~px.between(F.least(*ends), F.greatest(*ends)), px)
+    low, high = F.min(px), F.max(px)
+    return low, F.when(low == high, high + 1).otherwise(high)
+
+
+def in_rectangle(y: Column, x: Column, top: int, left: int, height: int, width: int) -> Column:
+    return (y >= top) & (y < top + height) & (x >= left) & (x < left + width)
+
+
+def frame_ranges(offset: Column, length: Column, frames: Column) -> Column:
+    """(frame, start, length) of each frame of native pixels that begin at an offset."""
+    return F.transform(F.sequence(F.lit(1).cast("long"), frames.cast("long")), lambda f: F.struct(f.alias("frame"), (offset + (f - 1) * length).alias("start"), length.alias("length")))
+
+
+def starts_image(fragment: Column) -> Column:
+    """Whether a fragment begins a JPEG, JPEG-LS or JPEG 2000 code stream, or a JPEG XL one."""
+    head = F.hex(F.substring(fragment, 1, 4))
+    return F.coalesce(head.startswith("FFD8FF") | head.startswith("FF4FFF51") | head.startswith("FF0A"), F.lit(False))
+
+
+def fragment_frames(fragments: DataFrame, image: str, order: Sequence[str], data: str) -> DataFrame:
+    """Adds ``frame``, from 1, to the fragments of each image: one that starts a new code stream begins a frame, and so does the first."""
+    w = Window.partitionBy(image).orderBy(*order)
+    first = F.row_number().over(w) == 1
+    starts = fragments.withColumn("_starts", (first | starts_image(F.col(data))).cast("int"))
+    return starts.withColumn("frame", F.sum("_starts").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_starts")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from halyard.functions import display as D
 from halyard.functions import lut as L
 from halyard.registry import query
 
@@ -47,8 +48,8 @@ _AT = "(CASE WHEN px <= -150 THEN 0.0::DOUBLE WHEN px > 150 THEN 4.0::DOUBLE ELS
 _POINT = "([20, 30, 60, 180, 220])[CAST({0} AS INT) + 1]"
 _A, _B = _POINT.format(f"floor({_AT})"), _POINT.format(f"ceil({_AT})")
 _per_image("lut_voi_seq", lambda: L.window_sequence(F.col("px"), 300.0, 0.0, _CURVE, 0, 255), f"least(255, floor(floor({_A} + ({_AT} - floor({_AT})) * ({_B} - {_A}) + 0.5) * (255.0::DOUBLE / 200) + 0.5))")
-_per_image("mask_fill", lambda: F.when((F.col("x") >= 8) & (F.col("x") < 24) & (F.col("vec_id") % 16 < 8), F.lit(0).cast("long")).otherwise(F.col("px")), "CASE WHEN x >= 8 AND x < 24 AND vec_id % 16 < 8 THEN 0 ELSE px END")
-_per_image("crop_region", lambda: F.when(F.col("x").between(16, 47), F.col("px")), "CASE WHEN x BETWEEN 16 AND 47 THEN px END")
+_per_image("mask_fill", lambda: F.when(D.in_rectangle(F.col("vec_id") % 16, F.col("x"), 0, 8, 8, 16), F.lit(0).cast("long")).otherwise(F.col("px")), "CASE WHEN x >= 8 AND x < 24 AND vec_id % 16 < 8 THEN 0 ELSE px END")
+_per_image("crop_region", lambda: F.when(D.in_rectangle(F.lit(0), F.col("x"), 0, 16, 1, 32), F.col("px")), "CASE WHEN x BETWEEN 16 AND 47 THEN px END")
 
 
 @query(
@@ -74,8 +75,8 @@ def pixel_to_real(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def px_minmax_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Range of the pixels outside the padding range; a uniform image gets a range of one."""
-    got = pixels(spark, sf_dir).where(~F.col("px").between(-50, 0)).groupBy("vec_id").agg(F.min("px").alias("low"), F.max("px").alias("m"))
-    return got.select("vec_id", "low", F.when(F.col("low") == F.col("m"), F.col("m") + 1).otherwise(F.col("m")).alias("high"))
+    low, high = D.pixel_range(F.col("px"), F.lit(0), F.lit(-50))
+    return pixels(spark, sf_dir).groupBy("vec_id").agg(low.alias("low"), high.alias("high")).where("low is not null")
 
 
 @query(
@@ -168,23 +169,22 @@ def ssim_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("frame_ranges", "SELECT p_partkey, f AS frame, 128 + (f - 1) * p_size * 64 AS start, p_size * 64 AS length FROM (SELECT p_partkey, p_size, unnest(generate_series(1, 1 + p_partkey % 4)) AS f FROM part)")
 def frame_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte ranges of the frames of native pixel data."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(1).cast("long"), 1 + F.col("p_partkey") % 4)).alias("frame"))
-    return p.select("p_partkey", "frame", (128 + (F.col("frame") - 1) * F.col("p_size") * 64).alias("start"), (F.col("p_size") * 64).cast("long").alias("length"))
+    ranges = D.frame_ranges(F.lit(128), (F.col("p_size") * 64).cast("long"), 1 + F.col("p_partkey") % 4)
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(ranges).alias("r")).select("p_partkey", "r.*")
 
 
-@query("fragment_frames", "SELECT l_orderkey, frame, count(*) AS fragments FROM (SELECT l_orderkey, sum(CASE WHEN l_linenumber = 1 OR l_quantity > 25 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS frame FROM lineitem) GROUP BY ALL")
+@query("fragment_frames", "SELECT l_orderkey, frame, count(*) AS fragments FROM (SELECT l_orderkey, sum(CASE WHEN r = 1 OR l_quantity > 25 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY r) AS frame FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS r FROM lineitem)) GROUP BY ALL")
 def fragment_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fragments to frames: one that starts a new image begins a frame."""
-    from pyspark.sql import Window
+    head = F.when(F.col("l_quantity") > 40, F.unhex(F.lit("FFD8FFE0"))).when(F.col("l_quantity") > 25, F.unhex(F.lit("FF4FFF5100"))).otherwise(F.unhex(F.lit("FFD900")))
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *order, head.alias("data"))
+    return D.fragment_frames(lines, "l_orderkey", order, "data").groupBy("l_orderkey", "frame").agg(F.count(F.lit(1)).alias("fragments"))
 
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").rowsBetween(Window.unboundedPreceding, 0)
-    starts = F.when((F.col("l_linenumber") == 1) | (F.col("l_quantity") > 25), 1).otherwise(0)
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", F.sum(starts).over(w).alias("frame")).groupBy("l_orderkey", "frame").agg(F.count(F.lit(1)).alias("fragments"))
 
-
-@query("descriptor", "SELECT p_partkey, greatest(0, p_size - 10) AS n_rows, greatest(1, p_size % 3) AS samples, greatest(1, least(16, p_size)) AS bits_stored, least(greatest(1, least(16, p_size)) - 1, 11) AS high_bit FROM part")
+@query("descriptor", "WITH b AS (SELECT *, CASE WHEN p_size % 5 > 0 AND p_size < 16 THEN p_size ELSE 16 END AS b FROM part) SELECT p_partkey, greatest(0, p_size - 10) AS n_rows, 0 AS n_columns, CASE WHEN p_size % 2 = 0 AND p_size > 21 THEN p_size - 20 ELSE 1 END AS frames, greatest(1, p_size % 3) AS samples, b AS bits_stored, CASE WHEN p_size % 4 > 0 THEN least(b - 1, 11) ELSE b - 1 END AS high_bit FROM b")
 def descriptor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image attributes clamped to what can be."""
-    s = F.col("p_size")
-    bits = F.greatest(F.lit(1), F.least(F.lit(16), s))
-    return table(spark, sf_dir, "part").select("p_partkey", F.greatest(F.lit(0), s - 10).alias("n_rows"), F.greatest(F.lit(1), s % 3).alias("samples"), bits.alias("bits_stored"), F.least(bits - 1, F.lit(11)).alias("high_bit"))
+    s, none = F.col("p_size"), F.lit(None).cast("int")
+    got = D.image_descriptor(s - 10, none, F.when(s % 2 == 0, s - 20), s % 3, F.lit(16), F.when(s % 5 > 0, s), F.when(s % 4 > 0, 11))
+    return table(spark, sf_dir, "part").select("p_partkey", *(c.alias(n) for n, c in got.items()))

@@ -41,3 +41,26 @@ def test_bodies_without_an_end_or_a_boundary(spark):
     got = multipart.parts(spark.createDataFrame(rows, "id long, body binary, mark string"), "id", "body", "mark").collect()
     assert [(r.part, r.headers, bytes(r.content)) for r in got if r.id == 1] == [(0, {"a": "1"}, b"x"), (1, {}, b"y")]
     assert {r.id for r in got} == {1}
+
+
+def test_kinds_of_files_and_short_ones(spark, tmp_path):
+    (tmp_path / "bare").write_bytes(bytes([8, 0, 5, 0, 67, 83]))
+    (tmp_path / "a.xml").write_text("<x/>")
+    (tmp_path / "empty").write_bytes(b"")
+    got = {r.path.rsplit("/", 1)[1]: r.kind for r in tables.dicom_files(spark, str(tmp_path)).collect()}
+    assert got == {"bare": "dicom", "a.xml": "xml", "empty": "other"}
+
+
+def test_window_presets(spark, tmp_path):
+    (tmp_path / "p.xml").write_text(
+        '<presets><preset name="A" modality="CT" window="110" level="35.5" key="51"/><preset name="B" modality="MR" window="9" level="1" shape="SIGMOID"/><preset name="C" modality="CT" window="5"/></presets>'
+    )
+    got = sorted(map(tuple, tables.window_presets(spark, str(tmp_path / "p.xml")).collect()))
+    assert got == [("CT", "A", 110.0, 35.5, "LINEAR", 51), ("MR", "B", 9.0, 1.0, "SIGMOID", None)]
+
+
+def test_tables_of_classes(spark, tmp_path):
+    (tmp_path / "p.properties").write_text("1.1 = a, b\n1.2:\n")
+    t = tables.property_table(spark, str(tmp_path))
+    assert sorted(map(tuple, tables.capabilities(t).collect()), key=str) == [("1.1", "a"), ("1.1", "b"), ("1.2", None)]
+    assert sorted(map(tuple, tables.related_classes(t).collect())) == [("a", "1.1"), ("b", "1.1")]
