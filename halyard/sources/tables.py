@@ -67,7 +67,7 @@ def looks_like_dicom(head: Column) -> Column:
 def dicom_files(spark: SparkSession, path: str) -> DataFrame:
     """Files under a folder with what they look like: DICOM, XML (by name), or neither. Of each file only its head is read.
 
-    Spark lists the files; tasks open them by Arrow's file systems, for the schemes that these know.
+    Spark lists the files, empty ones apart; tasks open them by Arrow's file systems, for the schemes that these know.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
 
