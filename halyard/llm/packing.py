@@ -259,20 +259,21 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab_
     """One row per piece with its sequence and offset; sequences are filled without gaps from offset 0."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
-    pieces = scratch.save(token_pieces(docs, id_col, text_col, vocab_path or default_vocab(), capacity), "pieces")
+    pieces = token_pieces(docs, id_col, text_col, vocab_path or default_vocab(), capacity)
+    pieces = scratch.save(pieces.withColumn("number", F.monotonically_increasing_id()), "pieces")  # the numbers are fixed once they are written
     counts = np.zeros(capacity + 1, np.int64)
     for row in pieces.groupBy("length").count().collect():  # at most as many rows as there are lengths
         counts[row["length"]] = row["count"]
     plan = plan_packing(counts, capacity)
 
-    # rank within a length in two steps, so that a length with a third of all pieces is not one task's work
+    # rank within a length in two steps, so that a length with a third of all pieces is not one task's work; by number, so that equal rows are spread too
     groups = F.array(*(F.lit(max(1, -(-int(n) // rows_per_rank_group))) for n in counts))
-    salt = F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.element_at(groups, F.col("length").cast("int") + 1))
+    salt = F.pmod(F.xxhash64("id", "piece", "ids_crc32", "number"), F.element_at(groups, F.col("length").cast("int") + 1))
     pieces = pieces.withColumn("salt", salt)
     per_group = pieces.groupBy("length", "salt").count()
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     per_group = per_group.select(F.col("length").alias("l"), F.col("salt").alias("s"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
-    own = Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32", "start")
+    own = Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32", "start", "number")
     ranked = pieces.withColumn("rn", F.row_number().over(own)).join(per_group, (F.col("length") == F.col("l")) & (F.col("salt") == F.col("s")))
     ranked = ranked.select("id", "piece", "start", "length", "ids_crc32", (F.col("ahead") + F.col("rn") - 1).alias("rank"))
 

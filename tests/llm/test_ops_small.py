@@ -168,6 +168,17 @@ def test_packing_repeated_rows(spark):
     assert_gapless(got)
 
 
+def test_packing_spreads_equal_rows(spark, monkeypatch):
+    """A flood of null ids with empty texts is ranked in many groups, not in one."""
+    sizes = []
+    save = packing.Scratch.save
+    monkeypatch.setattr(packing.Scratch, "save", lambda self, df, name: sizes.append(save(self, df, name)) or sizes[-1])
+    got = packing.pack(spark.createDataFrame([(None, "")] * 3000, "doc_id long, text string").repartition(5), rows_per_rank_group=100).collect()
+    assert_gapless(got)
+    pieces = sizes[0].withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32", "number"), F.lit(30)))
+    assert pieces.groupBy("salt").count().agg(F.max("count")).first()[0] < 200
+
+
 def test_tokens_equal_the_library(spark, small):
     enc = packing.encoder(packing.default_vocab())
     odd = ["a  b", "a \n b", " lead", "trail ", "tab\t x", "it's don't  'll", "é ñ x", "a b", "x\x1cy z", "<|endoftext|> a", "日本 語", "1 2  3", "\n\n", "a\r\n b"]
