@@ -213,5 +213,10 @@ def authorised(aet: Column, host: Column, nodes: Sequence[tuple[str, str | None]
     return F.coalesce(reduce(lambda a, b: a | b, ((aet == t) & (host == h if h is not None else F.lit(True)) for t, h in nodes)), F.lit(False))
 
 
+def metadata(file_meta: Column, dataset: Column, descriptor: Mapping[str, Column]) -> Column:
+    """One column of what is known of an object: its file's meta information, its data set, its image descriptor, and its syntax."""
+    return F.struct(file_meta.alias("file_meta"), dataset.alias("dataset"), F.struct(*(c.alias(n) for n, c in descriptor.items())).alias("descriptor"), file_meta["transfer_syntax"].alias("transfer_syntax"))
+
+
 def decodable(rows: Column, columns: Column, has_pixels: Column) -> Column:
     return F.coalesce((rows > 0) & (columns > 0) & has_pixels, F.lit(False))

@@ -287,3 +287,35 @@ def fragment_frames(fragments: DataFrame, image: str, order: Sequence[str], data
     first = F.row_number().over(w) == 1
     starts = fragments.withColumn("_starts", (first | starts_image(F.col(data))).cast("int"))
     return starts.withColumn("frame", F.sum("_starts").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_starts")
+
+
+def raw_tags(width: Column, height: Column, channels: Column, signed: Column, descriptor: Column) -> Column:
+    """Attributes of pixels that are written as they are: depth from the descriptor, several channels interleaved as RGB."""
+    several = channels > 1
+    return F.struct(
+        width.alias("columns"),
+        height.alias("rows"),
+        channels.alias("samples"),
+        descriptor["bits_allocated"].alias("bits_allocated"),
+        descriptor["bits_stored"].alias("bits_stored"),
+        (descriptor["bits_stored"] - 1).alias("high_bit"),
+        F.when(signed, 1).otherwise(0).alias("representation"),
+        F.when(several, "RGB").otherwise(descriptor["photometric"]).alias("photometric"),
+        F.when(several, 0).alias("planar"),
+    )
+
+
+def compressed_tags(width: Column, height: Column, channels: Column, element_bits: Column, signed: Column, descriptor: Column) -> Column:
+    """Attributes of pixels that are written compressed: cells as wide as an element of the image, and no more bits than that."""
+    stored = F.least(descriptor["bits_stored"], element_bits)
+    own = F.struct(element_bits.alias("bits_allocated"), stored.alias("bits_stored"), descriptor["photometric"].alias("photometric"))
+    return raw_tags(width, height, channels, (element_bits > 8) & signed, own)
+
+
+def box_blur(pixels: DataFrame, image: str, y: str, x: str, value: str, size: int = 7) -> DataFrame:
+    """Each pixel's mean over a square of ``size`` around it, as far as the image goes: sums along the lines, then across them."""
+    reach = size // 2
+    along = Window.partitionBy(image, y).orderBy(x).rangeBetween(-reach, reach)
+    across = Window.partitionBy(image, x).orderBy(y).rangeBetween(-reach, reach)
+    lines = pixels.withColumn("_sum", F.sum(value).over(along)).withColumn("_n", F.count(F.lit(1)).over(along))
+    return lines.withColumn(value, F.sum("_sum").over(across) / F.sum("_n").over(across)).drop("_sum", "_n")

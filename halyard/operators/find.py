@@ -104,3 +104,14 @@ def with_children(parents: DataFrame, children: DataFrame, on: str, child_key: s
 def applicable(instances: DataFrame, references: DataFrame, same: Column, frames: str, frame: Column) -> DataFrame:
     """Instances that some reference applies to: it names the instance, and no frames or this one."""
     return instances.join(references, same & ((F.size(frames) == 0) | F.array_contains(frames, frame)), "left_semi")
+
+
+def write_results(results: DataFrame, path: str, form: str = "json", single: bool = False) -> None:
+    """Responses as files in JSON, XML, CSV or Parquet; ``single`` puts them into one file."""
+    out = results.coalesce(1) if single else results
+    writer = out.write.mode("errorifexists")
+    if form == "xml":
+        writer = writer.option("rootTag", "responses").option("rowTag", "response")
+    if form == "csv":
+        writer = writer.option("header", True).option("sep", "\t")
+    writer.format(form).save(path)

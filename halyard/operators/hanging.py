@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from types import FunctionType
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from halyard.functions import dates, filters, geometry
 from halyard.functions.multivalue import Values
+from halyard.operators import comparison
 
 Attributes = Mapping[str, Values]
 
@@ -276,3 +278,27 @@ def compile_protocol(definition: Mapping, attributes: Attributes | Dataset, fram
 
 register_comparator("ALONG_AXIS", lambda item: along_axis(*item["columns"]))
 register_comparator("BY_ACQ_TIME", lambda item: acquisition_moment(*item["columns"]))
+
+
+def save_definition(spark: SparkSession, definition: Mapping, path: str) -> None:
+    """Writes a definition as one line of JSON."""
+    spark.createDataFrame([(json.dumps(definition),)], "value string").coalesce(1).write.text(path)
+
+
+def load_definition(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def time_based_set(df: DataFrame, patient: Sequence[str], moment: str, now: str, item: Mapping, tiebreak: Sequence[str]) -> DataFrame:
+    """Rows of a time-based image set: those in a relative time before ``now``, or priors by number, 1 for the one before the current study.
+
+    ``item`` has ``relative_time`` (start, end, unit) or ``abstract_prior`` (first, last); -1 for last stands for the oldest one.
+    """
+    if ("relative_time" in item) == ("abstract_prior" in item):
+        raise ValueError("a time-based image set has a relative time or a prior's number")
+    if "relative_time" in item:
+        return comparison.relative_window(df, moment, now, *item["relative_time"])
+    first, last = item["abstract_prior"]
+    w = Window.partitionBy(*patient).orderBy(F.col(moment).desc(), *tiebreak)
+    prior = df.where(F.col(moment) <= F.lit(now).cast("timestamp")).withColumn("_prior", F.row_number().over(w) - 1)
+    return prior.where((F.col("_prior") >= first) & (F.lit(last < 0) | (F.col("_prior") <= last))).drop("_prior")

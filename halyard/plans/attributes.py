@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from halyard.functions import attributes as A
-from halyard.functions import text
+from halyard.functions import display, text
 from halyard.operators import dictionaries as R
 from halyard.registry import query
 from halyard.streaming import progress
@@ -300,3 +300,18 @@ def patients_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patients by name, as bytes."""
     w = Window.partitionBy("c_nationkey").orderBy("c_mktsegment", "c_custkey")
     return table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.row_number().over(w).cast("long").alias("position"))
+
+
+@query(
+    "metadata_model",
+    "SELECT p_partkey, '1.2.840.10008.1.2' || CASE WHEN p_size % 2 = 0 THEN '.1' ELSE '' END AS syntax, p_name AS description, greatest(p_size, 0) AS n_rows, CASE WHEN p_size % 20 BETWEEN 1 AND 16 THEN p_size % 20 WHEN p_size % 20 = 0 THEN 1 ELSE 16 END AS bits FROM part",
+)
+def metadata_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects as one column of file meta information, data set and descriptor."""
+    s = F.col("p_size")
+    syntax = F.concat(F.lit("1.2.840.10008.1.2"), F.when(s % 2 == 0, ".1").otherwise(""))
+    none = F.lit(None).cast("int")
+    descriptor = display.image_descriptor(s, s, none, none, F.lit(16), s % 20, none)
+    m = A.metadata(F.struct(syntax.alias("transfer_syntax")), F.struct(F.col("p_name").alias("description"), s.alias("rows")), descriptor)
+    t = table(spark, sf_dir, "part").select("p_partkey", m.alias("m"))
+    return t.select("p_partkey", F.col("m.transfer_syntax").alias("syntax"), F.col("m.dataset.description").alias("description"), F.col("m.descriptor.n_rows").alias("n_rows"), F.col("m.descriptor.bits_stored").alias("bits"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from halyard.operators import comparison as C
+from halyard.operators import hanging
 from halyard.registry import query
 from halyard.streaming import progress as P
 
@@ -144,3 +145,13 @@ def last_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the failed counter has grown since the update before."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", P.status(F.col("event_type")).alias("status"))
     return P.last_failed(e, "user_id", ["ts", "event_id"]).select("event_id", "last_failed")
+
+
+@query(
+    "prior_numbers",
+    """WITH r AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) - 1 AS prior FROM orders WHERE o_orderdate <= TIMESTAMP '1997-06-01') SELECT o_orderkey, o_custkey FROM r WHERE prior BETWEEN 1 AND 2""",
+)
+def prior_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two studies before the current one of each patient."""
+    item = {"abstract_prior": (1, 2)}
+    return hanging.time_based_set(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderdate", "1997-06-01 00:00:00", item, ["o_orderkey"]).select("o_orderkey", "o_custkey")

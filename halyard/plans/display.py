@@ -276,3 +276,35 @@ def rgb_lab_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = L.rgb_to_lab(*((K() * k % 256).cast("double") for k in (1, 7, 31)))
     t = _parts(spark, sf_dir, l=lab[0], a=lab[1], b=lab[2])
     return t.select("p_partkey", F.round(F.col("l") / 100.0).cast("long").alias("l"), F.round(F.col("a") / 100.0).cast("long").alias("a"), F.round(F.col("b") / 100.0).cast("long").alias("b"))
+
+
+@query(
+    "adapted_tags",
+    """SELECT p_partkey, 1 + p_size % 3 AS samples, 16 AS raw_allocated, 12 AS raw_stored, CASE WHEN p_size % 3 > 0 THEN 'RGB' ELSE 'MONOCHROME1' END AS photometric, CASE WHEN p_size % 3 > 0 THEN 0 END AS planar, p_partkey % 2 AS representation,
+       CASE WHEN p_size % 2 = 0 THEN 8 ELSE 16 END AS cell, CASE WHEN p_size % 2 = 0 THEN 7 ELSE 11 END AS high_bit, CASE WHEN p_size % 2 = 1 THEN p_partkey % 2 ELSE 0 END AS compressed_representation FROM part""",
+)
+def adapted_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes of images that are written raw and compressed."""
+    descriptor = F.struct(F.lit(16).alias("bits_allocated"), F.lit(12).alias("bits_stored"), F.lit("MONOCHROME1").alias("photometric"))
+    channels, signed = 1 + S() % 3, K() % 2 == 1
+    t = _parts(spark, sf_dir, raw=D.raw_tags(F.lit(64), F.lit(32), channels, signed, descriptor), packed=D.compressed_tags(F.lit(64), F.lit(32), channels, F.when(S() % 2 == 0, 8).otherwise(16), signed, descriptor))
+    names = {"raw.samples": "samples", "raw.bits_allocated": "raw_allocated", "raw.bits_stored": "raw_stored", "raw.photometric": "photometric", "raw.planar": "planar", "raw.representation": "representation"}
+    names |= {"packed.bits_allocated": "cell", "packed.high_bit": "high_bit", "packed.representation": "compressed_representation"}
+    return t.select("p_partkey", *(F.col(c).alias(n) for c, n in names.items()))
+
+
+_GRID = f"(SELECT vec_id // 16 AS image, vec_id % 16 AS y, x, px FROM {_PIXELS_SQL})"
+
+
+@query(
+    "mask_blur",
+    f"""WITH a AS (SELECT image, y, x, sum(px) OVER w AS s, count(*) OVER w AS n FROM {_GRID} WINDOW w AS (PARTITION BY image, y ORDER BY x RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+        b AS (SELECT image, y, x, sum(s) OVER w / sum(n) OVER w AS v FROM a WINDOW w AS (PARTITION BY image, x ORDER BY y RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING))
+        SELECT image, round(sum(CASE WHEN x BETWEEN 8 AND 23 AND y < 8 THEN v ELSE p.px END), 6) AS total FROM b JOIN {_GRID} p USING (image, y, x) GROUP BY 1""",
+)
+def mask_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles without a colour are blurred over 7 x 7 pixels; the rest of the image stays."""
+    p = pixels(spark, sf_dir).select(F.floor(F.col("vec_id") / 16).alias("image"), (F.col("vec_id") % 16).alias("y"), "x", F.col("px"), F.col("px").cast("double").alias("v"))
+    b = D.box_blur(p, "image", "y", "x", "v")
+    shown = F.when(D.in_rectangle(F.col("y"), F.col("x"), 0, 8, 8, 16), F.col("v")).otherwise(F.col("px"))
+    return b.groupBy("image").agg(F.round(F.sum(shown), 6).alias("total"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from halyard.functions import attributes, display, geometry, hashing
 from halyard.functions.multivalue import Values
-from halyard.operators import hanging
+from halyard.operators import find, hanging
 
 
 def one(spark, *cols):
@@ -78,3 +78,29 @@ def test_a_protocol_without_some_of_its_sets(spark):
 def test_vectors_within_a_tolerance(spark):
     v = lambda *x: F.array(*(F.lit(float(k)) for k in x))
     assert list(one(spark, geometry.close(v(1, 2, 3), v(1, 2, 3.0000001), 1e-6), geometry.close(v(1, 2, 3), v(1, 2, 4), 1e-6))) == [True, False]
+
+
+def test_definitions_are_written_and_read(spark, tmp_path):
+    definition = {"image_sets": [{"selectors": []}], "display_sets": [{"image_set": 1, "sorts": []}]}
+    hanging.save_definition(spark, definition, str(tmp_path / "p"))
+    assert hanging.load_definition(spark, str(tmp_path / "p")) == definition
+
+
+@pytest.mark.parametrize("form", ["json", "xml", "csv", "parquet"])
+def test_responses_are_written(spark, tmp_path, form):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
+    find.write_results(rows, str(tmp_path / form), form, single=True)
+    reader = spark.read.format(form).schema(rows.schema)
+    if form == "xml":
+        reader = reader.option("rowTag", "response")
+    if form == "csv":
+        reader = reader.option("header", True).option("sep", "\t")
+    assert sorted(map(tuple, reader.load(str(tmp_path / form)).collect())) == [(1, "a"), (2, "b")]
+
+
+def test_time_based_sets(spark):
+    df = spark.createDataFrame([(1, k, f"2024-01-0{k} 00:00:00") for k in range(1, 8)], "p int, k int, t string").withColumn("t", F.col("t").cast("timestamp"))
+    run = lambda item: sorted(r.k for r in hanging.time_based_set(df, ["p"], "t", "2024-01-06 00:00:00", item, ["k"]).collect())
+    assert run({"abstract_prior": (0, 0)}) == [6] and run({"abstract_prior": (1, -1)}) == [1, 2, 3, 4, 5] and run({"relative_time": (3, 1, "DAY")}) == [3, 4, 5]
+    with pytest.raises(ValueError):
+        run({})
