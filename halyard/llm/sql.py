@@ -25,3 +25,51 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   repeat_share::DOUBLE AS repeat_share, top_share::DOUBLE AS top_share, line_share::DOUBLE AS line_share
 FROM full_row
 """
+
+#: Near-duplicates by their definition: pairs that share shingles are counted, and components are what is reachable over links.
+OP3 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s FROM w
+), x AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS code FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.code = b.code AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+), e AS (
+  SELECT a, b FROM p UNION ALL SELECT b, a FROM p
+), r(a, b) AS (
+  SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a
+), c AS (
+  SELECT a, min(b) AS least FROM r GROUP BY 1
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id, coalesce(least, doc_id) >= doc_id AS kept FROM s LEFT JOIN c ON a = doc_id
+"""
+
+#: Passages of smaller documents by their definition: every 50-byte window, its smallest document, and the bytes that later windows cover.
+OP8 = """
+WITH t AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents
+), w AS (
+  SELECT doc_id, unnest(list_transform(range(0, CAST(octet_length(b) - 49 AS BIGINT)), lambda i: {'i': i, 's': b[i + 1:i + 50]})) AS w FROM t WHERE octet_length(b) >= 50
+), m AS (
+  SELECT w.s AS s, min(doc_id) AS least FROM w GROUP BY 1 HAVING min(doc_id) < max(doc_id)
+), d AS (
+  SELECT doc_id, w.i AS i FROM w JOIN m ON w.s = m.s WHERE doc_id > least
+), o AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM d
+), k AS (
+  SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM o
+), r AS (
+  SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM k GROUP BY doc_id, k
+), l AS (
+  SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r
+), c AS (
+  SELECT l.doc_id, sum(z - a) AS removed, count(*) AS spans, string_agg(CASE WHEN a > before THEN hex(b[before + 1:a]) ELSE '' END, '' ORDER BY a) AS head, max(z) AS rest FROM l JOIN t ON t.doc_id = l.doc_id GROUP BY 1
+)
+SELECT t.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || CASE WHEN octet_length(b) > coalesce(rest, 0) THEN hex(b[coalesce(rest, 0) + 1:octet_length(b)]) ELSE '' END)) AS kept_sha256
+FROM t LEFT JOIN c ON c.doc_id = t.doc_id
+"""

@@ -488,10 +488,11 @@ def test_queries_are_named_by_number():
     assert [re.match(r"op(\d+)_", n)[1] for n in registry.queries()] == [str(n) for n in range(1, 11)]
 
 
-def test_quality_rules_equal_sql(spark, small):
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_queries_equal_sql(spark, small, name):
     from oracle import assert_same, connect
 
-    assert_same(registry.queries()["op2_repetition_quality"](spark, small), connect(small), registry.oracle_sql()["op2_repetition_quality"])
+    assert_same(registry.queries()[name](spark, small), connect(small), registry.oracle_sql()[name])
 
 
 def test_near_duplicates_that_share_one_shingle(spark):
