@@ -82,7 +82,7 @@ def mix_sources(
     number = docs[row_col] if row_col else F.monotonically_increasing_id()
     rows = docs.select(docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"), docs[text_col].cast("string").alias("text"), number.alias("row"))
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    draw = F.xxhash64(F.lit(seed), F.col("id").cast("string"), F.xxhash64("text"))
+    draw = F.md5(F.concat_ws("|", F.lit(seed), F.col("id").cast("string"), F.md5("text")))
     rows = scratch.save(rows.select("id", "source", size.alias("size"), draw.alias("draw"), "row"), "rows")
     sizes = scratch.save(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sizes")
     targets = scratch.save(source_targets(sizes, cap=max_repeats).withColumnRenamed("source", "s"), "targets")

@@ -80,4 +80,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_repetition_quality": sql.OP2, "op3_minhash_near_dedup": sql.OP3, "op8_suffix_array_dedup": sql.OP8}
+    return {"op2_repetition_quality": sql.OP2, "op3_minhash_near_dedup": sql.OP3, "op7_fair_queue_mixing": sql.OP7, "op8_suffix_array_dedup": sql.OP8}

@@ -73,3 +73,38 @@ SELECT t.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(remov
   sha256(unhex(coalesce(head, '') || CASE WHEN octet_length(b) > coalesce(rest, 0) THEN hex(b[coalesce(rest, 0) + 1:octet_length(b)]) ELSE '' END)) AS kept_sha256
 FROM t LEFT JOIN c ON c.doc_id = t.doc_id
 """
+
+
+def _settled(before: str, after: str) -> str:
+    """One step of settling: the document of each source that comes nearest to what is missing or over."""
+    return f"""
+{after}_gap AS (SELECT *, target - sum(copies * size) OVER (PARTITION BY source) AS gap FROM {before}),
+{after}_pick AS (SELECT *, CASE WHEN size > 0 AND size < 2 * abs(gap) AND CASE WHEN gap > 0 THEN copies < 3 ELSE copies > 0 END THEN row_number() OVER (PARTITION BY source, size > 0 AND size < 2 * abs(gap) AND CASE WHEN gap > 0 THEN copies < 3 ELSE copies > 0 END ORDER BY abs(abs(gap) - size), draw, doc_id, size) END AS place FROM {after}_gap),
+{after} AS (SELECT doc_id, draw, size, source, source_size, target, copies + CASE WHEN place = 1 THEN CAST(sign(gap) AS BIGINT) ELSE 0 END AS copies FROM {after}_pick)"""
+
+
+#: The mix by its definition: targets, virtual finish times of three turns, the cut at the budget, and two steps of settling.
+OP7 = rf"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(concat_ws('|', 'mix-1', CAST(doc_id AS VARCHAR), md5(text))) AS draw FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1
+), w AS (
+  SELECT *, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS weight, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM s
+), v AS (
+  SELECT *, coalesce(sum(source_size) OVER (l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS size_before, sum(weight) OVER (l ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_from FROM w WINDOW l AS (ORDER BY source_size / weight, source IS NULL, source)
+), u AS (
+  SELECT *, (total - 3 * size_before) * weight >= 3 * source_size * weight_from AS capped FROM v
+), t AS (
+  SELECT source, source_size, CASE WHEN capped THEN CAST(3 * source_size AS DOUBLE) ELSE CAST((total - 3 * coalesce(sum(source_size) FILTER (capped) OVER (), 0)) * weight AS DOUBLE) / CAST(sum(weight) FILTER (NOT capped) OVER () AS DOUBLE) END AS target FROM u
+), q AS (
+  SELECT d.*, source_size, target, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), f AS (
+  SELECT *, CASE WHEN target > 0 THEN CAST(turn * source_size + upto AS DOUBLE) / target ELSE 0.0 END AS finish FROM q, (VALUES (0), (1), (2)) x(turn)
+), n AS (
+  SELECT *, sum(size) OVER (ORDER BY finish, draw, doc_id, size, turn ROWS UNBOUNDED PRECEDING) AS used, (SELECT round(sum(target)) FROM t) AS budget FROM f
+), c0 AS (
+  SELECT doc_id, draw, size, source, source_size, target, count(*) FILTER (used <= budget AND finish * target - size / 2 <= target) AS copies FROM n GROUP BY ALL
+),{_settled("c0", "c1")},{_settled("c1", "c2")}
+SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken FROM c2
+"""
