@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +11,7 @@ from halyard.registry import query
 from halyard.sources import multipart as MP
 from halyard.streaming import ingest, progress
 
-from .common import table
+from .common import shared_folder, table
 
 
 @query("multipart_parts", "SELECT page_id, part, CASE part WHEN 0 THEN 'text/html' ELSE 'text/uri-list' END AS kind, CASE part WHEN 0 THEN strlen(html) ELSE strlen(url) END AS n_bytes FROM pages, (VALUES (0), (1)) p(part)")
@@ -51,12 +49,7 @@ def jpeg_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream, refused rows set aside, the rest edited and stored once, then counted."""
     like = table(spark, sf_dir, "events")
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="halyard-stream-")
-    place = f"{root}/stream-{uuid.uuid4().hex}"
+    place = shared_folder(spark, "stream")
     stream = ingest.arrivals(spark, sf_dir, like, "events.parquet")
     run = ingest.forward(stream, [lambda d: d.withColumn("event_type", F.concat(F.lit("fwd-"), F.col("event_type")))], progress.status(F.col("event_type")) == progress.FAILED, f"{place}/sink", f"{place}/aside", f"{place}/state")
     run.awaitTermination()

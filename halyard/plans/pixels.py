@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from halyard.functions import dates
 from halyard.functions import display as D
 from halyard.functions import lut as L
 from halyard.registry import query
@@ -188,3 +189,17 @@ def descriptor(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, none = F.col("p_size"), F.lit(None).cast("int")
     got = D.image_descriptor(s - 10, none, F.when(s % 2 == 0, s - 20), s % 3, F.lit(16), F.when(s % 5 > 0, s), F.when(s % 4 > 0, 11))
     return table(spark, sf_dir, "part").select("p_partkey", *(c.alias(n) for n, c in got.items()))
+
+
+@query("pixel_to_table", "SELECT p_partkey, CASE WHEN p_size BETWEEN 5 AND 14 THEN (p_size - 5) * 100.0 ELSE p_size END::DOUBLE AS v FROM part")
+def pixel_to_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Real values through a table of ten entries from 5 on; other pixels stay as they are."""
+    entries = F.array(*(F.lit(i * 100) for i in range(10)))
+    return table(spark, sf_dir, "part").select("p_partkey", L.pixel_to_table(F.col("p_size"), entries, 5).cast("double").alias("v"))
+
+
+@query("descriptor_times", "SELECT o_orderkey, lpad(CAST(o_custkey % 24 AS VARCHAR), 2, '0') || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') || '07.' || lpad(CAST(o_custkey * 37 % 1000000 AS VARCHAR), 6, '0') AS tm FROM orders")
+def descriptor_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of day as text."""
+    ns = ((F.col("o_custkey") % 24) * 3600 + (F.col("o_orderkey") % 60) * 60 + 7) * 1_000_000_000 + (F.col("o_custkey") * 37 % 1000000) * 1000
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.format_tm(ns).alias("tm"))
