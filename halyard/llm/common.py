@@ -77,11 +77,6 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(32))
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+``: bytes.split() cuts at exactly these six bytes."""
-    return text.split() if text else []
-
-
 def total_bytes(df: DataFrame, column: str) -> tuple[int, int]:
     """Rows and text bytes of a table (two numbers reach the driver)."""
     from pyspark.sql import functions as F
