@@ -59,6 +59,47 @@ def http_category(status: Column) -> Column:
     return out
 
 
+# fixed values: texts of HTTP statuses
+HTTP_TEXTS = {
+    200: "OK",
+    201: "Created",
+    202: "Accepted",
+    204: "No Content",
+    301: "Moved Permanently",
+    302: "Found",
+    304: "Not Modified",
+    307: "Temporary Redirect",
+    308: "Permanent Redirect",
+    400: "Bad Request",
+    401: "Unauthorized",
+    403: "Forbidden",
+    404: "Not Found",
+    405: "Method Not Allowed",
+    408: "Request Timeout",
+    409: "Conflict",
+    410: "Gone",
+    413: "Payload Too Large",
+    415: "Unsupported Media Type",
+    422: "Unprocessable Entity",
+    429: "Too Many Requests",
+    500: "Internal Server Error",
+    501: "Not Implemented",
+    502: "Bad Gateway",
+    503: "Service Unavailable",
+    504: "Gateway Timeout",
+    505: "HTTP Version Not Supported",
+}
+
+
+def http_text(status: Column) -> Column:
+    texts = F.create_map(*[F.lit(x) for pair in HTTP_TEXTS.items() for x in pair])
+    return F.coalesce(F.try_element_at(texts, status.cast("int")), F.lit("Unknown Status"))
+
+
+def valid_port(c: Column) -> Column:
+    return F.coalesce(c.try_cast("int").between(1, 65535), F.lit(False))
+
+
 def tag_list(c: Column) -> Column:
     """Tags of a comma-separated list in decimal, hexadecimal (0x) or octal (0...); what is no number is dropped."""
 

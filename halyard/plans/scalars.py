@@ -130,6 +130,18 @@ def code_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", X.code_value(F.when(k == 0, F.col("p_brand")).otherwise(" "), F.when(k == 1, F.col("p_type")), F.lit("")).alias("code"))
 
 
+@query(
+    "http_texts",
+    "WITH s AS (SELECT l_orderkey, l_linenumber, (CASE l_linenumber % 5 WHEN 0 THEN 200 WHEN 1 THEN 404 WHEN 2 THEN 503 WHEN 3 THEN 304 ELSE 418 END) AS s, (l_partkey * 977 % 70000 - 100) AS p FROM lineitem) SELECT l_orderkey, l_linenumber, CASE s WHEN 200 THEN 'OK' WHEN 404 THEN 'Not Found' WHEN 503 THEN 'Service Unavailable' WHEN 304 THEN 'Not Modified' ELSE 'Unknown Status' END AS text, p > 0 AND p < 65536 AS port FROM s",
+)
+def http_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of statuses, and ports that can be."""
+    n = F.col("l_linenumber") % 5
+    status = F.when(n == 0, 200).when(n == 1, 404).when(n == 2, 503).when(n == 3, 304).otherwise(418)
+    port = (F.col("l_partkey") * 977 % 70000 - 100).cast("string")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", X.http_text(status).alias("text"), X.valid_port(port).alias("port"))
+
+
 @query("http_category", "SELECT l_orderkey, l_partkey, CASE 1 + l_linenumber % 6 WHEN 1 THEN 'INFORMATIONAL' WHEN 2 THEN 'SUCCESS' WHEN 3 THEN 'REDIRECTION' WHEN 4 THEN 'CLIENT_ERROR' WHEN 5 THEN 'SERVER_ERROR' ELSE 'UNKNOWN' END AS category FROM lineitem")
 def http_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", X.http_category((F.lit(1) + F.col("l_linenumber") % 6) * 100 + 4).alias("category"))

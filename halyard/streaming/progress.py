@@ -25,10 +25,12 @@ def counters(column: str, total: int) -> list[Column]:
     return [*counts, (F.greatest(F.lit(total) - F.count(F.lit(1)), F.lit(1)) - 1).alias("remaining")]
 
 
-def message(completed: Column, failed: Column, warning: Column, remaining: Column) -> Column:
+def message(completed: Column, failed: Column, warning: Column, remaining: Column, comment: Column | None = None) -> Column:
+    """What is to be said about an operation: an error comment that is not blank first, then its counts that are not zero."""
     total = completed + failed + warning + remaining
     return F.concat_ws(
         ", ",
+        F.when(F.length(F.trim(comment)) > 0, comment) if comment is not None else F.lit(None).cast("string"),
         F.when(failed > 0, F.format_string("%d of %d failed", failed, total)),
         F.when(remaining > 0, F.format_string("%d remaining", remaining)),
         F.when(warning > 0, F.format_string("%d with warnings", warning)),

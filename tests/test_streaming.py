@@ -22,7 +22,8 @@ def test_forwarding_sets_refused_rows_aside(spark, small, tmp_path):
 
 
 def test_messages(spark):
-    m = progress.message(F.lit(3), F.lit(2), F.lit(0), F.lit(5))
+    m = progress.message(F.lit(3), F.lit(2), F.lit(0), F.lit(5), F.lit(" "))
+    assert spark.range(1).select(progress.message(F.lit(1), F.lit(0), F.lit(0), F.lit(0), F.lit("broken"))).first()[0] == "broken"
     assert spark.range(1).select(m).first()[0] == "2 of 10 failed, 5 remaining"
 
 
