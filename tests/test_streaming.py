@@ -1,6 +1,8 @@
+import time
+
 from pyspark.sql import functions as F
 
-from halyard.streaming import ingest, progress
+from halyard.streaming import ingest, listeners, progress
 
 
 def test_sessions_of_a_stream_equal_those_of_the_table(spark, small, tmp_path):
@@ -61,3 +63,20 @@ def test_status_codes(spark):
     codes = [0x0000, 0xB000, 0xB007, 0xA700, 0xFE00]
     got = spark.range(1).select(*(progress.dimse_status(F.lit(c)) for c in codes)).first()
     assert list(got) == ["completed", "warning", "warning", "failed", "failed"]
+
+
+def test_progress_reaches_a_callback(spark, small, tmp_path):
+    seen = []
+    listener = listeners.ProgressListener(lambda name, batch, rows: seen.append((name, batch, rows)))
+    spark.streams.addListener(listener)
+    try:
+        like = spark.read.parquet(f"{small}/events.parquet")
+        stream = ingest.arrivals(spark, small, like, "events.parquet")
+        stream.writeStream.format("noop").queryName("watched").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination()
+        end = time.time() + 30
+        while time.time() < end and not (seen and seen[-1][2] == -1):
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    mine = [x for x in seen if x[0] == "watched"]
+    assert sum(rows for _, _, rows in mine if rows > 0) == like.count() and mine[-1][2] == -1
