@@ -55,6 +55,12 @@ class Scratch:
             self._fs.delete(self._path(self.path(name)), True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The table over all cores, where its files make fewer scan tasks than there are; larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[tuple[int, int, list[bytes | None]]]:
     """Runs of rows whose texts sum to about ``limit`` bytes, so that numpy temporaries stay small: (start, stop, texts)."""
     col = batch.column(batch.schema.get_field_index(column))

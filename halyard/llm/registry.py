@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import html_extract, language_id, media, minhash, mixing, nbsvm, packing, quality_rules, sharding, sql, suffix_dedup
-from .common import Scratch
+from .common import Scratch, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return spread(_table(spark, sf_dir, name))
+
+
 def op1_size_tiered_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each document lies after two arrivals, short texts and long ones, and full compaction: its shard as the newest manifest has
     it, and a checksum of the text read from there.
@@ -34,45 +38,45 @@ def op1_size_tiered_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.repetition_quality(_table(spark, sf_dir, "documents"))
+    return quality_rules.repetition_quality(_texts(spark, sf_dir))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), params=minhash.NearDupParams(shingle=4))
+    return minhash.near_duplicates(_texts(spark, sf_dir), params=minhash.NearDupParams(shingle=4))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    return packing.pack(_texts(spark, sf_dir))
 
 
 def op5_consensus_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.extract_main_text(_table(spark, sf_dir, "pages"))
+    return html_extract.extract_main_text(_texts(spark, sf_dir, "pages"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _texts(spark, sf_dir)
     model = language_id.fit_language_filter(docs.where(~language_id.held_out("doc_id")))
     found = language_id.identify_languages(docs, model)
     return found.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
 def op7_fair_queue_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix_sources(_texts(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+    return suffix_dedup.repeated_passages(_texts(spark, sf_dir))
 
 
 def op9_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _texts(spark, sf_dir)
     model = nbsvm.train_quality(docs, _table(spark, sf_dir, "labels"))
     scored = nbsvm.score_quality(docs, model)
     return scored.select("doc_id", nbsvm.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
 def op10_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.document_media(_table(spark, sf_dir, "documents"))
+    return media.document_media(_texts(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
