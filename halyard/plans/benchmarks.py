@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from halyard.operators import comparison as C
+from halyard.operators.ranking import ranked
 from halyard.operators import hanging
 from halyard.registry import query
 from halyard.streaming import progress as P
@@ -81,10 +82,16 @@ def trend_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("report_sort", "SELECT s_suppkey, row_number() OVER (ORDER BY CASE WHEN s_suppkey % 4 > 0 THEN s_acctbal END ASC NULLS LAST, s_name) AS position FROM supplier")
 def report_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A report's rows by change, unknown ones last. A report has a row for each file and target of a benchmark run, some thousands at most, so one
-    task orders all of it; it is no query over an archive."""
-    key = F.when(F.col("s_suppkey") % 4 > 0, F.col("s_acctbal"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.row_number().over(Window.orderBy(key.asc_nulls_last(), "s_name")).cast("long").alias("position"))
+    """A report's rows by change, unknown ones last."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 4 > 0, F.col("s_acctbal")).alias("change"), "s_name")
+    return ranked(rows, [F.col("change").asc_nulls_last(), F.col("s_name")], "position").select("s_suppkey", "position")
+
+
+@query("report_sort_orders", "SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END DESC NULLS LAST, o_orderkey) AS position FROM orders")
+def report_sort_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same order over a table that grows with the archive."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("change"))
+    return ranked(rows, [F.col("change").desc_nulls_last(), F.col("o_orderkey")], "position").select("o_orderkey", "position")
 
 
 @query("prior_window", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 10 DAY AND ts <= TIMESTAMP '2024-01-20' - INTERVAL 2 DAY")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from halyard.shared import shared_folder  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,15 +20,3 @@ def tally(df: DataFrame) -> DataFrame:
 def tally_sql(where: str, source: str = "lineitem") -> str:
     return f"SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS orderkeys, CAST(sum(l_partkey) AS BIGINT) AS partkeys FROM {source} WHERE {where} GROUP BY ALL"
 
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share, under ``spark.checkpoint.dir``; it goes when the application ends."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="halyard-")
-    place = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(place)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return place
