@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, language_id, media, minhash, mixing, nbsvm, packing, quality_rules, sharding, sql, suffix_dedup
+from . import html_extract, importance, language_id, media, minhash, mixing, nbsvm, packing, phrases, quality_rules, sharding, sql, suffix_dedup, url_filter
 from .common import Scratch, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,9 +79,30 @@ def op10_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(_texts(spark, sf_dir))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+#: Rules of the query: verdict, host and path.
+URL_RULES = [url_filter.Rule("block", "net/"), url_filter.Rule("allow", "example.net/en/"), url_filter.Rule("block", "example.com/de/"), url_filter.Rule("allow", "org/fr/")]
+
+
+def op12_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is that of the document whose number its path has: bad if labelled of low quality or toxic."""
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    number = F.regexp_extract(url_filter.path_of(F.col("url")), "^/[^/]+/([0-9]{1,18})", 1).try_cast("long")
+    judged = url_filter.filter_urls(_table(spark, sf_dir, "pages"), labels, number, URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "n_labelled", "n_bad")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_size_tiered_sharding, op2_repetition_quality, op3_minhash_near_dedup, op4_best_fit_packing, op5_consensus_html, op6_language_id, op7_fair_queue_mixing, op8_suffix_array_dedup, op9_nbsvm_quality, op10_media_sequences)}
+    return {f.__name__: f for f in (op1_size_tiered_sharding, op2_repetition_quality, op3_minhash_near_dedup, op4_best_fit_packing, op5_consensus_html, op6_language_id, op7_fair_queue_mixing, op8_suffix_array_dedup, op9_nbsvm_quality, op10_media_sequences, op11_phrase_collocations, op12_url_reputation, op13_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_repetition_quality": sql.OP2, "op3_minhash_near_dedup": sql.OP3, "op7_fair_queue_mixing": sql.OP7, "op8_suffix_array_dedup": sql.OP8}
+    return {"op2_repetition_quality": sql.OP2, "op3_minhash_near_dedup": sql.OP3, "op7_fair_queue_mixing": sql.OP7, "op8_suffix_array_dedup": sql.OP8, "op11_phrase_collocations": sql.OP11, "op12_url_reputation": sql.op12(url_filter.Reputation.suffixes, url_filter.Reputation.limit, url_filter.Reputation.z), "op13_importance_resampling": sql.OP13}

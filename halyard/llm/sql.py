@@ -108,3 +108,124 @@ WITH d AS (
 ),{_settled("c0", "c1")},{_settled("c1", "c2")}
 SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken FROM c2
 """
+
+
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+#: Collocations by their definition: all runs of 1 to 5 words counted, every cut scored, phrases as frequent as a longer one around them left out.
+OP11 = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_LOWER}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), s AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w
+), g AS (
+  SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase FROM s, range(1, 6) r(k) WHERE i + k - 1 <= len(w)
+), n AS (
+  SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY 1
+), f AS (
+  SELECT lang, k, phrase, string_split(phrase, ' ') AS w, count(*) AS a FROM g GROUP BY lang, k, phrase HAVING count(*) >= 100
+), i AS (
+  SELECT lang, array_to_string(list_slice(w, o, o + m - 1), ' ') AS phrase, max(a) AS longer FROM f, range(2, 5) x(m), range(1, 5) y(o) WHERE m < k AND o + m - 1 <= k GROUP BY 1, 2
+), c AS (
+  SELECT f.* FROM f LEFT JOIN i ON i.lang = f.lang AND i.phrase = f.phrase WHERE k > 1 AND (longer IS NULL OR 100 * longer < 100 * a)
+), q AS (
+  SELECT c.lang, c.phrase, c.a, cut, l.a AS l, r.a AS r, n, CAST((1000::HUGEINT * c.a * n) // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+  FROM c, range(1, 5) x(cut), f l, f r, n
+  WHERE cut < c.k AND l.lang = c.lang AND l.phrase = array_to_string(list_slice(c.w, 1, cut), ' ') AND r.lang = c.lang AND r.phrase = array_to_string(list_slice(c.w, cut + 1, c.k), ' ') AND n.lang = c.lang
+), b AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM q
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b WHERE place = 1
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000
+"""
+
+
+def _shares(groups: str, out: str) -> str:
+    """A level's posterior shares around the means of the level above."""
+    return f"""
+{out}_s AS (SELECT CASE WHEN x > 0 THEN least(greatest(1 / x - 1, 1.0), 1e6) ELSE 1e6 END AS strength FROM (SELECT sum(pow(bad - n * mean, 2.0) / (mean * (1 - mean)) - n) / nullif(sum(CAST(n AS DOUBLE) * (n - 1)), 0) AS x FROM {groups})),
+{out} AS (SELECT *, (bad + strength * mean) / (n + strength) AS share, n + strength AS sure FROM {groups}, {out}_s)"""
+
+
+def _suffixes(names: tuple[str, ...]) -> str:
+    return ", ".join(f"'{n}'" for n in names)
+
+
+def op12(suffixes: tuple[str, ...], limit: float, z: float) -> str:
+    """Rules, then hosts by posterior bound."""
+    label = lambda k: f"array_to_string(list_slice(p, greatest(len(p) - {k - 1}, 1), len(p)), '.')"
+    return rf"""
+WITH u AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), {_LOWER}) AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages
+), k AS (
+  SELECT *, TRY_CAST(regexp_extract(path, '^/[^/]+/([0-9]{{1,18}})', 1) AS BIGINT) AS key FROM u
+), l AS (
+  SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL AND (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY 1
+), c AS (
+  SELECT host, string_split(host, '.') AS p, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM k LEFT JOIN l ON k.key = l.doc_id GROUP BY 1
+), h AS (
+  SELECT host, n, bad, CASE WHEN {label(2)} IN ({_suffixes(suffixes)}) THEN {label(3)} ELSE {label(2)} END AS domain, CASE WHEN {label(2)} IN ({_suffixes(suffixes)}) THEN {label(2)} ELSE {label(1)} END AS suffix FROM c
+), d0 AS (
+  SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY 1, 2
+), f0 AS (
+  SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1.0::DOUBLE) FROM h) AS mean FROM d0 GROUP BY 1
+),{_shares("f0", "f1")}, d1 AS (
+  SELECT d0.*, share AS mean FROM d0 JOIN f1 ON d0.suffix = f1.suffix
+),{_shares("d1", "d2")}, h1 AS (
+  SELECT h.host, h.n, h.bad, share AS mean FROM h JOIN d2 ON h.domain = d2.domain AND h.suffix = d2.suffix
+),{_shares("h1", "h2")}, r AS (
+  SELECT page_id, u.host, path, CAST(n AS BIGINT) AS n_labelled, CAST(bad AS BIGINT) AS n_bad, share - {z} * sqrt(share * (1 - share) / (sure + 1)) > {limit} AS blocked, CASE
+    WHEN (u.host = 'example.net' OR ends_with(u.host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (u.host = 'example.com' OR ends_with(u.host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (u.host = 'org' OR ends_with(u.host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (u.host = 'net' OR ends_with(u.host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM u JOIN h2 ON u.host = h2.host
+)
+SELECT page_id, host, path, rule, n_labelled, n_bad, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN blocked THEN 'block' ELSE 'allow' END AS verdict FROM r
+"""
+
+
+#: Resampling by its definition. A CRC is the exclusive or of what each byte adds at its distance from the end, and of what the initial state adds.
+OP13 = rf"""
+WITH RECURSIVE t AS (
+  SELECT i AS b, i AS v, 0 AS k FROM range(0, 256) x(i) UNION ALL SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM t WHERE k < 8
+), t8 AS (
+  SELECT b, v FROM t WHERE k = 8
+), a AS (
+  SELECT doc_id, regexp_extract_all(translate(text, {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT regexp_extract_all(translate(text, {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), ai AS (
+  SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM a
+), bi AS (
+  SELECT w, unnest(range(1, len(w) + 1)) AS i FROM b
+), g AS (
+  SELECT doc_id, false AS aim, array_to_string(list_slice(w, i, i + k - 1), ' ') AS f, count(*) AS n FROM ai, range(1, 4) r(k) WHERE i + k - 1 <= len(w) GROUP BY ALL
+  UNION ALL SELECT NULL, true, array_to_string(list_slice(w, i, i + k - 1), ' '), count(*) FROM bi, range(1, 4) r(k) WHERE i + k - 1 <= len(w) GROUP BY ALL
+), z AS (
+  SELECT printf('%02X', b) AS b, v, 0 AS d FROM t8 UNION ALL SELECT 'init', 4294967295, 0
+  UNION ALL SELECT z.b, xor(t8.v, z.v >> 8), d + 1 FROM z JOIN t8 ON t8.b = z.v & 255 WHERE d < (SELECT max(octet_length(encode(f))) FROM g)
+), e AS (
+  SELECT f, hex(encode(f)) AS x, octet_length(encode(f)) AS len FROM (SELECT DISTINCT f FROM g)
+), y AS (
+  SELECT f, substr(x, 2 * j - 1, 2) AS b, len - j AS d FROM e, LATERAL (SELECT unnest(range(1, len + 1)) AS j) UNION ALL SELECT f, 'init', len FROM e
+), q AS (
+  SELECT f, xor(bit_xor(v), 4294967295) % 10000 AS bucket FROM y JOIN z ON z.b = y.b AND z.d = y.d GROUP BY 1
+), s AS (
+  SELECT bucket, coalesce(sum(n) FILTER (NOT aim), 0) AS s, coalesce(sum(n) FILTER (aim), 0) AS t FROM g JOIN q ON q.f = g.f GROUP BY 1
+), m AS (
+  SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * (SELECT sum(s) + 10000 FROM s)::DOUBLE / ((s + 1)::DOUBLE * (SELECT sum(t) + 10000 FROM s)::DOUBLE))) AS BIGINT) AS gain FROM s
+), v AS (
+  SELECT doc_id, sum(n) AS n_features, sum(n * gain) AS weight FROM g JOIN q ON q.f = g.f JOIN m ON m.bucket = q.bucket WHERE NOT aim GROUP BY 1
+), o AS (
+  SELECT a.doc_id, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, coalesce(len(w), 0) >= 20 AS may,
+    CAST(coalesce(weight, 0) AS BIGINT) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || CAST(a.doc_id AS VARCHAR)), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM a LEFT JOIN v ON v.doc_id = a.doc_id
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY may ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY may) AS n FROM o
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN may AND place <= 5 * n // 100 THEN place END AS rank FROM p
+"""
