@@ -3,24 +3,25 @@
 Removed is each byte covered by a string of ``length`` bytes that also starts in a document with a smaller id. Three steps find
 all of these strings without ever sorting the suffixes of the whole corpus:
 
-0. *Frequent anchors.* A pass over all texts counts, in Spark, the surroundings of anchors; a bitmap of fixed size marks those
-   that too many have for one task. A mark only sends an anchor on another way through step 2, so one too many does no harm.
+0. *Frequent anchors.* A pass over all texts counts, in Spark and by anchor, the surroundings that a block of texts has several of; a bitmap marks those
+   anchors that too many have to meet in one task. A mark only sends an anchor on another way through step 2, so one too many does no harm.
 1. *Anchors.* Every window of ``length`` bytes has one anchor, the position in it whose k-byte string has the smallest hash. Equal
    windows have equal anchors, and one position in about seventeen is one. Anchors meet by hash, packed into binary
    blocks; of equal anchors with equal surroundings (all bytes that a window around the anchor can reach) every one but
    those of the smallest id is settled at once. Tasks settle what meets within them before the shuffle, so that a passage of a third
-   of all documents is a few rows.
+   of all documents is a few rows. Where a document repeats the same surroundings at steps of up to ``length`` bytes (a long run of one
+   character, a ruler, padding), its anchors are one record with a first and a last position.
 2. *Suffix arrays.* Anchors that differ in their surroundings are where repeats begin and end. One surrounding of each kind is
-   fetched; those of equal anchors form a bucket. A bucket's suffixes are sorted into an enhanced suffix array (suffixes and the
+   fetched, and what is found in it holds for all places of that document that have the same (its followers, joined by a handle); those of equal anchors form a bucket. A bucket's suffixes are sorted into an enhanced suffix array (suffixes and the
    lengths of common prefixes), and a stack scan walks its common-prefix interval tree: an interval is a group of equal strings
    with all its occurrences, and it is output if the bytes to the left differ (else a longer repeat covers it).
-   A frequent anchor's bucket is split one radix level deeper, by 46 of the 50 bytes of the windows that five neighbouring
+   Where equal anchors meet, their kinds are counted exactly; one with more than ``most`` is frequent as well. A frequent anchor's bucket is split one radix level deeper, by 46 of the 50 bytes of the windows that five neighbouring
    offsets of the anchor have in common, and the same arrays are built. Where even these bytes are those of too many, the last
    level has all 50 bytes as its key: its strings are equal, its tree is one interval, and aggregation finds its smallest id.
 3. *Removal.* The ranges of a document are united and cut out.
 
 Defined cases: null texts are empty; texts shorter than ``length`` lose nothing; equal ids are the same document, so none of
-their rows is earlier than another; null ids lose nothing and take nothing from others; strings are judged on the input; an
+their rows is earlier than another; repetitive texts of any length make few records (one a run); null ids lose nothing and take nothing from others; strings are judged on the input; an
 empty table gives an empty result; extra columns are ignored.
 """
 
@@ -42,9 +43,7 @@ REACH = LENGTH - K  # bytes that a window can stand out to the left of its ancho
 PAD = 64
 _C1, _C2 = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 _BLOCK = 1_200_000  # anchors that a task holds before it settles and sends them
-FREQUENT_SLOTS = 1 << 24
-_SLOT_SHIFT = U64(40)
-LEAST = 4  # surroundings of an anchor in a block of texts from which on they are counted
+LEAST = 2  # surroundings of an anchor in a block of texts from which on they are counted: what is missed is one a block at most
 STEP = 5  # offsets of an anchor that the deeper radix level puts together
 
 
@@ -123,8 +122,13 @@ def unite(rid: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
     return rid[at], start[at], (reach - shift)[last]
 
 
-def _pack(doc: np.ndarray, rid: np.ndarray, size: np.ndarray, pos: np.ndarray, kh: np.ndarray, ch: np.ndarray) -> bytes:
-    """A block of anchors: documents once each, positions byte by byte so that they compress; 4 bytes of anchor hash and 5 of surroundings."""
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers of 4 bytes, byte by byte so that they compress."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _pack(doc: np.ndarray, rid: np.ndarray, size: np.ndarray, pos: np.ndarray, last: np.ndarray, kh: np.ndarray, ch: np.ndarray) -> bytes:
+    """A block of runs of anchors: documents once each, positions in planes; 4 bytes of anchor hash and 5 of surroundings."""
     order = np.argsort(rid, kind="stable")
     rid = rid[order]
     head = np.flatnonzero(np.r_[True, rid[1:] != rid[:-1]])
@@ -132,7 +136,7 @@ def _pack(doc: np.ndarray, rid: np.ndarray, size: np.ndarray, pos: np.ndarray, k
     counts = np.diff(np.r_[head, len(rid)]).astype(np.int32)
     ch = ch[order]
     parts = [np.array([len(head), len(rid)], np.int32), rid[head], doc[pick], size[pick].astype(np.int64), counts, kh[order].astype(np.uint32), ch.astype(np.uint32), (ch >> U64(32)).astype(np.uint8)]
-    return b"".join([p.tobytes() for p in parts] + [np.ascontiguousarray(pos[order].astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()])
+    return b"".join([p.tobytes() for p in parts] + [_planes(pos[order]), _planes(last[order] - pos[order])])
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
@@ -142,13 +146,13 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     for kind, count in ((np.int64, docs), (np.int64, docs), (np.int64, docs), (np.int32, docs), (np.uint32, n), (np.uint32, n), (np.uint8, n)):
         out.append(np.frombuffer(blob, kind, count, at))
         at += int(count) * np.dtype(kind).itemsize
-    pos = np.ascontiguousarray(np.frombuffer(blob, np.uint8, 4 * n, at).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    pos, more = (np.ascontiguousarray(np.frombuffer(blob, np.uint8, 4 * n, at + 4 * int(n) * i).reshape(4, -1).T).view("<u4").ravel().astype(np.int64) for i in range(2))
     rid, doc, size, counts, kh, c32, c8 = out
     ch = c32.astype(U64) | c8.astype(U64) << U64(32)
-    return np.repeat(doc, counts), np.repeat(rid, counts), np.repeat(size, counts), pos, kh, ch
+    return np.repeat(doc, counts), np.repeat(rid, counts), np.repeat(size, counts), pos, pos + more, kh, ch
 
 
-def _settle(doc: np.ndarray, rid: np.ndarray, size: np.ndarray, pos: np.ndarray, kh: np.ndarray, ch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _settle(doc: np.ndarray, kh: np.ndarray, ch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, group heads, settled): records by anchor, surroundings and document; settled are those with a smaller document in their group."""
     order = np.lexsort((doc, ch, kh))
     k, c, d = kh[order], ch[order], doc[order]
@@ -157,27 +161,61 @@ def _settle(doc: np.ndarray, rid: np.ndarray, size: np.ndarray, pos: np.ndarray,
     return order, head, d > first
 
 
-def _ranges(rid: np.ndarray, size: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What the surroundings of anchors cover."""
-    return rid, np.maximum(pos - REACH, 0), np.minimum(pos + LENGTH, size)
+def _ranges(rid: np.ndarray, size: np.ndarray, pos: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the surroundings of runs of anchors cover: they touch, as the steps of a run are no longer than what each covers."""
+    return rid, np.maximum(pos - REACH, 0), np.minimum(last + LENGTH, size)
+
+
+def _runs(order: np.ndarray, head: np.ndarray, rid: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first record, last position) of each run, for records in order of anchor, surroundings, text and position."""
+    r, p = rid[order], pos[order]
+    new = head.copy()
+    step = np.diff(p)
+    new[1:] |= (r[1:] != r[:-1]) | (step > LENGTH) | (step < 0)
+    at = np.flatnonzero(new)
+    return order[at], p[np.r_[at[1:], len(p)] - 1] if len(p) else p
 
 
-_HIT = "kind int, rid long, doc long, start long, end long, key long"
-_HIT_ARROW = pa.schema([("kind", pa.int32())] + [(n, pa.int64()) for n in ("rid", "doc", "start", "end", "key")])
-COVERED, OPEN, FREQUENT = 0, 1, 2
+def _representatives(head: np.ndarray, pos: np.ndarray, last: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(handle of the record's group, whether the group has followers); ``seed`` tells the groups apart."""
+    group = np.cumsum(head) - 1
+    many = np.bincount(group) > 1 if len(group) else np.zeros(0, bool)
+    many |= (last > pos)[head]
+    return mix64(seed[head] * _C1 + _C2)[group].view(np.int64), many[group]
 
 
-def _hits(kind: int, rid: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
-    cols = [np.full(len(rid), kind, np.int32), *(np.asarray(x).astype(np.int64) for x in (rid, doc, start, end, key))]
+_HIT = "kind int, rid long, doc long, start long, end long, key long, handle long, follows boolean"
+_HIT_ARROW = pa.schema([("kind", pa.int32())] + [(n, pa.int64()) for n in ("rid", "doc", "start", "end", "key", "handle")] + [("follows", pa.bool_())])
+#: ``start`` and ``end`` are a range, an anchor's position, or those of the first and last anchor of a run that follows its group's representative.
+COVERED, OPEN, FREQUENT, FOLLOWER = 0, 1, 2, 3
+
+
+def _hits(kind: int, rid: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray, handle: np.ndarray | None = None, follows: np.ndarray | None = None) -> pa.RecordBatch:
+    n = len(rid)
+    cols = [np.full(n, kind, np.int32), *(np.asarray(x).astype(np.int64) for x in (rid, doc, start, end, key, np.zeros(n) if handle is None else handle)), np.zeros(n, bool) if follows is None else follows]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=_HIT_ARROW)
 
 
-def _frequent_anchors(src: DataFrame, many: int) -> np.ndarray:
-    """Marks of the slots of anchors with more than ``many`` surroundings, counted over all texts; FREQUENT_SLOTS bits reach the driver.
+class Marks:
+    """A bitmap by the leading bits of anchor hashes."""
+
+    def __init__(self, bits: int):
+        self.shift = U64(64 - bits)
+        self.packed = np.zeros(max(1 << bits >> 3, 4096), np.uint8)
+
+    def __call__(self, kh: np.ndarray) -> np.ndarray:
+        slot = (kh >> self.shift).astype(np.int64)
+        return (self.packed[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _frequent_anchors(src: DataFrame, many: int, size: int) -> Marks:
+    """Marks of anchors with more than ``many`` surroundings, counted over all texts by the anchor's hash.
 
     Tasks count by blocks of texts and report what a block has several times, so that a count may fall short by
-    ``LEAST - 1`` for each block.
+    ``LEAST - 1`` for each block. The bitmap has a bit for some 64 bytes of text, from 2^24 up to 2^30 (128 MB), so that marks of
+    unrelated anchors are rare; that many bits at most reach the driver and the tasks.
     """
+    bits = min(max(24, (size >> 6).bit_length()), 30)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -192,7 +230,7 @@ def _frequent_anchors(src: DataFrame, many: int) -> np.ndarray:
                 new = np.r_[True, kh[1:] != kh[:-1]]
                 kinds = np.add.reduceat((new | np.r_[True, ch[1:] != ch[:-1]]).astype(np.int64), np.flatnonzero(new))
                 often = kinds >= LEAST
-                yield pa.RecordBatch.from_arrays([pa.array((kh[new][often] >> _SLOT_SHIFT).astype(np.int64)), pa.array(kinds[often])], names=["slot", "kinds"])
+                yield pa.RecordBatch.from_arrays([pa.array(kh[new][often].view(np.int64)), pa.array(kinds[often])], names=["kh", "kinds"])
             held.clear()
             count = 0
 
@@ -206,18 +244,17 @@ def _frequent_anchors(src: DataFrame, many: int) -> np.ndarray:
                     yield from flush()
         yield from flush()
 
-    slots = src.select("text").mapInArrow(run, "slot long, kinds long").groupBy("slot").agg(F.sum("kinds").alias("kinds")).where(F.col("kinds") > many)
-    place = F.col("slot") + 1
-    maps = slots.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    marks = np.zeros(FREQUENT_SLOTS, bool)
+    anchors = src.select("text").mapInArrow(run, "kh long, kinds long").groupBy("kh").agg(F.sum("kinds").alias("kinds")).where(F.col("kinds") > many)
+    place = F.shiftrightunsigned("kh", 64 - bits) + 1
+    maps = anchors.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    marks = Marks(bits)
     for r in maps.collect():
-        bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
-        marks[(r["bucket"] - 1) * len(bits) :][: len(bits)] |= bits.astype(bool)
-    return np.packbits(marks)
+        marks.packed[(r["bucket"] - 1) * 4096 :][:4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return marks
 
 
-def _anchor_blocks(src: DataFrame, parts: int, frequent: np.ndarray) -> DataFrame:
-    """(part, kind, block): anchors packed by the part of their hash, ranges that are settled already, and frequent anchors."""
+def _anchor_blocks(src: DataFrame, parts: int, frequent: Marks) -> DataFrame:
+    """(part, kind, block): runs of anchors packed by the part of their hash, ranges that are settled already, and frequent anchors with their followers."""
     shared = src.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,25 +271,32 @@ def _anchor_blocks(src: DataFrame, parts: int, frequent: np.ndarray) -> DataFram
             count = 0
             if not len(doc):  # texts too short for an anchor
                 return
-            order, _, settled = _settle(doc, rid, size, pos, kh, ch)
-            gone, stay = order[settled], order[~settled]
-            r, s, e = unite(*_ranges(rid[gone], size[gone], pos[gone]))
+            order, head, settled = _settle(doc, kh, ch)
+            gone = order[settled]
+            r, s, e = unite(*_ranges(rid[gone], size[gone], pos[gone], pos[gone]))
             rows: list[tuple[int, int, bytes]] = []
             if len(r):
                 rows.append((int(r[0] % parts), COVERED, np.concatenate([r, s, e]).astype(np.int64).tobytes()))
-            slot = (kh[stay] >> _SLOT_SHIFT).astype(np.int64)
-            often = (frequent[slot >> 3] >> (7 - (slot & 7)) & 1).astype(bool)
-            x, stay = stay[often], stay[~often]
-            for a in range(0, len(x), 20_000):
-                y = x[a : a + 20_000]
-                rows.append((int(rid[y[0]] % parts), FREQUENT, np.concatenate([rid[y], doc[y], pos[y], kh[y].view(np.int64)]).astype(np.int64).tobytes()))
+            stay, last = _runs(order[~settled], head[~settled], rid, pos)
+            doc, rid, size, pos, kh, ch = (x[stay] for x in (doc, rid, size, pos, kh, ch))
+            often = frequent(kh)
+            x = np.flatnonzero(often)
+            if len(x):
+                head = np.r_[True, (kh[x][1:] != kh[x][:-1]) | (ch[x][1:] != ch[x][:-1])]
+                handle, follows = _representatives(head, pos[x], last[x], mix64(kh[x] + ch[x] * _C2) ^ (rid[x].view(U64) + pos[x].astype(U64)) * _C1)
+                for kind, y in ((FREQUENT, np.flatnonzero(head)), (FOLLOWER, np.flatnonzero(follows))):
+                    for a in range(0, len(y), 20_000):
+                        b = y[a : a + 20_000]
+                        z = x[b]
+                        rows.append((int(rid[z[0]] % parts), kind, np.concatenate([rid[z], doc[z], pos[z], last[z], kh[z].view(np.int64), handle[b], follows[b].astype(np.int64)]).astype(np.int64).tobytes()))
+            stay = np.flatnonzero(~often)
             part = ((kh[stay] >> U64(32)) % U64(parts)).astype(np.int64)
             by = np.argsort(part, kind="stable")
             stay, part = stay[by], part[by]
             cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
             for a, b in zip(cuts, np.r_[cuts[1:], len(part)], strict=True):
                 x = stay[a:b]
-                rows.append((int(part[a]), OPEN, _pack(doc[x], rid[x], size[x], pos[x], kh[x], ch[x])))
+                rows.append((int(part[a]), OPEN, _pack(doc[x], rid[x], size[x], pos[x], last[x], kh[x], ch[x])))
             for at in range(0, len(rows), 256):
                 cols = list(zip(*rows[at : at + 256], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["part", "kind", "block"])
@@ -272,8 +316,9 @@ def _anchor_blocks(src: DataFrame, parts: int, frequent: np.ndarray) -> DataFram
     return src.mapInArrow(run, "part int, kind int, block binary")
 
 
-def _meet_anchors(blocks: DataFrame) -> DataFrame:
-    """Settles the anchors of each part; what is left are anchors of several documents with several surroundings, and frequent ones."""
+def _meet_anchors(blocks: DataFrame, most: int) -> DataFrame:
+    """Settles the anchors of each part; what is left are anchors of several documents with several surroundings, one record for each kind and
+    followers, and frequent anchors: those marked before and those that turn out to have more than ``most`` kinds."""
 
     def run(table: pa.Table) -> pa.Table:
         out: list[pa.RecordBatch] = []
@@ -283,17 +328,17 @@ def _meet_anchors(blocks: DataFrame) -> DataFrame:
             if kind == COVERED:
                 r, s, e = np.frombuffer(block.as_buffer(), np.int64).reshape(3, -1)
                 out.append(_hits(COVERED, r, r, s, e, r))
-            elif kind == FREQUENT:
-                r, d, p, k = np.frombuffer(block.as_buffer(), np.int64).reshape(4, -1)
-                out.append(_hits(FREQUENT, r, d, p, p, k))
+            elif kind in (FREQUENT, FOLLOWER):
+                r, d, p, e, k, h, f = np.frombuffer(block.as_buffer(), np.int64).reshape(7, -1)
+                out.append(_hits(kind, r, d, p, e, k, h, f.astype(bool)))
             else:
                 got.append(_unpack(block.as_buffer()))
         if got:
-            doc, rid, size, pos, kh, ch = (np.concatenate(x) for x in zip(*got, strict=True))
+            doc, rid, size, pos, last, kh, ch = (np.concatenate(x) for x in zip(*got, strict=True))
             got.clear()
-            order, head, settled = _settle(doc, rid, size, pos, kh, ch)
+            order, head, settled = _settle(doc, kh, ch)
             gone = order[settled]
-            r, s, e = unite(*_ranges(rid[gone], size[gone], pos[gone]))
+            r, s, e = unite(*_ranges(rid[gone], size[gone], pos[gone], last[gone]))
             out.append(_hits(COVERED, r, r, s, e, r))
             k, d = kh[order], doc[order]
             new = np.r_[True, k[1:] != k[:-1]]
@@ -303,16 +348,25 @@ def _meet_anchors(blocks: DataFrame) -> DataFrame:
             group = np.cumsum(new) - 1
             key = (k.astype(np.int64) << 31) ^ part
             x = np.flatnonzero(several[group] & ~settled)
-            out.append(_hits(OPEN, rid[order[x]], d[x], pos[order[x]], pos[order[x]], key[x]))
+            if len(x):
+                o = order[x]
+                handle, follows = _representatives(head[x], pos[o], last[o], mix64(key[x].view(U64) + ch[o] * _C2))
+                often = kinds[group[x]] > most
+                for kind, y in ((OPEN, head[x] & ~often), (FREQUENT, head[x] & often), (FOLLOWER, follows)):
+                    z = o[y]
+                    out.append(_hits(kind, rid[z], doc[z], pos[z], last[z], key[x[y]], handle[y], follows[y]))
         return pa.Table.from_batches(out, schema=_HIT_ARROW)
 
     return blocks.groupBy("part").applyInArrow(run, _HIT)
 
 
+_CONTEXT = "kind int, key long, rid long, doc long, start long, follows boolean, bytes binary"
+
+
 def _fetch_surroundings(src: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(kind, key, rid, doc, start, bytes): the surroundings of open anchors, and of frequent ones the part around each run of STEP offsets,
-    with the hash of anchor and common bytes as key."""
-    lists = wanted.groupBy("rid").agg(F.collect_list(F.struct("kind", "start", "key")).alias("want"))
+    """Rows of ``_CONTEXT``: the surroundings of open anchors, and of frequent ones the part around each run of STEP offsets,
+    with the hash of anchor and common bytes as key. Where others follow, ``rid`` is the handle and ``start`` counts from where the surroundings begin."""
+    lists = wanted.groupBy("rid").agg(F.collect_list(F.struct("kind", "start", "key", "handle", F.col("follows").cast("long").alias("follows"))).alias("want"))
     joined = src.join(lists, "rid").select("id", "rid", "text", "want")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,40 +374,43 @@ def _fetch_surroundings(src: DataFrame, wanted: DataFrame) -> DataFrame:
             ids, rids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             wants = batch.column(3)
             for begin, stop, texts in byte_slices(batch, "text"):
-                kind, key, rid, doc, start, data = [], [], [], [], [], []
+                kind, key, rid, doc, start, follows, data = [], [], [], [], [], [], []
                 buf = Buffer([t or b"" for t in texts])
                 for i, text in enumerate(texts):
                     flat = wants[begin + i].values
-                    ks, ps, hs = (flat.field(j).to_numpy() for j in range(3))
-                    own = np.unique(np.stack([ks, ps, hs]), axis=1)  # equal rows ask twice
-                    n = len(text)
-                    for k, p, h in own[:, own[0] == OPEN].T.tolist():
+                    own = np.unique(np.stack([flat.field(j).to_numpy().astype(np.int64) for j in range(5)]), axis=1)  # equal rows ask twice
+                    n, me, document = len(text), int(rids[begin + i]), int(ids[begin + i])
+                    for _, p, k, h, f in own[:, own[0] == OPEN].T.tolist():
                         s = max(p - REACH, 0)
                         kind.append(OPEN)
-                        key.append(h)
-                        start.append(s)
+                        key.append(k)
+                        rid.append(h if f else me)
+                        start.append(0 if f else s)
+                        follows.append(bool(f))
                         data.append(text[s : min(p + LENGTH, n)])
                     often = own[:, own[0] == FREQUENT]
                     if often.shape[1]:
-                        p, h = (np.repeat(often[c], (REACH + 1) // STEP) for c in (1, 2))
+                        p, k, h, f = (np.repeat(often[c], (REACH + 1) // STEP) for c in range(1, 5))
                         nearest = np.tile(np.arange(0, REACH + 1, STEP), often.shape[1])
                         farthest = nearest + STEP - 1
                         # the bytes that all windows of these offsets have; where they are not there, no such window is
                         fits = (p - nearest >= 0) & (p + LENGTH - farthest <= n)
-                        p, h, nearest, farthest = p[fits], h[fits], nearest[fits], farthest[fits]
+                        p, k, h, f, nearest, farthest = (x[fits] for x in (p, k, h, f, nearest, farthest))
                         common = buf.window_hash(buf.start[i] + p - nearest, LENGTH - STEP + 1)
-                        key += mix64(common + h.view(U64) * _C1 + nearest.astype(U64)).view(np.int64).tolist()
+                        key += mix64(common + k.view(U64) * _C1 + nearest.astype(U64)).view(np.int64).tolist()
                         s, e = np.maximum(p - farthest, 0), np.minimum(p + LENGTH - nearest, n)
                         kind += [FREQUENT] * len(s)
-                        start += s.tolist()
+                        rid += np.where(f > 0, h, me).tolist()
+                        start += np.where(f > 0, s - np.maximum(p - REACH, 0), s).tolist()
+                        follows += (f > 0).tolist()
                         data += [text[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)]
-                    rid += [int(rids[begin + i])] * (len(kind) - len(rid))
-                    doc += [int(ids[begin + i])] * (len(kind) - len(doc))
+                    doc += [document] * (len(kind) - len(doc))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(kind, pa.int32()), *(pa.array(x, pa.int64()) for x in (key, rid, doc, start)), pa.array(data, pa.binary())], names=["kind", "key", "rid", "doc", "start", "bytes"]
+                    [pa.array(kind, pa.int32()), *(pa.array(x, pa.int64()) for x in (key, rid, doc, start)), pa.array(follows, pa.bool_()), pa.array(data, pa.binary())],
+                    names=["kind", "key", "rid", "doc", "start", "follows", "bytes"],
                 )
 
-    return joined.mapInArrow(run, "kind int, key long, rid long, doc long, start long, bytes binary")
+    return joined.mapInArrow(run, _CONTEXT)
 
 
 class EnhancedSuffixArray:
@@ -457,22 +514,25 @@ def repeats_of(strings: list[bytes], doc: np.ndarray, rid: np.ndarray, start: np
 
 
 def _scan_buckets(contexts: DataFrame, parts: int) -> DataFrame:
+    """(rid, start, end, follows): what the arrays find."""
+
     def run(table: pa.Table) -> pa.Table:
-        rid, start, doc = (table.column(c).to_numpy() for c in ("rid", "start", "doc"))
-        r, s, e = repeats_of(table.column("bytes").to_pylist(), doc, rid, start)
-        return pa.table({"rid": r.astype(np.int64), "start": s.astype(np.int64), "end": e.astype(np.int64)})
+        rid, start, doc, follows = (table.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "start", "doc", "follows"))
+        owners, own = np.unique(np.stack([rid, follows.astype(np.int64)]), axis=1, return_inverse=True)
+        r, s, e = repeats_of(table.column("bytes").to_pylist(), doc, own.ravel().astype(np.int64), start)
+        return pa.table({"rid": owners[0][r], "start": s.astype(np.int64), "end": e.astype(np.int64), "follows": owners[1][r].astype(bool)})
 
     bucket = F.pmod(F.xxhash64("key"), F.lit(parts)).alias("bucket")
-    return contexts.select(bucket, "rid", "doc", "start", "bytes").groupBy("bucket").applyInArrow(run, "rid long, start long, end long")
+    return contexts.select(bucket, "rid", "doc", "start", "follows", "bytes").groupBy("bucket").applyInArrow(run, "rid long, start long, end long, follows boolean")
 
 
 def _equal_windows(contexts: DataFrame, scratch: Scratch) -> DataFrame:
     """Ranges of windows that a smaller document has, by the windows' own bytes: the last radix level."""
     offsets = F.sequence(F.lit(0), F.length("bytes") - LENGTH)
-    windows = contexts.where(F.length("bytes") >= LENGTH).select("rid", "doc", "start", "bytes", F.explode(offsets).alias("at"))
-    windows = windows.select("rid", "doc", (F.col("start") + F.col("at")).alias("start"), F.substring("bytes", F.col("at") + 1, F.lit(LENGTH)).alias("window"))
+    windows = contexts.where(F.length("bytes") >= LENGTH).select("rid", "doc", "start", "follows", "bytes", F.explode(offsets).alias("at"))
+    windows = windows.select("rid", "doc", "follows", (F.col("start") + F.col("at")).alias("start"), F.substring("bytes", F.col("at") + 1, F.lit(LENGTH)).alias("window"))
     least = scratch.save(windows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("last")).where("least <> last").drop("last"), "least")
-    return windows.join(least, "window").where("doc > least").select("rid", "start", (F.col("start") + LENGTH).alias("end"))
+    return windows.join(least, "window").where("doc > least").select("rid", "start", (F.col("start") + LENGTH).alias("end"), "follows")
 
 
 def earlier_passages(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch, most: int = 4096) -> tuple[DataFrame, DataFrame]:
@@ -487,17 +547,22 @@ def earlier_passages(docs: DataFrame, id_col: str, text_col: str, scratch: Scrat
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
     _, size = total_bytes(usable, "text")
     parts = max(wide, -(-size // (32 << 20)))
-    frequent = _frequent_anchors(usable, most)
-    hits = scratch.save(_meet_anchors(_anchor_blocks(usable, parts, frequent)), "hits")
-    wanted = hits.where(F.col("kind") != COVERED).select("kind", "rid", "start", "key")
+    frequent = _frequent_anchors(usable, most, size)
+    hits = scratch.save(_meet_anchors(_anchor_blocks(usable, parts, frequent), most), "hits")
+    wanted = hits.where(F.col("kind").isin(OPEN, FREQUENT)).select("kind", "rid", "start", "key", "handle", "follows")
     contexts = scratch.save(_fetch_surroundings(usable, wanted), "contexts")
     often = contexts.where(F.col("kind") == FREQUENT)
     too_many = scratch.save(often.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key"), "too-many")
     arrays = contexts.where(F.col("kind") == OPEN).union(often.join(too_many, "key", "left_anti").select(*contexts.columns))
     scanned = _scan_buckets(arrays, max(wide, -(-contexts.count() // 20_000)))
     equal = _equal_windows(often.join(too_many, "key", "left_semi").select(*contexts.columns), scratch)
+    found = scratch.save(scanned.union(equal), "found")
     covered = hits.where(F.col("kind") == COVERED).select("rid", "start", "end")
-    return src, covered.union(scanned).union(equal)
+    # a run that follows has in each of its places what the representative has
+    runs = hits.where(F.col("kind") == FOLLOWER).select("handle", F.col("rid").alias("of"), F.greatest(F.col("start") - REACH, F.lit(0)).alias("first"), F.greatest(F.col("end") - REACH, F.lit(0)).alias("last"))
+    relative = found.where("follows").select(F.col("rid").alias("handle"), "start", "end")
+    followed = relative.join(runs, "handle").select(F.col("of").alias("rid"), (F.col("first") + F.col("start")).alias("start"), (F.col("last") + F.col("end")).alias("end"))
+    return src, covered.union(found.where("NOT follows").select("rid", "start", "end")).union(followed)
 
 
 def _with_ranges(src: DataFrame, ranges: DataFrame) -> DataFrame:

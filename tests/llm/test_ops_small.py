@@ -565,7 +565,45 @@ def test_passages_around_one_frequent_anchor(spark):
         for r in ranges.join(src.select("rid", "id"), "rid").collect():
             got[r.id][r.start : r.end] = True
         assert all((got[i] == want[i]).all() for i in rows)
-    assert suffix_dedup._frequent_anchors(df.select("text"), 600).any()
+    marks = suffix_dedup._frequent_anchors(df.select("text"), 600, 1 << 20)
+    assert marks.packed.any()
+    everywhere = [suffix_dedup._frequent_anchors(df.repartition(n).select("text"), 600, 1 << 20).packed.tobytes() for n in (1, 6)]
+    assert everywhere[0] == everywhere[1] == marks.packed.tobytes()
+
+
+def brute_windows(rows):
+    """Masks by sets of windows: few different ones in repetitive texts."""
+    seen, out = set(), {}
+    for i, t in sorted(rows.items()):
+        m, own = np.zeros(len(t) + 1, int), set()
+        for p in range(len(t) - 49):
+            w = t[p : p + 50]
+            own.add(w)
+            if w in seen:
+                m[p] += 1
+                m[p + 50] -= 1
+        seen |= own
+        out[i] = np.cumsum(m)[:-1] > 0
+    return out
+
+
+@pytest.mark.parametrize("most", [4096, 3])
+def test_repetitive_passages(spark, most):
+    """Runs of one character, short periods, spaces, a repeated line: few records whatever their length, and equal to brute force."""
+    odd = random.Random(5)
+    noise = lambda n: "".join(odd.choice("klmnopqrst") for _ in range(n))
+    line = noise(70) + "\n"
+    rows = {1: "x" + "A" * 30_000 + "y" + "abc" * 5_000 + " " * 9_000 + line * 200, 2: noise(60) + "A" * 200 + noise(5) + "abc" * 60 + " " * 70 + noise(9), 3: "A" * 49 + "b" + " " * 5_000 + line * 3, 4: ("=" * 30 + noise(3)) * 40 + "A" * 80}
+    rows |= {5 + i: noise(20) + " " * (50 + 7 * i) + noise(20) for i in range(30)}
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)
+    scratch = suffix_dedup.Scratch(spark, "t")
+    src, ranges = suffix_dedup.earlier_passages(df, "doc_id", "text", scratch, most=most)
+    got = {i: np.zeros(len(t), bool) for i, t in rows.items()}
+    for r in ranges.join(src.select("rid", "id"), "rid").collect():
+        got[r.id][r.start : r.end] = True
+    want = brute_windows(rows)
+    assert all((got[i] == want[i]).all() for i in rows)
+    assert spark.read.parquet(scratch.path("contexts")).count() < (5_000 if most == 4096 else 10_000)  # of some 60,000 places
 
 
 def test_shards_where_the_scan_can_not_be_set(spark, docs, tmp_path, monkeypatch):
