@@ -147,7 +147,8 @@ def _shares(groups: str, out: str) -> str:
     """A level's posterior shares around the means of the level above."""
     return f"""
 {out}_s AS (SELECT CASE WHEN x > 0 THEN least(greatest(1 / x - 1, 1.0), 1e6) ELSE 1e6 END AS strength FROM (SELECT sum(pow(bad - n * mean, 2.0) / (mean * (1 - mean)) - n) / nullif(sum(CAST(n AS DOUBLE) * (n - 1)), 0) AS x FROM {groups})),
-{out} AS (SELECT *, (bad + strength * mean) / (n + strength) AS share, n + strength AS sure FROM {groups}, {out}_s)"""
+{out}_o AS (SELECT *, (strength + 1) * (behind + 1) / (strength + behind + 2) - 1 AS own FROM {groups}, {out}_s),
+{out} AS (SELECT *, (bad + own * mean) / (n + own) AS share, n + own AS sure FROM {out}_o)"""
 
 
 def _suffixes(names: tuple[str, ...]) -> str:
@@ -171,11 +172,11 @@ WITH u AS (
 ), d0 AS (
   SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY 1, 2
 ), f0 AS (
-  SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1.0::DOUBLE) FROM h) AS mean FROM d0 GROUP BY 1
+  SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1.0::DOUBLE) FROM h) AS mean, (SELECT sum(n) + 1.0::DOUBLE FROM h) AS behind FROM d0 GROUP BY 1
 ),{_shares("f0", "f1")}, d1 AS (
-  SELECT d0.*, share AS mean FROM d0 JOIN f1 ON d0.suffix = f1.suffix
+  SELECT d0.*, share AS mean, sure AS behind FROM d0 JOIN f1 ON d0.suffix = f1.suffix
 ),{_shares("d1", "d2")}, h1 AS (
-  SELECT h.host, h.n, h.bad, share AS mean FROM h JOIN d2 ON h.domain = d2.domain AND h.suffix = d2.suffix
+  SELECT h.host, h.n, h.bad, share AS mean, sure AS behind FROM h JOIN d2 ON h.domain = d2.domain AND h.suffix = d2.suffix
 ),{_shares("h1", "h2")}, r AS (
   SELECT page_id, u.host, path, CAST(n AS BIGINT) AS n_labelled, CAST(bad AS BIGINT) AS n_bad, share - {z} * sqrt(share * (1 - share) / (sure + 1)) > {limit} AS blocked, CASE
     WHEN (u.host = 'example.net' OR ends_with(u.host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'

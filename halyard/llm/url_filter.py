@@ -2,7 +2,7 @@
 
 Labelled page outcomes are counted by host. A host's share of bad pages is shrunk to its registered domain's, that one to its public suffix's, that
 one to the share of all: each level has a beta prior around the posterior mean of the level above, as strong as the spread among the level's groups says
-(moments of the beta-binomial distribution). A host is blocked where the lower posterior bound of its bad share is above a limit, so hosts of few
+(moments of the beta-binomial distribution), but no surer than that mean itself is: the variances add. A host is blocked where the lower posterior bound of its bad share is above a limit, so hosts of few
 or no labels are blocked by their domain's record only.
 
 Counts are summed before every shuffle; outcomes are joined to (host, key) pairs, not pages. Hosts that hold 1/10,000 of all pages each are
@@ -84,17 +84,19 @@ def domain_of(host: Column, suffixes: tuple[str, ...]) -> Column:
 
 
 def _level(groups: DataFrame, prior: Reputation) -> DataFrame:
-    """Adds ``share`` (posterior mean) and ``sure`` (pages behind it, the prior's included) to groups of (n, bad, mean), ``mean`` from the level above.
+    """Adds ``share`` (posterior mean) and ``sure`` (pages behind it, the prior's included) to groups of (n, bad, mean, behind); ``mean`` and the pages behind it
+    are from the level above.
 
     The prior's strength is one number a level: squared misses, in units of binomial variance, exceed n by n(n-1) * rho, rho = 1 / (strength + 1).
     """
     miss = F.pow(F.col("bad") - F.col("n") * F.col("mean"), F.lit(2.0)) / (F.col("mean") * (1 - F.col("mean")))
-    rho = F.sum(miss - F.col("n")) / F.sum(F.col("n").cast("double") * (F.col("n") - 1))
-    strength = F.when(rho > 0, F.least(F.greatest(1 / rho - 1, F.lit(prior.weakest)), F.lit(prior.strongest))).otherwise(F.lit(prior.strongest))
+    rho = F.try_divide(F.sum(miss - F.col("n")), F.sum(F.col("n").cast("double") * (F.col("n") - 1)))
+    strength = F.when(rho > 0, F.least(F.greatest(F.try_divide(F.lit(1.0), rho) - 1, F.lit(prior.weakest)), F.lit(prior.strongest))).otherwise(F.lit(prior.strongest))
     one = groups.agg(F.coalesce(strength, F.lit(prior.strongest)).alias("strength"))  # one row
-    sure = F.col("n") + F.col("strength")
-    with_prior = groups.join(F.broadcast(one), F.lit(True))
-    return with_prior.select(*groups.columns, ((F.col("bad") + F.col("strength") * F.col("mean")) / sure).alias("share"), sure.alias("sure"))
+    own = (F.col("strength") + 1) * (F.col("behind") + 1) / (F.col("strength") + F.col("behind") + 2) - 1
+    with_prior = groups.join(F.broadcast(one), F.lit(True)).withColumn("own", own)
+    sure = F.col("n") + F.col("own")
+    return with_prior.select(*groups.columns, ((F.col("bad") + F.col("own") * F.col("mean")) / sure).alias("share"), sure.alias("sure"))
 
 
 def host_reputation(hosts: DataFrame, prior: Reputation = Reputation(), scratch: Scratch | None = None) -> DataFrame:
@@ -108,11 +110,11 @@ def host_reputation(hosts: DataFrame, prior: Reputation = Reputation(), scratch:
     suffixes = domains.withColumn("members", F.lit(1)).groupBy("suffix").agg(*sums)
     total = domains.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.count(F.lit(1)).alias("domains"), F.coalesce(F.sum("members"), F.lit(0)).alias("hosts")).first()
     mean = (total["bad"] + 0.5) / (total["n"] + 1.0)
-    suffixes = scratch.save(_level(suffixes.withColumn("mean", F.lit(mean)), prior), "suffix-shares")
-    above = suffixes.select("suffix", F.col("share").alias("mean"), F.col("members").alias("of"))
+    suffixes = scratch.save(_level(suffixes.withColumn("mean", F.lit(mean)).withColumn("behind", F.lit(total["n"] + 1.0)), prior), "suffix-shares")
+    above = suffixes.select("suffix", F.col("share").alias("mean"), F.col("sure").alias("behind"), F.col("members").alias("of"))
     domains = look_up(domains, above, ["suffix"], F.col("of") * 10_000 > total["domains"]).drop("of")
     domains = scratch.save(_level(domains, prior), "domain-shares")
-    above = domains.select("domain", "suffix", F.col("share").alias("mean"), F.col("members").alias("of"))
+    above = domains.select("domain", "suffix", F.col("share").alias("mean"), F.col("sure").alias("behind"), F.col("members").alias("of"))
     hosts = look_up(hosts, above, ["domain", "suffix"], F.col("of") * 10_000 > total["hosts"]).drop("of")
     shares = _level(hosts, prior)
     bound = F.col("share") - prior.z * F.sqrt(F.col("share") * (1 - F.col("share")) / (F.col("sure") + 1))
