@@ -11,7 +11,10 @@ Tags that mean furniture (navigation, headers and footers of the page, asides, f
 whose class, id or role names furniture counts a quarter, and what it holds is left out unless the winning path leads
 through it. A name that has other words too ("share-price") halves a container's score and drops its lists of links.
 
-Defined cases: malformed tags are read as ``markup.tags`` states, in linear time; null or empty html, or a page without text, gives an empty text; a null url, or one without a host, belongs
+Time and memory are linear in the page's length: containers are a tree of parent pointers in page order, paths are interned step by step, and what an ancestor
+needs to know is summed once, from the leaves up or from the root down.
+
+Defined cases: malformed tags are read as ``markup.tags`` states; containers that are never closed nest as deep as they stand; null or empty html, or a page without text, gives an empty text; a null url, or one without a host, belongs
 to the host ''; equal pages vote each; ties between paths go to the greater path; an empty table gives an empty
 result; extra columns are ignored.
 """
@@ -65,44 +68,80 @@ def _furniture_name(values: list[str], names: frozenset[str]) -> int:
     return found
 
 
-class _Open:
-    __slots__ = ("tag", "path", "outside", "content", "whole", "story", "hint", "furniture", "direct", "links", "own_links")
-
-    def __init__(self, tag: str, path: str, outside: bool, content: bool, whole: bool = False, story: bool = False, hint: int = 0):
-        self.tag, self.path, self.outside, self.content, self.whole, self.story, self.hint = tag, path, outside, content, whole, story, hint
-        self.furniture = 0  # page furniture inside: navigation, mastheads, footers
-        self.direct = False  # running text stands in it directly
-        self.links = self.own_links = 0  # blocks of links inside, and those directly inside
-
-
-_Blocks = list[tuple[str, tuple[_Open, ...], float]]
+class _Node:
+    """A container. ``own_links`` are the link blocks directly in it, ``links`` all inside, ``furniture`` the page furniture inside: navigation, mastheads, footers."""
 
+    __slots__ = ("parent", "tag", "path", "outside", "content", "whole", "top", "story", "hint", "is_furniture", "furniture", "direct", "links", "own_links")
 
-def _blocks(html: str) -> _Blocks:
-    """The page's text blocks outside of furniture tags: text, the containers around it, and the share of its text in links."""
-    root = _Open("", "", False, False)
-    stack = [root]
-    out: _Blocks = []
+    def __init__(self, parent: _Node | None, tag: str, path: int = -1, outside: bool = False, content: bool = False, whole: bool = False, story: bool = False, hint: int = 0, is_furniture: bool = False):
+        self.parent, self.tag, self.path, self.outside, self.content, self.whole, self.story, self.hint = parent, tag, path, outside, content, whole, story, hint
+        self.top: _Node | None = None if parent is None else parent.top or (parent if parent.whole else None)  # the outermost article or main around it
+        self.is_furniture = is_furniture
+        self.direct = False  # running text stands in it directly
+        self.furniture = self.links = self.own_links = 0
+
+
+class _Page:
+    """A page's containers in page order, and its text blocks outside of furniture tags: text, container, hint of the block's own names, share of text in links."""
+
+    def __init__(self) -> None:
+        self.nodes = [_Node(None, "")]
+        self.blocks: list[tuple[str, _Node, int, float]] = []
+        self._steps: dict[tuple[int, str], int] = {}  # (path above, step) -> path
+        self._names: list[tuple[int, str]] = []
+
+    def path(self, above: int, step: str) -> int:
+        found = self._steps.setdefault((above, step), len(self._names))
+        if found == len(self._names):
+            self._names.append((above, step))
+        return found
+
+    def path_text(self, path: int) -> str:
+        steps = []
+        while path >= 0:
+            path, step = self._names[path]
+            steps.append(step)
+        return "".join(f">{s}" for s in reversed(steps))
+
+    def find_path(self, text: str | None) -> int | None:
+        """The number of a path on this page."""
+        found: int | None = None
+        for step in (text or "").split(">")[1:]:
+            found = self._steps.get((-1 if found is None else found, step))
+            if found is None:
+                return None
+        return found
+
+    def sum_up(self) -> None:
+        for c in reversed(self.nodes):
+            c.links += c.own_links
+            if c.parent is not None:
+                c.parent.links += c.links
+                c.parent.furniture += c.furniture + c.is_furniture
+
+
+def _read(html: str) -> _Page:
+    page = _Page()
+    stack = [page.nodes[0]]
+    opened: dict[str, int] = defaultdict(int)  # open containers by tag
     text: list[str] = []
     linked = at = 0
     in_link = False
-    hinted: _Open | None = None  # a block whose own names are of furniture
+    hinted = 0  # of a block whose own names are of furniture
 
     def flush() -> None:
         nonlocal linked
         if text:
             block = " ".join(unescape("".join(text)).split())
             text.clear()
-            if block and not stack[-1].outside:
+            inner = stack[-1]
+            if block and not inner.outside:
                 share = min(1.0, linked / len(block))
-                around = (*stack, hinted) if hinted else tuple(stack)
-                out.append((block, around, share))
+                page.blocks.append((block, inner, hinted, share))
                 if share <= 0.5:
-                    stack[-1].direct = stack[-1].direct or not hinted
+                    inner.direct = inner.direct or not hinted
                 else:
-                    stack[-1].own_links += 1
-                    for c in stack:
-                        c.links += 1
+                    inner.own_links += 1
         linked = 0
 
     for start, end, tag, closing, attrs in tags(html):
@@ -120,39 +159,42 @@ def _blocks(html: str) -> _Blocks:
             text.append(" ")
         elif tag in _CONTAINERS or tag == "button":
             flush()
-            hinted = None
+            hinted = 0
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
+                while opened[tag]:
+                    last = stack.pop().tag
+                    opened[last] -= 1
+                    if last == tag:
                         break
             else:
+                inner = stack[-1]
                 given = _named(attrs)
                 words = {w for v in given.values() for w in _SPLIT.split(v)}
                 whole = tag in ("article", "main") or given.get("role") in ("article", "main")
-                content = stack[-1].content or tag in ("article", "main")
-                outside = stack[-1].outside or tag in _OUTSIDE or (tag == "header" and not content)
+                content = inner.content or tag in ("article", "main")
+                outside = inner.outside or tag in _OUTSIDE or (tag == "header" and not content)
                 hint = 0
                 if tag not in ("html", "body", "article", "main") and given:
                     hint = _furniture_name(list(given.values()), _OUTSIDE_NAMES)
                     if hint < 2 and not content:
                         hint = max(hint, _furniture_name(list(given.values()), _TITLE_NAMES))
-                if (outside and not stack[-1].outside and (tag in ("nav", "header", "footer") or words & _PAGE_NAMES)) or (hint == 2 and words & _PAGE_NAMES):
-                    for c in stack:
-                        c.furniture += 1
+                furniture = (outside and not inner.outside and (tag in ("nav", "header", "footer") or bool(words & _PAGE_NAMES))) or (hint == 2 and bool(words & _PAGE_NAMES))
                 story = tag not in ("html", "body") and bool(words & _STORY_NAMES)
-                names = sorted({_DIGITS.sub("0", x) for x in given.get("class", "").split()})
-                stack.append(_Open(tag, f"{stack[-1].path}>{'.'.join([tag, *names])}", outside, content or bool(words & _CONTENT_NAMES), whole, story, hint))
+                names = sorted({_DIGITS.sub("0", x) for x in given.get("class", "").replace(">", "").split()})
+                path = page.path(inner.path, ".".join([tag, *names]))
+                stack.append(_Node(inner, tag, path, outside, content or bool(words & _CONTENT_NAMES), whole, story, hint, furniture))
+                opened[tag] += 1
+                page.nodes.append(stack[-1])
         elif tag in _BLOCKS:
             flush()
-            hinted = None
+            hinted = 0
             if not closing and (given := _named(attrs)):
-                hint = _furniture_name(list(given.values()), _OUTSIDE_NAMES)
-                hinted = _Open(tag, "", False, False, hint=hint) if hint else None
+                hinted = _furniture_name(list(given.values()), _OUTSIDE_NAMES)
     if at < len(html):
         text.append(html[at:])
     flush()
-    return out
+    page.sum_up()
+    return page
 
 
 def _named(attrs: str) -> dict[str, str]:
@@ -162,82 +204,103 @@ def _named(attrs: str) -> dict[str, str]:
     return {k: v.lower() for k, v in attributes(attrs).items() if k in ("class", "id", "role") and v}
 
 
-def _left_out(around: tuple[_Open, ...], links: float, through: set[_Open]) -> bool:
-    """Whether names say that a block is furniture, apart from those of containers on the way to the winning path."""
-    return any(c.hint == 2 or (c.hint == 1 and links > 0.5) for c in around if c.hint and c not in through)
-
-
-def _scores(blocks: _Blocks) -> dict[str, float]:
-    scores: dict[str, float] = defaultdict(float)
-    for block, around, links in blocks:
+def _scores(page: _Page) -> dict[int, float]:
+    scores: dict[int, float] = defaultdict(float)
+    for block, inner, hinted, links in page.blocks:
         worth = len(block) * (1 - links)
-        for k, c in enumerate(reversed(around[1:])):
+        if hinted:
+            worth *= HINTED if hinted == 2 else PARTLY
+        c, k = inner, 1 if hinted else 0  # a block with names of its own is a level too
+        while c.parent is not None and k <= 6:
             if c.hint:
                 worth *= HINTED if c.hint == 2 else PARTLY
-            if c.path:
-                scores[c.path] += worth * 0.5**k * (1.5 if c.content else 1.0)
-            if k == 6:
-                break
-    return dict(scores)
+            scores[c.path] += worth * 0.5**k * (1.5 if c.content else 1.0)
+            c, k = c.parent, k + 1
+    return scores
 
 
 def container_scores(html: str | None) -> dict[str, float]:
     """Score of each container path: the letters of the blocks inside, less those in links, halved for each level in between."""
-    return _scores(_blocks(html or ""))
+    page = _read(html or "")
+    return {page.path_text(p): s for p, s in _scores(page).items()}
 
 
-def _votes(blocks: _Blocks) -> list[tuple[str, int]]:
-    best = sorted(_scores(blocks).items(), key=lambda x: (-x[1], x[0]))[:VOTES]
-    return [(p, int(1000 * s / best[0][1])) for p, s in best if best[0][1] > 0]
+def _votes(page: _Page) -> list[tuple[str, int]]:
+    best = sorted(_scores(page).items(), key=lambda x: (-x[1], x[0]))[:VOTES]  # of equal scores, the path that the page has first
+    return [(page.path_text(p), int(1000 * s / best[0][1])) for p, s in best if best[0][1] > 0]
 
 
 def page_votes(html: str | None) -> list[tuple[str, int]]:
     """The page's best paths with their share of its best score, in thousandths."""
-    return _votes(_blocks(html or ""))
+    return _votes(_read(html or ""))
 
 
-def _lift(around: tuple[_Open, ...], k: int) -> _Open:
-    """The container that holds the whole article of around[k]: its outermost article or main, if it is in one, and from there on
+def _lift(c: _Node, lifted: dict[_Node, _Node]) -> _Node:
+    """The container that holds the whole article of ``c``: its outermost article or main, if it is in one, and from there on
     any container above in which running text stands directly, that is named a story, or that adds no page furniture and no lists of links.
-    """
-    k = next((i for i in range(k) if around[i].whole), k)
-    while k:
-        inner, outer = around[k], around[k - 1]
-        if not (outer.direct or outer.story or (outer.furniture == inner.furniture and outer.links - outer.own_links == inner.links)):
-            break
-        k -= 1
-    return around[k]
 
-
-def _inside(blocks: _Blocks, path: str | None) -> set[int]:
+    ``lifted`` has what was found before for containers on the way.
+    """
+    way = []
+    c = c.top or c
+    while c not in lifted and (up := c.parent) is not None and (up.direct or up.story or (up.furniture == c.furniture + c.is_furniture and up.links - up.own_links == c.links)):
+        way.append(c)
+        c = up
+    top = lifted.get(c, c)
+    for x in (*way, c):
+        lifted[x] = top
+    return top
+
+
+def _kept(page: _Page, tops: set[_Node] | None, through: set[_Node]) -> set[int]:
+    """The blocks inside ``tops`` (all if None) that names don't leave out: those below a container that is named furniture, or a list of links below one
+    with other words too, apart from containers on the way to the winning path."""
+    inside: dict[_Node, bool] = {}
+    worst: dict[_Node, int] = {}
+    for c in page.nodes:
+        up = c.parent
+        inside[c] = tops is None or c in tops or (up is not None and inside[up])
+        worst[c] = max(0 if c in through else c.hint, worst[up] if up is not None else 0)
+    return {i for i, (_, c, hinted, links) in enumerate(page.blocks) if inside[c] and (hint := max(hinted, worst[c])) < 2 and not (hint and links > 0.5)}
+
+
+def _inside(page: _Page, path: str | None) -> set[int]:
     """The blocks in the articles around the containers on the path."""
-    lifted: dict[_Open, _Open] = {}
-    through: set[_Open] = set()
-    for _, around, _ in blocks:
-        for k, c in enumerate(around):
-            if k and c.path == path and c not in lifted:
-                lifted[c] = _lift(around, k)
-                through.update(around[: k + 1])
-    tops = set(lifted.values())
-    if not tops:
+    wanted = page.find_path(path)
+    if wanted is None:
         return set()
-    return {i for i, (_, around, links) in enumerate(blocks) if not tops.isdisjoint(around) and not _left_out(around, links, through)}
+    lifted: dict[_Node, _Node] = {}
+    tops: set[_Node] = set()
+    through: set[_Node] = set()
+    holding: set[_Node] = set()  # containers that hold a block
+    for _, c, _, _ in page.blocks:
+        while c is not None and c not in holding:
+            holding.add(c)
+            c = c.parent
+    for c in page.nodes[1:]:
+        if c.path == wanted and c in holding:
+            tops.add(_lift(c, lifted))
+            while c is not None and c not in through:
+                through.add(c)
+                c = c.parent
+    return _kept(page, tops, through) if tops else set()
 
 
 def extract_page(html: str | None, path: str | None) -> str:
     """Text of the articles around the containers on the path; around those on the page's own best path too, if the former hold
     little of what the latter hold; all blocks that are not named furniture if there are neither."""
-    blocks = _blocks(html or "")
-    chosen = _inside(blocks, path)
+    page = _read(html or "")
+    blocks = page.blocks
+    chosen = _inside(page, path)
     if len(chosen) < len(blocks):
-        votes = _votes(blocks)
-        own = _inside(blocks, votes[0][0]) if votes else set()
-        worth = [sum(len(blocks[i][0]) * (1 - blocks[i][2]) for i in x) for x in (chosen, own)]
+        votes = _votes(page)
+        own = _inside(page, votes[0][0]) if votes else set()
+        worth = [sum(len(blocks[i][0]) * (1 - blocks[i][3]) for i in x) for x in (chosen, own)]
         if worth[0] < COVER * worth[1]:
             chosen |= own
     if not chosen:
-        chosen = {i for i, (_, around, links) in enumerate(blocks) if not _left_out(around, links, set())}
-    return "\n".join(b for i, (b, _, _) in enumerate(blocks) if i in chosen)
+        chosen = _kept(page, None, set())
+    return "\n".join(b[0] for i, b in enumerate(blocks) if i in chosen)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -91,3 +91,25 @@ def test_sequences_of_the_pages_table(spark, small):
     for r in pages.limit(40).collect():
         words = "".join(x.text for x in got[r.page_id] if x.kind == "text")
         assert "<" not in words and len(words) > 0
+
+
+def test_deep_nesting_takes_linear_time_and_memory():
+    """A megabyte of containers that are never closed, and closing tags that close nothing."""
+    import time
+    import tracemalloc
+
+    from halyard.llm import html_extract
+
+    n = 45_000
+    deep = '<div class="a"><p>t</p>' * n
+    began = time.perf_counter()
+    tracemalloc.start()
+    votes = html_extract.page_votes(deep)
+    assert html_extract.extract_page(deep, votes[0][0]).count("t") == n
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500 << 20 and time.perf_counter() - began < 60  # some 3 s without tracing
+    stray = "<div>" * 20_000 + "</table>" * 20_000 + "<p>x</p>" * 20_000
+    began = time.perf_counter()
+    assert html_extract.extract_page(stray, None).count("x") == 20_000
+    assert time.perf_counter() - began < 20
