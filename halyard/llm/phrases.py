@@ -3,10 +3,11 @@
 Each task writes its texts as inverted lists: a row for each block of texts and language, with the block's words and their ascending positions;
 pieces lie a position apart, so that no phrase leaves its piece. The length of a list is a word's frequency in the block. Frequent phrases of k words grow
 by one: their occurrence lists are merge-joined with the lists of adjacent words, and the lengths of the new lists, summed over the blocks, are exact
-frequencies. A block extends only what may be frequent in the corpus: a bitmap of fixed size (``slots`` bits, broadcast) marks frequent phrases of the
-lengths before; a false mark costs work, never a count.
+frequencies. A block extends only what may be frequent in the corpus: a bitmap of fixed size (``slots`` bits, broadcast) marks the phrases of each length
+whose hashes are frequent; a false mark costs work, never a count.
 
-Only distinct phrases of a block are shuffled, with their counts. Parts of phrases that hold 1/10,000 of all words each are broadcast for the scores, so no
+One pass over the lists a length gives the frequencies of marked phrases of that length, as rows, and the hashes of all phrases a word longer with their counts, as
+sorted and packed blocks, from which the next marks are made: some three bytes of shuffle for a phrase that turns out to be rare. Parts of phrases that hold 1/10,000 of all words each are broadcast for the scores, so no
 word or language is one task's work; ranks are taken in parts of a language first.
 
 Defined cases: a null or empty text has no words; a null language is ``und``; a block has whole documents up to ``BLOCK`` bytes, a longer document is cut between pieces,
@@ -35,6 +36,8 @@ _BREAKS = frozenset(b".,;:!?\n\x0b\x0c\r")
 BLOCK = 4 << 20
 LISTS = "lang string, words array<string>, lengths array<int>, positions binary"
 _STEP = U64(0x9E3779B97F4A7C15)
+KEY_BITS = 40  # of a phrase's hash, by which it is counted before it is marked
+PER_PART = 4_000_000  # words of the corpus for each part of the hashes
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:
@@ -122,11 +125,45 @@ def _marks(frequent: DataFrame, slots: int) -> _Marks:
     return _Marks(bits, slots)
 
 
-def _grown(lists: DataFrame, length: int, marks: list, slots: int) -> DataFrame:
-    """(lang, phrase, slot, n): phrases of ``length`` words in each block, grown from phrases that are marked at every length before, and how often they occur there."""
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.add.reduceat(counts, at) if len(at) else counts
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers below 2^40, byte by byte so that they compress."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T).tobytes()
+
+
+def _from_planes(blob: memoryview, n: int) -> np.ndarray:
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(blob, np.uint8, 5 * n).reshape(5, n).T
+    return wide.view("<u8").ravel().astype(np.int64)
+
+
+def _hash_blocks(keys: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, block): distinct keys in order as steps, and counts, by ranges of the keys."""
+    cuts = np.searchsorted(keys, [(p << KEY_BITS) // parts for p in range(parts + 1)])
+    for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+        if b > a:
+            yield p, _planes(np.diff(keys[a:b], prepend=0)) + _planes(counts[a:b])
+
+
+_GROWN = "lang string, phrase string, n long, part int, block binary"
+
+
+def _grown(lists: DataFrame, length: int, marks: list, parts: int, last: bool) -> DataFrame:
+    """Rows of ``_GROWN``: phrases of ``length`` words (from 2) that are marked at every length, and how often each occurs in a block of texts; unless
+    ``last``, also packed hashes and counts of the phrases one word longer that grow from these.
+    """
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = [m.value for m in marks]
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        count = 0
         for batch in batches:
             for r in range(batch.num_rows):
                 row = batch.slice(r, 1)
@@ -134,41 +171,84 @@ def _grown(lists: DataFrame, length: int, marks: list, slots: int) -> DataFrame:
                 words = row.column(1).flatten()
                 lengths = row.column(2).flatten().to_numpy()
                 at = np.cumsum(np.frombuffer(row.column(3)[0].as_py(), np.int32), dtype=np.int32)
-                seed = xxh64_intdigest(lang.encode()) & 0x7FFFFFFF
-                hashes = np.array([xxh64_intdigest(w, seed) for w in words.to_pylist()], U64)
+                hashes = _word_hashes(lang, words.to_pylist())
                 keep = marked[0](hashes)
                 rows = np.repeat(keep, lengths)
                 at, word = at[rows], np.repeat(np.arange(len(lengths), dtype=np.int64)[keep], lengths[keep])
                 order = np.argsort(at)
                 at, word = at[order], word[order]  # the lists of frequent words, merged by position
                 start, phrase, h = at, word, hashes[word]
-                for k in range(1, length):
+                for k in range(1, length + (not last)):
                     if not len(start):
                         break
                     j = np.searchsorted(at, start + k)  # the adjacent word's posting
                     j[j == len(at)] = 0
-                    s = np.searchsorted(start, start + 1)  # the phrase without its first word occurs here too, or it is not frequent
+                    s = np.searchsorted(start, start + 1)  # the phrase without its first word occurs here too, or the longer one is rare
                     s[s == len(start)] = 0
                     hit = (at[j] == start + k) & (start[s] == start + 1)
-                    start, before, last = start[hit], phrase[hit], word[j[hit]]
-                    h = _extended(h[hit], hashes[last])
-                    if k + 1 < length:
-                        may = marked[k](h)
-                        start, before, last, h = start[may], before[may], last[may], h[may]
-                    _, first, phrase, n = np.unique(before * len(lengths) + last, return_index=True, return_inverse=True, return_counts=True)
-                if length == 1:
-                    _, first, n = np.unique(phrase, return_index=True, return_counts=True)
-                if not len(start):
-                    continue
-                j = np.searchsorted(at, start[first])
-                parts = [words.take(pa.array(word[np.searchsorted(at, start[first] + i)] if i else word[j])) for i in range(length)]
-                text = pc.binary_join_element_wise(*parts, " ") if length > 1 else parts[0]
-                for a in range(0, len(first), 1 << 17):
-                    b = slice(a, a + (1 << 17))
-                    cols = [pa.array([lang] * len(first[b])), text.slice(a, 1 << 17), pa.array(slot_of(h[first[b]], slots)), pa.array(n[b].astype(np.int64))]
-                    yield pa.RecordBatch.from_arrays(cols, names=["lang", "phrase", "slot", "n"])
-
-    return lists.mapInArrow(grow, "lang string, phrase string, slot long, n long")
+                    begin, before, tail = start[hit], phrase[hit], word[j[hit]]
+                    longer = _extended(h[hit], hashes[tail])
+                    if k == length:
+                        held.append(_summed((longer & U64((1 << KEY_BITS) - 1)).astype(np.int64), np.ones(len(longer), np.int64)))
+                        count += len(held[-1][0])
+                        break
+                    may = marked[k](longer)
+                    start, h = begin[may], longer[may]
+                    _, first, phrase, n = np.unique(before[may] * len(lengths) + tail[may], return_index=True, return_inverse=True, return_counts=True)
+                    if k + 1 == length and len(start):
+                        where = start[first]
+                        text = pc.binary_join_element_wise(*(words.take(pa.array(word[np.searchsorted(at, where + i)])) for i in range(length)), " ")
+                        yield from _rows(lang, text, n)
+                if count > 4_000_000:
+                    held = [_summed(*(np.concatenate(x) for x in zip(*held)))]
+                    count = len(held[0][0])
+                    if count > 3_000_000:
+                        yield from _blocks(*held.pop(), parts)
+                        count = 0
+        if held:
+            yield from _blocks(*_summed(*(np.concatenate(x) for x in zip(*held))), parts)
+
+    return lists.mapInArrow(grow, _GROWN)
+
+
+def _rows(lang: str, text: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(n), 1 << 17):
+        m = len(n[a : a + (1 << 17)])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * m, pa.string()), text.slice(a, m), pa.array(n[a : a + m].astype(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=["lang", "phrase", "n", "part", "block"])
+
+
+def _blocks(keys: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    found = list(_hash_blocks(keys, counts, parts))
+    for a in range(0, len(found), 256):
+        p, b = zip(*found[a : a + 256])
+        m = len(p)
+        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.string()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64()), pa.array(p, pa.int32()), pa.array(b, pa.binary())], names=["lang", "phrase", "n", "part", "block"])
+
+
+def _frequent_hashes(grown: DataFrame, least: int, slots: int) -> DataFrame:
+    """(slot) of the hashes whose counts sum to ``least``; a part is a range of the hashes."""
+
+    def add(table: pa.Table) -> pa.Table:
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for block in table.column("block"):
+            blob = memoryview(block.as_buffer())
+            n = len(blob) // 10
+            held.append((np.cumsum(_from_planes(blob, n)), _from_planes(blob[5 * n :], n)))
+            size += n
+            if size > 2_000_000:
+                keys, counts = _summed(*(np.concatenate(x) for x in zip((keys, counts), *held)))
+                held, size = [], 0
+        keys, counts = _summed(*(np.concatenate(x) for x in zip((keys, counts), *held)))
+        return pa.table({"slot": np.unique(slot_of(keys[counts >= least].astype(U64), slots))})
+
+    return grown.where("part IS NOT NULL").select("part", "block").groupBy("part").applyInArrow(add, "slot long")
+
+
+def _word_hashes(lang: str, words: list[str]) -> np.ndarray:
+    seed = xxh64_intdigest(lang.encode()) & 0x7FFFFFFF
+    return np.array([xxh64_intdigest(w, seed) for w in words], U64)
 
 
 def frequent_phrases(docs: DataFrame, scratch: Scratch, text_col: str = "text", lang_col: str = "lang", most_words: int = 5, least: int = 100, slots: int = 1 << 26) -> tuple[DataFrame, DataFrame]:
@@ -176,16 +256,23 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, text_col: str = "text",
     spark = docs.sparkSession
     lists = scratch.save(inverted_lists(docs, text_col, lang_col), "lists")
     counted = lists.select("lang", F.inline(F.arrays_zip("words", "lengths"))).toDF("lang", "phrase", "n")
-    levels = [scratch.save(_hashed(counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f")), slots), "words")]
-    totals = scratch.save(levels[0].groupBy("lang").agg(F.sum("f").alias("n")), "totals")
-    levels[0] = levels[0].where(F.col("f") >= least)
-    marks = []
-    for k in range(2, most_words + 1):
-        marks.append(spark.sparkContext.broadcast(_marks(levels[-1], slots)))
-        found = _grown(lists, k, marks, slots).groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.max("slot").alias("slot")).where(F.col("f") >= least)
-        levels.append(scratch.save(found.select("lang", "phrase", "f", "slot"), f"phrases-{k}"))
+    words = scratch.save(counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f")), "words")
+    totals = scratch.save(words.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
+    levels = [words.where(F.col("f") >= least)]
+    n_words = totals.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_words // PER_PART))
+    marks = [spark.sparkContext.broadcast(_marks(_slots(levels[0], slots), slots))]
+    for k in range(1, most_words + 1):  # the pass of length 1 gives the hashes of pairs only
+        grown = scratch.save(_grown(lists, k, marks, parts, k == most_words), f"grown-{k}")
+        if k > 1:
+            found = grown.where("phrase IS NOT NULL").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+            levels.append(scratch.save(found, f"phrases-{k}"))
+        if k < most_words:
+            marks.append(spark.sparkContext.broadcast(_marks(_frequent_hashes(grown, least, slots), slots)))
+        scratch.drop(f"grown-{k}")
     for m in marks:
         m.unpersist()
+    scratch.drop("lists")
     out = None
     for k, level in enumerate(levels, 1):
         level = level.select("lang", "phrase", F.lit(k).alias("words"), "f")
@@ -193,16 +280,17 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, text_col: str = "text",
     return out, totals
 
 
-def _hashed(words: DataFrame, slots: int) -> DataFrame:
-    """Adds a word's slot."""
+def _slots(words: DataFrame, slots: int) -> DataFrame:
+    """(slot) of each word."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seeds = {lang: xxh64_intdigest(lang.encode()) & 0x7FFFFFFF for lang in pc.unique(b.column(0)).to_pylist()}
-            h = np.array([xxh64_intdigest(w, seeds[lang]) for lang, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], U64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(slot_of(h, slots))], names=["lang", "phrase", "f", "slot"])
+            langs = np.array(b.column(0).to_pylist(), object)
+            for lang in pc.unique(b.column(0)).to_pylist():
+                h = _word_hashes(lang, b.column(1).filter(pa.array(langs == lang)).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(slot_of(h, slots))], names=["slot"])
 
-    return words.mapInArrow(add, "lang string, phrase string, f long, slot long")
+    return words.select("lang", "phrase").mapInArrow(add, "slot long")
 
 
 def collocations(
