@@ -140,38 +140,48 @@ def bound(c: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(c), use), 1)
 
 
+# fixed values: white point, matrices and thresholds of the conversion between coded CIELab and sRGB under D65
+WHITE = (0.950456, 1.0, 1.088754)
+FROM_RGB = (
+    (0.4123955889674142161, 0.3575834307637148171, 0.1804926473817015735),
+    (0.2125862307855955516, 0.7151703037034108499, 0.07220049864333622685),
+    (0.01929721549174694484, 0.1191838645808485318, 0.9504971251315797660),
+)
+TO_RGB = ((3.2406, -1.5372, -0.4986), (-0.9689, 1.8758, 0.0415), (0.0557, -0.2040, 1.0570))
+CUBE_FROM, ROOT_FROM = 0.206896551724137931, 8.85645167903563082e-3
+DARK_LINEAR, DARK_CODED = 0.0031306684425005883, 0.0404482362771076
+
+
+def _times(matrix: tuple[tuple[float, ...], ...], vector: list[Column]) -> list[Column]:
+    return [m[0] * vector[0] + m[1] * vector[1] + m[2] * vector[2] for m in matrix]
+
+
 def lab_to_rgb(lstar: Column, a: Column, b: Column) -> list[Column]:
-    """16-bit coded CIELab to 8-bit sRGB under D65."""
+    """16-bit coded CIELab to 8-bit sRGB. Of colours that sRGB doesn't have, the least component is lifted to zero and the others with it."""
     lv, av, bv = lstar * 100.0 / 65535.0, a * 255.0 / 65535.0 - 128.0, b * 255.0 / 65535.0 - 128.0
     fy = (lv + 16.0) / 116.0
 
     def unfold(t: Column) -> Column:
-        return bound(t, lambda t: F.when(t > 6.0 / 29.0, t * t * t).otherwise((t - 16.0 / 116.0) * 3.0 * (6.0 / 29.0) ** 2))
+        return bound(t, lambda t: F.when(t > CUBE_FROM, t * t * t).otherwise(108.0 / 841.0 * (t - 4.0 / 29.0)))
 
-    xx, yy, zz = unfold(fy + av / 500.0) * 0.950456, unfold(fy), unfold(fy - bv / 200.0) * 1.088754
-    linear = (3.240479 * xx - 1.537150 * yy - 0.498535 * zz, -0.969256 * xx + 1.875992 * yy + 0.041556 * zz, 0.055648 * xx - 0.204043 * yy + 1.057311 * zz)
-
-    def encode(c: Column) -> Column:
-        curve = bound(clamp(c, 0.0, 1.0), lambda c: F.when(c <= 0.0031308, c * 12.92).otherwise(1.055 * F.pow(c, F.lit(1 / 2.4)) - 0.055))
-        return half_up(curve * 255.0).cast("long")
-
-    return [encode(c) for c in linear]
+    linear = F.array(*_times(TO_RGB, [w * unfold(f) for w, f in zip(WHITE, (fy + av / 500.0, fy, fy - bv / 200.0))]))
+    lifted = bound(linear, lambda v: F.transform(v, lambda c: c - F.least(F.lit(0.0), F.array_min(v))))
+    curve = F.transform(lifted, lambda c: F.when(c <= DARK_LINEAR, 12.92 * c).otherwise(1.055 * F.pow(c, F.lit(1.0 / 2.4)) - 0.055))
+    coded = F.transform(curve, lambda c: half_up(clamp(c, 0.0, 1.0) * 255.0).cast("long"))
+    return [F.element_at(coded, k) for k in (1, 2, 3)]
 
 
 def rgb_to_lab(r: Column, g: Column, b: Column) -> list[Column]:
-    """8-bit sRGB to 16-bit coded CIELab under D65."""
+    """8-bit sRGB to 16-bit coded CIELab."""
 
     def decode(c: Column) -> Column:
-        return bound(c / 255.0, lambda c: F.when(c <= 0.04045, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4))))
-
-    r, g, b = decode(r), decode(g), decode(b)
-    xyz = ((0.412453 * r + 0.357580 * g + 0.180423 * b) / 0.950456, 0.212671 * r + 0.715160 * g + 0.072169 * b, (0.019334 * r + 0.119193 * g + 0.950227 * b) / 1.088754)
+        return bound(c / 255.0, lambda c: F.when(c <= DARK_CODED, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4))))
 
     def fold(t: Column) -> Column:
-        return bound(t, lambda t: F.when(t > (6.0 / 29.0) ** 3, F.pow(t, F.lit(1.0 / 3.0))).otherwise(t / (3.0 * (6.0 / 29.0) ** 2) + 16.0 / 116.0))
+        return bound(t, lambda t: F.when(t > ROOT_FROM, F.pow(t, F.lit(1.0 / 3.0))).otherwise(841.0 / 108.0 * t + 4.0 / 29.0))
 
-    fx, fy, fz = (fold(t) for t in xyz)
-    out = ((116.0 * fy - 16.0) * 65535.0 / 100.0, (500.0 * (fx - fy) + 128.0) * 65535.0 / 255.0, (200.0 * (fy - fz) + 128.0) * 65535.0 / 255.0)
+    fx, fy, fz = (fold(t / w) for t, w in zip(_times(FROM_RGB, [decode(c) for c in (r, g, b)]), WHITE))
+    out = ((116.0 * fy - 16.0) * (65535.0 / 100.0), (500.0 * (fx - fy) + 128.0) * (65535.0 / 255.0), (200.0 * (fy - fz) + 128.0) * (65535.0 / 255.0))
     return [clamp(half_up(c), 0, 65535).cast("long") for c in out]
 
 

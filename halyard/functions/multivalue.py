@@ -28,7 +28,12 @@ class Values:
 
     @property
     def cols(self) -> list[Column]:
-        return [_column(c) for c in self._cols]
+        out: list[Column] = []
+        here = None  # all columns so far have a value
+        for c in map(_column, self._cols):
+            out.append(c if here is None else F.when(here, c))
+            here = c.isNotNull() if here is None else here & c.isNotNull()
+        return out
 
     @property
     def array(self) -> Column | None:

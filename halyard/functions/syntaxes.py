@@ -106,7 +106,7 @@ def converts_to_rgb(photometric: Column, uid: Column, header_says_rgb: Column, h
     """Whether decoded pixels are luma and chroma that have to be turned into colours."""
     by_header = F.lit(False) if keep_rgb else ~header_lossless & ~header_says_rgb
     return (
-        F.when(photometric.isin("MONOCHROME1", "MONOCHROME2", "PALETTE_COLOR", "YBR_ICT", "YBR_RCT"), False)
+        F.when(photometric.isin("MONOCHROME1", "MONOCHROME2", "PALETTE COLOR", "PALETTE_COLOR", "YBR_ICT", "YBR_RCT"), False)
         .when(uid.isin(ADAPTABLE), (photometric != "RGB") | by_header)
         .otherwise(photometric.startswith("YBR"))
     )

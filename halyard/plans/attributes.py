@@ -80,18 +80,18 @@ _MONTHS = "datediff('month', birth, day) - CASE WHEN extract(day FROM day) < ext
 
 @query(
     "patient_age",
-    f"""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN (['033Y', ' '])[CAST(o_custkey % 2 AS INT) + 1] END AS known, CASE WHEN o_orderkey % 9 > 0 THEN DATE '1991-03-15' + CAST(o_custkey * 17 % 900 AS INT) END AS birth,
-          coalesce(CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) END, CASE WHEN o_orderkey % 3 = 1 THEN CAST(o_orderdate AS DATE) + 40 END, CASE WHEN o_custkey % 2 = 0 THEN CAST(o_orderdate AS DATE) + 80 END) AS day FROM orders WHERE o_orderdate >= TIMESTAMP '1994-01-01'),
+    f"""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN (['033Y', ' '])[CAST(o_custkey % 2 AS INT) + 1] END AS known, CASE WHEN o_orderkey % 9 > 0 THEN DATE '1989-03-15' + CAST(o_custkey * 17 % 900 AS INT) END AS birth,
+          coalesce(CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) END, CASE WHEN o_orderkey % 3 = 1 THEN CAST(o_orderdate AS DATE) + 40 END, CASE WHEN o_custkey % 2 = 0 THEN CAST(o_orderdate AS DATE) + 80 END) AS day FROM orders),
         m AS (SELECT *, {_MONTHS} AS m FROM o)
         SELECT o_orderkey, coalesce(nullif(trim(known), ''), CASE WHEN m >= 24 THEN printf('%03dY', m // 12) WHEN m >= 2 THEN printf('%03dM', m) ELSE printf('%03dD', datediff('day', birth, day)) END) AS age FROM m""",
 )
 def patient_age(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The age that is stated, else the one at the first known day."""
     k, c, day = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderdate").cast("date")
-    birth = F.when(k % 9 > 0, F.date_add(F.lit("1991-03-15").cast("date"), (c * 17 % 900).cast("int")))
+    birth = F.when(k % 9 > 0, F.date_add(F.lit("1989-03-15").cast("date"), (c * 17 % 900).cast("int")))
     days = [F.when(k % 3 == 0, day), F.when(k % 3 == 1, F.date_add(day, 40)), F.when(c % 2 == 0, F.date_add(day, 80))]
     age = A.patient_age(F.when(k % 4 == 0, _of(["033Y", " "], c % 2)), birth, days)
-    return table(spark, sf_dir, "orders").where("o_orderdate >= timestamp '1994-01-01'").select("o_orderkey", age.alias("age"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", age.alias("age"))
 
 
 @query(
@@ -185,11 +185,11 @@ def required_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "pseudonymise_tree",
-    f"""SELECT o_orderkey, {uid_sql("'1.' || o_orderkey")} AS study, '1.9' AS other, string_agg({uid_sql("'2.' || l_partkey")}, ',' ORDER BY l_partkey, l_linenumber) AS items FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 2000 GROUP BY o_orderkey""",
+    f"""SELECT o_orderkey, {uid_sql("'1.' || o_orderkey")} AS study, '1.9' AS other, string_agg({uid_sql("'2.' || l_partkey")}, ',' ORDER BY l_partkey, l_linenumber) AS items FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""",
 )
 def pseudonymise_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers of a data set replaced at every depth, others kept; the same identifier has one pseudonym everywhere."""
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey < 2000")
+    lines = table(spark, sf_dir, "lineitem")
     item = F.struct("l_partkey", "l_linenumber", F.concat(F.lit("2."), F.col("l_partkey")).alias("ReferencedSOPInstanceUID"))
     inner = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(item)).alias("items"))
     tree = inner.select("o_orderkey", F.struct(F.concat(F.lit("1."), F.col("o_orderkey")).alias("StudyInstanceUID"), F.lit("1.9").alias("SOPClassUID"), F.array(F.struct("items")).alias("series")).alias("d"))

@@ -61,10 +61,11 @@ def p95_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.nearest_rank(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_extendedprice", 0.95, "p95")
 
 
-@query("throughput", "SELECT l_suppkey, round(sum(l_quantity) / (median(l_extendedprice) / 1000), 6) AS rate FROM lineitem GROUP BY 1")
+@query("throughput", "SELECT l_suppkey, round(sum(l_quantity) / (list_sort(list(l_extendedprice))[count(*) // 2 + 1] / 1000), 6) AS rate FROM lineitem GROUP BY 1")
 def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Total work over the median time."""
-    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.round(C.throughput(F.col("l_quantity"), F.col("l_extendedprice")), 6).alias("rate"))
+    """Total work over the upper median of the times."""
+    got = C.throughput(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice", "rate")
+    return got.select("l_suppkey", F.round("rate", 6).alias("rate"))
 
 
 @query(

@@ -261,21 +261,40 @@ def render_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("vec_id").agg(F.sum("v").alias("total"), F.count(F.when(F.col("v") == 255, 1)).alias("white"))
 
 
-_LIN = "CASE WHEN {0} <= 0.04045 THEN {0} / 12.92 ELSE pow(({0} + 0.055) / 1.055, 2.4) END"
-_FOLD = "CASE WHEN {0} > 216.0::DOUBLE / 24389 THEN cbrt({0}) ELSE {0} * 841.0::DOUBLE / 108 + 4.0::DOUBLE / 29 END"
+# The SQL has its own copy of the fixed values, so that a slip in either shows.
+_LIN = "CASE WHEN {0} <= 0.0404482362771076::DOUBLE THEN {0} / 12.92::DOUBLE ELSE pow(({0} + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END"
+_FOLD = "CASE WHEN {0} > 8.85645167903563082e-3::DOUBLE THEN pow({0}, 1.0::DOUBLE / 3.0::DOUBLE) ELSE 841.0::DOUBLE / 108.0::DOUBLE * {0} + 4.0::DOUBLE / 29.0::DOUBLE END"
+_UNFOLD = "CASE WHEN {0} > 0.206896551724137931::DOUBLE THEN {0} * {0} * {0} ELSE 108.0::DOUBLE / 841.0::DOUBLE * ({0} - 4.0::DOUBLE / 29.0::DOUBLE) END"
+_CURVE = "CAST(floor(greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN {0} <= 0.0031306684425005883::DOUBLE THEN 12.92::DOUBLE * {0} ELSE 1.055::DOUBLE * pow({0}, 1.0::DOUBLE / 2.4::DOUBLE) - 0.055::DOUBLE END)) * 255.0::DOUBLE + 0.5::DOUBLE) AS BIGINT)"
 
 
 @query(
     "rgb_lab_values",
-    f"""WITH c AS (SELECT p_partkey, (p_partkey % 256) / 255.0::DOUBLE AS r, (p_partkey * 7 % 256) / 255.0::DOUBLE AS g, (p_partkey * 31 % 256) / 255.0::DOUBLE AS b FROM part), l AS (SELECT p_partkey, {_LIN.format('r')} AS r, {_LIN.format('g')} AS g, {_LIN.format('b')} AS b FROM c),
-        x AS (SELECT p_partkey, (0.412453 * r + 0.357580 * g + 0.180423 * b) / 0.950456 AS x, 0.212671 * r + 0.715160 * g + 0.072169 * b AS y, (0.019334 * r + 0.119193 * g + 0.950227 * b) / 1.088754 AS z FROM l), f AS (SELECT p_partkey, {_FOLD.format('x')} AS x, {_FOLD.format('y')} AS y, {_FOLD.format('z')} AS z FROM x)
-        SELECT p_partkey, CAST(round((116 * y - 16) * 6.5535) AS BIGINT) AS l, CAST(round((500 * (x - y) + 128) * 2.57) AS BIGINT) AS a, CAST(round((200 * (y - z) + 128) * 2.57) AS BIGINT) AS b FROM f""",
+    f"""WITH c AS (SELECT p_partkey, (p_partkey % 256)::DOUBLE / 255 AS r, (p_partkey * 7 % 256)::DOUBLE / 255 AS g, (p_partkey * 31 % 256)::DOUBLE / 255 AS b FROM part), l AS (SELECT p_partkey, {_LIN.format('r')} AS r, {_LIN.format('g')} AS g, {_LIN.format('b')} AS b FROM c),
+        x AS (SELECT p_partkey, (0.4123955889674142161::DOUBLE * r + 0.3575834307637148171::DOUBLE * g + 0.1804926473817015735::DOUBLE * b) / 0.950456::DOUBLE AS x, 0.2125862307855955516::DOUBLE * r + 0.7151703037034108499::DOUBLE * g + 0.07220049864333622685::DOUBLE * b AS y,
+          (0.01929721549174694484::DOUBLE * r + 0.1191838645808485318::DOUBLE * g + 0.9504971251315797660::DOUBLE * b) / 1.088754::DOUBLE AS z FROM l), f AS (SELECT p_partkey, {_FOLD.format('x')} AS x, {_FOLD.format('y')} AS y, {_FOLD.format('z')} AS z FROM x)
+        SELECT p_partkey, CAST(greatest(0, least(65535, floor((116.0::DOUBLE * y - 16.0::DOUBLE) * (65535.0::DOUBLE / 100) + 0.5::DOUBLE))) AS BIGINT) AS l, CAST(greatest(0, least(65535, floor((500.0::DOUBLE * (x - y) + 128.0::DOUBLE) * (65535.0::DOUBLE / 255) + 0.5::DOUBLE))) AS BIGINT) AS a,
+          CAST(greatest(0, least(65535, floor((200.0::DOUBLE * (y - z) + 128.0::DOUBLE) * (65535.0::DOUBLE / 255) + 0.5::DOUBLE))) AS BIGINT) AS b FROM f""",
 )
 def rgb_lab_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Colours as CIELab, in hundredths of the coded lightness and whole coded a and b."""
+    """Colours as coded CIELab."""
     lab = L.rgb_to_lab(*((K() * k % 256).cast("double") for k in (1, 7, 31)))
-    t = _parts(spark, sf_dir, l=lab[0], a=lab[1], b=lab[2])
-    return t.select("p_partkey", F.round(F.col("l") / 100.0).cast("long").alias("l"), F.round(F.col("a") / 100.0).cast("long").alias("a"), F.round(F.col("b") / 100.0).cast("long").alias("b"))
+    return _parts(spark, sf_dir, l=lab[0], a=lab[1], b=lab[2])
+
+
+@query(
+    "lab_rgb_values",
+    f"""WITH c AS (SELECT p_partkey, (p_partkey * 977 % 65536)::DOUBLE * 100 / 65535 AS l, (p_partkey * 7919 % 65536)::DOUBLE * 255 / 65535 - 128 AS a, (p_partkey * 104729 % 65536)::DOUBLE * 255 / 65535 - 128 AS b FROM part),
+        f AS (SELECT p_partkey, (l + 16) / 116 AS y, (l + 16) / 116 + a / 500 AS x, (l + 16) / 116 - b / 200 AS z FROM c),
+        x AS (SELECT p_partkey, 0.950456::DOUBLE * ({_UNFOLD.format('x')}) AS x, {_UNFOLD.format('y')} AS y, 1.088754::DOUBLE * ({_UNFOLD.format('z')}) AS z FROM f),
+        m AS (SELECT p_partkey, 3.2406::DOUBLE * x - 1.5372::DOUBLE * y - 0.4986::DOUBLE * z AS r, -0.9689::DOUBLE * x + 1.8758::DOUBLE * y + 0.0415::DOUBLE * z AS g, 0.0557::DOUBLE * x - 0.2040::DOUBLE * y + 1.0570::DOUBLE * z AS b FROM x),
+        v AS (SELECT p_partkey, r - least(0, r, g, b) AS r, g - least(0, r, g, b) AS g, b - least(0, r, g, b) AS b FROM m)
+        SELECT p_partkey, {_CURVE.format('r')} AS r, {_CURVE.format('g')} AS g, {_CURVE.format('b')} AS b FROM v""",
+)
+def lab_rgb_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coded CIELab as colours, most of them outside of what sRGB has."""
+    rgb = L.lab_to_rgb(*((K() * k % 65536).cast("double") for k in (977, 7919, 104729)))
+    return _parts(spark, sf_dir, r=rgb[0], g=rgb[1], b=rgb[2])
 
 
 @query(

@@ -119,12 +119,13 @@ def _gray(k: int) -> Column:
     return (F.col("p_partkey") * k % 256).cast("double")
 
 
-_SQL_LAB_L = "CAST(floor((116 * (CASE WHEN y > 0.008856451679035631 THEN pow(y, 1.0/3) ELSE y / (3 * pow(6.0/29, 2)) + 16.0/116 END) - 16) * 655.35 + 0.5) AS BIGINT)"
 
 
 @query(
     "lab_lightness",
-    f"WITH g AS (SELECT p_partkey, (p_partkey % 256) / 255.0::DOUBLE AS c FROM part), y AS (SELECT p_partkey, CASE WHEN c <= 0.04045 THEN c / 12.92 ELSE pow((c + 0.055) / 1.055, 2.4) END AS y FROM g) SELECT p_partkey, {_SQL_LAB_L} AS lightness FROM y",
+    """WITH g AS (SELECT p_partkey, (p_partkey % 256)::DOUBLE / 255 AS c FROM part), l AS (SELECT p_partkey, CASE WHEN c <= 0.0404482362771076::DOUBLE THEN c / 12.92::DOUBLE ELSE pow((c + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END AS v FROM g),
+       y AS (SELECT p_partkey, 0.2125862307855955516::DOUBLE * v + 0.7151703037034108499::DOUBLE * v + 0.07220049864333622685::DOUBLE * v AS y FROM l)
+       SELECT p_partkey, CAST(greatest(0, least(65535, floor((116.0::DOUBLE * (CASE WHEN y > 8.85645167903563082e-3::DOUBLE THEN pow(y, 1.0::DOUBLE / 3.0::DOUBLE) ELSE 841.0::DOUBLE / 108.0::DOUBLE * y + 4.0::DOUBLE / 29.0::DOUBLE END) - 16.0::DOUBLE) * (65535.0::DOUBLE / 100) + 0.5::DOUBLE))) AS BIGINT) AS lightness FROM y""",
 )
 def lab_lightness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coded lightness of grays."""

@@ -82,7 +82,7 @@ def transcode_needed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images(spark, sf_dir).select("p_partkey", T.transcode_needed(F.col("uid"), F.col("other")).alias("needed"))
 
 
-_PHOTOMETRIC = ["MONOCHROME1", "MONOCHROME2", "PALETTE_COLOR", "RGB", "YBR_FULL", "YBR_FULL_422", "YBR_ICT", "YBR_RCT"]
+_PHOTOMETRIC = ["MONOCHROME1", "MONOCHROME2", "PALETTE COLOR", "RGB", "YBR_FULL", "YBR_FULL_422", "YBR_ICT", "YBR_RCT"]
 
 
 @query(
