@@ -110,20 +110,62 @@ def progress_text(done: Column, total: Column) -> Column:
 _PLACE = re.compile(r"\{([^{}]+)\}")
 
 
-def path_template(pattern: str, attributes: Mapping[str, Column]) -> Column:
-    """A path with each {name} replaced by the attribute, unknown ones by nothing; what can't stand in a path becomes an underscore."""
+def path_template(pattern: str, attributes: Mapping[str, Column], now: Column | None = None) -> Column:
+    """A path with each {name} replaced by the attribute, unknown ones by nothing; what can't stand in a path becomes an underscore.
+
+    A name may have a format: ``{StudyDate,date,yyyy/MM}`` and ``{now,date,...}`` by a date pattern, ``upper``, ``slice,from[,to]`` (counted from the end
+    if negative), ``number,000`` (zeros in front), ``offset,n`` (a number moved by n), ``hash`` (8 digits of the 31-fold rolling hash of the text's
+    16-bit units), ``md5``, ``uid`` (a decimal identifier of the text's SHA-256). Of a null attribute, hash, md5 and uid are those of an empty text; other formats give nothing.
+    """
     parts, at = [], 0
     for m in _PLACE.finditer(pattern):
-        parts.append(F.lit(pattern[at : m.start()]))
-        value = attributes.get(m[1])
-        parts.append(F.coalesce(F.regexp_replace(value.cast("string"), r"[\\/:*?\"<>|\x00-\x1F]", "_"), F.lit("")) if value is not None else F.lit(""))
+        name, *form = m[1].split(",")
+        value = now if name == "now" else attributes.get(name)
+        parts += [F.lit(pattern[at : m.start()]), _formatted(value if value is not None else F.lit(None).cast("string"), form)]
         at = m.end()
     return F.concat(*parts, F.lit(pattern[at:]))
 
 
+def _plain(value: Column) -> Column:
+    return F.coalesce(F.regexp_replace(value.cast("string"), r"[\\/:*?\"<>|\x00-\x1F]", "_"), F.lit(""))
+
+
+def _formatted(value: Column, form: list[str]) -> Column:
+    if not form:
+        return _plain(value)
+    kind, *rest = form
+    text = value.cast("string")
+    known = F.coalesce(text, F.lit(""))
+    if kind == "date":
+        day = F.coalesce(F.try_to_timestamp(text, F.lit("yyyyMMdd")), F.try_to_timestamp(text))
+        return F.coalesce(F.regexp_replace(F.date_format(day, ",".join(rest)), r"[\\:*?\"<>|\x00-\x1F]", "_"), F.lit(""))
+    if kind == "upper":
+        return _plain(F.upper(text))
+    if kind == "slice":
+        ends = [F.lit(int(x)) for x in rest] + ([F.length(text)] if len(rest) == 1 else [])
+        a, b = (F.greatest(F.when(e < 0, F.length(text) + e).otherwise(e), F.lit(0)) for e in ends)
+        return _plain(F.substring(text, a + 1, F.greatest(b - a, F.lit(0))))
+    if kind == "number":
+        number = text.try_cast("long")
+        return F.coalesce(F.when(F.length(number.cast("string")) >= len(rest[0]), number.cast("string")).otherwise(F.lpad(number.cast("string"), len(rest[0]), "0")), F.lit(""))
+    if kind == "offset":
+        return F.coalesce((text.try_cast("long") + int(rest[0])).cast("string"), F.lit(""))
+    if kind == "hash":
+        units = F.hex(F.encode(known, "UTF-16BE"))
+        codes = F.transform(F.sequence(F.lit(0), F.greatest((F.length(units) / 4).cast("int") - 1, F.lit(0))), lambda i: F.coalesce(F.conv(F.substring(units, 4 * i + 1, F.lit(4)), 16, 10).cast("long"), F.lit(0).cast("long")))
+        rolled = F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: (h * 31 + c) % (1 << 32))
+        return F.lpad(F.hex(F.when(F.length(known) > 0, rolled).otherwise(0).cast("long")), 8, "0")
+    if kind == "md5":
+        return F.md5(known.cast("binary"))
+    if kind == "uid":
+        return F.concat(F.lit("2.25."), F.conv(F.substring(F.sha2(known.cast("binary"), 256), 1, 15), 16, 10))
+    raise ValueError(f"{kind} is no format of a path template")
+
+
 def needs_dataset(pattern: str) -> bool:
     """Whether a path template names an attribute outside of the file's meta information (group 0002)."""
-    return any(not name.startswith("0002") for name in _PLACE.findall(pattern))
+    names = [name.split(",")[0] for name in _PLACE.findall(pattern)]
+    return any(name != "now" and not name.startswith("0002") for name in names)
 
 
 def frame_path(path: Column, frame: Column, frames: Column) -> Column:

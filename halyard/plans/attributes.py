@@ -9,6 +9,9 @@ from halyard.functions import attributes as A
 from halyard.functions import display, text
 from halyard.operators import dictionaries as R
 from halyard.registry import query
+from halyard.shared import shared_folder
+from halyard.sources import archive
+from halyard.sources import elements as E
 from halyard.streaming import progress
 
 from .common import table
@@ -240,16 +243,72 @@ def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy("p_type").agg(F.count(F.lit(1)).alias("images"), F.count_distinct(digest).alias("contents"), F.max(digest).alias("last"))
 
 
+_CT = "1.2.840.10008.5.1.4.1.1.2"
+_PLACES = "{PatientID,slice,-1}/{Modality,upper}/{SOPInstanceUID}.dcm"
+
+
+def archive_of_customers(spark: SparkSession, sf_dir: str) -> str:
+    """Writes a file for each customer: odd keys with implicit representations, each third without file meta information, names in two items of a sequence."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    uid = F.concat(F.lit("1.2."), k)
+    parts = {}
+    for explicit in (True, False):
+        e = lambda name, value, explicit=explicit: E.element(name, value, explicit)
+        inner = [E.element("PatientID", F.concat(k.cast("string"), F.lit(f"-{n}")), explicit) for n in (1, 2)]
+        data = [e("SpecificCharacterSet", F.lit("ISO_IR 192")), e("SOPClassUID", F.lit(_CT)), e("SOPInstanceUID", uid), e("Modality", F.lit("ct")), e("PatientName", F.col("c_name")), e("PatientID", k)]
+        data += [F.when(k % 2 == 0, E.items("OtherPatientIDsSequence", inner, explicit, True)).otherwise(E.items("OtherPatientIDsSequence", inner, explicit, False))]
+        data += [e("Rows", k % 512), e("WindowCenter", F.concat(k % 90, F.lit("\\"), k % 7)), e("PixelData", F.lit(bytes(64)))]
+        whole = F.concat(*data)
+        syntax = E.EXPLICIT if explicit else E.IMPLICIT
+        parts[explicit] = F.when(k % 3 > 0, E.file_bytes(F.lit(_CT), uid, syntax, whole)).otherwise(whole)
+    content = F.when(k % 4 < 2, parts[True]).otherwise(parts[False])
+    names = A.path_template(_PLACES, {"PatientID": k, "Modality": F.lit("ct"), "SOPInstanceUID": uid})
+    archive.register(spark)
+    folder = shared_folder(spark, "archive")
+    c.select(names.alias("name"), content.alias("content")).write.format("archive").mode("append").save(folder)
+    return folder
+
+
+def _below(path: Column) -> Column:
+    return F.substring_index(path, "/", -3)
+
+
 @query(
     "send_list",
-    "SELECT '1.2.' || l_orderkey || '.' || l_linenumber AS iuid, '1.2.3' AS cuid, '1.2.840.10008.1.2.1' AS tsuid, 132 + l_linenumber AS position, 'f/' || l_orderkey || '/' || l_linenumber AS path FROM lineitem WHERE l_linenumber < 3",
+    f"""SELECT '1.2.' || c_custkey AS iuid, '{_CT}' AS cuid, CASE WHEN c_custkey % 4 < 2 THEN '{"1.2.840.10008.1.2.1"}' ELSE '{"1.2.840.10008.1.2"}' END AS tsuid,
+        CASE WHEN c_custkey % 3 > 0 THEN 132 + 12 + 14 + 8 + 26 + 8 + (length('1.2.' || c_custkey) + 1) // 2 * 2 + 8 + CASE WHEN c_custkey % 4 < 2 THEN 20 ELSE 18 END ELSE 0 END AS position,
+        right(CAST(c_custkey AS VARCHAR), 1) || '/CT/1.2.' || c_custkey || '.dcm' AS path FROM customer""",
 )
 def send_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a sender needs of each file: identifiers, where the data set starts, and the path."""
-    k, n = F.col("l_orderkey"), F.col("l_linenumber")
-    return table(spark, sf_dir, "lineitem").where("l_linenumber < 3").select(
-        F.concat_ws(".", F.lit("1.2"), k, n).alias("iuid"), F.lit("1.2.3").alias("cuid"), F.lit("1.2.840.10008.1.2.1").alias("tsuid"), (132 + n).alias("position"), F.concat_ws("/", F.lit("f"), k, n).alias("path")
-    )
+    """What a sender needs of each file of an archive: identifiers and transfer syntax from the file meta information, or from the data set's head where there is
+    none, where the data set starts, and the path."""
+    files = spark.read.format("archive").load(archive_of_customers(spark, sf_dir))
+    return files.where("error IS NULL").select(F.col("instance_uid").alias("iuid"), F.col("class_uid").alias("cuid"), F.col("syntax").alias("tsuid"), "position", _below(F.col("path")).alias("path"))
+
+
+@query(
+    "archive_tags",
+    """SELECT 'ct' AS modality, c_name AS name, c_custkey % 512 AS n_rows, c_custkey || '-1,' || c_custkey || '-2' AS others, CAST(c_custkey % 90 AS DOUBLE) AS center, 2 AS centers FROM customer""",
+)
+def archive_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of an archive's files: text, numbers, several values, and a sequence's items, of either form and syntax; pixels are not read."""
+    wanted = "Modality string, PatientName string, Rows int, OtherPatientIDsSequence array<struct<PatientID:string>>, WindowCenter array<double>, error string"
+    files = spark.read.format("archive").schema(wanted).load(archive_of_customers(spark, sf_dir)).where("error IS NULL")
+    others = F.array_join(F.transform("OtherPatientIDsSequence", lambda x: x["PatientID"]), ",")
+    return files.select(F.col("Modality").alias("modality"), F.col("PatientName").alias("name"), F.col("Rows").alias("n_rows"), others.alias("others"), F.col("WindowCenter")[0].alias("center"), F.size("WindowCenter").alias("centers"))
+
+
+@query(
+    "path_formats",
+    """SELECT o_orderkey, strftime(o_orderdate, '%Y/%m/%d') || '/' || upper(o_orderstatus) || '-' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') || '/' || (o_custkey + 5) || '/' || md5(o_orderpriority) || '/' || right(o_orderpriority, 3) || '/' ||
+       lpad(hex(CAST(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(CAST(o_orderkey AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) AS BIGINT)), 8, '0') || '/2024-02-03' AS path FROM orders""",
+)
+def path_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names with dates, numbers, digests and parts of attributes."""
+    day = F.date_format("o_orderdate", "yyyyMMdd")
+    values = {"day": day, "status": F.col("o_orderstatus"), "customer": F.col("o_custkey"), "priority": F.col("o_orderpriority"), "key": F.col("o_orderkey")}
+    pattern = "{day,date,yyyy/MM/dd}/{status,upper}-{customer,number,000000000}/{customer,offset,5}/{priority,md5}/{priority,slice,-3}/{key,hash}/{now,date,yyyy-MM-dd}"
+    return table(spark, sf_dir, "orders").select("o_orderkey", A.path_template(pattern, values, F.lit("2024-02-03 10:00:00")).alias("path"))
 
 
 @query(
