@@ -9,6 +9,8 @@ from halyard.operators import comparison as C
 from halyard.operators.ranking import ranked
 from halyard.operators import hanging
 from halyard.registry import query
+from halyard.shared import shared_folder
+from halyard.streaming import connections, ingest
 from halyard.streaming import progress as P
 
 from .common import table
@@ -133,6 +135,28 @@ def idle_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("user_id", F.col("w.start").alias("opened"), F.col("w.end").alias("closed"), "n")
 
 
+@query(
+    "idle_close",
+    """WITH e AS (SELECT user_id, date_trunc('milliseconds', ts) AS s, date_trunc('milliseconds', ts) + (event_id % 5) * INTERVAL 40 MINUTE AS e FROM events),
+       g AS (SELECT *, CASE WHEN s < max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM e),
+       k AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM g),
+       c AS (SELECT user_id, k, min(s) AS opened, max(e) + INTERVAL 6 HOUR AS closed, count(*) AS transfers, max(k) OVER (PARTITION BY user_id) AS last FROM k GROUP BY user_id, k)
+       SELECT CAST(user_id AS VARCHAR) AS connection, opened, closed, transfers FROM c WHERE k < last OR closed < (SELECT max(e) - INTERVAL 1 SECOND FROM e)""",
+)
+def idle_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connections of a stream that closed when no transfer was open for six hours: timers and counts in flight as its state."""
+    like = table(spark, sf_dir, "events")
+    start = F.date_trunc("MILLISECOND", F.col("ts").cast("timestamp"))
+    end = F.timestamp_millis(F.unix_millis(start) + F.col("event_id") % 5 * 2_400_000)
+    rows = ingest.arrivals(spark, sf_dir, like, "events.parquet").select(F.col("user_id").cast("string").alias("connection"), F.col("event_id").cast("string").alias("instance"), F.explode(F.array(F.struct(F.lit("start").alias("kind"), start.alias("at")), F.struct(F.lit("end").alias("kind"), end.alias("at")))).alias("x"))
+    closing = connections.idle_close(rows.select("connection", "x.kind", "instance", "x.at"), 6 * 3_600_000, "1 second")
+    place = shared_folder(spark, "idle-close")
+    with connections.state_in_rocksdb(spark):
+        closing.writeStream.format("parquet").option("checkpointLocation", f"{place}/state").option("path", f"{place}/closed").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(connections.CLOSED).parquet(f"{place}/closed")
+    return got.select("connection", F.col("opened").cast("timestamp_ntz").alias("opened"), F.col("closed").cast("timestamp_ntz").alias("closed"), "transfers")
+
+
 @query(
     "status_throttle",
     f"""WITH s AS (SELECT event_id, user_id, ts, {_STATUS} AS status FROM events), c AS (SELECT *, coalesce(status <> lag(status) OVER w, true) AS changed FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
