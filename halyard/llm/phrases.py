@@ -6,8 +6,8 @@ by one: their occurrence lists are merge-joined with the lists of adjacent words
 frequencies. A block extends only what may be frequent in the corpus: a bitmap of fixed size (``slots`` bits, broadcast) marks the phrases of each length
 whose hashes are frequent; a false mark costs work, never a count.
 
-One pass over the lists a length gives the frequencies of marked phrases of that length, as rows, and the hashes of all phrases a word longer with their counts, as
-sorted and packed blocks, from which the next marks are made: some three bytes of shuffle for a phrase that turns out to be rare. Parts of phrases that hold 1/10,000 of all words each are broadcast for the scores, so no
+One pass over the lists a length gives the frequencies of marked phrases of that length, and the hashes of all phrases a word longer with their counts, from
+which the next marks are made. Both are packed, a row for each block and range of hashes: some three bytes of shuffle for a phrase that turns out to be rare. Parts of phrases that hold 1/10,000 of all words each are broadcast for the scores, so no
 word or language is one task's work; ranks are taken in parts of a language first.
 
 Defined cases: a null or empty text has no words; a null language is ``und``; a block has whole documents up to ``BLOCK`` bytes, a longer document is cut between pieces,
@@ -152,7 +152,7 @@ def _hash_blocks(keys: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[t
             yield p, _planes(np.diff(keys[a:b], prepend=0)) + _planes(counts[a:b])
 
 
-_GROWN = "lang string, phrase string, n long, part int, block binary"
+_GROWN = "part int, block binary, lang string, phrases array<string>, counts array<long>"
 
 
 def _grown(lists: DataFrame, length: int, marks: list, parts: int, last: bool) -> DataFrame:
@@ -196,9 +196,11 @@ def _grown(lists: DataFrame, length: int, marks: list, parts: int, last: bool) -
                     start, h = begin[may], longer[may]
                     _, first, phrase, n = np.unique(before[may] * len(lengths) + tail[may], return_index=True, return_inverse=True, return_counts=True)
                     if k + 1 == length and len(start):
-                        where = start[first]
+                        part = ((h[first] >> U64(KEY_BITS)) % U64(parts)).astype(np.int64)
+                        order = np.argsort(part, kind="stable")
+                        where = start[first[order]]
                         text = pc.binary_join_element_wise(*(words.take(pa.array(word[np.searchsorted(at, where + i)])) for i in range(length)), " ")
-                        yield from _rows(lang, text, n)
+                        yield from _phrase_rows(lang, part[order], text, n[order])
                 if count > 4_000_000:
                     held = [_summed(*(np.concatenate(x) for x in zip(*held)))]
                     count = len(held[0][0])
@@ -211,10 +213,13 @@ def _grown(lists: DataFrame, length: int, marks: list, parts: int, last: bool) -
     return lists.mapInArrow(grow, _GROWN)
 
 
-def _rows(lang: str, text: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for a in range(0, len(n), 1 << 17):
-        m = len(n[a : a + (1 << 17)])
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * m, pa.string()), text.slice(a, m), pa.array(n[a : a + m].astype(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=["lang", "phrase", "n", "part", "block"])
+def _phrase_rows(lang: str, part: np.ndarray, text: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each part that has phrases, which stand in order of parts."""
+    at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    ends = pa.array(np.r_[at, len(part)].astype(np.int32))
+    m = len(at)
+    lists = [pa.ListArray.from_arrays(ends, x) for x in (text, pa.array(n.astype(np.int64)))]
+    yield pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int32)), pa.nulls(m, pa.binary()), pa.array([lang] * m, pa.string()), *lists], names=["part", "block", "lang", "phrases", "counts"])
 
 
 def _blocks(keys: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
@@ -222,7 +227,20 @@ def _blocks(keys: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[pa.Rec
     for a in range(0, len(found), 256):
         p, b = zip(*found[a : a + 256])
         m = len(p)
-        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.string()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64()), pa.array(p, pa.int32()), pa.array(b, pa.binary())], names=["lang", "phrase", "n", "part", "block"])
+        yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(b, pa.binary()), pa.nulls(m, pa.string()), pa.nulls(m, pa.list_(pa.string())), pa.nulls(m, pa.list_(pa.int64()))], names=["part", "block", "lang", "phrases", "counts"])
+
+
+def _frequent(grown: DataFrame, least: int) -> DataFrame:
+    """(lang, phrase, f) of the phrases whose counts sum to ``least``, summed by the phrases themselves."""
+
+    def add(table: pa.Table) -> pa.Table:
+        phrases = table.column("phrases").combine_chunks()
+        langs = table.column("lang").combine_chunks().take(pc.list_parent_indices(phrases))
+        rows = pa.table({"lang": langs, "phrase": pc.list_flatten(phrases), "f": pc.list_flatten(table.column("counts").combine_chunks())})
+        sums = rows.group_by(["lang", "phrase"]).aggregate([("f", "sum")]).rename_columns(["lang", "phrase", "f"])
+        return sums.filter(pc.greater_equal(sums.column("f"), least))
+
+    return grown.where("phrases IS NOT NULL").select("part", "lang", "phrases", "counts").groupBy("part").applyInArrow(add, "lang string, phrase string, f long")
 
 
 def _frequent_hashes(grown: DataFrame, least: int, slots: int) -> DataFrame:
@@ -243,7 +261,7 @@ def _frequent_hashes(grown: DataFrame, least: int, slots: int) -> DataFrame:
         keys, counts = _summed(*(np.concatenate(x) for x in zip((keys, counts), *held)))
         return pa.table({"slot": np.unique(slot_of(keys[counts >= least].astype(U64), slots))})
 
-    return grown.where("part IS NOT NULL").select("part", "block").groupBy("part").applyInArrow(add, "slot long")
+    return grown.where("block IS NOT NULL").select("part", "block").groupBy("part").applyInArrow(add, "slot long")
 
 
 def _word_hashes(lang: str, words: list[str]) -> np.ndarray:
@@ -265,8 +283,7 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, text_col: str = "text",
     for k in range(1, most_words + 1):  # the pass of length 1 gives the hashes of pairs only
         grown = scratch.save(_grown(lists, k, marks, parts, k == most_words), f"grown-{k}")
         if k > 1:
-            found = grown.where("phrase IS NOT NULL").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-            levels.append(scratch.save(found, f"phrases-{k}"))
+            levels.append(scratch.save(_frequent(grown, least), f"phrases-{k}"))
         if k < most_words:
             marks.append(spark.sparkContext.broadcast(_marks(_frequent_hashes(grown, least, slots), slots)))
         scratch.drop(f"grown-{k}")
