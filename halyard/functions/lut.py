@@ -72,25 +72,29 @@ def _scaled(raw: Column, ends: tuple[float, float] | None, low: int, high: int,
     return F.lit(high + low) - v if inverse else v
 
 
-def window_sigmoid(px: Column, window: float, level: float, low: int, high: int, inverse: bool = False, normalised: bool = False) -> Column:
+def _width(window: float | Column) -> Column:
+    return F.greatest(F.lit(1.0), window if isinstance(window, Column) else F.lit(float(window)))
+
+
+def window_sigmoid(px: Column, window: float | Column, level: float | Column, low: int, high: int, inverse: bool = False, normalised: bool = False) -> Column:
     """An S-shaped curve around the level; factor -20/10, twice, as the standard's examples have it."""
-    r, w = float(high - low), max(1.0, float(window))
+    r, w = float(high - low), _width(window)
     ends = (r / (1 + math.exp(2.0)), r / (1 + math.exp(-2.0))) if normalised else None
     return _scaled(r / (1 + F.exp(-4.0 * (px - level) / w)), ends, low, high, inverse)
 
 
-def window_exponential(px: Column, window: float, level: float, low: int, high: int, inverse: bool = False) -> Column:
+def window_exponential(px: Column, window: float | Column, level: float | Column, low: int, high: int, inverse: bool = False) -> Column:
     """e^2t, with t from -1/2 to 1/2 over the window, normalised to the window's ends."""
-    r, w = float(high - low), max(1.0, float(window))
+    r, w = float(high - low), _width(window)
     return _scaled(r * F.exp(2.0 * (px - level) / w), (r * math.exp(-1.0), r * math.exp(1.0)), low, high, inverse)
 
 
-def window_log(px: Column, window: float, level: float, low: int, high: int, inverse: bool = False) -> Column:
+def window_log(px: Column, window: float | Column, level: float | Column, low: int, high: int, inverse: bool = False) -> Column:
     """ln(2(1 + t)), with t from -1/2 to 1/2 over the window, normalised to the window's ends.
 
     At t = -1 the output is its lowest value; below, where there is no logarithm, it is 0 or the nearest value to it.
     """
-    r, w = float(high - low), max(1.0, float(window))
+    r, w = float(high - low), _width(window)
     x = 1 + (px - level) / w
     v = _scaled(r * F.ln(F.when(x > 0, 2.0 * x)), (0.0, r * math.log(3.0)), low, high, inverse)
     none = [max(low, min(high, 0)), low]
@@ -118,6 +122,19 @@ def window_sequence(px: Column, window: float, level: float, entries: list[int],
     return F.lit(high + low) - v if inverse else v
 
 
+def window_points(px: Column, window: Column, level: Column, points: Column, low: int, high: int) -> Column:
+    """As ``window_sequence``, with the curve's points as a column."""
+    n, w = F.size(points), _width(window)
+    below, above = level - w / 2.0, level + w / 2.0
+    at = F.when(px <= below, 0.0).when(px > above, (n - 1).cast("double")).otherwise((px - below) * ((n - 1) / w))
+    down = F.floor(at).cast("int")
+    a, b = F.get(points, down), F.get(points, F.least(F.ceil(at).cast("int"), n - 1))
+    spread = F.array_max(points) - F.array_min(points)
+    value = half_up(a + (at - down) * (b - a))
+    flat = F.least(F.lit(high), F.greatest(F.lit(low), F.when(F.array_max(points) > 0, -1).otherwise(0)))
+    return F.when(spread > 0, clamp(half_up(value * F.try_divide(F.lit(float(high - low)), spread)), float(low), float(high))).otherwise(flat).cast("long")
+
+
 def value_range(table: Column, bits: int) -> tuple[Column, Column]:
     """(least value, range) of a table's entries, as unsigned numbers of so many bits."""
     seen = F.transform(table, lambda v: v.bitwiseAND(F.lit((1 << bits) - 1)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from halyard.functions import display as D
 from halyard.functions import lut as L
+from halyard.operators import rendering as R
 from halyard.registry import query
 
 from .common import table
@@ -327,3 +328,36 @@ def mask_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = D.box_blur(p, "image", "y", "x", "v")
     shown = F.when(D.in_rectangle(F.col("y"), F.col("x"), 0, 8, 8, 16), F.col("v")).otherwise(F.col("px"))
     return b.groupBy("image").agg(F.round(F.sum(shown), 6).alias("total"))
+
+
+_W = "((v - 1500.0::DOUBLE) / 4000.0::DOUBLE)"
+_UNIT = "greatest(0, least(255, floor(255.0::DOUBLE * (({0}) - ({1})) / (({2}) - ({1})) + 0.5)))"
+_LINE = "trunc(greatest(0.0::DOUBLE, least(255.0::DOUBLE, v * (255.0::DOUBLE / 4000) + (255.0::DOUBLE - 255.0::DOUBLE / 4000 * (1500.0::DOUBLE + 2000)))))"
+_ALONG = "(CASE WHEN v <= -500 THEN 0.0::DOUBLE WHEN v > 3500 THEN 4.0::DOUBLE ELSE (v + 500) * (4.0::DOUBLE / 4000) END)"
+_ON = "([20, 30, 60, 180, 220])[CAST({0} AS INT) + 1]"
+
+
+@query(
+    "render_states",
+    f"""WITH m AS (SELECT vec_id, vec_id % 12 AS k, CASE WHEN vec_id % 12 = 8 THEN px & 8190 ELSE px & 4095 END AS px FROM {_STORED}),
+        r AS (SELECT vec_id, k, CASE WHEN k IN (9, 11) THEN px WHEN k = 10 THEN px * 7 % 4096 WHEN k = 7 AND px BETWEEN 1000 AND 2000 THEN 4095 WHEN k = 8 THEN greatest(-4096, least(4095, CAST(floor(least(px, 4095) * 1.0::DOUBLE - 1000 + 0.5) AS BIGINT))) ELSE greatest(-4096, least(4095, px * 2 - 1000)) END AS v FROM m),
+        s AS (SELECT vec_id, k, v, CASE k WHEN 2 THEN greatest(0, least(255, floor(255.0::DOUBLE / (1 + exp(-4 * {_W})) + 0.5))) WHEN 3 THEN {_UNIT.format(f"1 / (1 + exp(-4 * {_W}))", "1 / (1 + exp(2.0::DOUBLE))", "1 / (1 + exp(-2.0::DOUBLE))")}
+          WHEN 4 THEN CASE WHEN 1 + {_W} <= 0 THEN 0 ELSE {_UNIT.format(f"ln(CASE WHEN 1 + {_W} > 0 THEN 2 * (1 + {_W}) ELSE 1 END)", "ln(1.0::DOUBLE)", "ln(3.0::DOUBLE)")} END WHEN 5 THEN {_UNIT.format(f"exp(2 * {_W})", "exp(-1.0::DOUBLE)", "exp(1.0::DOUBLE)")}
+          WHEN 6 THEN least(255, floor(floor({_ON.format(f"floor({_ALONG})")} + ({_ALONG} - floor({_ALONG})) * ({_ON.format(f"ceil({_ALONG})")} - {_ON.format(f"floor({_ALONG})")}) + 0.5) * (255.0::DOUBLE / 200) + 0.5)) WHEN 11 THEN (4095 - v) // 16 ELSE {_LINE} END AS w FROM r)
+        SELECT vec_id, CAST(sum(v) AS BIGINT) AS real, CAST(sum(CASE WHEN k IN (1, 7) THEN 255 - w ELSE w END) AS BIGINT) AS total FROM s GROUP BY 1""",
+)
+def render_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of twelve kinds through one table of look-up tables: all shapes of windows, padding, tables of the modality and of a presentation state, pixels above an overlay bit."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id")
+    k = F.col("vec_id") % 12
+    flat = k.isin(9, 10, 11)
+    shapes = F.array(*(F.lit(x) for x in ("LINEAR", "LINEAR", "SIGMOID", "SIGMOID_NORM", "LOG", "LOG_INV", "SEQUENCE", "LINEAR", "LINEAR", "LINEAR", "LINEAR", "LINEAR")))
+    images = e.select(
+        "vec_id", F.lit(16).alias("bits_allocated"), F.lit(12).alias("bits_stored"), F.when(k == 8, 12).otherwise(11).alias("high_bit"), F.lit(True).alias("embedded"), F.lit(0).alias("low"), F.when(k == 8, 8190).otherwise(4095).alias("high"),
+        F.when(k.isin(1, 7), "MONOCHROME1").otherwise("MONOCHROME2").alias("photometric"), F.when(flat, 1.0).otherwise(2.0).alias("slope"), F.when(flat, 0.0).otherwise(-1000.0).alias("intercept"),
+        F.when(k == 7, 1000).alias("padding"), F.when(k == 7, 2000).alias("padding_limit"), F.when(k == 10, F.transform(F.sequence(F.lit(0), F.lit(4095)), lambda i: i * 7 % 4096)).alias("modality_table"),
+        F.when(k == 11, F.transform(F.sequence(F.lit(0), F.lit(4095)), lambda i: F.floor((4095 - i) / 16).cast("int"))).alias("state_table"), F.get(shapes, k.cast("int")).alias("shape"),
+        F.when(k == 6, F.array(*(F.lit(float(x)) for x in (20, 30, 60, 180, 220)))).alias("points"), F.lit(4000.0).alias("window"), F.lit(1500.0).alias("level"),
+    )
+    got = R.render(stored(spark, sf_dir), images, "vec_id", "px", ["x"])
+    return got.groupBy("vec_id").agg(F.sum("real").alias("real"), F.sum("shown").alias("total"))
