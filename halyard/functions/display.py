@@ -289,8 +289,12 @@ def fragment_frames(fragments: DataFrame, image: str, order: Sequence[str], data
     return starts.withColumn("frame", F.sum("_starts").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_starts")
 
 
-def raw_tags(width: Column, height: Column, channels: Column, signed: Column, descriptor: Column) -> Column:
-    """Attributes of pixels that are written as they are: depth from the descriptor, several channels interleaved as RGB."""
+def raw_tags(width: Column, height: Column, channels: Column, depth: Column, signed: Column, descriptor: Column) -> Column:
+    """Attributes of pixels that are written as they are: depth from the descriptor, several channels interleaved as RGB; signed if the cells (8U, 16U, 16S, 32S, 32F) or the image are."""
+    return _tags(width, height, channels, (depth == "16S") | signed, descriptor)
+
+
+def _tags(width: Column, height: Column, channels: Column, signed: Column, descriptor: Column) -> Column:
     several = channels > 1
     return F.struct(
         width.alias("columns"),
@@ -305,11 +309,49 @@ def raw_tags(width: Column, height: Column, channels: Column, signed: Column, de
     )
 
 
-def compressed_tags(width: Column, height: Column, channels: Column, element_bits: Column, signed: Column, descriptor: Column) -> Column:
-    """Attributes of pixels that are written compressed: cells as wide as an element of the image, and no more bits than that."""
-    stored = F.least(descriptor["bits_stored"], element_bits)
-    own = F.struct(element_bits.alias("bits_allocated"), stored.alias("bits_stored"), descriptor["photometric"].alias("photometric"))
-    return raw_tags(width, height, channels, (element_bits > 8) & signed, own)
+#: Bits of an element by the depth of its cells.
+DEPTHS = {"8U": 8, "16U": 16, "16S": 16, "32S": 32, "32F": 32}
+
+
+def compressed_tags(width: Column, height: Column, channels: Column, depth: Column, signed: Column, descriptor: Column) -> Column:
+    """Attributes of pixels that are written compressed: cells as wide as an element of the image, no more bits than it had compressed; signed for
+    every depth but 8U, and 16U only where the image is."""
+    bits = F.lit(None).cast("int")
+    for name, n in DEPTHS.items():
+        bits = F.when(depth == name, n).otherwise(bits)
+    stored = F.least(descriptor["bits_compressed"], bits)
+    own = F.struct(bits.alias("bits_allocated"), stored.alias("bits_stored"), descriptor["photometric"].alias("photometric"))
+    return _tags(width, height, channels, (depth != "8U") & ((depth != "16U") | signed), own)
+
+
+def rectangle_blur(pixels: DataFrame, image: str, y: str, x: str, value: str, top: int, left: int, height: int, width: int, size: int = 7, least: int = 3) -> DataFrame:
+    """The pixels with those of a rectangle, as far as it is in the image, blurred over a square of ``size``: means of whole numbers, rounded, of the rectangle's own
+    pixels, which are mirrored at its edges (the edge itself counts once). A rectangle of less than ``least`` either way stays.
+
+    Mirroring is done on the sums: a line's weights are those of how often each of its pixels is met, so sums go along lines, then across them.
+    """
+    bounds = pixels.groupBy(image).agg(F.max(y).alias("_bottom"), F.max(x).alias("_right"))
+    met = pixels.join(bounds, image)
+    t, l_ = max(0, top), max(0, left)
+    b, r = F.least(F.col("_bottom"), F.lit(top + height - 1)), F.least(F.col("_right"), F.lit(left + width - 1))
+    inside = F.col(y).between(t, b) & F.col(x).between(l_, r) & (b - t + 1 >= least) & (r - l_ + 1 >= least)
+    reach = size // 2
+
+    def mirrored(at: Column, low: int, high: Column) -> Column:
+        """The places from which a pixel is met: its own neighbours, and those that reach it over an edge."""
+        n = high - low
+        around = F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda d: at - low + d)
+        folded = F.transform(around, lambda p: F.pmod(p, 2 * n))
+        return F.transform(folded, lambda p: F.when(p > n, 2 * n - p).otherwise(p) + low)
+
+    own = met.where(inside).select(image, F.col(y).alias("_y"), F.col(x).alias("_x"), F.col(value).cast("long").alias("_v"), b.alias("_b"), r.alias("_r"))
+    line = own.groupBy(image, "_y", "_b", "_r").agg(F.map_from_entries(F.collect_list(F.struct("_x", "_v"))).alias("_line"))
+    along = own.join(line.select(image, "_y", "_line"), [image, "_y"]).select(image, "_y", "_x", "_b", F.aggregate(mirrored(F.col("_x"), l_, F.col("_r")), F.lit(0).cast("long"), lambda s, p: s + F.try_element_at("_line", p)).alias("_s"))
+    column = along.groupBy(image, "_x").agg(F.map_from_entries(F.collect_list(F.struct("_y", "_s"))).alias("_column"))
+    across = along.join(column, [image, "_x"]).select(image, "_y", "_x", F.aggregate(mirrored(F.col("_y"), t, F.col("_b")), F.lit(0).cast("long"), lambda s, p: s + F.try_element_at("_column", p)).alias("_sum"))
+    blurred = across.select(F.col(image).alias("_image"), "_y", "_x", F.rint(F.col("_sum") / (size * size)).cast("long").alias("_mean"))
+    out = pixels.join(blurred, (F.col(image) == F.col("_image")) & (F.col(y) == F.col("_y")) & (F.col(x) == F.col("_x")), "left")
+    return out.withColumn(value, F.coalesce("_mean", F.col(value))).drop("_image", "_y", "_x", "_mean")
 
 
 def box_blur(pixels: DataFrame, image: str, y: str, x: str, value: str, size: int = 7) -> DataFrame:

@@ -102,7 +102,9 @@ def look_up_or(df: DataFrame, code: str, dictionary: DataFrame, otherwise: str)
 
 
 def localised(df: DataFrame, code: str, lang: str, labels: DataFrame, default_lang: str, fallback: str) -> DataFrame:
-    """Adds ``label`` of a code in the language asked for, else in the default one, else the fallback. ``labels``: (code, lang, label)."""
+    """Adds ``label`` of a code in the language asked for, else in the default one, else the fallback. ``labels``: (code, lang, label); of several labels of a
+    code in one language, the least counts."""
+    labels = labels.where("lang IS NOT NULL").groupBy("code", "lang").agg(F.min("label").alias("label"))
     by_lang = labels.groupBy(F.col("code").alias("_code")).agg(F.map_from_entries(F.collect_list(F.struct("lang", "label"))).alias("_labels"))
     out = df.join(by_lang, F.col(code) == F.col("_code"), "left")
     found = F.coalesce(F.try_element_at("_labels", F.col(lang)), F.try_element_at("_labels", F.lit(default_lang)), F.lit(fallback))

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from halyard.functions import display as D
 from halyard.functions import lut as L
+from halyard.operators import presentation as P
 from halyard.operators import rendering as R
 from halyard.registry import query
+from halyard.shared import shared_folder
+from halyard.sources import tables
 
 from .common import table
 from .pixels import _PIXELS_SQL, pixels
@@ -298,6 +301,26 @@ def lab_rgb_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parts(spark, sf_dir, r=rgb[0], g=rgb[1], b=rgb[2])
 
 
+_DEPTH = "(['8U', '16U', '16S', '32S', '32F'])[CAST(p_size % 5 AS INT) + 1]"
+
+
+@query(
+    "tags_by_depth",
+    f"""WITH d AS (SELECT p_partkey, p_size, {_DEPTH} AS depth, p_partkey % 2 = 1 AS signed, 6 + p_partkey % 12 AS compressed FROM part), c AS (SELECT *, CASE WHEN depth = '8U' THEN 8 WHEN depth IN ('16U', '16S') THEN 16 ELSE 32 END AS bits FROM d)
+       SELECT p_partkey, 1 + p_size % 3 AS samples, 16 AS raw_allocated, 12 AS raw_stored, CASE WHEN p_size % 3 > 0 THEN 'RGB' ELSE 'MONOCHROME1' END AS photometric, CASE WHEN p_size % 3 > 0 THEN 0 END AS planar, CASE WHEN depth = '16S' OR signed THEN 1 ELSE 0 END AS representation,
+       bits AS cell, least(compressed, bits) - 1 AS high_bit, CASE WHEN depth IN ('16S', '32S', '32F') OR (depth = '16U' AND signed) THEN 1 ELSE 0 END AS compressed_representation FROM c""",
+)
+def tags_by_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes of images of every depth that are written raw and compressed."""
+    descriptor = F.struct(F.lit(16).alias("bits_allocated"), F.lit(12).alias("bits_stored"), (6 + K() % 12).cast("int").alias("bits_compressed"), F.lit("MONOCHROME1").alias("photometric"))
+    channels, signed = 1 + S() % 3, K() % 2 == 1
+    depth = F.get(F.array(*map(F.lit, D.DEPTHS)), (S() % 5).cast("int"))
+    t = _parts(spark, sf_dir, raw=D.raw_tags(F.lit(64), F.lit(32), channels, depth, signed, descriptor), packed=D.compressed_tags(F.lit(64), F.lit(32), channels, depth, signed, descriptor))
+    names = {"raw.samples": "samples", "raw.bits_allocated": "raw_allocated", "raw.bits_stored": "raw_stored", "raw.photometric": "photometric", "raw.planar": "planar", "raw.representation": "representation"}
+    names |= {"packed.bits_allocated": "cell", "packed.high_bit": "high_bit", "packed.representation": "compressed_representation"}
+    return t.select("p_partkey", *(F.col(c).alias(n) for c, n in names.items()))
+
+
 @query(
     "adapted_tags",
     """SELECT p_partkey, 1 + p_size % 3 AS samples, 16 AS raw_allocated, 12 AS raw_stored, CASE WHEN p_size % 3 > 0 THEN 'RGB' ELSE 'MONOCHROME1' END AS photometric, CASE WHEN p_size % 3 > 0 THEN 0 END AS planar, p_partkey % 2 AS representation,
@@ -305,9 +328,9 @@ def lab_rgb_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def adapted_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attributes of images that are written raw and compressed."""
-    descriptor = F.struct(F.lit(16).alias("bits_allocated"), F.lit(12).alias("bits_stored"), F.lit("MONOCHROME1").alias("photometric"))
+    descriptor = F.struct(F.lit(16).alias("bits_allocated"), F.lit(12).alias("bits_stored"), F.lit(12).alias("bits_compressed"), F.lit("MONOCHROME1").alias("photometric"))
     channels, signed = 1 + S() % 3, K() % 2 == 1
-    t = _parts(spark, sf_dir, raw=D.raw_tags(F.lit(64), F.lit(32), channels, signed, descriptor), packed=D.compressed_tags(F.lit(64), F.lit(32), channels, F.when(S() % 2 == 0, 8).otherwise(16), signed, descriptor))
+    t = _parts(spark, sf_dir, raw=D.raw_tags(F.lit(64), F.lit(32), channels, F.lit("16U"), signed, descriptor), packed=D.compressed_tags(F.lit(64), F.lit(32), channels, F.when(S() % 2 == 0, "8U").otherwise("16U"), signed, descriptor))
     names = {"raw.samples": "samples", "raw.bits_allocated": "raw_allocated", "raw.bits_stored": "raw_stored", "raw.photometric": "photometric", "raw.planar": "planar", "raw.representation": "representation"}
     names |= {"packed.bits_allocated": "cell", "packed.high_bit": "high_bit", "packed.representation": "compressed_representation"}
     return t.select("p_partkey", *(F.col(c).alias(n) for c, n in names.items()))
@@ -361,3 +384,87 @@ def render_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     got = R.render(stored(spark, sf_dir), images, "vec_id", "px", ["x"])
     return got.groupBy("vec_id").agg(F.sum("real").alias("real"), F.sum("shown").alias("total"))
+
+
+@query(
+    "mask_polygon",
+    f"""WITH p AS (SELECT image, y, x, px, 2 + image % 5 AS a, 12 + image % 20 AS b FROM {_GRID}), c AS (SELECT *, [[1, a], [4 + a, b], [14, 3 * a], [9, 1]] AS q FROM p), e AS (SELECT c.*, k, q[k] AS u, q[k % 4 + 1] AS w FROM c, range(1, 5) r(k)),
+        h AS (SELECT image, y, x, px, sum(CASE WHEN (u[1] <= y) <> (w[1] <= y) AND x >= u[2] + (y - u[1]) * (w[2] - u[2])::DOUBLE / (w[1] - u[1]) THEN 1 ELSE 0 END) AS crossed,
+          max(CASE WHEN (abs(w[1] - u[1]) >= abs(w[2] - u[2]) AND y BETWEEN least(u[1], w[1]) AND greatest(u[1], w[1]) AND x = floor(u[2] + (y - u[1]) * (w[2] - u[2])::DOUBLE / (w[1] - u[1]) + 0.5))
+            OR (abs(w[1] - u[1]) < abs(w[2] - u[2]) AND x BETWEEN least(u[2], w[2]) AND greatest(u[2], w[2]) AND y = floor(u[1] + (x - u[2]) * (w[1] - u[1])::DOUBLE / (w[2] - u[2]) + 0.5)) THEN 1 ELSE 0 END) AS edge FROM e GROUP BY ALL)
+        SELECT image, count(*) FILTER (crossed % 2 = 1 OR edge = 1) AS covered, CAST(sum(CASE WHEN crossed % 2 = 1 OR edge = 1 THEN 9999 ELSE px END) AS BIGINT) AS total FROM h GROUP BY 1""",
+)
+def mask_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filled polygons with their edges, by spans of rows."""
+    p = pixels(spark, sf_dir).select(F.floor(F.col("vec_id") / 16).alias("image"), (F.col("vec_id") % 16).alias("y"), "x", "px")
+    i = F.col("image")
+    a, b = 2 + i % 5, 12 + i % 20
+    point = lambda y, x: F.struct(y.cast("long").alias("row"), x.cast("long").alias("column"))
+    shapes = p.select("image").distinct().withColumn("points", F.array(point(F.lit(1), a), point(4 + a, b), point(F.lit(14), 3 * a), point(F.lit(9), F.lit(1))))
+    got = P.filled(p, "image", "y", "x", "px", shapes, "points", 9999)
+    return got.groupBy("image").agg(F.count(F.when(F.col("px") == 9999, 1)).alias("covered"), F.sum("px").alias("total"))
+
+
+@query(
+    "mask_blur_mirrored",
+    f"""WITH r AS (SELECT image, y, x, px, (SELECT max(y) FROM {_GRID} g WHERE g.image = p.image) AS bottom FROM {_GRID} p), n AS (SELECT *, least(bottom, 7) AS b FROM r), i AS (SELECT * FROM n WHERE y <= b AND b >= 2 AND x BETWEEN 50 AND 63),
+        m AS (SELECT i.image, i.y, i.x, b, CASE WHEN (i.y + dy + 2 * b) % (2 * b) > b THEN 2 * b - (i.y + dy + 2 * b) % (2 * b) ELSE (i.y + dy + 2 * b) % (2 * b) END AS yy, CASE WHEN (i.x - 50 + dx + 26) % 26 > 13 THEN 26 - (i.x - 50 + dx + 26) % 26 ELSE (i.x - 50 + dx + 26) % 26 END + 50 AS xx FROM i, range(-3, 4) u(dy), range(-3, 4) v(dx)),
+        w AS (SELECT m.image, m.y, m.x, round_even(sum(i.px) / 49.0::DOUBLE, 0) AS v FROM m JOIN i ON i.image = m.image AND i.y = m.yy AND i.x = m.xx GROUP BY 1, 2, 3)
+        SELECT r.image, CAST(sum(coalesce(w.v, r.px)) AS BIGINT) AS total FROM r LEFT JOIN w ON w.image = r.image AND w.y = r.y AND w.x = r.x GROUP BY 1""",
+)
+def mask_blur_mirrored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rectangle at the image's edge blurred by itself: clipped, mirrored at its edges, rounded."""
+    p = pixels(spark, sf_dir).select(F.floor(F.col("vec_id") / 16).alias("image"), (F.col("vec_id") % 16).alias("y"), "x", "px")
+    got = D.rectangle_blur(p, "image", "y", "x", "px", -4, 50, 12, 40)
+    return got.groupBy("image").agg(F.sum("px").alias("total"))
+
+
+@query(
+    "state_choice",
+    """WITH f AS (SELECT l_orderkey AS series, l_linenumber AS instance, fr AS frame FROM lineitem, range(1, 4) r(fr)),
+       r AS (SELECT 's' || o_custkey % 40 AS state, o_orderkey AS series, NULL::BIGINT AS instance, NULL AS frames FROM orders WHERE o_custkey % 3 = 0 UNION ALL SELECT 's' || l_partkey % 40, l_orderkey, l_linenumber, CASE WHEN l_suppkey % 2 = 0 THEN [2, 3, 2] END FROM lineitem WHERE l_partkey % 2 = 0
+             UNION ALL SELECT 's' || l_suppkey % 40, l_orderkey, l_linenumber, [l_suppkey % 3 + 1] FROM lineitem WHERE l_suppkey % 5 = 0),
+       a AS (SELECT f.series, f.instance, f.frame, state, max(CASE WHEN r.instance IS NULL THEN 0 WHEN frames IS NULL THEN 1 ELSE 2 END) AS depth FROM f JOIN r ON r.series = f.series AND (r.instance IS NULL OR (r.instance = f.instance AND (frames IS NULL OR list_contains(frames, f.frame)))) GROUP BY ALL),
+       o AS (SELECT *, row_number() OVER (PARTITION BY series, instance, frame ORDER BY depth DESC, CAST(substr(state, 2) AS INT) % 7 > 0 DESC, CAST(substr(state, 2) AS INT) % 7 DESC, state DESC) AS place, count(*) OVER (PARTITION BY series, instance, frame) AS states FROM a)
+       SELECT series, instance, frame, state, depth, states FROM o WHERE place = 1""",
+)
+def state_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which presentation state holds for each frame: states name whole series, images and frames, and ties go to the newest."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    frames = lines.select(F.col("l_orderkey").alias("series"), F.col("l_linenumber").alias("instance"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("frame"))
+    name = lambda c: F.concat(F.lit("s"), F.col(c) % 40)
+    none = F.lit(None).cast("array<int>")
+    whole = orders.where("o_custkey % 3 = 0").select(name("o_custkey").alias("state"), F.col("o_orderkey").alias("series"), F.lit(None).cast("long").alias("instance"), none.alias("frames"))
+    some = lines.where("l_partkey % 2 = 0").select(name("l_partkey").alias("state"), F.col("l_orderkey").alias("series"), F.col("l_linenumber").cast("long").alias("instance"), F.when(F.col("l_suppkey") % 2 == 0, F.array(*map(F.lit, (2, 3, 2)))).alias("frames"))
+    one = lines.where("l_suppkey % 5 = 0").select(name("l_suppkey").alias("state"), F.col("l_orderkey").alias("series"), F.col("l_linenumber").cast("long").alias("instance"), F.array((F.col("l_suppkey") % 3 + 1).cast("int")).alias("frames"))
+    refs = whole.unionByName(some).unionByName(one)
+    number = F.substring("state", 2, 9).cast("int")
+    states = refs.select("state").distinct().withColumn("created", F.when(number % 7 > 0, number % 7))
+    return P.chosen(frames, refs, states)
+
+
+@query(
+    "preset_list_all",
+    """WITH w AS (SELECT p_partkey, p_size, i, CASE WHEN i = 3 THEN NULL WHEN p_size % 2 = 0 THEN 'A' ELSE 'B' || i END AS e, (100 + p_size * (i % 2))::DOUBLE AS w FROM part, range(0, 4) r(i) WHERE p_partkey % 3 > 0),
+       d AS (SELECT *, row_number() OVER (PARTITION BY p_partkey, e, w ORDER BY i) AS again FROM w), k AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY i) AS n FROM d WHERE e IS NULL OR again = 1),
+       l AS (SELECT p_partkey, n AS place, coalesce(e, 'Default ' || n) || ' [S]=' || CAST(w AS INT) || '/40' AS t, n FROM k UNION ALL
+             SELECT p_partkey, 10 + i, CASE WHEN i = 0 THEN 'VOI LUT 0' ELSE 'T' END || ' [S]=' || (p_size + i * 2) || '/' || CAST(floor(10 * i + (p_size + i * 2) / 2.0) AS INT), coalesce((SELECT max(n) FROM k WHERE k.p_partkey = part.p_partkey), 0) + i + 1 FROM part, range(0, 2) r(i) WHERE p_size % 3 = 0 UNION ALL
+             SELECT p_partkey, 20, 'Auto Level [Image]=' || (p_size * 10) || '/' || (p_size * 5), NULL FROM part UNION ALL
+             SELECT p.p_partkey, 30, n_name || '=' || (100 + n_nationkey) || '/' || n_regionkey, NULL FROM part p JOIN nation ON n_regionkey = p.p_size % 7 WHERE p.p_size > 8)
+       SELECT p_partkey, string_agg(t || CASE WHEN n IS NOT NULL AND n < 3 THEN '#' || n ELSE '' END, ';' ORDER BY place, split_part(t, '=', 1)) AS presets FROM l GROUP BY 1""",
+)
+def preset_list_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole preset lists: windows, tables, the image's range and its modality's presets, which are read from an XML file that is written first."""
+    place = shared_folder(spark, "presets")
+    n = table(spark, sf_dir, "nation")
+    given = n.select(F.col("n_regionkey").cast("string").alias("_modality"), F.col("n_name").alias("_name"), (100.0 + F.col("n_nationkey")).alias("_window"), F.col("n_regionkey").cast("double").alias("_level"), F.lit("LINEAR").alias("_shape"))
+    given.write.format("xml").option("rootTag", "presets").option("rowTag", "preset").option("attributePrefix", "_").save(place)
+    by_modality = P.presets_of_modalities(tables.window_presets(spark, place))
+    index = F.array(*map(F.lit, range(4)))
+    windows = F.when(K() % 3 > 0, F.transform(index, lambda i: F.struct((100 + S() * (i % 2)).cast("double").alias("width"), F.lit(40.0).alias("center"), F.when(i < 3, F.when(S() % 2 == 0, "A").otherwise(F.concat(F.lit("B"), i.cast("string")))).alias("explanation"))))
+    luts = F.when(S() % 3 == 0, F.transform(F.slice(index, 1, 2), lambda i: F.struct((10 * i).alias("low"), (10 * i + S() + i * 2).cast("int").alias("high"), F.when(i > 0, "T").alias("explanation"))))
+    part = table(spark, sf_dir, "part").withColumn("modality", (S() % 7).cast("string")).join(by_modality, "modality", "left")
+    auto = F.struct((S() * 10).alias("width"), (S() * 5).alias("center"))
+    whole = P.preset_list(windows, luts, F.lit("LINEAR"), auto, "[S]", F.col("presets"), S())
+    shown = F.transform(whole, lambda p: F.concat(p["name"], F.lit("="), p["width"].cast("int"), F.lit("/"), F.floor(p["center"]).cast("int"), F.when(p["key"] > 0, F.concat(F.lit("#"), p["key"])).otherwise("")))
+    return part.select("p_partkey", F.array_join(shown, ";").alias("presets"))

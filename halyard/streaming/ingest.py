@@ -15,18 +15,22 @@ def arrivals(spark: SparkSession, folder: str, like: DataFrame, pattern: str = "
 
 
 def forward(stream: DataFrame, editors: Sequence[Callable[[DataFrame], DataFrame]], refuse: Column, sink: str, aside: str, checkpoint: str) -> StreamingQuery:
-    """Edits each micro-batch and writes it under its batch number, refused rows to a folder of their own.
+    """Edits each micro-batch and writes it under its batch number, refused rows to a folder of their own. A batch is read once: it is kept while both are written.
 
     A batch that is run again after a failure replaces what it wrote before, so every row arrives once.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         refused = F.coalesce(refuse, F.lit(False))
-        batch.where(refused).write.mode("overwrite").parquet(f"{aside}/batch={number}")
-        kept = batch.where(~refused)
-        for f in editors:
-            kept = f(kept)
-        kept.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        batch.persist()
+        try:
+            batch.where(refused).write.mode("overwrite").parquet(f"{aside}/batch={number}")
+            kept = batch.where(~refused)
+            for f in editors:
+                kept = f(kept)
+            kept.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
