@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from halyard.functions import text
 
@@ -76,6 +77,107 @@ def merge_keys(file_keys: Mapping[str, Sequence[str]], own: Mapping[str, Sequenc
     return [Key(k, v) for k, v in (base | {k: tuple(v) for k, v in own.items()}).items()]
 
 
+Tree = Mapping[str, "Sequence[str] | Tree"]
+
+
+def merge_trees(file_keys: Tree, own: Tree, allowed: Sequence[str] | None = None, deep: bool = False) -> dict:
+    """Keys of a file, narrowed to those allowed at the top, then overridden and extended by the caller's. A sequence (a tree inside) that both have keeps its other keys; inside of
+    it, sequences are replaced whole, or merged as well if ``deep``.
+    """
+    out = {k: v for k, v in file_keys.items() if allowed is None or k in allowed}
+    for k, v in own.items():
+        both = isinstance(v, Mapping) and isinstance(out.get(k), Mapping) and v and out[k]
+        out[k] = (merge_trees(out[k], v, deep=True) if deep else {**out[k], **v}) if both else v
+    return out
+
+
+@dataclass(frozen=True)
+class Child:
+    """A sequence whose items are rows of a table: its column that names the parent, the parent's key, and sequences of its own."""
+
+    table: DataFrame
+    of: str
+    key: str
+    children: Mapping[str, Child] = field(default_factory=dict)
+
+
+def where_tree(df: DataFrame, tree: Tree, children: Mapping[str, Child] | None = None) -> DataFrame:
+    """Rows that match all keys of a tree. A sequence matches if one of its items matches all keys in it, at every depth; it is an array of structs, or a table of ``children``.
+
+    Keys over columns become one predicate, which reaches the scan; a table's items are filtered in the same way, reduced to the parents they name, and semi-joined.
+    """
+    children = children or {}
+    tests = [_tree_test(df.schema[k].dataType, F.col(k), v) for k, v in tree.items() if k not in children and v]
+    if tests:
+        df = df.where(F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False)))
+    for k, v in tree.items():
+        if k in children and _asks(v):
+            c = children[k]
+            named = where_tree(c.table, v, c.children).where(F.col(c.of).isNotNull()).select(F.col(c.of).alias("_parent")).distinct()
+            df = df.join(named, F.col(c.key) == F.col("_parent"), "left_semi")
+    return df
+
+
+def _asks(tree: Tree) -> bool:
+    """Whether a tree has a value anywhere; without one it only says what is to be returned."""
+    return any(_asks(v) if isinstance(v, Mapping) else len(v) for v in tree.values())
+
+
+def _tree_test(kind: T.DataType, c: Column, v) -> Column:
+    if not isinstance(v, Mapping):
+        return matches(c, tuple(v), kind.simpleString().split("(")[0])
+    item = kind.elementType if isinstance(kind, T.ArrayType) else kind
+    if not _asks(v):
+        return F.lit(True)
+
+    def all_of(x: Column) -> Column:
+        return F.coalesce(reduce(lambda a, b: a & b, (_tree_test(item[k].dataType, x[k], w) for k, w in v.items() if w)), F.lit(False))
+
+    return F.exists(c, all_of) if isinstance(kind, T.ArrayType) else all_of(c)
+
+
+#: Levels of the query models, from the top; a query without a level is for studies. Keys of a level above may stand in a query of the one below.
+MODELS = {"PatientRoot": ("PATIENT", "STUDY", "SERIES", "IMAGE"), "StudyRoot": ("STUDY", "SERIES", "IMAGE"), "PatientStudyOnly": ("PATIENT", "STUDY")}
+
+
+@dataclass(frozen=True)
+class Level:
+    """A level's table, and how its rows name those of the level above: (own column, column above)."""
+
+    table: DataFrame
+    above: tuple[str, str] | None = None
+
+
+def find_level(model: str, levels: Mapping[str, Level], tree: Tree, level: str = "STUDY", limit: int = 0) -> DataFrame:
+    """Rows of one level of a query model that match a tree of keys, its own and those of all levels above it, with the columns of all keys in order.
+
+    In the study root a study's patient is part of the study, so keys of patients are taken there too. Levels without a key stay out of the plan.
+    """
+    if level not in MODELS[model]:
+        raise ValueError(f"{model} has no level {level}")
+    order = ("PATIENT", "STUDY", "SERIES", "IMAGE")
+    above = [n for n in order[: order.index(level) + 1] if n in levels]
+    place: dict[str, str] = {}
+    for n in reversed(above):  # the lowest level that has a column has the say
+        for k in tree:
+            if k in levels[n].table.columns:
+                place.setdefault(k, n)
+    if missing := [k for k in tree if k not in place]:
+        raise ValueError(f"no level from {level} up has {', '.join(missing)}")
+    top = min(order.index(n) for n in (*place.values(), level))
+    used = [n for n in above if order.index(n) >= top]
+    parts = {n: where_tree(levels[n].table, {k: v for k, v in tree.items() if place[k] == n}) for n in used}
+    out = parts[level]
+    for low, high in zip(reversed(used[1:]), reversed(used[:-1])):
+        own, other = levels[low].above
+        keep = [k for k in tree if place[k] == high]
+        up = levels[high].above
+        wanted = dict.fromkeys([other, *keep, *([up[0]] if up and high != used[0] else [])])
+        out = out.join(parts[high].select(*(F.col(c).alias(f"_up_{c}" if c == other and c not in keep else c) for c in wanted)), F.col(own) == F.col(f"_up_{other}" if other not in keep else other))
+    out = out.select(*tree)
+    return out.limit(limit) if limit else out
+
+
 def override(df: DataFrame, values: Mapping[str, str]) -> DataFrame:
     return df.withColumns({k: F.lit(v) for k, v in values.items()})
 

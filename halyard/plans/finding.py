@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from halyard.operators import find as Q
 from halyard.registry import query
 
-from .common import table
+from .common import shared_folder, table
 
 
 @query(
@@ -76,3 +76,43 @@ def ref_applicability(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = F.when(F.col("o_orderkey") % 3 == 0, F.array().cast("array<int>")).otherwise(F.array(F.lit(1), F.lit(2), F.lit(5)))
     refs = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select("o_orderkey", frames.alias("frames"))
     return Q.applicable(table(spark, sf_dir, "lineitem"), refs, F.col("l_orderkey") == F.col("o_orderkey"), "frames", F.col("l_linenumber")).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query(
+    "find_key_tree",
+    """SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority LIKE '%M%' AND CAST(o_orderdate AS DATE) >= DATE '1993-01-01'
+       AND o_orderkey IN (SELECT l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag IN ('R', 'A') AND p_brand LIKE '%2%' AND p_size IN (7, 9, 11, 13))""",
+)
+def find_key_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of keys, a file's and the caller's put together, over a table and two levels of tables below it."""
+    part = Q.Child(table(spark, sf_dir, "part"), "p_partkey", "l_partkey")
+    items = Q.Child(table(spark, sf_dir, "lineitem"), "l_orderkey", "o_orderkey", {"Part": part})
+    of_file = {"o_orderkey": [], "o_totalprice": ["1"], "o_orderpriority": ["*X*"], "Items": {"l_returnflag": ["N"], "Part": {"p_brand": ["*2*"]}}}
+    own = {"o_orderpriority": ["*M*"], "o_orderdate": ["19930101-"], "Items": {"l_returnflag": ["R", "A"], "Part": {"p_size": ["7", "9", "11", "13"]}}}
+    tree = Q.merge_trees(of_file, own, ["o_orderkey", "o_orderpriority", "Items"], deep=True)
+    return Q.where_tree(table(spark, sf_dir, "orders"), tree, {"Items": items}).select("o_orderkey", "o_orderpriority")
+
+
+@query(
+    "find_study_root_series",
+    "SELECT l_orderkey, l_linenumber, l_returnflag, o_orderpriority, c_mktsegment FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_returnflag = 'R' AND o_orderpriority = '1-URGENT' AND c_mktsegment LIKE 'B%'",
+)
+def find_study_root_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series of the study root, by keys of series, studies and patients."""
+    levels = {"PATIENT": Q.Level(table(spark, sf_dir, "customer")), "STUDY": Q.Level(table(spark, sf_dir, "orders"), ("o_custkey", "c_custkey")), "SERIES": Q.Level(table(spark, sf_dir, "lineitem"), ("l_orderkey", "o_orderkey"))}
+    return Q.find_level("StudyRoot", levels, {"l_orderkey": [], "l_linenumber": [], "l_returnflag": ["R"], "o_orderpriority": ["1-URGENT"], "c_mktsegment": ["B*"]}, "SERIES")
+
+
+@query("find_patient_root_studies", "SELECT o_orderkey, o_orderstatus, c_name FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_name LIKE '%7'")
+def find_patient_root_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Studies of the patient root by a key of patients; the level of a query without one."""
+    levels = {"PATIENT": Q.Level(table(spark, sf_dir, "customer")), "STUDY": Q.Level(table(spark, sf_dir, "orders"), ("o_custkey", "c_custkey"))}
+    return Q.find_level("PatientRoot", levels, {"o_orderkey": [], "o_orderstatus": [], "c_name": ["*7"]})
+
+
+@query("find_responses", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority = '5-LOW'")
+def find_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses written as JSON files and read again."""
+    place = shared_folder(spark, "responses")
+    Q.write_results(Q.find(table(spark, sf_dir, "orders"), [Q.Key("o_orderkey"), Q.Key("o_orderpriority", ("5-LOW",))]), f"{place}/json")
+    return spark.read.schema("o_orderkey string, o_orderpriority string").json(f"{place}/json")

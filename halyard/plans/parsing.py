@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from halyard.functions import binary
 from halyard.registry import query
 from halyard.sources import multipart as MP
+from halyard.sources import tables
 from halyard.streaming import ingest, progress
 
 from .common import shared_folder, table
@@ -54,3 +55,32 @@ def stream_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = ingest.forward(stream, [lambda d: d.withColumn("event_type", F.concat(F.lit("fwd-"), F.col("event_type")))], progress.status(F.col("event_type")) == progress.FAILED, f"{place}/sink", f"{place}/aside", f"{place}/state")
     run.awaitTermination()
     return spark.read.schema(like.schema).option("recursiveFileLookup", True).parquet(f"{place}/sink").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "report_rows",
+    """WITH r AS (SELECT p_brand AS file, CAST(p_size % 5 AS VARCHAR) AS dst_ts, CASE WHEN p_partkey % 5 > 0 THEN p_retailprice END AS mpps, CASE WHEN p_partkey % 7 = 0 THEN 'infinite' WHEN p_partkey % 7 > 1 THEN 'finite' END AS psnr, row_number() OVER (PARTITION BY p_brand, p_size % 5 ORDER BY p_partkey DESC) AS back FROM part)
+       SELECT file, dst_ts, mpps, psnr FROM r WHERE back = 1""",
+)
+def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark reports written as files and read: the last row of a file and target, blank and malformed numbers as null, infinities."""
+    place = shared_folder(spark, "reports")
+    k = F.col("p_partkey")
+    given = {"file": F.col("p_brand"), "dst_ts": (F.col("p_size") % 5).cast("string"), "decode_mpps": F.when(k % 5 > 0, F.col("p_retailprice").cast("string")).otherwise("n/a"), "psnr_db": F.when(k % 7 == 0, "inf").when(k % 7 > 1, "40.5").otherwise(" ")}
+    rows = table(spark, sf_dir, "part").repartition(4, "p_brand").sortWithinPartitions("p_partkey")
+    rows.select(*(given.get(c, F.lit(None).cast("string")).alias(c) for c in tables.REPORT)).write.option("header", True).csv(place)
+    got = tables.benchmark_report(spark, place)
+    return got.select("file", "dst_ts", F.col("decode_mpps").alias("mpps"), F.when(F.col("psnr_db") == float("inf"), "infinite").when(F.col("psnr_db").isNotNull(), "finite").alias("psnr"))
+
+
+@query(
+    "class_tables",
+    "SELECT '1.2.' || s_suppkey AS class, syntax FROM supplier, (VALUES (0, 's0'), (1, 's1')) v(i, syntax) WHERE i < s_suppkey % 3 UNION ALL SELECT '1.2.' || s_suppkey, NULL FROM supplier WHERE s_suppkey % 3 = 0",
+)
+def class_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Property tables of storage classes written as text and read: one with comments and blank lines, classes with and without a list."""
+    place = shared_folder(spark, "classes")
+    k = F.col("s_suppkey")
+    names = F.element_at(F.array(F.lit(""), F.lit(" s0 "), F.lit("s0, s1")), (k % 3 + 1).cast("int"))
+    table(spark, sf_dir, "supplier").select(F.explode(F.array(F.concat(F.lit("# "), k), F.lit(""), F.concat(F.lit("1.2."), k, F.lit(" = "), names))).alias("value")).write.text(place)
+    return tables.capabilities(tables.property_table(spark, place))
