@@ -42,8 +42,10 @@ K = 16
 REACH = LENGTH - K  # bytes that a window can stand out to the left of its anchor
 PAD = 64
 _C1, _C2 = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
+SLICE = 1 << 18  # bytes of text that are hashed at once, so that what is computed for each byte stays in the cache
 _BLOCK = 1_200_000  # anchors that a task holds before it settles and sends them
 LEAST = 2  # surroundings of an anchor in a block of texts from which on they are counted: what is missed is one a block at most
+PER_BUCKET = 8_000  # strings that an array has on average
 STEP = 5  # offsets of an anchor that the deeper radix level puts together
 
 
@@ -56,23 +58,34 @@ class Buffer:
         self.end = self.start + sizes
         gap = bytes(PAD)
         self.bytes = np.frombuffer(gap + b"".join([x for t in texts for x in (t, gap)]) + gap, np.uint8)
-        v = self.bytes.astype(U64)
-        v = v[:-1] | v[1:] << U64(8)
-        v = v[:-2] | v[2:] << U64(16)
-        self.eight = v[:-4] | v[4:] << U64(32)
+        # the same bytes seen from each of eight offsets, as little-endian numbers
+        n = len(self.bytes) - 7
+        self.eight = np.empty(n, U64)
+        for k in range(8):
+            self.eight[k::8] = self.bytes[k : k + (n - k + 7) // 8 * 8].view("<u8")
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Positions of anchors, the index of their text, and the hash of their k bytes."""
         n = len(self.eight) - 8
-        h = mix64(mix64(self.eight[:n] * _C1) + self.eight[8 : 8 + n] * _C2)
+        h = self.eight[:n] * _C1
+        other = self.eight[8 : 8 + n] * _C2
+        h += other
+        for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0xA0761D6478BD642F), (32, None)):  # mix64, in place
+            np.right_shift(h, U64(shift), out=other)
+            h ^= other
+            if factor:
+                h *= U64(factor)
         place = U64(max(1, int(n).bit_length()))
-        low = (h >> place << place) | np.arange(n, dtype=U64)  # the leftmost of equal hashes is the smallest
+        low = h >> place
+        low <<= place
+        low |= np.arange(n, dtype=U64)  # the leftmost of equal hashes is the smallest
         width, done = REACH + 1, 1
-        while done * 2 <= width:
-            low = np.minimum(low[:-done], low[done:])
-            done *= 2
-        if done < width:
-            low = np.minimum(low[: len(low) - (width - done)], low[width - done :])
+        while done < width:
+            step = min(done, width - done)
+            m = len(low) - step
+            np.minimum(low[:m], low[step:], out=other[:m])
+            low, other = other[:m], low
+            done += step
         edge = np.zeros(len(low) + 1, np.int64)
         full = self.end - self.start >= LENGTH
         np.add.at(edge, self.start[full], 1)
@@ -152,13 +165,34 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     return np.repeat(doc, counts), np.repeat(rid, counts), np.repeat(size, counts), pos, pos + more, kh, ch
 
 
-def _settle(doc: np.ndarray, kh: np.ndarray, ch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, group heads, settled): records by anchor, surroundings and document; settled are those with a smaller document in their group."""
-    order = np.lexsort((doc, ch, kh))
+def _first(group: np.ndarray) -> np.ndarray:
+    """Where numbers that stand together begin."""
+    return np.r_[True, group[1:] != group[:-1]] if len(group) else np.zeros(0, bool)
+
+
+def _numbered_sort(key: np.ndarray) -> np.ndarray:
+    """The order of keys by their leading bits, then by position: keys and positions are sorted as one number. Equal keys stand together but for rare others between them."""
+    place = U64(max(1, len(key).bit_length()))
+    return (np.sort((key >> place << place) | np.arange(len(key), dtype=U64)) & ((U64(1) << place) - U64(1))).astype(np.int64)
+
+
+def _settle(doc: np.ndarray, kh: np.ndarray, ch: np.ndarray, by_anchor: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, group, settled): records by anchor and surroundings, in their own order; settled are those with a smaller document in their group.
+
+    ``by_anchor``: equal anchors stand together, and equal surroundings are one group; else a group may rarely be in two parts, which leaves some records unsettled.
+    """
+    if by_anchor:  # 32 bits of the anchor, 40 of the surroundings
+        key = kh.astype(U64) << U64(32) | ch >> U64(8)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        if ((key[1:] == key[:-1]) & (ch[order][1:] != ch[order][:-1])).any():
+            order = np.lexsort((ch, kh))
+    else:
+        order = _numbered_sort(mix64(kh * _C1 + ch))
     k, c, d = kh[order], ch[order], doc[order]
     head = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])]
-    first = d[np.flatnonzero(head)][np.cumsum(head) - 1]
-    return order, head, d > first
+    group = np.cumsum(head) - 1
+    return order, group, d > np.minimum.reduceat(d, np.flatnonzero(head))[group]
 
 
 def _ranges(rid: np.ndarray, size: np.ndarray, pos: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,17 +259,21 @@ def _frequent_anchors(src: DataFrame, many: int, size: int) -> Marks:
             nonlocal count
             if count:
                 kh, ch = (np.concatenate(x) for x in zip(*held, strict=True))
-                order = np.lexsort((ch, kh))
+                order = _numbered_sort(kh)
                 kh, ch = kh[order], ch[order]
-                new = np.r_[True, kh[1:] != kh[:-1]]
-                kinds = np.add.reduceat((new | np.r_[True, ch[1:] != ch[:-1]]).astype(np.int64), np.flatnonzero(new))
+                anchors = kh[_first(kh)]
+                group = np.cumsum(_first(kh)) - 1
+                # distinct surroundings of each anchor: its number and their leading bits, sorted as one number
+                place = U64(64 - max(1, len(anchors).bit_length()))
+                pairs = np.sort(group.astype(U64) << place | ch >> (U64(64) - place))
+                kinds = np.bincount((pairs[_first(pairs)] >> place).astype(np.int64))
                 often = kinds >= LEAST
-                yield pa.RecordBatch.from_arrays([pa.array(kh[new][often].view(np.int64)), pa.array(kinds[often])], names=["kh", "kinds"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchors[often].view(np.int64)), pa.array(kinds[often])], names=["kh", "kinds"])
             held.clear()
             count = 0
 
         for batch in batches:
-            for _, _, texts in byte_slices(batch, "text"):
+            for _, _, texts in byte_slices(batch, "text", SLICE):
                 buf = Buffer([t or b"" for t in texts])
                 at, text, kh = buf.anchors()
                 held.append((kh, buf.surroundings(at, text)))
@@ -271,13 +309,13 @@ def _anchor_blocks(src: DataFrame, parts: int, frequent: Marks) -> DataFrame:
             count = 0
             if not len(doc):  # texts too short for an anchor
                 return
-            order, head, settled = _settle(doc, kh, ch)
+            order, group, settled = _settle(doc, kh, ch, by_anchor=False)
             gone = order[settled]
             r, s, e = unite(*_ranges(rid[gone], size[gone], pos[gone], pos[gone]))
             rows: list[tuple[int, int, bytes]] = []
             if len(r):
                 rows.append((int(r[0] % parts), COVERED, np.concatenate([r, s, e]).astype(np.int64).tobytes()))
-            stay, last = _runs(order[~settled], head[~settled], rid, pos)
+            stay, last = _runs(order[~settled], _first(group[~settled]), rid, pos)
             doc, rid, size, pos, kh, ch = (x[stay] for x in (doc, rid, size, pos, kh, ch))
             often = frequent(kh)
             x = np.flatnonzero(often)
@@ -304,7 +342,7 @@ def _anchor_blocks(src: DataFrame, parts: int, frequent: Marks) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             rids = batch.column(1).to_numpy()
-            for start, _, texts in byte_slices(batch, "text"):
+            for start, _, texts in byte_slices(batch, "text", SLICE):
                 buf = Buffer([t or b"" for t in texts])
                 at, text, kh = buf.anchors()
                 held.append((ids[start + text], rids[start + text], (buf.end - buf.start)[text], at - buf.start[text], kh, buf.surroundings(at, text)))
@@ -336,23 +374,23 @@ def _meet_anchors(blocks: DataFrame, most: int) -> DataFrame:
         if got:
             doc, rid, size, pos, last, kh, ch = (np.concatenate(x) for x in zip(*got, strict=True))
             got.clear()
-            order, head, settled = _settle(doc, kh, ch)
+            order, of, settled = _settle(doc, kh, ch, by_anchor=True)
             gone = order[settled]
             r, s, e = unite(*_ranges(rid[gone], size[gone], pos[gone], last[gone]))
             out.append(_hits(COVERED, r, r, s, e, r))
             k, d = kh[order], doc[order]
             new = np.r_[True, k[1:] != k[:-1]]
             at = np.flatnonzero(new)
-            kinds = np.add.reduceat(head.astype(np.int64), at)
+            kinds = np.add.reduceat(_first(of).astype(np.int64), at)
             several = (kinds > 1) & (np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at))
             group = np.cumsum(new) - 1
             key = (k.astype(np.int64) << 31) ^ part
             x = np.flatnonzero(several[group] & ~settled)
             if len(x):
-                o = order[x]
-                handle, follows = _representatives(head[x], pos[o], last[o], mix64(key[x].view(U64) + ch[o] * _C2))
+                o, head = order[x], _first(of[x])
+                handle, follows = _representatives(head, pos[o], last[o], mix64(key[x].view(U64) + ch[o] * _C2))
                 often = kinds[group[x]] > most
-                for kind, y in ((OPEN, head[x] & ~often), (FREQUENT, head[x] & often), (FOLLOWER, follows)):
+                for kind, y in ((OPEN, head & ~often), (FREQUENT, head & often), (FOLLOWER, follows)):
                     z = o[y]
                     out.append(_hits(kind, rid[z], doc[z], pos[z], last[z], key[x[y]], handle[y], follows[y]))
         return pa.Table.from_batches(out, schema=_HIT_ARROW)
@@ -373,14 +411,14 @@ def _fetch_surroundings(src: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             ids, rids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             wants = batch.column(3)
-            for begin, stop, texts in byte_slices(batch, "text"):
+            for begin, stop, texts in byte_slices(batch, "text", SLICE):
                 kind, key, rid, doc, start, follows, data = [], [], [], [], [], [], []
-                buf = Buffer([t or b"" for t in texts])
                 for i, text in enumerate(texts):
                     flat = wants[begin + i].values
-                    own = np.unique(np.stack([flat.field(j).to_numpy().astype(np.int64) for j in range(5)]), axis=1)  # equal rows ask twice
+                    own = set(zip(*(flat.field(j).to_pylist() for j in range(5))))  # equal rows ask twice
                     n, me, document = len(text), int(rids[begin + i]), int(ids[begin + i])
-                    for _, p, k, h, f in own[:, own[0] == OPEN].T.tolist():
+                    often = np.array([x[1:] for x in own if x[0] == FREQUENT], np.int64).reshape(-1, 4).T
+                    for _, p, k, h, f in sorted(x for x in own if x[0] == OPEN):
                         s = max(p - REACH, 0)
                         kind.append(OPEN)
                         key.append(k)
@@ -388,15 +426,15 @@ def _fetch_surroundings(src: DataFrame, wanted: DataFrame) -> DataFrame:
                         start.append(0 if f else s)
                         follows.append(bool(f))
                         data.append(text[s : min(p + LENGTH, n)])
-                    often = own[:, own[0] == FREQUENT]
                     if often.shape[1]:
-                        p, k, h, f = (np.repeat(often[c], (REACH + 1) // STEP) for c in range(1, 5))
+                        buf = Buffer([text])
+                        p, k, h, f = (np.repeat(x, (REACH + 1) // STEP) for x in often)
                         nearest = np.tile(np.arange(0, REACH + 1, STEP), often.shape[1])
                         farthest = nearest + STEP - 1
                         # the bytes that all windows of these offsets have; where they are not there, no such window is
                         fits = (p - nearest >= 0) & (p + LENGTH - farthest <= n)
                         p, k, h, f, nearest, farthest = (x[fits] for x in (p, k, h, f, nearest, farthest))
-                        common = buf.window_hash(buf.start[i] + p - nearest, LENGTH - STEP + 1)
+                        common = buf.window_hash(buf.start[0] + p - nearest, LENGTH - STEP + 1)
                         key += mix64(common + k.view(U64) * _C1 + nearest.astype(U64)).view(np.int64).tolist()
                         s, e = np.maximum(p - farthest, 0), np.minimum(p + LENGTH - nearest, n)
                         kind += [FREQUENT] * len(s)
@@ -518,9 +556,13 @@ def _scan_buckets(contexts: DataFrame, parts: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         rid, start, doc, follows = (table.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "start", "doc", "follows"))
-        owners, own = np.unique(np.stack([rid, follows.astype(np.int64)]), axis=1, return_inverse=True)
-        r, s, e = repeats_of(table.column("bytes").to_pylist(), doc, own.ravel().astype(np.int64), start)
-        return pa.table({"rid": owners[0][r], "start": s.astype(np.int64), "end": e.astype(np.int64), "follows": owners[1][r].astype(bool)})
+        order = np.lexsort((follows, rid))
+        new = np.r_[True, (rid[order][1:] != rid[order][:-1]) | (follows[order][1:] != follows[order][:-1])]
+        own = np.empty(len(rid), np.int64)  # numbers of owners, in which a handle differs from a row id of the same value
+        own[order] = np.cumsum(new) - 1
+        first = order[new]
+        r, s, e = repeats_of(table.column("bytes").to_pylist(), doc, own, start)
+        return pa.table({"rid": rid[first][r], "start": s.astype(np.int64), "end": e.astype(np.int64), "follows": follows[first][r].astype(bool)})
 
     bucket = F.pmod(F.xxhash64("key"), F.lit(parts)).alias("bucket")
     return contexts.select(bucket, "rid", "doc", "start", "follows", "bytes").groupBy("bucket").applyInArrow(run, "rid long, start long, end long, follows boolean")
@@ -554,7 +596,7 @@ def earlier_passages(docs: DataFrame, id_col: str, text_col: str, scratch: Scrat
     often = contexts.where(F.col("kind") == FREQUENT)
     too_many = scratch.save(often.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key"), "too-many")
     arrays = contexts.where(F.col("kind") == OPEN).union(often.join(too_many, "key", "left_anti").select(*contexts.columns))
-    scanned = _scan_buckets(arrays, max(wide, -(-contexts.count() // 20_000)))
+    scanned = _scan_buckets(arrays, max(wide, -(-contexts.count() // PER_BUCKET)))
     equal = _equal_windows(often.join(too_many, "key", "left_semi").select(*contexts.columns), scratch)
     found = scratch.save(scanned.union(equal), "found")
     covered = hits.where(F.col("kind") == COVERED).select("rid", "start", "end")
