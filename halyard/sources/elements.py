@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from halyard.functions.lut import bound
+
 # fixed values: keywords of the registered data elements used here, with tag and value representation
 ELEMENTS = {
     "FileMetaInformationVersion": ("00020001", "OB"),
@@ -94,7 +96,7 @@ def tag_of(name: str) -> tuple[int, str | None]:
 
 def _little(value: Column, size: int) -> Column:
     """A whole number as bytes, the lowest first."""
-    return F.unhex(F.concat(*(F.lpad(F.hex(F.shiftrightunsigned(value.cast("long"), 8 * i).bitwiseAND(F.lit(0xFF))), 2, "0") for i in range(size))))
+    return bound(F.lpad(F.hex(value.cast("long")), 2 * size, "0"), lambda h: F.unhex(F.concat(*(F.substring(h, 2 * i + 1, 2) for i in reversed(range(size))))))
 
 
 def _tag_bytes(tag: int) -> bytes:
@@ -110,12 +112,10 @@ def element(name: str, value: Column, explicit: bool = True) -> Column:
     elif vr in LONG:
         data = value
     else:
-        data = F.encode(value.cast("string"), "UTF-8")
-        data = F.when(F.octet_length(data) % 2 == 1, F.concat(data, F.lit(b"\x00" if vr == "UI" else b" "))).otherwise(data)
-    head = F.lit(_tag_bytes(tag) + (vr.encode() if explicit else b""))
+        data = bound(F.encode(value.cast("string"), "UTF-8"), lambda d: F.when(F.octet_length(d) % 2 == 1, F.concat(d, F.lit(b"\x00" if vr == "UI" else b" "))).otherwise(d))
     wide = not explicit or vr in LONG
-    size = _little(F.octet_length(data), 4 if wide else 2)
-    return F.when(data.isNotNull(), F.concat(head, F.lit(b"\x00\x00"), size, data) if explicit and wide else F.concat(head, size, data)).otherwise(F.lit(b""))
+    head = F.lit(_tag_bytes(tag) + (vr.encode() if explicit else b"") + (b"\x00\x00" if explicit and wide else b""))
+    return bound(data, lambda d: F.when(d.isNotNull(), F.concat(head, _little(F.octet_length(d), 4 if wide else 2), d)).otherwise(F.lit(b"")))
 
 
 def items(name: str, contents: list[Column], explicit: bool = True, stated_length: bool = True) -> Column:
@@ -124,11 +124,13 @@ def items(name: str, contents: list[Column], explicit: bool = True, stated_lengt
     open_ended = F.lit(b"\xff\xff\xff\xff")
     inner = []
     for c in contents:
-        inner += [F.lit(b"\xfe\xff\x00\xe0"), _little(F.octet_length(c), 4) if stated_length else open_ended, c]
-        inner += [] if stated_length else [F.lit(b"\xfe\xff\x0d\xe0\x00\x00\x00\x00")]
+        if stated_length:
+            inner.append(bound(c, lambda d: F.concat(F.lit(b"\xfe\xff\x00\xe0"), _little(F.octet_length(d), 4), d)))
+        else:
+            inner += [F.lit(b"\xfe\xff\x00\xe0"), open_ended, c, F.lit(b"\xfe\xff\x0d\xe0\x00\x00\x00\x00")]
     data = F.concat(F.lit(b""), *inner, *([] if stated_length else [F.lit(b"\xfe\xff\xdd\xe0\x00\x00\x00\x00")]))
     head = F.lit(_tag_bytes(tag) + (b"SQ\x00\x00" if explicit else b""))
-    return F.concat(head, _little(F.octet_length(data), 4) if stated_length else open_ended, data)
+    return bound(data, lambda d: F.concat(head, _little(F.octet_length(d), 4), d)) if stated_length else F.concat(head, open_ended, data)
 
 
 def file_bytes(class_uid: Column, instance_uid: Column, syntax: str, data_set: Column) -> Column:
@@ -136,4 +138,4 @@ def file_bytes(class_uid: Column, instance_uid: Column, syntax: str, data_set: C
     meta = F.concat(
         F.lit(b"\x02\x00\x01\x00OB\x00\x00\x02\x00\x00\x00\x00\x01"), element("MediaStorageSOPClassUID", class_uid), element("MediaStorageSOPInstanceUID", instance_uid), element("TransferSyntaxUID", F.lit(syntax))
     )
-    return F.concat(F.lit(bytes(128) + b"DICM\x02\x00\x00\x00UL\x04\x00"), _little(F.octet_length(meta), 4), meta, data_set)
+    return F.concat(F.lit(bytes(128) + b"DICM\x02\x00\x00\x00UL\x04\x00"), bound(meta, lambda m: F.concat(_little(F.octet_length(m), 4), m)), data_set)
