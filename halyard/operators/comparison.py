@@ -47,6 +47,10 @@ def value_at_rank(df: DataFrame, keys: Sequence[str], value: str, at: Column, na
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     same = lambda a, b: reduce(lambda x, y: x & y, (a[k].eqNullSafe(b[k]) for k in keys), F.lit(True))
     groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if (groups.agg(F.max("_n")).first()[0] or 0) <= most:
+        w = Window.partitionBy(*keys)
+        turns = rows.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_turn", F.row_number().over(w.orderBy("_v")) - 1)
+        return turns.where(F.col("_turn") == at).select(*keys, F.col("_v").alias(name))
     kind = rows.schema["_v"].dataType
     place = shared_folder(df.sparkSession, "ranks")
 
@@ -82,7 +86,7 @@ def value_at_rank(df: DataFrame, keys: Sequence[str], value: str, at: Column, na
         open_ranges = written(small.unionByName(found), str(step))
     one = open_ranges.where(F.col("_one").isNotNull()).select(*keys, F.col("_one").alias(name))
     rest = open_ranges.where(F.col("_one").isNull())
-    inside = _inside(rows, rest, keys, same) if step else rows
+    inside = _inside(rows, rest, keys, same)
     turn = F.row_number().over(Window.partitionBy(*keys).orderBy("_v")) - 1
     numbered = inside.withColumn("_turn", turn)
     wanted = rest.select(*(F.col(k).alias(f"of_{k}") for k in keys), "_at")
