@@ -48,7 +48,7 @@ class Reputation:
     """A host is blocked where its bad share's posterior mean less ``z`` standard deviations is above ``limit``. Priors count as at least ``weakest`` and at
     most ``strongest`` pages. ``suffixes``: public suffixes of two labels; all other suffixes have one."""
 
-    limit: float = 0.25
+    limit: float = 0.5
     z: float = 1.645
     weakest: float = 1.0
     strongest: float = 1e6
