@@ -9,6 +9,7 @@ from halyard.functions import display as D
 from halyard.functions import lut as L
 from halyard.operators import presentation as P
 from halyard.operators import rendering as R
+from halyard.operators.resampling import scaled
 from halyard.registry import query
 from halyard.shared import shared_folder
 from halyard.sources import tables
@@ -468,3 +469,25 @@ def preset_list_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = P.preset_list(windows, luts, F.lit("LINEAR"), auto, "[S]", F.col("presets"), S())
     shown = F.transform(whole, lambda p: F.concat(p["name"], F.lit("="), p["width"].cast("int"), F.lit("/"), F.floor(p["center"]).cast("int"), F.when(p["key"] > 0, F.concat(F.lit("#"), p["key"])).otherwise("")))
     return part.select("p_partkey", F.array_join(shown, ";").alias("presets"))
+
+
+_SINC = "CASE WHEN abs({0}) < 1e-9 THEN 1.0::DOUBLE WHEN abs({0}) < 4 THEN sin(pi() * ({0})) * sin(pi() * ({0}) / 4) * 4 / (pi() * ({0}) * pi() * ({0})) ELSE 0.0::DOUBLE END"
+
+
+@query(
+    "scale_images",
+    f"""WITH g AS (SELECT * FROM {_GRID} p WHERE image < (SELECT count(*) // 16 FROM embeddings)), s AS (SELECT DISTINCT image, 16 AS r, 64 AS c, 6 + image % 3 * 9 AS nr, 40 + image % 2 * 50 AS nc FROM g),
+        z AS (SELECT r AS a, nr AS b FROM s UNION SELECT c, nc FROM s), t AS (SELECT a, b, q, (q + 0.5::DOUBLE) * a / b - 0.5::DOUBLE AS p FROM z, range(0, 90) u(q) WHERE q < b), k AS (SELECT a, b, q, greatest(0, least(a - 1, CAST(floor(p) AS BIGINT) + d)) AS o, {_SINC.format("p - floor(p) - d")} AS w FROM t, range(-3, 5) u(d)),
+        n AS (SELECT a, b, q, o, sum(w) / (SELECT sum(w) FROM k j WHERE j.a = k.a AND j.b = k.b AND j.q = k.q) AS w FROM k GROUP BY a, b, q, o),
+        l AS (SELECT g.image, nr, r, y, q AS nx, sum(px * w) AS v FROM g JOIN s ON s.image = g.image JOIN n ON n.a = c AND n.b = nc AND n.o = x GROUP BY ALL), m AS (SELECT image, q AS ny, nx, sum(v * w) AS v FROM l JOIN n ON n.a = r AND n.b = nr AND n.o = y GROUP BY ALL)
+        SELECT image, count(*) AS pixels, CAST(sum(greatest(-3000, least(3000, floor(round(v, 6) + 0.5)))) AS BIGINT) AS total FROM m GROUP BY 1""",
+)
+def scale_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images brought to other sizes, smaller and larger, by a windowed sinc."""
+    p = pixels(spark, sf_dir).select(F.floor(F.col("vec_id") / 16).alias("image"), (F.col("vec_id") % 16).alias("y"), "x", "px")
+    full = F.floor(F.lit(1) * table(spark, sf_dir, "embeddings").count() / 16)
+    p = p.where(F.col("image") < full)  # the last one may have fewer lines
+    i = F.col("image")
+    images = p.select("image").distinct().select("image", F.lit(16).alias("rows"), F.lit(64).alias("columns"), (6 + i % 3 * 9).alias("new_rows"), (40 + i % 2 * 50).alias("new_columns"))
+    got = scaled(p, images, "image", "y", "x", "px", -3000, 3000)
+    return got.groupBy("image").agg(F.count(F.lit(1)).alias("pixels"), F.sum("px").alias("total"))
