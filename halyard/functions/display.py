@@ -216,20 +216,34 @@ def colour(gray: Column, rgba: Column) -> Column:
     return F.when(F.size(rgba) >= 3, given).otherwise(F.array(*[byte(F.shiftrightunsigned(F.coalesce(gray, F.lit(0)), 8))] * 3, F.lit(255)))
 
 
-def polygon_contains(points: Column, y: Column, x: Column) -> Column:
-    """Whether a polygon of (row, column) points holds a place, by crossings; null for under three points or without an area."""
+def polygon_crossings(points: Column, y: Column) -> Column:
+    """The columns at which a line of places crosses a polygon of (row, column) points; null for under three points or without an area. They are the same
+    for all places of a line, so find them before its places are dealt out."""
     n = F.size(points)
     follow = lambda i: F.get(points, (i + 1) % n)
     pairs = F.transform(points, lambda p, i: F.struct(p["row"].cast("double").alias("y1"), p["column"].cast("double").alias("x1"), follow(i)["row"].cast("double").alias("y2"), follow(i)["column"].cast("double").alias("x2")))
     area = F.aggregate(pairs, F.lit(0.0), lambda s, e: s + e["x1"] * e["y2"] - e["x2"] * e["y1"])
-    crossed = F.filter(pairs, lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]))
-    return F.when((n >= 3) & (area != 0), F.size(crossed) % 2 == 1)
+    crossed = F.filter(pairs, lambda e: (e["y1"] > y) != (e["y2"] > y))
+    at = F.transform(crossed, lambda e: (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"])
+    return F.when((n >= 3) & (area != 0), at)
+
+
+def between_crossings(crossings: Column, x: Column) -> Column:
+    """Whether a place of a line is inside by the even-odd rule."""
+    return F.size(F.filter(crossings, lambda c: x < c)) % 2 == 1
+
+
+def polygon_contains(points: Column, y: Column, x: Column) -> Column:
+    """Whether a polygon of (row, column) points holds a place, by crossings; null for under three points or without an area."""
+    crossings = polygon_crossings(points, y)
+    return F.when(crossings.isNotNull(), between_crossings(crossings, x))
 
 
-def shutter_contains(y: Column, x: Column, rectangle: Column | None = None, circle: Column | None = None, polygon: Column | None = None) -> Column:
+def shutter_contains(y: Column, x: Column, rectangle: Column | None = None, circle: Column | None = None, polygon: Column | None = None, crossings: Column | None = None) -> Column:
     """Whether a place is inside all shutters that have an area; true if none has.
 
-    A rectangle is (left, top, right, bottom) in any order of its corners, a circle (row, column, radius), a polygon (row, column) points.
+    A rectangle is (left, top, right, bottom) in any order of its corners, a circle (row, column, radius), a polygon (row, column) points; ``crossings`` are
+    those of a polygon with the place's line, for many places.
     """
     inside = F.lit(True)
     if rectangle is not None:
@@ -240,6 +254,8 @@ def shutter_contains(y: Column, x: Column, rectangle: Column | None = None, circ
         inside = inside & F.coalesce(~(circle["radius"] > 0) | ((x - circle["column"]) ** 2 + (y - circle["row"]) ** 2 < circle["radius"] ** 2), F.lit(True))
     if polygon is not None:
         inside = inside & F.coalesce(polygon_contains(polygon, y, x), F.lit(True))
+    if crossings is not None:
+        inside = inside & (crossings.isNull() | between_crossings(crossings, x))
     return inside
 
 

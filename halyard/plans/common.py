@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def partitions(df: DataFrame, rows: int = 1_000_000) -> int:
+    """So many partitions that one has about ``rows`` rows, so that a task's memory doesn't grow with the table; no fewer than is set. Files tell their number of rows."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+
+
 def tally(df: DataFrame) -> DataFrame:
     """What a filter on line items lets through: rows and key sums by flag and status."""
     return df.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("orderkeys"), F.sum("l_partkey").alias("partkeys"))

@@ -14,7 +14,7 @@ from halyard.registry import query
 from halyard.shared import shared_folder
 from halyard.sources import tables
 
-from .common import table
+from .common import partitions, table
 from .pixels import _PIXELS_SQL, pixels
 
 K, S = (lambda: F.col("p_partkey")), (lambda: F.col("p_size"))
@@ -221,15 +221,18 @@ def display_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def shutter_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places inside rectangular, circular and polygonal shutters; those without an area don't count."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    for name in ("y", "x"):
-        p = p.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn(name, F.col(name) + 0.3)
     s, point = F.col("p_size"), lambda r, c: F.struct(r.alias("row"), c.alias("column"))
     side = F.when(s % 6 >= 3, s % 6).otherwise(0)
     rectangle = F.struct(F.lit(18).alias("left"), F.lit(15).alias("top"), F.when(s % 4 == 0, 18).otherwise(2).alias("right"), F.lit(1).alias("bottom"))
     circle = F.struct(F.lit(8).alias("row"), F.lit(9).alias("column"), (s % 5 * 3).alias("radius"))
     polygon = F.array(point(F.lit(0), F.lit(0)), point(F.lit(0), 3 * side), point(side, F.lit(0)))
-    return p.where(D.shutter_contains(F.col("y"), F.col("x"), rectangle, circle, polygon)).groupBy("p_partkey").agg(F.count(F.lit(1)).alias("inside"))
+    line = F.explode(F.sequence(F.lit(0), F.lit(19)))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    p = p.repartition(partitions(p, 20_000), "p_partkey")  # a row becomes 400 places, so a small file is work for many tasks
+    p = p.select("p_partkey", "p_size", polygon.alias("polygon"), line.alias("y")).withColumn("y", F.col("y") + 0.3)
+    p = p.withColumn("crossings", D.polygon_crossings(F.col("polygon"), F.col("y"))).drop("polygon")
+    p = p.withColumn("x", line).withColumn("x", F.col("x") + 0.3)
+    return p.where(D.shutter_contains(F.col("y"), F.col("x"), rectangle, circle, crossings=F.col("crossings"))).groupBy("p_partkey").agg(F.count(F.lit(1)).alias("inside"))
 
 
 _STORED = f"(SELECT vec_id, x, abs(px) % 4096 + CASE WHEN x % 5 = 0 THEN 4096 ELSE 0 END AS px FROM {_PIXELS_SQL})"
