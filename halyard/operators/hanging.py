@@ -240,7 +240,7 @@ class Protocol:
         """Rows of :meth:`route` with each scrolling group that their display set is in, and its place there; others go."""
         pairs = [(d, g, i) for g, sets in enumerate(self.scrolling, 1) for i, d in enumerate(sets, 1)]
         groups = routed.sparkSession.createDataFrame(pairs, "_set int, scrolling_group int, place int")
-        return routed.join(groups, F.col("display_set") == F.col("_set")).drop("_set")
+        return routed.join(F.broadcast(groups), F.col("display_set") == F.col("_set")).drop("_set")  # a shuffle would bring all rows of a display set to one task
 
     def route(self, df: DataFrame, within: Sequence[str], tiebreak: Sequence[Column]) -> DataFrame:
         """One row for each display set that an input row belongs to, and its position there among the rows of its study (``within``).

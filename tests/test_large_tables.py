@@ -16,6 +16,12 @@ def plan_of(df, which="executedPlan"):
     return getattr(df._jdf.queryExecution(), which)().toString()
 
 
+def test_scrolling_groups_shuffle_no_rows_of_display_sets(spark, small):
+    """A shuffle by display set has one task for each, whatever the cluster."""
+    plan = plan_of(registry.queries()["hp_scrolling"](spark, small))
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(display_set" not in plan
+
+
 def test_crossings_of_a_line_tell_what_the_polygon_holds(spark):
     rnd = random.Random(9)
     shapes = [[(rnd.randint(0, 9), rnd.randint(0, 9)) for _ in range(n)] for n in (0, 2, 3, 3, 4, 5, 9)] + [[(1, 1), (1, 1), (1, 1)]]
