@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,30 +43,43 @@ def scale_hash(c: Column, key: bytes, low: int, high: int) -> Column:
     return (fraction * (high - low)).cast("int") + low
 
 
-_BASE = 1_000_000_000
+_BASE = 10**8
+#: the powers of 2^32 as five limbs of eight decimal digits each, lowest first
+_POWERS = tuple(tuple((1 << 32 * i) // _BASE**j % _BASE for j in range(5)) for i in range(4))
+
+
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, in lambdas too, where equal expressions are not shared."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def decimal_of(digits: Column) -> Column:
-    """The decimal digits of 32 hexadecimal ones: 32 bits at a time are added to limbs of nine decimal digits."""
-    words = F.transform(F.sequence(F.lit(1), F.lit(25), F.lit(8)), lambda i: F.conv(F.substring(digits, i, F.lit(8)), 16, 10).cast("long"))
+    """The decimal digits of 32 hexadecimal ones: each limb of eight decimal digits is a sum over words of 32 bits, and what is over goes to the next."""
+    words = F.array(*(F.conv(F.substring(digits, 25 - 8 * i, 8), 16, 10).cast("long") for i in range(4)))
+    div = lambda x: F.call_function("div", x, F.lit(_BASE).cast("long"))
 
-    def take(limbs: Column, word: Column) -> Column:
-        def limb(state: Column, x: Column) -> Column:
-            full = x * F.lit(1 << 32) + state["carry"]
-            whole = F.call_function("div", full, F.lit(_BASE).cast("long"))
-            return F.struct(F.concat(state["out"], F.array(F.pmod(full, F.lit(_BASE).cast("long")))).alias("out"), whole.alias("carry"))
+    def sums(w: Column) -> Column:
+        return F.array(*(reduce(lambda a, b: a + b, [F.get(w, F.lit(i)) * F.lit(_POWERS[i][j]).cast("long") for i in range(4) if _POWERS[i][j]], F.lit(0).cast("long")) for j in range(5)))
 
-        start = F.struct(F.array().cast("array<bigint>").alias("out"), word.alias("carry"))
-        return F.aggregate(limbs, start, limb, lambda s: s["out"])
+    def shown(s: Column) -> Column:
+        limbs, over = [], F.lit(0).cast("long")
+        for j in range(5):
+            limb = F.get(s, F.lit(j)) + over
+            limbs.append(limb % F.lit(_BASE).cast("long"))
+            over = div(limb)
+        head, middle = (limbs[j + 1] * F.lit(_BASE).cast("long") + limbs[j] for j in (3, 1))
+        pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
+        return F.regexp_replace(F.concat(head.cast("string"), pad(middle, 16), pad(limbs[0], 8)), "^0+(?=.)", "")
 
-    zero = F.array(*[F.lit(0).cast("long")] * 5)
-    limbs = F.aggregate(words, zero, take)
-    padded = F.transform(F.reverse(limbs), lambda x: F.lpad(x.cast("string"), 9, "0"))
-    return F.when(digits.isNotNull(), F.regexp_replace(F.array_join(padded, ""), "^0+(?=.)", ""))
+    return F.when(digits.isNotNull(), _with(words, lambda w: _with(sums(w), shown)))
 
 
 def uid_hash(c: Column, key: bytes) -> Column:
     """A pseudonym of an identifier: the first 16 bytes of its digest as a random-type UUID (version 4, variant 10) under 2.25; blank gives null."""
-    h = F.when(F.length(F.trim(c)) > 0, hmac_hex(c, key))
-    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
-    return F.concat(F.lit("2.25."), decimal_of(F.concat(F.substring(h, 1, 12), F.lit("4"), F.substring(h, 14, 3), variant, F.substring(h, 18, 15))))
+
+    def uuid(h: Column) -> Column:
+        variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+        return F.concat(F.substring(h, 1, 12), F.lit("4"), F.substring(h, 14, 3), variant, F.substring(h, 18, 15))
+
+    digits = _with(hmac_hex(c, key), uuid)
+    return F.when(F.length(F.trim(c)) > 0, F.concat(F.lit("2.25."), _with(digits, decimal_of)))

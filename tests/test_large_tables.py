@@ -22,6 +22,20 @@ def test_scrolling_groups_shuffle_no_rows_of_display_sets(spark, small):
     assert "BroadcastHashJoin" in plan and "hashpartitioning(display_set" not in plan
 
 
+def test_a_digest_is_computed_once_within_a_lambda(spark):
+    got = spark.createDataFrame([(["1.2", " "],)], "s array<string>").select(F.transform("s", lambda x: hashing.uid_hash(x, KEY)).alias("u"))
+    assert plan_of(got, "analyzed").count("sha2(concat(0x") == 2  # a digest takes two
+    assert got.first().u == [spark.range(1).select(hashing.uid_hash(F.lit("1.2"), KEY)).first()[0], None]
+
+
+def test_decimals_of_all_lengths(spark):
+    rnd = random.Random(4)
+    numbers = [0, 1, 10**8 - 1, 10**8, 10**16, 10**19, 10**38 - 1, 10**38, 2**64, 2**96 - 1, 2**127, 2**128 - 1] + [rnd.getrandbits(rnd.randint(1, 128)) for _ in range(300)]
+    df = spark.createDataFrame([(f"{n:032x}", str(n)) for n in numbers], "h string, want string")
+    assert df.where(hashing.decimal_of(F.col("h")) != F.col("want")).count() == 0
+    assert df.where(hashing.decimal_of(F.col("h")).isNull()).count() == 0
+
+
 def test_crossings_of_a_line_tell_what_the_polygon_holds(spark):
     rnd = random.Random(9)
     shapes = [[(rnd.randint(0, 9), rnd.randint(0, 9)) for _ in range(n)] for n in (0, 2, 3, 3, 4, 5, 9)] + [[(1, 1), (1, 1), (1, 1)]]
