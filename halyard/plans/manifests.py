@@ -9,7 +9,7 @@ from halyard.functions import text
 from halyard.operators import manifest as M
 from halyard.registry import query
 
-from .common import table
+from .common import partitions, table
 
 
 @query(
@@ -30,7 +30,8 @@ def mf_dedupe_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def mf_tree_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Studies, series and instances of each patient; counted level by level, so that no distinct runs over joined rows."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").repartition("l_orderkey")  # one shuffle for both levels and the join
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    lines = lines.repartition(partitions(lines), "l_orderkey")  # one shuffle for both levels and the join
     series = lines.groupBy("l_orderkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
     studies = series.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("series"), F.sum("n").alias("n"))
     orders = table(spark, sf_dir, "orders").join(studies, F.col("o_orderkey") == F.col("l_orderkey"), "left")

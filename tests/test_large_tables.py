@@ -63,3 +63,11 @@ def test_a_small_file_of_shutters_is_dealt_to_many_tasks(spark, small):
 
 def test_partitions_follow_the_rows(spark):
     assert [partitions(spark.range(n), 100) for n in (0, 400, 401, 1000)] == [4, 4, 5, 10]
+
+
+def test_tree_counts_have_more_partitions_for_more_lines(spark, small, monkeypatch):
+    from halyard.plans import manifests
+
+    monkeypatch.setattr(manifests, "partitions", lambda df: partitions(df, 500))
+    lines = spark.read.parquet(f"{small}/lineitem.parquet").count()
+    assert f"{-(-lines // 500)}), REPARTITION_BY_NUM" in plan_of(manifests.mf_tree_counts(spark, small))
