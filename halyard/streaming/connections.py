@@ -34,76 +34,87 @@ class IdleClose(StatefulProcessor):
         self.flying = handle.getMapState("flying", "instance string", "n int")
         self.line = handle.getValueState("line", "opened long, transfers long, fires long")
 
-    def _arm(self, before: int, at: int) -> int:
+    def _arm(self, before: int, at: int) -> None:
         if before != at:
             if before != _NONE:
                 self.handle.deleteTimer(before)
             if at != _NONE:
                 self.handle.registerTimer(at)
-        return at
-
-    def _in_flight(self) -> int:
-        return sum(n for (n,) in self.flying.values())
-
-    def _closed(self, key: tuple, opened: int, at: int, transfers: int, fires: int, reason: str) -> Row:
-        out = Row(connection=key[0], opened=_moment(opened), closed=_moment(at), transfers=transfers, in_flight=self._in_flight(), reason=reason)
-        self._arm(fires, _NONE)
-        self.flying.clear()
-        self.line.clear()
-        return out
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        """A connection's state is read once and written once for all its rows of a batch; in between it is held here."""
         now = timerValues.getCurrentProcessingTimeInMs()
-        opened, transfers, fires = self.line.get() if self.line.exists() else (_NONE, 0, _NONE)
+        kept = self.line.get()
+        opened, transfers, armed = kept or (_NONE, 0, _NONE)
+        before = {instance: n for (instance,), (n,) in self.flying.iterator()} if kept else {}
+        flying, fires, in_flight = dict(before), armed, sum(before.values())
+
+        def closed(at: int, reason: str) -> Row:
+            return Row(connection=key[0], opened=_moment(opened), closed=_moment(at), transfers=transfers, in_flight=in_flight, reason=reason)
+
         order = {"start": 0, "end": 1, "abort": 2}
         for row in sorted(rows, key=lambda r: (r["at"], order[r["kind"]])):
             at = int(row["at"].timestamp() * 1000) if self.event_time else now
             while fires != _NONE and self.event_time and at >= fires:  # the timer of before this row
-                if self._in_flight():
-                    fires = self._arm(fires, fires + self.delay)
+                if in_flight:
+                    fires += self.delay * ((at - fires) // self.delay + 1)
                     continue
-                yield self._closed(key, opened, fires, transfers, fires, "idle")
-                opened, transfers, fires = _NONE, 0, _NONE
+                yield closed(fires, "idle")
+                opened, transfers, fires, in_flight = _NONE, 0, _NONE, 0
+                flying.clear()
             if opened == _NONE:
                 if row["kind"] == "abort":
                     continue
                 opened = at
             if row["kind"] == "abort":
-                yield self._closed(key, opened, at, transfers, fires, "aborted")
-                opened, transfers, fires = _NONE, 0, _NONE
+                yield closed(at, "aborted")
+                opened, transfers, fires, in_flight = _NONE, 0, _NONE, 0
+                flying.clear()
                 continue
-            instance = (row["instance"],)
-            count = self.flying.getValue(instance)[0] if self.flying.containsKey(instance) else 0
+            instance = row["instance"]
+            count = flying.get(instance, 0)
             if row["kind"] == "start":
-                self.flying.updateValue(instance, (count + 1,))
+                flying[instance] = count + 1
+                in_flight += 1
                 transfers += 1
-                fires = self._arm(fires, _NONE)
+                fires = _NONE
             else:
-                if count > 1:
-                    self.flying.updateValue(instance, (count - 1,))
-                elif count:
-                    self.flying.removeKey(instance)
-                fires = self._arm(fires, at + self.delay)
+                if count:
+                    in_flight -= 1
+                    flying[instance] = count - 1
+                    if count == 1:
+                        del flying[instance]
+                fires = at + self.delay
+        self._arm(armed, fires)
+        if before and not flying:
+            self.flying.clear()
+        else:
+            for instance in before.keys() - flying.keys():
+                self.flying.removeKey((instance,))
+            for instance, n in flying.items():
+                if before.get(instance) != n:
+                    self.flying.updateValue((instance,), (n,))
         if opened != _NONE:
             self.line.update((opened, transfers, fires))
+        elif kept:
+            self.line.clear()
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         at = expiredTimerInfo.getExpiryTimeInMs()
-        if not self.line.exists():
+        kept = self.line.get()
+        if not kept:
             return
-        opened, transfers, fires = self.line.get()
+        opened, transfers, fires = kept
         if fires != at:
             return
-        if self._in_flight():
+        if sum(1 for _ in self.flying.keys()):
             upto = timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs()
             again = at + self.delay * max(1, (upto - at) // self.delay + 1)
             self.handle.registerTimer(again)
             self.line.update((opened, transfers, again))
             return
-        out = Row(connection=key[0], opened=_moment(opened), closed=_moment(at), transfers=transfers, in_flight=0, reason="idle")
-        self.flying.clear()
         self.line.clear()
-        yield out
+        yield Row(connection=key[0], opened=_moment(opened), closed=_moment(at), transfers=transfers, in_flight=0, reason="idle")
 
     def close(self) -> None:
         pass
