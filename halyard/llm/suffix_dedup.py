@@ -46,6 +46,7 @@ SLICE = 1 << 18  # bytes of text that are hashed at once, so that what is comput
 _BLOCK = 1_200_000  # anchors that a task holds before it settles and sends them
 LEAST = 2  # surroundings of an anchor in a block of texts from which on they are counted: what is missed is one a block at most
 PER_BUCKET = 8_000  # strings that an array has on average
+_STRINGS = 100_000  # strings whose windows a task settles at once
 STEP = 5  # offsets of an anchor that the deeper radix level puts together
 
 
@@ -568,13 +569,63 @@ def _scan_buckets(contexts: DataFrame, parts: int) -> DataFrame:
     return contexts.select(bucket, "rid", "doc", "start", "follows", "bytes").groupBy("bucket").applyInArrow(run, "rid long, start long, end long, follows boolean")
 
 
+def settled_windows(strings: list[bytes], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, place, settled) of each window of ``length`` bytes: settled are those that a string of a smaller document has too. Equal windows meet by hash and are compared byte by byte."""
+    buf = Buffer(strings)
+    many = np.maximum(buf.end - buf.start - LENGTH + 1, 0)
+    string = np.repeat(np.arange(len(strings)), many)
+    offset = np.arange(len(string)) - np.repeat(np.cumsum(many) - many, many)
+    at = buf.start[string] + offset
+    h = buf.window_hash(at)
+    order = np.argsort(h, kind="stable")
+    string, offset, at, h = string[order], offset[order], at[order], h[order]
+    same = h[1:] == h[:-1]
+    for off in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+        x = buf.eight[at + off]
+        same &= x[1:] == x[:-1]
+    if not len(string):
+        return string, offset, np.zeros(0, bool)
+    head = np.r_[True, ~same]
+    d = doc[string]
+    return string, start[string] + offset, d > np.minimum.reduceat(d, np.flatnonzero(head))[np.cumsum(head) - 1]
+
+
 def _equal_windows(contexts: DataFrame, scratch: Scratch) -> DataFrame:
-    """Ranges of windows that a smaller document has, by the windows' own bytes: the last radix level."""
-    offsets = F.sequence(F.lit(0), F.length("bytes") - LENGTH)
-    windows = contexts.where(F.length("bytes") >= LENGTH).select("rid", "doc", "start", "follows", "bytes", F.explode(offsets).alias("at"))
-    windows = windows.select("rid", "doc", "follows", (F.col("start") + F.col("at")).alias("start"), F.substring("bytes", F.col("at") + 1, F.lit(LENGTH)).alias("window"))
-    least = scratch.save(windows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("last")).where("least <> last").drop("last"), "least")
-    return windows.join(least, "window").where("doc > least").select("rid", "start", (F.col("start") + LENGTH).alias("end"), "follows")
+    """Ranges of windows that a smaller document has, by the windows' own bytes: the last radix level.
+
+    Tasks settle the windows that meet within them, so that of a window of many documents each task sends on its smallest document's only; these meet in Spark.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            held.clear()
+            data = table.column("bytes").to_pylist()
+            rid, doc, first, follows = (table.column(c).to_numpy() for c in ("rid", "doc", "start", "follows"))
+            string, place, settled = settled_windows(data, doc, first)
+            # ranges of one string touch, so they are united by it
+            s, a, b = unite(string[settled], place[settled], place[settled] + LENGTH)
+            t, c = string[~settled], place[~settled]
+            windows = [data[i][p : p + LENGTH] for i, p in zip(t.tolist(), (c - first[t]).tolist(), strict=True)]
+            owner = np.r_[s, t]
+            columns = [pa.array(rid[owner]), pa.array(doc[owner]), pa.array(np.r_[a, c].astype(np.int64)), pa.array(np.r_[b, c + LENGTH].astype(np.int64)), pa.array(follows[owner].astype(bool)), pa.array([None] * len(s) + windows, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["rid", "doc", "start", "end", "follows", "window"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= _STRINGS:
+                yield flush()
+        if held:
+            yield flush()
+
+    strings = contexts.where(F.length("bytes") >= LENGTH).select("rid", "doc", "start", "follows", "bytes")
+    windows = scratch.save(strings.mapInArrow(run, "rid long, doc long, start long, end long, follows boolean, window binary"), "windows")
+    rest = windows.where("window is not null")
+    least = scratch.save(rest.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("last")).where("least <> last").drop("last"), "least")
+    met = rest.join(least, "window").where("doc > least")
+    return windows.where("window is null").select("rid", "start", "end", "follows").union(met.select("rid", "start", "end", "follows"))
 
 
 def earlier_passages(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch, most: int = 4096) -> tuple[DataFrame, DataFrame]:

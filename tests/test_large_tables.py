@@ -71,3 +71,26 @@ def test_tree_counts_have_more_partitions_for_more_lines(spark, small, monkeypat
     monkeypatch.setattr(manifests, "partitions", lambda df: partitions(df, 500))
     lines = spark.read.parquet(f"{small}/lineitem.parquet").count()
     assert f"{-(-lines // 500)}), REPARTITION_BY_NUM" in plan_of(manifests.mf_tree_counts(spark, small))
+
+
+def test_windows_that_meet_in_a_task_are_settled_there(spark):
+    """Of a window of many documents a task sends on one, so that what meets in Spark doesn't grow with a group."""
+    rnd = random.Random(3)
+    odd = lambda n: bytes(rnd.choice(b"abcdefgh") for _ in range(n))
+    common = odd(50)
+    strings = [odd(2) + common + odd(2) for _ in range(500)] + [b"short"]
+    doc = np.array([7 + i // 2 for i in range(501)])
+    string, place, settled = suffix_dedup.settled_windows(strings, doc, np.arange(501) * 1000)
+    seen = {}
+    for i, s in enumerate(strings):
+        for p in range(len(s) - 49):
+            seen[s[p : p + 50]] = min(seen.get(s[p : p + 50], 10**9), doc[i])
+    want = {(i, i * 1000 + p): doc[i] > seen[s[p : p + 50]] for i, s in enumerate(strings) for p in range(len(s) - 49)}
+    assert dict(zip(zip(string.tolist(), place.tolist()), settled.tolist())) == want
+    rows = [(i, int(doc[i]), 0, i % 3 == 0, s) for i, s in enumerate(strings)]
+    scratch = suffix_dedup.Scratch(spark, "t")
+    got = suffix_dedup._equal_windows(spark.createDataFrame(rows, "rid long, doc long, start long, follows boolean, bytes binary").repartition(4), scratch)
+    covered = {(r.rid, p) for r in got.collect() for p in range(r.start, r.end - 49)}
+    assert covered == {(i, p - i * 1000) for (i, p), late in want.items() if late}
+    meet = spark.read.parquet(scratch.path("windows")).where(F.col("window") == common).count()
+    assert meet <= 8  # two equal ids a task, of 500 occurrences
