@@ -26,7 +26,8 @@ def applying(frames: DataFrame, references: DataFrame) -> DataFrame:
     for depth, part in enumerate(parts):
         part = part.select("series", "instance", "frame", "state", F.lit(depth).alias("depth"))
         all_ = part if all_ is None else all_.unionByName(part)
-    return all_.groupBy("series", "instance", "frame", "state").agg(F.max("depth").alias("depth"))
+    # one shuffle by frame, for the states of each and for what is chosen of them
+    return all_.repartition("series", "instance", "frame").groupBy("series", "instance", "frame", "state").agg(F.max("depth").alias("depth"))
 
 
 def chosen(frames: DataFrame, references: DataFrame, states: DataFrame) -> DataFrame:

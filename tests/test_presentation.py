@@ -84,3 +84,13 @@ def test_labels_that_are_given_twice(spark):
     labels = spark.createDataFrame([("a", "en", "y"), ("a", "en", "x"), ("a", None, "n")], "code string, lang string, label string")
     df = spark.createDataFrame([("a", "en"), ("a", "fr"), ("b", "en"), (None, None)], "c string, l string")
     assert sorted((str(r.c), str(r.l), r.label) for r in dictionaries.localised(df, "c", "l", labels, "en", "?").collect()) == [("None", "None", "?"), ("a", "en", "x"), ("a", "fr", "x"), ("b", "en", "?")]
+
+
+def test_states_of_a_frame_are_shuffled_once_by_frame(spark, small):
+    from halyard import registry
+
+    plan = registry.queries()["state_choice"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    keys = [line for line in plan.split("\n") if "Exchange hashpartitioning(series" in line and "frame" in line]
+    assert sum("REPARTITION_BY_COL" in k for k in keys) == 1
+    above = plan[: plan.index("REPARTITION_BY_COL")]
+    assert above.count("Exchange hashpartitioning(series") == 1  # its own
