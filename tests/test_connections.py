@@ -114,3 +114,32 @@ def test_by_event_time_batches_do_not_matter(spark, tmp_path, batches):
     got = closed(spark, out)
     assert [(c, o, n, f, r) for c, o, _, n, f, r in got] == [(c, o, n, f, r) for c, o, _, n, f, r in sorted(want)]
     assert got == sorted(want)
+
+
+def test_state_is_asked_once_for_all_rows_of_a_batch():
+    """Each call is a trip to the state store: their number must not follow the rows."""
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.value, self.entries = None, {}
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return {
+                "get": lambda: self.value, "exists": lambda: self.value is not None, "update": lambda v: setattr(self, "value", v), "clear": lambda: (setattr(self, "value", None), self.entries.clear()),
+                "iterator": lambda: iter(self.entries.items()), "keys": lambda: iter(self.entries), "values": lambda: iter(self.entries.values()), "containsKey": lambda k: k in self.entries,
+                "getValue": lambda k: self.entries.get(k), "updateValue": lambda k, v: self.entries.update({k: v}), "removeKey": lambda k: self.entries.pop(k),
+                "registerTimer": lambda at: None, "deleteTimer": lambda at: None, "getCurrentProcessingTimeInMs": lambda: 0,
+            }[name]
+
+    def made(n):
+        calls.clear()
+        it, store = connections.IdleClose(1000, True), State()
+        it.handle, it.flying, it.line = store, State(), State()
+        rows = [{"kind": k, "instance": str(i), "at": T0 + datetime.timedelta(seconds=60 * i + s)} for i in range(n) for s, k in enumerate(("start", "end"))]
+        out = list(it.handleInputRows(("a",), iter(rows), store))
+        assert len(out) == n - 1 and it.flying.entries == {} and it.line.value[1] == 1
+        return len(calls)
+
+    assert made(200) == made(2)
